@@ -12,6 +12,7 @@ from ledgerweave.llm.mixing import mix_sources
 from ledgerweave.llm.packing import pack_tokens
 from ledgerweave.llm.token_counts import token_counts
 from ledgerweave.llm.topk import top_k
+from ledgerweave.llm.toxicity import toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -36,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_exact_dedup, op5_packing, op9_top_k, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op4_exact_dedup, op5_packing, op7_toxicity, op9_top_k, op10_mixing)}
 
 
 OP4_SQL = r"""
