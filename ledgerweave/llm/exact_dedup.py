@@ -31,7 +31,8 @@ def radix_groups(rows: DataFrame, key: str, scratch: Scratch, first: int = 64, f
         dealt = state.withColumn("__digit", F.expr(f"substring(__rest, 1, {width})"))
         groups = dealt.groupBy("__gid", "__digit").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
         named = scratch.save(groups.select("__gid", "__digit", F.monotonically_increasing_id().alias("__next")), f"groups{n}")
-        joined = dealt.join(named, ["__gid", "__digit"], "left")
+        # Sort-merge at every size: it spills, and splits the partitions of very large groups.
+        joined = dealt.join(named.hint("merge"), ["__gid", "__digit"], "left")
         rest = F.when(F.col("__next").isNotNull() & (F.octet_length("__rest") > width), F.expr(f"substring(__rest, {width + 1})"))
         table = scratch.save(joined.select(*others, rest.alias("__rest"), F.col("__next").alias("__gid")), f"state{n}")
         tables.append(table.filter("__rest is null").select(*others, F.lit(n).alias("__round"), "__gid"))
@@ -57,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = radix_groups(rows, "__key", scratch)
     order = F.struct("points", -F.col("id").cast("decimal(38,0)"))
     best = found.filter("__gid is not null").groupBy("__round", "__gid").agg(F.max_by("id", order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    twins = found.filter("__gid is not null").join(best, ["__round", "__gid"])
+    twins = found.filter("__gid is not null").join(best.hint("merge"), ["__round", "__gid"])
     alone = found.filter("__gid is null").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long")})
     out = ["id", "keep_id", "group_size", "sha"]
     return twins.select(*out).unionByName(alone.select(*out)).select(
