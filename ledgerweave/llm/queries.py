@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerweave.llm.base import table, tokenizer_path
 from ledgerweave.llm.exact_dedup import exact_dedup
+from ledgerweave.llm.minhash import near_duplicates
 from ledgerweave.llm.mixing import mix_sources
 from ledgerweave.llm.packing import pack_tokens
 from ledgerweave.llm.token_counts import token_counts
@@ -27,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_exact_dedup, op5_packing, op7_toxicity, op9_top_k, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op9_top_k, op10_mixing)}
 
 
 OP4_SQL = r"""
@@ -50,6 +55,19 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY bare ORDER BY length(text
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM g
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.c FROM r JOIN u ON r.doc_id = u.a WHERE r.c < u.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM m JOIN n USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -73,4 +91,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}
