@@ -11,6 +11,7 @@ from ledgerweave.llm.exact_dedup import exact_dedup
 from ledgerweave.llm.minhash import near_duplicates
 from ledgerweave.llm.mixing import mix_sources
 from ledgerweave.llm.packing import pack_tokens
+from ledgerweave.llm.substring_dedup import substring_dedup
 from ledgerweave.llm.token_counts import token_counts
 from ledgerweave.llm.topk import top_k
 from ledgerweave.llm.toxicity import toxicity
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,8 +51,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op9_top_k, op10_mixing)}
-
+    return {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op9_top_k, op10_mixing)}
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS low FROM h GROUP BY h),
+s AS (SELECT doc_id, list(DISTINCT i) AS starts FROM h JOIN m USING (h) WHERE doc_id > low GROUP BY doc_id),
+c AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: generate_series(i, i + 49)))) AS gone FROM s),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
 
 OP4_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents),
@@ -91,4 +107,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}
