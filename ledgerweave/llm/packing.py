@@ -9,6 +9,7 @@ closest to capacity; the counts are read back from the stored bitsets.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import zlib
@@ -29,7 +30,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 class WordIds:
     """Token ids of texts for a tokenizer whose tokens never cross ASCII white space; each distinct word is encoded once."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,7 +42,7 @@ class WordIds:
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         length = np.array([len(x) for x in ids], np.int64)
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
@@ -64,6 +65,12 @@ class WordIds:
         return self.flat[shift + np.arange(ends[-1])], ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
 
 
+@functools.cache
+def coder(path: str) -> WordIds:
+    """The worker process's own, so that tasks after the first know most words."""
+    return WordIds(path)
+
+
 def cuts(n: int, window: int, powers: bool) -> Iterator[tuple[int, int]]:
     """(start, length) of a document's pieces: whole windows and the rest, or for powers the rest by its binary digits."""
     at = 0
@@ -157,11 +164,11 @@ def pack_tokens(docs: DataFrame, path: str, end: int = 2, window: int = 4096, id
     mark = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        known = coder(path)
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_numpy()
             for a, b in slices(sizes, 4 << 20):
-                ids, at = coder.encode(batch.column(1).slice(a, b - a))
+                ids, at = known.encode(batch.column(1).slice(a, b - a))
                 data, row, out = memoryview(ids.astype("<u4").tobytes()), [], []
                 for i in range(b - a):
                     n = int(at[i + 1] - at[i]) + 1
