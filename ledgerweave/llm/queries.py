@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerweave.llm.base import table, tokenizer_path
 from ledgerweave.llm.exact_dedup import exact_dedup
+from ledgerweave.llm.line_dedup import line_report
 from ledgerweave.llm.minhash import near_duplicates
 from ledgerweave.llm.mixing import mix_sources
 from ledgerweave.llm.packing import pack_tokens
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op9_top_k, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op9_top_k, op10_mixing)}
 
 
 OP3_SQL = r"""
