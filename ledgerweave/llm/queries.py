@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerweave.llm.base import table, tokenizer_path
 from ledgerweave.llm.exact_dedup import exact_dedup
+from ledgerweave.llm.html_extract import extract_text
 from ledgerweave.llm.line_dedup import line_report
 from ledgerweave.llm.minhash import near_duplicates
 from ledgerweave.llm.mixing import mix_sources
@@ -46,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -56,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op9_top_k, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing)}
 
 
 OP3_SQL = r"""
