@@ -83,8 +83,8 @@ def schedule(targets: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     return placed.withColumn("words", F.least(length, F.col("goal") - before)).filter("words > 0").select("slot", "rank", F.col("pass").cast("long"), F.col("block").cast("long"), F.col("words").cast("long"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """A row per document: id, size, source_size, target (its source's), taken (words the mix takes), and the columns in keep.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row per document: id, size, source_size, target (its source's), taken (words the mix takes).
 
     size counts words; null texts have 0 and are never taken. Null sources
     are one source, the last. No document gives more than most times its
@@ -94,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     size = F.expr(f"regexp_count(coalesce(`{text_col}`, ''), r'{WORD}')").cast("long")
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("row"), F.col(source_col).alias("source"), size.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("row"), F.col(source_col).alias("source"), size.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("digest"))
     rows = scratch.save(rows, "sizes")
     targets = scratch.save(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most), "targets")
     parts = max(1, math.ceil((targets.agg(F.max("n")).first()[0] or 0) / 1000))
@@ -110,4 +110,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     one = joined.groupBy("rank", "start", "row", "size", "source_size", "target").agg(F.sum("part_taken").alias("taken"), F.count(F.lit(1)).alias("n"))
     # Rows that are alike in everything and have no words fall together above; they are as many as before.
     one = one.withColumn("again", F.explode(F.sequence(F.lit(1), F.when(F.col("size") > 0, F.lit(1)).otherwise(F.col("n")).cast("int"))))
-    return one.select(F.col("row.id").alias(id_col), *[F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", "taken")
+    return one.select(F.col("row").alias(id_col), "size", "source_size", "target", "taken")

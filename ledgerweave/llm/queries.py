@@ -60,8 +60,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, pipeline)}
 
 
 OP3_SQL = r"""

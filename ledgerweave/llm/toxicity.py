@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1800, ordinary_r
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
-    """A row per document: id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), **bounds: int) -> DataFrame:
+    """A row per document: id, held_out, score (0 to 1), predicted (1 if score >= 0.5), and the columns in keep.
 
     Scores read whole texts and nothing else; a null text counts as empty
     and gets the score of an empty text. Null ids are not held out. Labels
@@ -168,7 +168,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 s = model.scores(part.column(2).cast(pa.binary()).to_pylist()) if model else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *part.columns[3:]], names=[id_col, "held_out", "score", "predicted", *keep])
 
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    return rows.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), *keep)
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, score double, predicted int{kept}")
