@@ -45,39 +45,75 @@ def keys(line: str, length: str, t: int, probe: bool) -> Column:
     return F.array(*out)
 
 
-def edit_distance(a: str, b: str, t: int) -> Column:
+def edit_distance(a: str, b: str, t: int, ends: int = 24) -> Column:
     """Edit distance of two arrays of characters if it is at most t, else null.
 
     Word k of the state has bit d + t set when the first j + d characters of
-    a and the first j of b are within k edits.
+    a and the first j of b are within k edits. The first and the last few
+    characters are tried before the whole, as most pairs fail there.
     """
-    width = 2 * t + 1
-    mask = (1 << width) - 1
+    mask = (1 << (2 * t + 1)) - 1
     start = ", ".join(f"{sum(1 << (d + t) for d in range(min(k, t) + 1))} AS r{k}" for k in range(t + 1))
-    match = " | ".join(f"if(get({a}, j + {d - 1}) = get({b}, j - 1), {1 << (d + t)}, 0)" for d in range(-t, t + 1))
-    step = f"named_struct('m', {match}, 's', s)"
     new = ["(x.s.r0 & x.m)"]
     for k in range(1, t + 1):
         new.append(f"(((x.s.r{k} & x.m) | x.s.r{k - 1} | shiftright(x.s.r{k - 1}, 1) | shiftleft({new[k - 1]}, 1)) & {mask})")
     fields = ", ".join(f"'r{k}', {e}" for k, e in enumerate(new))
-    advance = f"transform(array({step}), x -> named_struct({fields}))[0]"
-    state = f"aggregate(if(size({b}) = 0, array(), sequence(1, size({b}))), struct({start}), (s, j) -> {advance})"
+
+    def state(x: str, y: str, steps: str) -> str:
+        match = " | ".join(f"if(get({x}, j + {d - 1}) = get({y}, j - 1), {1 << (d + t)}, 0)" for d in range(-t, t + 1))
+        advance = f"transform(array(named_struct('m', {match}, 's', s)), x -> named_struct({fields}))[0]"
+        return f"aggregate(if({steps} = 0, array(), sequence(1, {steps})), struct({start}), (s, j) -> {advance})"
+
+    few = f"least(size({b}), {ends})"
     end = f"shiftleft(1, size({a}) - size({b}) + {t})"
     cases = " ".join(f"WHEN (z.r{k} & {end}) <> 0 THEN {k}" for k in range(t + 1))
-    return F.expr(f"CASE WHEN abs(size({a}) - size({b})) <= {t} THEN transform(array({state}), z -> CASE {cases} END)[0] END")
+    alive = f"{state(a, b, few)}.r{t} <> 0 AND {state(f'reverse({a})', f'reverse({b})', few)}.r{t} <> 0"
+    return F.expr(f"CASE WHEN abs(size({a}) - size({b})) <= {t} THEN CASE WHEN {alive} THEN transform(array({state(a, b, f'size({b})')}), z -> CASE {cases} END)[0] END END")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, t: int, scratch: Scratch, label: str) -> DataFrame:
+    """The pairs (a, b) of lines that are within t edits, with their distance."""
+    pairs = scratch.save(pairs, f"{label}-pairs")
+    wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
+    texts = scratch.save(lines.select("lid", "line").join(wanted.hint("merge"), "lid"), f"{label}-texts")
+    left, right = (texts.select(F.col("lid").alias(x), F.split("line", "").alias(f"c{x}")) for x in "ab")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    links = scratch.save(both.withColumn("distance", edit_distance("ca", "cb", t)).filter("distance is not null").select("a", "b", "distance"), f"{label}-links")
+    scratch.drop(f"{label}-texts")
+    return links
+
 
+def similar_lines(lines: DataFrame, t: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components of lines (lid, line, length) within t edits, and links (a, b, distance) that span them.
 
-def similar_lines(lines: DataFrame, t: int, scratch: Scratch) -> DataFrame:
-    """a, b, distance: pairs of rows of lines (lid, line, length) within t edits; lid is unique and lines are distinct."""
+    Who looks up a key is first held against the first line indexed there.
+    Only where that leaves several components under a key are their members
+    held against each other, so a large group of similar lines is not paired
+    up, and no link between components is lost.
+    """
     index = lines.select("lid", F.explode(keys("line", "length", t, False)).alias("key"))
     probe = lines.select(F.col("lid").alias("other"), F.explode(keys("line", "length", t, True)).alias("key"))
-    met = probe.join(index.hint("merge"), "key").filter("lid <> other").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
-    met = scratch.save(met, "met")
-    wanted = met.select(F.col("a").alias("lid")).unionByName(met.select(F.col("b").alias("lid"))).distinct()
-    texts = scratch.save(lines.join(wanted.hint("merge"), "lid").select("lid", "line"), "wanted")
-    left, right = (texts.select(F.col("lid").alias(x), F.split("line", "").alias(f"c{x}")) for x in "ab")
-    both = met.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return scratch.save(both.withColumn("distance", edit_distance("ca", "cb", t)).filter("distance is not null").select("a", "b", "distance"), "links")
+    first = index.groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last"))
+    shared = scratch.save(probe.join(first.hint("merge"), "key").filter("other <> lead or other <> last").select("key", "other", "lead"), "shared")
+    pair = [F.least("other", "lead").alias("a"), F.greatest("other", "lead").alias("b")]
+    stars = shared.filter("other <> lead").select(*pair).distinct()
+    links = verified(stars, lines, t, scratch, "stars")
+    parts = scratch.save(components(links, scratch, "first"), "first")
+
+    members = index.join(shared.select("key").distinct().hint("merge"), "key").withColumnRenamed("lid", "lead")
+    rooted = lambda df, c: df.join(parts.hint("merge"), F.col(c) == F.col("node"), "left").select("key", c, F.coalesce("root", c).alias(f"root_{c}"))
+    looked, members = scratch.save(rooted(shared.select("key", "other"), "other"), "looked"), scratch.save(rooted(members, "lead"), "members")
+    roots = looked.select("key", F.col("root_other").alias("r")).unionByName(members.select("key", F.col("root_lead").alias("r")))
+    open_ = roots.groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low < high").select("key")
+    cross = looked.join(open_.hint("merge"), "key").join(members.hint("merge"), "key").filter("root_other <> root_lead").select(*pair).distinct()
+    tried = scratch.spark.read.parquet(f"{scratch.at}/stars-pairs")
+    more = verified(cross.join(tried.hint("merge"), ["a", "b"], "left_anti"), lines, t, scratch, "cross")
+    links = links.unionByName(more)
+    if not more.isEmpty():
+        parts = scratch.save(components(links, scratch, "second"), "second")
+    for name in ("shared", "looked", "members"):
+        scratch.drop(name)
+    return parts, links
 
 
 def line_dedup(docs: DataFrame, threshold: int = 2, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,16 +130,18 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least: int = 20, id_col: str
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("q"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     rows = rows.filter(r"line rlike '[^\\x20\\x09-\\x0D]'")
     name = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
-    lines = rows.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # A place is one number, so that a hash aggregate can find the first.
+    place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")
+    lines = rows.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.char_length("line").alias("length"), *name, "first", "n"), "lines")
-    links = similar_lines(lines.filter(F.col("length") >= least), threshold, scratch)
-    parts = components(links, scratch, "parts")
+    parts, _ = similar_lines(lines.filter(F.col("length") >= least), threshold, scratch)
     placed = lines.select("lid", "h", "g", "first", "n").join(parts.hint("merge"), F.col("lid") == F.col("node"), "left")
     placed = placed.filter("node is not null or n > 1").withColumn("root", F.coalesce("root", "lid"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("earliest"))
     known = scratch.save(placed.join(firsts.hint("merge"), "root").select("h", "g", "earliest", (F.col("first") == F.col("earliest")).alias("twin")), "known")
-    gone = rows.select("id", "q", "no", *name).join(known.hint("merge"), ["h", "g"]).filter("id <> earliest.id or no <> earliest.no")
+    gone = rows.select("id", "q", "no", *name).join(known.hint("merge"), ["h", "g"]).filter(place != F.col("earliest"))
     gone = scratch.save(gone.groupBy("id", "q").agg(F.collect_set("no").alias("__removed"), F.count_distinct(F.when(~F.col("twin"), F.col("no"))).alias("__near")), "gone")
+    scratch.drop("lines")
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), last), "__q": F.coalesce(F.xxhash64(text_col), F.lit(0))})
     joined = keyed.join(gone.withColumnsRenamed({"id": "__id", "q": "__q"}).hint("merge"), ["__id", "__q"], "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__removed", F.array().cast("array<int>")).alias("__removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("__near"))
