@@ -18,10 +18,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def word_arrays(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+def word_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, dictionary-coded, and where each text's words begin; one more entry than texts."""
-    texts = texts.cast(pa.large_string())
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = parts.flatten()
     full = pc.binary_length(flat).to_numpy() > 0
     at = parts.offsets.to_numpy()
@@ -29,9 +28,10 @@ def word_arrays(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and where each text's words begin."""
-    coded, at = word_arrays(texts, lower)
-    names = np.array(coded.dictionary.to_pylist(), object)
+    """64-bit hashes of the words of all texts (for lower, with A-Z in lower case), and where each text's words begin."""
+    coded, at = word_arrays(texts)
+    # Arrow's ascii_lower garbles sliced arrays; the distinct words are a whole one, and fewer.
+    names = np.array((pc.ascii_lower(coded.dictionary) if lower else coded.dictionary).to_pylist(), object)
     hashed = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, U)
     return hashed[coded.indices.to_numpy()], at
 
