@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,11 @@ class Scratch:
         path = f"{self.at}/{name}"
         df.write.parquet(path)
         # Shuffle files go when the driver collects its garbage; the written table no longer needs them.
-        gc.collect()
-        self.spark._jvm.System.gc()
+        # The first collection still finds the plan that has just run in use.
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.25)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
