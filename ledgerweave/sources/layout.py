@@ -1,0 +1,115 @@
+"""Which column is what, from the content of a cell table (file_id, sheet, row_no, col_no, value)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerweave.functions import codes
+from ledgerweave.functions.numbers import parse_amount
+
+TABLE = ["file_id", "sheet"]
+
+
+def column_stats(cells: DataFrame) -> DataFrame:
+    """TABLE, col_no and shares: filled, codes (dotted), deep (three segments), flat, amounts, words; distinct values."""
+    v = F.trim("value")
+    full = F.coalesce(v, F.lit("")) != ""
+    share = lambda c: F.coalesce(F.avg(F.when(full, c.cast("int"))), F.lit(0.0))
+    deep = v.rlike(r"^\d+(\.\d+){2,}$")
+    letters = F.char_length(F.regexp_replace(v, r"\P{L}", "")) >= 2
+    return cells.groupBy(*TABLE, "col_no").agg(
+        F.avg(full.cast("int")).alias("filled"), share(codes.is_hierarchical(v)).alias("codes"), share(deep).alias("deep"), share(codes.is_flat_code(v)).alias("flat"),
+        share(parse_amount(v).isNotNull() & ~v.rlike(r"\p{L}{2,}")).alias("amounts"), share(letters & ~codes.is_hierarchical(v)).alias("words"), F.count_distinct(F.when(full, v)).alias("distinct"), F.count_if(full).alias("n"),
+    )
+
+
+def roles(cells: DataFrame) -> DataFrame:
+    """TABLE, code_col, description_col, balance_col: codes by share of deep or flat codes, descriptions by share of words, the last informative column of amounts."""
+    s = column_stats(cells)
+    informative = (F.col("filled") >= 0.2) & ((F.col("distinct") > 1) | (F.col("n") < 10))
+    code = F.greatest("deep", "flat", F.col("codes") * 0.5)
+    is_code = code >= 0.1
+    best = lambda score, ok: F.max_by("col_no", F.when(ok, F.struct(score, -F.col("col_no"))))
+    out = s.groupBy(*TABLE).agg(best(code, is_code & (F.col("words") < 0.5)).alias("code_col"), best(F.col("words"), (F.col("words") >= 0.5) & informative).alias("description_col"))
+    balance = s.join(out, TABLE).filter(informative & (F.col("amounts") >= 0.7) & (F.col("deep") <= 0.3) & ~F.col("col_no").eqNullSafe(F.col("code_col"))).groupBy(*TABLE).agg(F.max("col_no").alias("balance_col"))
+    return out.join(balance, TABLE, "left")
+
+
+def looks_like_ledger(cells: DataFrame) -> DataFrame:
+    """TABLE, ledger: some column has 30 % codes and some 50 % amounts."""
+    return column_stats(cells).groupBy(*TABLE).agg((F.max(F.col("codes") >= 0.3) & F.max((F.col("amounts") >= 0.5) & (F.col("deep") <= 0.3))).alias("ledger"))
+
+
+def unique_labels(header: DataFrame) -> DataFrame:
+    """header (TABLE, col_no, label) with repeated labels numbered."""
+    nth = F.row_number().over(Window.partitionBy(*TABLE, "label").orderBy("col_no")) - 1
+    return header.withColumn("label", F.when(nth == 0, F.col("label")).otherwise(F.concat_ws(".", "label", nth)))
+
+
+def compacted(cells: DataFrame) -> DataFrame:
+    """Without blank cells, the others moved to the left."""
+    full = cells.filter(F.trim("value") != "")
+    return full.withColumn("col_no", (F.row_number().over(Window.partitionBy(*TABLE, "row_no").orderBy("col_no")) - 1).cast("int"))
+
+
+def filled_down(cells: DataFrame) -> DataFrame:
+    """Blank cells take the value above."""
+    above = F.last(F.when(F.trim("value") != "", F.col("value")), ignorenulls=True).over(Window.partitionBy(*TABLE, "col_no").orderBy("row_no"))
+    return cells.withColumn("value", above)
+
+
+def records(cells: DataFrame) -> DataFrame:
+    """TABLE, row_no, codigo, descricao, saldo: rows put together from the columns with these roles; a description is required."""
+    r = cells.join(roles(cells), TABLE)
+    pick = lambda c: F.max(F.when(F.col("col_no") == F.col(c), F.trim("value")))
+    rows = r.groupBy(*TABLE, "row_no").agg(pick("code_col").alias("c"), pick("description_col").alias("d"), pick("balance_col").alias("s"))
+    split = r"^(\d+(?:\.\d+)*)\s{2,}(.*)$"
+    glued = F.col("d").rlike(split)
+    code = F.coalesce(F.nullif("c", F.lit("")), F.when(glued, F.regexp_extract("d", split, 1)))
+    return rows.filter(F.coalesce("d", F.lit("")) != "").select(*TABLE, "row_no", code.alias("codigo"), F.when(glued, F.regexp_extract("d", split, 2)).otherwise(F.col("d")).alias("descricao"), parse_amount(F.col("s")).alias("saldo"))
+
+
+def flat_levels(rows: DataFrame, key: list[str], least_codes: int = 10, least_levels: int = 3, share: float = 0.9) -> DataFrame:
+    """key, levels: cumulative lengths of flat codes where 90 % of the longer ones find their beginning among the shorter, and the codes are no counter."""
+    flat = rows.filter(F.col("codigo").rlike(r"^\d+$")).select(*key, "codigo", F.char_length("codigo").alias("len")).distinct()
+    number = F.col("codigo").cast("decimal(38,0)")
+    spread = flat.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / (F.max(number) - F.min(number) + 1).cast("double")).alias("density"), F.array_sort(F.collect_set("len")).alias("lengths")).filter((F.col("n") >= least_codes) & (F.size("lengths") >= least_levels) & ~((F.col("n") >= 10) & (F.col("density") > 0.5)))
+    child = flat.join(spread.select(*key, "lengths"), key).withColumn("shorter", F.explode(F.filter("lengths", lambda x: x < F.col("len"))))
+    parent = flat.select(*key, F.col("codigo").alias("begin"), F.col("len").alias("shorter")).withColumn("have", F.lit(1))
+    met = child.withColumn("begin", F.col("codigo").substr(F.lit(1), F.col("shorter"))).join(parent, [*key, "begin", "shorter"], "left")
+    good = met.groupBy(*key, "len", "shorter").agg(F.avg(F.coalesce("have", F.lit(0))).alias("s")).filter(F.col("s") >= share)
+    nearest = good.groupBy(*key, "len").agg(F.max("shorter").alias("up"))
+    # From the longest length upwards; the table has a row per length.
+    chain = nearest.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("len", "up"))).alias("up"), F.max("len").alias("top"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.array("top"), lambda acc, _: F.when(F.try_element_at("up", F.element_at(acc, 1)).isNotNull(), F.concat(F.array(F.try_element_at("up", F.element_at(acc, 1))), acc)).otherwise(acc))
+    return chain.select(*key, walked.alias("levels")).filter(F.size("levels") >= least_levels)
+
+
+def pointed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with flat codes dotted by their ledger's levels; a ledger in which two codes would become one keeps its own."""
+    new = rows.join(flat_levels(rows, key), key, "left").withColumn("dotted", F.when(F.col("levels").isNotNull() & F.col("codigo").rlike(r"^\d+$"), codes.dotted(F.col("codigo"), F.col("levels"))).otherwise(F.col("codigo")))
+    safe = new.groupBy(*key).agg((F.count_distinct("codigo") == F.count_distinct("dotted")).alias("safe"))
+    return new.join(safe, key).withColumn("codigo_original", F.col("codigo")).withColumn("codigo", F.when(F.col("safe"), F.col("dotted")).otherwise(F.col("codigo"))).drop("levels", "dotted", "safe")
+
+
+def indented(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows whose flat, indented codes hang under the last dotted code before them."""
+    dotted = F.trim("codigo").rlike(r"^\d+(\.\d+)+$")
+    before = F.last(F.when(dotted, F.trim("codigo")), ignorenulls=True).over(Window.partitionBy(*key).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1))
+    hangs = F.col("codigo").rlike(r"^\s+\d+\s*$") & before.isNotNull()
+    return rows.withColumn("codigo", F.when(hangs, F.concat_ws(".", before, F.trim("codigo"))).otherwise(F.trim("codigo")))
+
+
+def outline(rows: DataFrame, key: list[str], deepest: int = 8) -> DataFrame:
+    """rows (with depth from 0) and codigo, their outline number: segment k counts rows of depth k since the last shallower one."""
+    parts = []
+    out = rows
+    for k in range(deepest):
+        shallower = F.sum((F.col("depth") < k).cast("int")).over(Window.partitionBy(*key).orderBy("row_no"))
+        out = out.withColumn(f"__g{k}", shallower)
+        w = Window.partitionBy(*key, f"__g{k}").orderBy("row_no")
+        level = F.when(F.col("depth") >= k, F.col("depth"))
+        opens = F.coalesce((F.first(level, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > k).cast("int"), F.lit(0))
+        parts.append(F.when(F.col("depth") >= k, (F.sum((F.col("depth") == k).cast("int")).over(w) + opens).cast("string")))
+    return out.withColumn("codigo", F.concat_ws(".", *parts)).drop(*[f"__g{k}" for k in range(deepest)])
