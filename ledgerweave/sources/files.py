@@ -61,9 +61,10 @@ def cells(table: DataFrame, by: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, **options: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected): rejected rows with their line; parts of a large file are read in parallel."""
-    raw = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", **options).schema(f"{schema}, _bad string").csv(path).withColumn("file_id", F.col("_metadata.file_path"))
-    return raw.filter("_bad is null").drop("_bad"), raw.filter("_bad is not null").select("file_id", "_bad")
+    """(rows, rejected): rejected lines with their file; parts of a large file are read in parallel."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.from_csv("value", F.lit(f"{schema}, _bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", **options}).alias("r"))
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return raw.filter("r._bad is null").select("file_id", *[f"r.{n}" for n in names]), raw.filter("r._bad is not null").select("file_id", F.col("r._bad").alias("_bad"))
 
 
 def first_rejected(rejected: DataFrame, n: int = 10) -> DataFrame:
