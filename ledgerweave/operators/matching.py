@@ -166,3 +166,28 @@ def search(index: DataFrame, queries: DataFrame, threshold: float = 60.0, limit:
     """query, text, sort_ratio, rank of the texts at least threshold similar by sorted words."""
     scored = similar_texts(queries, index, limit * 4).filter(F.col("sort_ratio") >= threshold)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sort_ratio").desc(), "text"))).filter(F.col("rank") <= limit).select("query", "text", "sort_ratio", "rank")
+
+
+def with_heuristics(best: DataFrame, keyword: DataFrame) -> DataFrame:
+    """query, codigo, score, rank: fuzzy candidates (query, codigo, score 0 to 1, classe, q_classe) and, where new, keyword ones at 0.70 + 0.10 (type) + 0.05 (nature); only new ones are halved for a class clash."""
+    base = F.lit(0.70) + F.when(F.col("tipo") == F.col("q_tipo"), 0.10).otherwise(0.0) + F.when(F.col("natureza") == F.col("q_natureza"), 0.05).otherwise(0.0)
+    new = keyword.join(best.select("query", "codigo"), ["query", "codigo"], "left_anti")
+    new = new.withColumn("score", F.when(F.col("classe") != F.col("q_classe"), base * 0.5).otherwise(base)).select("query", "codigo", "score")
+    both = best.select("query", "codigo", "score").unionByName(new)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "codigo")))
+
+
+def resolved_chains(pairs: DataFrame, hops: int = 5) -> DataFrame:
+    """key, value of synonyms (key, value, priority): the first by priority, followed up to five times without going round."""
+    one = pairs.groupBy("key").agg(F.min_by("value", "priority").alias("value"))
+    out = one
+    for _ in range(hops):
+        nxt = one.select(F.col("key").alias("value"), F.col("value").alias("further"))
+        out = out.join(nxt, "value", "left").select("key", F.when(F.col("further").isNotNull() & (F.col("further") != F.col("key")), F.col("further")).otherwise(F.col("value")).alias("value"))
+    return out
+
+
+def humanized(warnings: DataFrame, rules: DataFrame) -> DataFrame:
+    """id, phrases: for each warning (id, warning) the phrase of the first rule (rule_no, pattern, phrase) that it holds, each once."""
+    met = warnings.join(rules, F.contains(F.lower("warning"), F.col("pattern"))).groupBy("id", "warning").agg(F.min_by("phrase", "rule_no").alias("phrase"))
+    return met.groupBy("id").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"))

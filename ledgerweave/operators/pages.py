@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.numbers import parse_statement_number
+from ledgerweave.functions.numbers import parse_statement_number, parse_token
 from ledgerweave.functions.text import is_total_line
 
 PAGE = ["doc_id", "page_no"]
@@ -110,3 +110,34 @@ def text_share(pages: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, share of pages with text, kind: native, hybrid or scanned."""
     share = F.avg((F.char_length(F.trim(F.coalesce("text", F.lit("")))) > least).cast("int"))
     return pages.groupBy("doc_id").agg(share.alias("share")).withColumn("kind", F.when(F.col("share") >= 0.8, "native").when(F.col("share") > 0.1, "hybrid").otherwise("scanned"))
+
+
+def balance_sections(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """rows with section: the last label (pattern to name) at or above."""
+    hit = F.lit(None).cast("string")
+    for pattern, name in reversed(labels.items()):
+        hit = F.when(F.lower("description").rlike(pattern), name).otherwise(hit)
+    return rows.withColumn("section", F.last(hit, ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy("line_no")))
+
+
+def account_lines(table: DataFrame) -> DataFrame:
+    """PAGE, line_no, description, value: words up to the first real number (two decimals or thousands); note references before it go."""
+    number = r"\(?-?(?:\d{1,3}(?:[.,]\d{3})+|\d+)[.,]\d{2}\)?|\(?-?\d{1,3}(?:\.\d{3})+\)?"
+    value = F.regexp_extract("line", rf"(?:^|\s)({number})(?:\s|$)", 1)
+    description = F.regexp_extract("line", rf"^(.*?)\s*(?:{number})(?:\s|$)", 1)
+    return table.filter(value != "").select(*PAGE, "line_no", F.trim(F.regexp_replace(description, r"\s+\d{1,2}(\.\d)?$", "")).alias("description"), parse_token(value).alias("value")).filter("description <> ''")
+
+
+def word_lines(words: DataFrame) -> DataFrame:
+    """PAGE, line_no, line, two_columns of words (PAGE, text, x0, top, width): words by height, in the order of x0; three lines on both halves make two columns."""
+    at = words.withColumn("line_no", F.round(F.col("top") / 3).cast("int"))
+    left = F.col("x0") < F.col("width") / 2
+    lines_ = at.groupBy(*PAGE, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("line"), (F.max(left) & F.max(~left)).alias("both"))
+    return lines_.withColumn("two_columns", F.sum(F.col("both").cast("int")).over(Window.partitionBy(*PAGE)) >= 3).drop("both")
+
+
+def document_report(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, pages by type, rows and totals found."""
+    c = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.col("type").isin("other", "unknown")).alias("statement_pages"))
+    r = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_total_line(F.col("description"))).alias("totals"))
+    return c.join(r, "doc_id", "left").fillna(0, ["rows", "totals"])

@@ -205,3 +205,28 @@ def validate_rows(rows: DataFrame) -> DataFrame:
         F.count_if(~codes.is_hierarchical(F.col("codigo"))).alias("bad_code"), F.max(blank | F.col("saldo").isNull()).alias("blocking"),
         F.slice(F.array_sort(F.collect_list(F.when(F.col("saldo").isNull(), F.col("row_no")))), 1, 5).alias("first_rows"),
     )
+
+
+def income_check(delivered: DataFrame, uncovered: DataFrame, source: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """KEY, diff, ok: net income plus uncovered results (each KEY, total) against the source's result."""
+    one = lambda df, c: df.select(*KEY, F.col("total").alias(c))
+    joined = one(source, "s").join(one(delivered, "d"), KEY, "left").join(one(uncovered, "u"), KEY, "left").fillna(0, ["d", "u"])
+    diff = money(F.col("d") + F.col("u") - F.col("s"))
+    return joined.select(*KEY, diff.alias("diff"), (F.abs(diff) <= tolerance).alias("ok"))
+
+
+def validate_matches(matched: DataFrame) -> DataFrame:
+    """KEY, bad_score, half_pairs, analytical, rate (matched of synthetic) of rows (score, alvo, alvo_descricao, synthetic)."""
+    hit = F.col("alvo").isNotNull()
+    return matched.groupBy(*KEY).agg(
+        F.count_if(~F.col("score").between(0, 100)).alias("bad_score"), F.count_if(hit != F.col("alvo_descricao").isNotNull()).alias("half_pairs"), F.count_if(hit & ~F.col("synthetic")).alias("analytical"),
+        F.round(F.coalesce(F.try_divide(F.count_if(hit & F.col("synthetic")), F.count_if("synthetic")), F.lit(0.0)), 6).alias("rate"),
+    )
+
+
+def resolved(matched: DataFrame, projected: DataFrame) -> DataFrame:
+    """matched (codigo, own and target class, nature, term) with codigo_template and motivo: the first lock that does not hold, or none."""
+    joined = matched.join(projected.select("codigo", "alvo", "metodo"), "codigo", "left")
+    clash = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    reason = F.when(F.col("codigo").isNull(), "no match").when(F.col("alvo").isNull(), F.coalesce("metodo", F.lit("no line"))).when(clash("classe", "alvo_classe"), "class").when(clash("natureza", "alvo_natureza"), "nature").when(clash("prazo", "alvo_prazo"), "term")
+    return joined.withColumn("motivo", reason).withColumn("codigo_template", F.when(reason.isNull(), F.col("alvo")))

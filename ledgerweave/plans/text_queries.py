@@ -169,3 +169,51 @@ def g7(spark, d):
     chart = part.select(F.col("p_brand").alias("codigo"), F.when(F.col("p_brand") < "Brand#3", "ATIVO").otherwise("PASSIVO").alias("classe")).distinct()
     curated = part.select(F.col("p_partkey").alias("text"), F.when(F.col("p_partkey") % 7 == 0, "none").otherwise(F.col("p_brand")).alias("codigo"), F.lit("ATIVO").alias("classe"))
     return learning.checked_mappings(curated, chart).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l27_series", "s AS (SELECT o_custkey AS file_id, year(o_orderdate) AS period FROM orders) SELECT file_id, count(period) = count(*) AND count(DISTINCT period) = count(*) AS is_series FROM s GROUP BY ALL")
+def l27(spark, d):
+    return layout.series(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("file_id"), F.year("o_orderdate").alias("period")))
+
+
+@query("l28_source_problems", "s AS (SELECT o_custkey AS file_id, year(o_orderdate) AS period FROM orders), n AS (SELECT file_id, count(*) AS n, count(DISTINCT period) AS k FROM s GROUP BY ALL) SELECT file_id, 'repeated period' AS problem FROM n WHERE k < n UNION ALL SELECT file_id, 'too many periods' FROM n WHERE k > 5")
+def l28(spark, d):
+    return layout.source_problems(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("file_id"), F.year("o_orderdate").alias("period")))
+
+
+@query("s15_table_catalogue", f"t AS ({ledger_sql('full')}), c AS (SELECT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, count(*) AS rows FROM t GROUP BY ALL) SELECT file_id, sheet, rows, TRUE AS has_tree, 'ledger' AS kind, row_number() OVER (PARTITION BY file_id ORDER BY rows DESC, sheet) = 1 AS chosen FROM c")
+def s15(spark, d):
+    t = ledger(spark, d, "full").select(F.col("ledger_id").alias("file_id"), F.col("period").cast("string").alias("sheet"), "codigo")
+    return layout.table_catalogue(t)
+
+
+@query("t16_account_lines", STATEMENT + " SELECT doc_id, line_no, 'Order ' || substr(o_orderpriority, 3) AS description, round(CAST(v AS DOUBLE), 2) AS value FROM o")
+def t16(spark, d):
+    return double(pg.account_lines(statement_lines(spark, d)).select("doc_id", "line_no", "description", "value"), "value")
+
+
+@query("g5_sessions", "m AS (SELECT CAST(event_id % 20 AS BIGINT) AS session, count(*) AS attempted, count(*) FILTER (event_type = 'click') AS matched FROM events GROUP BY ALL) SELECT session, attempted, matched, CAST(sum(attempted) OVER w AS BIGINT) AS all_attempted, CAST(sum(matched) OVER w AS BIGINT) AS all_matched, round((sum(matched) OVER w) / (sum(attempted) OVER w), 6) AS rate FROM m WINDOW w AS (ORDER BY session)")
+def g5(spark, d):
+    m = spark.read.parquet(f"{d}/events.parquet").groupBy((F.col("event_id") % 20).alias("session")).agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("event_type") == "click").alias("matched"))
+    return learning.sessions(m.withColumn("ts", F.col("session"))).drop("ts")
+
+
+@query("g10_dictionary_summary", "e AS (SELECT event_type AS codigo, count(DISTINCT user_id) AS v, count(*) AS f FROM events GROUP BY ALL) SELECT count(*) AS codes, CAST(sum(v) AS BIGINT) AS variations, CAST(sum(f) AS BIGINT) AS frequency FROM e")
+def g10(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("codigo"), F.col("user_id").cast("string").alias("text"))
+    return learning.dictionary_summary(learning.variations(e))
+
+
+@query("g9_review_items", "m AS (SELECT DISTINCT event_type AS file_id, user_id AS text FROM events WHERE event_id % 3 <> 0) SELECT file_id, text FROM m WHERE text % 5 <> 0")
+def g9(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("event_type").alias("file_id"), F.col("user_id").alias("text"), (F.col("event_id") % 3 == 0).alias("accepted"))
+    return learning.review_items(rows, e.select(F.col("user_id").alias("text")).filter("text % 5 = 0").distinct())
+
+
+@query("x19_chains", "p AS (SELECT DISTINCT p_size AS k FROM part) SELECT CAST(k AS VARCHAR) AS key, CAST(least(51, k + 6) AS VARCHAR) AS value FROM p")
+def x19(spark, d):
+    from ledgerweave.operators.matching import resolved_chains
+
+    k = spark.read.parquet(f"{d}/part.parquet").select("p_size").distinct()
+    return resolved_chains(k.select(F.col("p_size").cast("string").alias("key"), F.least(F.col("p_size") + 1, F.lit(51)).cast("string").alias("value"), F.lit(1).alias("priority")))

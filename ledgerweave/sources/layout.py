@@ -113,3 +113,67 @@ def outline(rows: DataFrame, key: list[str], deepest: int = 8) -> DataFrame:
         opens = F.coalesce((F.first(level, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > k).cast("int"), F.lit(0))
         parts.append(F.when(F.col("depth") >= k, (F.sum((F.col("depth") == k).cast("int")).over(w) + opens).cast("string")))
     return out.withColumn("codigo", F.concat_ws(".", *parts)).drop(*[f"__g{k}" for k in range(deepest)])
+
+
+def find_column(header: DataFrame, patterns: list[str]) -> DataFrame:
+    """TABLE, col_no of the header cell (TABLE, col_no, label) that fits: equal before part of, earlier patterns first."""
+    tried = header.withColumn("p", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(patterns)])))
+    label = F.lower(F.trim("label"))
+    kind = F.when(label == F.col("p.x"), 0).when(F.contains(label, F.col("p.x")), 1)
+    return tried.withColumn("kind", kind).filter("kind is not null").groupBy(*TABLE).agg(F.min_by("col_no", F.struct("kind", "p.i", "col_no")).alias("col_no"))
+
+
+def without_rules(cells: DataFrame) -> DataFrame:
+    """Rows that hold nothing but rules of _ or = go."""
+    kept = cells.groupBy(*TABLE, "row_no").agg(F.max(~F.trim(F.coalesce("value", F.lit(""))).rlike("^[_=]*$")).alias("keep")).filter("keep")
+    return cells.join(kept.drop("keep"), [*TABLE, "row_no"], "left_semi")
+
+
+def header_candidates(cells: DataFrame, words: list[str], least: int = 2, first: int = 30) -> DataFrame:
+    """TABLE, header: of the first rows the one with most header words, the earliest of equals."""
+    low = F.lower(F.concat_ws(" ", F.collect_list("value")))
+    rows = cells.filter(F.col("row_no") < first).groupBy(*TABLE, "row_no").agg(low.alias("text"))
+    hits = rows.withColumn("hits", F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains("text", w)))).filter(F.col("hits") >= least)
+    return hits.groupBy(*TABLE).agg(F.max_by("row_no", F.struct("hits", -F.col("row_no"))).alias("header"))
+
+
+def densest_rows(cells: DataFrame, first: int = 30) -> DataFrame:
+    """TABLE, header: of the first rows the one with most cells that are not blank."""
+    full = cells.filter((F.col("row_no") < first) & (F.trim("value") != "")).groupBy(*TABLE, "row_no").agg(F.count(F.lit(1)).alias("n"))
+    return full.groupBy(*TABLE).agg(F.max_by("row_no", F.struct("n", -F.col("row_no"))).alias("header"))
+
+
+def table_catalogue(rows: DataFrame) -> DataFrame:
+    """TABLE, rows, has_tree, kind, chosen of records: a table named balancete first, then one with a tree, then the longest."""
+    named = F.lower("sheet").contains("balancete")
+    tree = F.max(F.col("codigo").rlike(r"^\d+(\.\d+)+$"))
+    out = rows.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(tree, F.lit(False)).alias("has_tree"))
+    kind = F.when(F.col("has_tree"), "ledger").when(F.lower("sheet").rlike("dre|balan[cç]o|demonstra"), "statement").otherwise("other")
+    best = Window.partitionBy("file_id").orderBy(named.desc(), F.col("has_tree").desc(), F.col("rows").desc(), "sheet")
+    return out.withColumn("kind", kind).withColumn("chosen", F.row_number().over(best) == 1)
+
+
+def contract(rows: DataFrame) -> DataFrame:
+    """rows with one set of names: creditos and debitos become credito and debito, classificacao a missing codigo, saldo_atual a missing saldo; nivel is filled and the code kept."""
+    have = set(rows.columns)
+    first = lambda *names: F.coalesce(*[F.col(n) for n in names if n in have], F.lit(None))
+    out = rows.withColumns({"credito": first("credito", "creditos"), "debito": first("debito", "debitos"), "codigo_original": first("codigo"), "codigo": first("codigo", "classificacao"), "saldo": first("saldo_atual", "saldo", "saldo_anterior")})
+    return out.withColumn("nivel", F.coalesce(first("nivel"), codes.level(F.col("codigo")))).drop("creditos", "debitos", "classificacao")
+
+
+def ledger_type(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, type: movement if there are debits or credits, comparative if there is a previous balance, else single."""
+    some = lambda c: F.max(F.col(c).isNotNull()) if c in rows.columns else F.lit(False)
+    return rows.groupBy(*key).agg(F.when(some("debito") | some("credito"), "movement").when(some("saldo_anterior"), "comparative").otherwise("single").alias("type"))
+
+
+def series(sources: DataFrame) -> DataFrame:
+    """file_id, is_series of sources (file_id, period): all periods are known and distinct."""
+    return sources.groupBy("file_id").agg(((F.count("period") == F.count(F.lit(1))) & (F.count_distinct("period") == F.count(F.lit(1)))).alias("is_series"))
+
+
+def source_problems(sources: DataFrame, most: int = 5) -> DataFrame:
+    """file_id, problem: repeated or missing periods, or too many of them."""
+    n = sources.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count("period").alias("known"), F.count_distinct("period").alias("kinds"))
+    found = F.array_compact(F.array(F.when(F.col("kinds") < F.col("known"), "repeated period"), F.when(F.col("known") < F.col("n"), "missing period"), F.when(F.col("kinds") > most, "too many periods")))
+    return n.select("file_id", F.explode(found).alias("problem"))

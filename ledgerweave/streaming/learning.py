@@ -51,3 +51,36 @@ def learn_stream(inputs: DataFrame, match: Callable[[DataFrame], DataFrame], log
         match(batch).select("codigo", "text").write.mode("overwrite").parquet(f"{log_path}/batch={number}")
 
     return inputs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ignored(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The list of texts to leave out, each once."""
+    return old.unionByName(new).distinct()
+
+
+def review_items(matches: DataFrame, ignore: DataFrame) -> DataFrame:
+    """file_id, text of what was not accepted and is not to be ignored, each once a file."""
+    return matches.filter(~F.col("accepted")).select("file_id", "text").distinct().join(ignore.select("text"), "text", "left_anti").select("file_id", "text")
+
+
+def manual_decisions(reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions, variations) from reviewed rows (key, text, codigo, ts)."""
+    return reviewed.select("key", "codigo", F.lit(True).alias("manual"), "ts"), variations(reviewed)
+
+
+def dictionary_summary(learned: DataFrame) -> DataFrame:
+    return learned.agg(F.count(F.lit(1)).alias("codes"), F.sum(F.size("variations")).alias("variations"), F.sum("frequency").alias("frequency"))
+
+
+def sessions(metrics: DataFrame) -> DataFrame:
+    """metrics (session, ts, attempted, matched) with running totals and rate."""
+    from pyspark.sql import Window
+
+    run = Window.partitionBy(F.lit(1)).orderBy("ts", "session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = metrics.withColumns({"all_attempted": F.sum("attempted").over(run), "all_matched": F.sum("matched").over(run)})
+    return out.withColumn("rate", F.round(F.coalesce(F.try_divide("all_matched", "all_attempted"), F.lit(0.0)), 6))
+
+
+def reset(state: DataFrame, path: str) -> None:
+    """Overwrite a state table by an empty one."""
+    state.limit(0).write.mode("overwrite").parquet(path)
