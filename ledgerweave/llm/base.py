@@ -38,15 +38,16 @@ class Scratch:
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """The table, written and read again; free lets go of the shuffle files that it took, where these hold whole texts."""
         path = f"{self.at}/{name}"
         df.write.parquet(path)
-        # Shuffle files go when the driver collects its garbage; the written table no longer needs them.
-        # The first collection still finds the plan that has just run in use.
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.25)
+        if free:
+            # Shuffle files go when the driver collects its garbage; the first collection still finds the plan in use.
+            for _ in range(2):
+                gc.collect()
+                self.spark._jvm.System.gc()
+                time.sleep(0.25)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -34,7 +34,7 @@ def radix_groups(rows: DataFrame, key: str, scratch: Scratch, first: int = 64, f
         # Sort-merge at every size: it spills, and splits the partitions of very large groups.
         joined = dealt.join(named.hint("merge"), ["__gid", "__digit"], "left")
         rest = F.when(F.col("__next").isNotNull() & (F.octet_length("__rest") > width), F.expr(f"substring(__rest, {width + 1})"))
-        table = scratch.save(joined.select(*others, rest.alias("__rest"), F.col("__next").alias("__gid")), f"state{n}")
+        table = scratch.save(joined.select(*others, rest.alias("__rest"), F.col("__next").alias("__gid")), f"state{n}", free=n == 0)
         tables.append(table.filter("__rest is null").select(*others, F.lit(n).alias("__round"), "__gid"))
         state = table.filter("__rest is not null")
         pos += width

@@ -75,10 +75,10 @@ def verified(pairs: DataFrame, lines: DataFrame, t: int, scratch: Scratch, label
     """The pairs (a, b) of lines that are within t edits, with their distance."""
     pairs = scratch.save(pairs, f"{label}-pairs")
     wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    texts = scratch.save(lines.select("lid", "line").join(wanted.hint("merge"), "lid"), f"{label}-texts")
+    texts = scratch.save(lines.select("lid", "line").join(wanted.hint("merge"), "lid"), f"{label}-texts", free=True)
     left, right = (texts.select(F.col("lid").alias(x), F.split("line", "").alias(f"c{x}")) for x in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    links = scratch.save(both.withColumn("distance", edit_distance("ca", "cb", t)).filter("distance is not null").select("a", "b", "distance"), f"{label}-links")
+    links = scratch.save(both.withColumn("distance", edit_distance("ca", "cb", t)).filter("distance is not null").select("a", "b", "distance"), f"{label}-links", free=True)
     scratch.drop(f"{label}-texts")
     return links
 
@@ -94,7 +94,7 @@ def similar_lines(lines: DataFrame, t: int, scratch: Scratch) -> tuple[DataFrame
     index = lines.select("lid", F.explode(keys("line", "length", t, False)).alias("key"))
     probe = lines.select(F.col("lid").alias("other"), F.explode(keys("line", "length", t, True)).alias("key"))
     first = index.groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last"))
-    shared = scratch.save(probe.join(first.hint("merge"), "key").filter("other <> lead or other <> last").select("key", "other", "lead"), "shared")
+    shared = scratch.save(probe.join(first.hint("merge"), "key").filter("other <> lead or other <> last").select("key", "other", "lead"), "shared", free=True)
     pair = [F.least("other", "lead").alias("a"), F.greatest("other", "lead").alias("b")]
     stars = shared.filter("other <> lead").select(*pair).distinct()
     links = verified(stars, lines, t, scratch, "stars")
@@ -133,7 +133,7 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least: int = 20, id_col: str
     # A place is one number, so that a hash aggregate can find the first.
     place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")
     lines = rows.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.char_length("line").alias("length"), *name, "first", "n"), "lines")
+    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.char_length("line").alias("length"), *name, "first", "n"), "lines", free=True)
     parts, _ = similar_lines(lines.filter(F.col("length") >= least), threshold, scratch)
     placed = lines.select("lid", "h", "g", "first", "n").join(parts.hint("merge"), F.col("lid") == F.col("node"), "left")
     placed = placed.filter("node is not null or n > 1").withColumn("root", F.coalesce("root", "lid"))

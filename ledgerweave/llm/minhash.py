@@ -119,7 +119,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                 fits = [x == y for x, y in zip(names, zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True)]
                 yield part.filter(pa.array(fits)).select(["class", "text"])
 
-    texts = scratch.save(fetched.mapInArrow(own, "class long, text string"), f"{label}-texts")
+    texts = scratch.save(fetched.mapInArrow(own, "class long, text string"), f"{label}-texts", free=True)
     left, right = (texts.select(F.col("class").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

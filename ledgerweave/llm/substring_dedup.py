@@ -176,13 +176,13 @@ def repeats(docs: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame,
     base = scratch.save(docs.mapInArrow(survey, "id long, n long, q1 long, q2 long, sha string, names array<long>, places array<int>"), "survey")
     same = ["n", "q1", "q2"]
     firsts = base.filter(F.col("n") >= window).groupBy(*same).agg(F.min("id").alias("first"))
-    everything = scratch.save(base.join(firsts.hint("merge"), same, "left").withColumns({x: F.when(F.col("id") == F.col("first"), F.col(x)) for x in ("names", "places")}), "all")
+    everything = scratch.save(base.join(firsts.hint("merge"), same, "left").withColumns({x: F.when(F.col("id") == F.col("first"), F.col(x)) for x in ("names", "places")}), "all", free=True)
     scratch.drop("survey")
 
     found = everything.filter("names is not null").select("id", "q1", F.explode(F.arrays_zip("names", "places")).alias("a")).select("id", "q1", F.col("a.names").alias("name"), F.col("a.places").alias("place"))
     shared = found.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("name")
     hits = found.join(shared.hint("merge"), "name").groupBy("id", "q1").agg(F.collect_set("place").alias("hits"))
-    some = scratch.save(docs.join(hits.hint("merge"), "id").select("id", "q1", "hits", "text"), "some")
+    some = scratch.save(docs.join(hits.hint("merge"), "id").select("id", "q1", "hits", "text"), "some", free=True)
 
     def near_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, 3, 2 << 20):
@@ -199,7 +199,7 @@ def repeats(docs: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame,
     windows = some.mapInArrow(near_hits, "id long, q1 long, start int, w1 long, w2 int")
     earliest = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
     starts = windows.join(earliest.hint("merge"), ["w1", "w2"]).filter("id > low").groupBy("id", "q1").agg(F.collect_set("start").alias("starts"))
-    return everything.drop("names", "places"), some, scratch.save(starts, "starts")
+    return everything.drop("names", "places"), some, scratch.save(starts, "starts", free=True)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +233,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["id", "q1", "removed", "kept"]).filter(pa.array(own, pa.bool_()))
 
     after = some.select("id", "q1", "text").join(starts.hint("merge"), ["id", "q1"]).select("id", "q1", "starts", "text").mapInArrow(cut, "id long, q1 long, removed long, kept string")
-    after = scratch.save(after.dropDuplicates(["id", "q1"]), "after")
+    after = scratch.save(after.dropDuplicates(["id", "q1"]), "after", free=True)
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     joined = everything.join(after.hint("merge"), ["id", "q1"], "left")
     return joined.select(
