@@ -45,12 +45,12 @@ def keys(line: str, length: str, t: int, probe: bool) -> Column:
     return F.array(*out)
 
 
-def edit_distance(a: str, b: str, t: int, ends: int = 24) -> Column:
+def edit_distance(a: str, b: str, t: int, block: int = 32) -> Column:
     """Edit distance of two arrays of characters if it is at most t, else null.
 
     Word k of the state has bit d + t set when the first j + d characters of
-    a and the first j of b are within k edits. The first and the last few
-    characters are tried before the whole, as most pairs fail there.
+    a and the first j of b are within k edits. Characters are taken in
+    blocks; once no bit is left, later blocks are passed over.
     """
     mask = (1 << (2 * t + 1)) - 1
     start = ", ".join(f"{sum(1 << (d + t) for d in range(min(k, t) + 1))} AS r{k}" for k in range(t + 1))
@@ -58,17 +58,14 @@ def edit_distance(a: str, b: str, t: int, ends: int = 24) -> Column:
     for k in range(1, t + 1):
         new.append(f"(((x.s.r{k} & x.m) | x.s.r{k - 1} | shiftright(x.s.r{k - 1}, 1) | shiftleft({new[k - 1]}, 1)) & {mask})")
     fields = ", ".join(f"'r{k}', {e}" for k, e in enumerate(new))
-
-    def state(x: str, y: str, steps: str) -> str:
-        match = " | ".join(f"if(get({x}, j + {d - 1}) = get({y}, j - 1), {1 << (d + t)}, 0)" for d in range(-t, t + 1))
-        advance = f"transform(array(named_struct('m', {match}, 's', s)), x -> named_struct({fields}))[0]"
-        return f"aggregate(if({steps} = 0, array(), sequence(1, {steps})), struct({start}), (s, j) -> {advance})"
-
-    few = f"least(size({b}), {ends})"
+    match = " | ".join(f"if(get({a}, j + {d - 1}) = get({b}, j - 1), {1 << (d + t)}, 0)" for d in range(-t, t + 1))
+    advance = f"transform(array(named_struct('m', {match}, 's', s)), x -> named_struct({fields}))[0]"
+    inside = f"aggregate(sequence({block} * i + 1, least(size({b}), {block} * i + {block})), o, (s, j) -> {advance})"
+    blocks = f"if(size({b}) = 0, array(), sequence(0, CAST((size({b}) - 1) DIV {block} AS INT)))"
+    state = f"aggregate({blocks}, struct({start}), (o, i) -> CASE WHEN o.r{t} = 0 THEN o ELSE {inside} END)"
     end = f"shiftleft(1, size({a}) - size({b}) + {t})"
     cases = " ".join(f"WHEN (z.r{k} & {end}) <> 0 THEN {k}" for k in range(t + 1))
-    alive = f"{state(a, b, few)}.r{t} <> 0 AND {state(f'reverse({a})', f'reverse({b})', few)}.r{t} <> 0"
-    return F.expr(f"CASE WHEN abs(size({a}) - size({b})) <= {t} THEN CASE WHEN {alive} THEN transform(array({state(a, b, f'size({b})')}), z -> CASE {cases} END)[0] END END")
+    return F.expr(f"CASE WHEN abs(size({a}) - size({b})) <= {t} THEN transform(array({state}), z -> CASE {cases} END)[0] END")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, t: int, scratch: Scratch, label: str) -> DataFrame:
