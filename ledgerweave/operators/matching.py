@@ -1,14 +1,14 @@
 """Matching of descriptions to a chart of accounts.
 
-Distinct queries are scored once, against an index of distinct texts. Scores
-are computed in Arrow batches; the index goes to the workers by broadcast only
-while it is under a stated number of texts, and beyond that the candidates
-come from a join on rare words.
+Distinct queries are scored once, against an index of distinct texts: every
+pair, at every size. A task scores a block of queries against a block of texts
+and keeps each query's best; a window merges what the blocks have kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes, text
 
-BROADCAST_TEXTS = 20_000
+QUERY_BLOCK, TEXT_BLOCK = 32, 1024
 
 
 def common_length(a: str, b: str) -> int:
@@ -67,36 +67,28 @@ def build_index(chart: DataFrame, variations: DataFrame | None = None) -> DataFr
     return one.select("text", "codigo", F.col("d").alias("descricao"), "tipo", codes.account_class(code).alias("classe"), text.result_nature(F.col("d")).alias("natureza"), F.coalesce(codes.term_of_code(code), text.term(F.col("d"))).alias("prazo"), "learned", "boost")
 
 
-def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, exact_below: int = BROADCAST_TEXTS) -> DataFrame:
+def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, query_block: int = QUERY_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """query, text, set_ratio, sort_ratio: for each distinct query the limit most similar texts by token set, ties by text.
 
-    Up to exact_below texts every pair is scored; beyond that, pairs that
-    share one of the query's three rarest words.
+    Exact at every size: each pair is scored, in blocks of about query_block
+    queries and text_block texts. Null queries and texts take no part.
     """
-    asked, known = queries.select("query").distinct(), texts.select("text").distinct()
-    rows = [r[0] for r in known.orderBy("text").limit(exact_below + 1).collect()]
-    if len(rows) <= exact_below:
-        index = asked.sparkSession.sparkContext.broadcast(rows)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for q in batch.column(0).to_pylist():
-                    found = sorted((-token_set_ratio(q, t), t) for t in index.value)[:limit]
-                    yield pa.RecordBatch.from_pydict({"query": [q] * len(found), "text": [t for _, t in found], "set_ratio": [-s for s, _ in found], "sort_ratio": [token_sort_ratio(q, t) for _, t in found]})
-
-        return asked.repartition(F.col("query")).mapInArrow(score, "query string, text string, set_ratio double, sort_ratio double")
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("word"))
-    by_text, by_query = words(known, "text"), words(asked, "query")
-    rare = by_query.join(by_text.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("n", "word"))).filter("nth <= 3")
-    pairs = rare.select("query", "word").join(by_text, "word").select("query", "text").distinct()
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([token_set_ratio(*p) for p in both], pa.float64()), pa.array([token_sort_ratio(*p) for p in both], pa.float64())], names=["query", "text", "set_ratio", "sort_ratio"])
-
-    scored = pairs.mapInArrow(rate, "query string, text string, set_ratio double, sort_ratio double")
-    return scored.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col("set_ratio").desc(), "text"))).filter(F.col("nth") <= limit).drop("nth")
+    asked, known = queries.select("query").filter("query is not null").distinct(), texts.select("text").filter("text is not null").distinct()
+    # The numbers of blocks only set the sizes of tasks; a text's block is its hash.
+    across, down = max(1, math.ceil(asked.count() / query_block)), max(1, math.ceil(known.count() / text_block))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = asked.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across).cast("long"))).withColumn("down", blocks(down))
+    known = known.withColumn("down", F.pmod(F.xxhash64("text"), F.lit(down).cast("long"))).withColumn("across", blocks(across))
+
+    def score(asked: pa.Table, known: pa.Table) -> pa.Table:
+        rows, found = known["text"].to_pylist(), []
+        for q in asked["query"].to_pylist():
+            best = heapq.nsmallest(limit, ((-token_set_ratio(q, t), t) for t in rows))
+            found += [(q, t, -s, token_sort_ratio(q, t)) for s, t in best]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 4, (pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["query", "text", "set_ratio", "sort_ratio"])
+
+    found = asked.groupBy("across", "down").cogroup(known.groupBy("across", "down")).applyInArrow(score, "query string, text string, set_ratio double, sort_ratio double")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col("set_ratio").desc(), "text"))).filter(F.col("nth") <= limit).drop("nth")
 
 
 def adjusted(score: Column) -> Column:

@@ -123,7 +123,7 @@ def index(spark, d):
 
 @query("m3_similar_texts")
 def m3(spark, d):
-    return m.similar_texts(asked(spark, d), index(spark, d), limit=40, exact_below=2000)
+    return m.similar_texts(asked(spark, d), index(spark, d), limit=40)
 
 
 @query("m12_match")
