@@ -67,8 +67,8 @@ def build_index(chart: DataFrame, variations: DataFrame | None = None) -> DataFr
     return one.select("text", "codigo", F.col("d").alias("descricao"), "tipo", codes.account_class(code).alias("classe"), text.result_nature(F.col("d")).alias("natureza"), F.coalesce(codes.term_of_code(code), text.term(F.col("d"))).alias("prazo"), "learned", "boost")
 
 
-def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, query_block: int = QUERY_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
-    """query, text, set_ratio, sort_ratio: for each distinct query the limit most similar texts by token set, ties by text.
+def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, scorer: str = "set_ratio", query_block: int = QUERY_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
+    """query, text, set_ratio, sort_ratio: for each distinct query the limit most similar texts by the scorer (one of the two ratios), ties by text.
 
     Exact at every size: each pair is scored, in blocks of about query_block
     queries and text_block texts. Null queries and texts take no part.
@@ -80,15 +80,17 @@ def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, query_b
     asked = asked.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across).cast("long"))).withColumn("down", blocks(down))
     known = known.withColumn("down", F.pmod(F.xxhash64("text"), F.lit(down).cast("long"))).withColumn("across", blocks(across))
 
+    rate = {"set_ratio": token_set_ratio, "sort_ratio": token_sort_ratio}[scorer]
+
     def score(asked: pa.Table, known: pa.Table) -> pa.Table:
         rows, found = known["text"].to_pylist(), []
         for q in asked["query"].to_pylist():
-            best = heapq.nsmallest(limit, ((-token_set_ratio(q, t), t) for t in rows))
-            found += [(q, t, -s, token_sort_ratio(q, t)) for s, t in best]
+            best = heapq.nsmallest(limit, ((-rate(q, t), t) for t in rows))
+            found += [(q, t, token_set_ratio(q, t), token_sort_ratio(q, t)) for _, t in best]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 4, (pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["query", "text", "set_ratio", "sort_ratio"])
 
     found = asked.groupBy("across", "down").cogroup(known.groupBy("across", "down")).applyInArrow(score, "query string, text string, set_ratio double, sort_ratio double")
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col("set_ratio").desc(), "text"))).filter(F.col("nth") <= limit).drop("nth")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col(scorer).desc(), "text"))).filter(F.col("nth") <= limit).drop("nth")
 
 
 def adjusted(score: Column) -> Column:
@@ -156,8 +158,8 @@ def keyword_candidates(queries: DataFrame, chart: DataFrame, keywords: list[str]
 
 def search(index: DataFrame, queries: DataFrame, threshold: float = 60.0, limit: int = 10) -> DataFrame:
     """query, text, sort_ratio, rank of the texts at least threshold similar by sorted words."""
-    scored = similar_texts(queries, index, limit * 4).filter(F.col("sort_ratio") >= threshold)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sort_ratio").desc(), "text"))).filter(F.col("rank") <= limit).select("query", "text", "sort_ratio", "rank")
+    scored = similar_texts(queries, index, limit, scorer="sort_ratio").filter(F.col("sort_ratio") >= threshold)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sort_ratio").desc(), "text"))).select("query", "text", "sort_ratio", "rank")
 
 
 def with_heuristics(best: DataFrame, keyword: DataFrame) -> DataFrame:

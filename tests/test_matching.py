@@ -41,3 +41,13 @@ def test_similar_texts_beyond_the_former_broadcast(spark):
 def test_no_texts(spark):
     one, none = spark.createDataFrame([("caixa",)], "query string"), spark.createDataFrame([], "text string")
     assert matching.similar_texts(one, none).collect() == []
+
+
+def test_search_ranks_all_texts_by_sorted_words(spark):
+    texts = [f"caixa a{i:03}" for i in range(60)] + ["caixa", "caixas", "banco"]
+    found = matching.search(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([("caixa",), ("banco",)], "query string")).collect()
+    got = {(r.query, r["rank"]): (r.text, r.sort_ratio) for r in found}
+    assert got["caixa", 1] == ("caixa", 100.0) and got["caixa", 2][0] == "caixas" and got["banco", 1] == ("banco", 100.0)
+    for q in ("caixa", "banco"):
+        scored = sorted((-matching.token_sort_ratio(q, t), t) for t in texts)
+        assert [got[k] for k in sorted(got) if k[0] == q] == [(t, -s) for s, t in scored[:10] if -s >= 60]
