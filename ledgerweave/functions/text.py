@@ -66,7 +66,7 @@ def expanded(text: Column, abbreviations: Column, phrases: Column, tokens: Colum
     s = normalized(text)
     for mark, word in (("c", "com"), ("s", "sobre"), ("p", "para")):
         s = F.regexp_replace(s, rf"\b{mark}/", f"{word} ")
-    s = F.regexp_replace(s, r"[^\w\s]", " ")
+    s = F.regexp_replace(s, r"[./,;:()\\]", " ")
     by_word = lambda s, m: F.array_join(F.transform(F.filter(F.split(s, r"\s+"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(m, w), w)), " ")
     s = by_word(s, abbreviations)
     s = F.aggregate(phrases, s, lambda acc, p: F.replace(acc, p["key"], p["value"]))

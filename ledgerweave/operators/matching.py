@@ -13,10 +13,15 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerweave.functions import codes, text
 
 QUERY_BLOCK, TEXT_BLOCK = 32, 1024
+#: Words that make an account a candidate; texts have no accents, so three of them never match, as in the reference.
+KEYWORDS = ["caixa", "banco", "estoque", "cliente", "fornecedor", "capital", "lucro", "prejuízo", "receita", "despesa", "ativo", "passivo", "investimento", "imobilizado", "intangível", "empréstimo", "financiamento"]
+#: Fixed value: what parts the core of a description from its suffix.
+SUFFIX = r"\s[-–—]\s"
 
 
 def common_length(a: str, b: str) -> int:
@@ -55,16 +60,28 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(both, one), ratio(both, two)) if both else best
 
 
+@F.arrow_udf(DoubleType())
+def sort_ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([token_sort_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+@F.arrow_udf(DoubleType())
+def confidences(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Mean of both ratios of two normal texts, 0 to 1; 1 if one is empty."""
+    return pa.array([round((token_set_ratio(x, y) + token_sort_ratio(x, y)) / 200, 2) if x and y else 1.0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
 def build_index(chart: DataFrame, variations: DataFrame | None = None) -> DataFrame:
-    """text, codigo, classe, natureza, prazo, learned, boost, index_pos: each account under its own text, then under learned ones."""
-    base = chart.select("codigo", F.col("descricao").alias("d"), F.col("tipo"), text.normalized(F.col("descricao")).alias("text"), F.lit(False).alias("learned"), F.lit(0.0).alias("boost"))
+    """text, codigo, classe, natureza, prazo, lado, learned, boost: each account under its own text, then under learned ones; lado is the chart's natureza (Devedora, Credora) where it has that column."""
+    chart = chart.withColumn("lado", F.col("natureza") if "natureza" in chart.columns else F.lit(None).cast("string"))
+    base = chart.select("codigo", F.col("descricao").alias("d"), "tipo", "lado", text.normalized(F.col("descricao")).alias("text"), F.lit(False).alias("learned"), F.lit(0.0).alias("boost"))
     if variations is not None:
         more = variations.select("codigo", F.explode("variations").alias("v"), "frequency").join(chart, "codigo")
-        base = base.unionByName(more.select("codigo", F.col("descricao").alias("d"), "tipo", text.normalized(F.col("v")).alias("text"), F.lit(True).alias("learned"), (F.least(F.col("frequency") / 10, F.lit(0.10)) * 100).alias("boost")))
+        base = base.unionByName(more.select("codigo", F.col("descricao").alias("d"), "tipo", "lado", text.normalized(F.col("v")).alias("text"), F.lit(True).alias("learned"), (F.least(F.col("frequency") / 10, F.lit(0.10)) * 100).alias("boost")))
     first = Window.partitionBy("text", "codigo").orderBy("learned", F.col("boost").desc())
     one = base.filter("text <> ''").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
     code = F.col("codigo")
-    return one.select("text", "codigo", F.col("d").alias("descricao"), "tipo", codes.account_class(code).alias("classe"), text.result_nature(F.col("d")).alias("natureza"), F.coalesce(codes.term_of_code(code), text.term(F.col("d"))).alias("prazo"), "learned", "boost")
+    return one.select("text", "codigo", F.col("d").alias("descricao"), "tipo", codes.account_class(code).alias("classe"), text.result_nature(F.col("d")).alias("natureza"), F.coalesce(codes.term_of_code(code), text.term(F.col("d"))).alias("prazo"), "lado", "learned", "boost")
 
 
 def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, scorer: str = "set_ratio", query_block: int = QUERY_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
@@ -95,7 +112,7 @@ def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, scorer:
 
 def adjusted(score: Column) -> Column:
     """Score with hints and clashes, in a fixed order: +5 type, +3 nature hint, learned boost, x0.5 class, x0.3 or +5 nature, x0.3 or +5 term, at most 100."""
-    s = score + F.when(F.col("tipo") == F.col("q_tipo"), 5).otherwise(0) + F.when(F.col("natureza") == F.col("q_hint"), 3).otherwise(0) + F.col("boost")
+    s = score + F.when(F.col("tipo") == F.col("q_tipo"), 5).otherwise(0) + F.when(F.col("lado") == F.col("q_hint"), 3).otherwise(0) + F.col("boost")
     s = F.when(F.col("q_classe").isNotNull() & (F.col("classe") != F.col("q_classe")), s * 0.5).otherwise(s)
     for mine, theirs in (("q_natureza", "natureza"), ("q_prazo", "prazo")):
         both = F.col(mine).isNotNull() & F.col(theirs).isNotNull()
@@ -107,27 +124,41 @@ def cache_key(q: Column, classe: Column, natureza: Column, prazo: Column) -> Col
     return F.when(classe.isNull(), q).otherwise(F.concat_ws("|", q, classe, F.coalesce(natureza, prazo)))
 
 
-def match(queries: DataFrame, index: DataFrame, decisions: DataFrame | None = None, accept: float = 85.0, limit: int = 40) -> DataFrame:
+def match(queries: DataFrame, index: DataFrame, decisions: DataFrame | None = None, accept: float = 85.0, limit: int = 40, vocabulary: tuple[Column, Column, Column] | None = None, keywords: list[str] = KEYWORDS) -> DataFrame:
     """query, its hints, codigo, score, confidence, accepted, source, candidates (five when accepted, else ten).
 
     queries: query (normal text), q_classe, q_natureza, q_prazo, q_tipo,
-    q_hint. Decisions (key, codigo) come first; the rest is matched, each
-    distinct query once.
+    q_hint and, if there is one, q_saldo. Decisions (key, codigo) come first;
+    the rest is matched, each distinct query once, in the words of the
+    vocabulary (abbreviations, phrases, tokens of text.expanded). Where the
+    best match is not accepted, accounts that hold a keyword of the query
+    compete with it and may be accepted (source heuristic).
     """
-    hints = ["q_classe", "q_natureza", "q_prazo", "q_tipo", "q_hint"]
+    hints = ["q_classe", "q_natureza", "q_prazo", "q_tipo", "q_hint", *(["q_saldo"] if "q_saldo" in queries.columns else [])]
     asked = queries.select("query", *hints).distinct().withColumn("key", cache_key(F.col("query"), F.col("q_classe"), F.col("q_natureza"), F.col("q_prazo")))
     cached = None
     if decisions is not None:
         met = asked.join(decisions.select("key", F.col("codigo").alias("known")), "key", "left")
         cached = met.filter("known is not null").select("query", *hints, F.col("known").alias("codigo"), F.lit(100.0).alias("score"), F.lit(1.0).alias("confidence"), F.lit(True).alias("accepted"), F.lit("cache").alias("source"), F.array(F.col("known")).alias("candidates"))
         asked = met.filter("known is null").drop("known")
-    scored = asked.join(similar_texts(asked, index, limit), "query").join(index, "text").withColumn("score", adjusted(F.col("set_ratio")))
-    each = Window.partitionBy("query", *hints, "codigo").orderBy(F.col("score").desc(), F.col("sort_ratio").desc(), "text")
-    best = Window.partitionBy("query", *hints).orderBy(F.col("score").desc(), F.col("sort_ratio").desc(), F.when(F.col("tipo") == "S", 0).otherwise(1), "codigo")
+    empty = F.create_map().cast("map<string,string>")
+    asked = asked.withColumn("expanded", text.expanded(F.col("query"), *(vocabulary or (empty, F.array().cast("array<struct<key:string,value:string>>"), empty))))
+    found = similar_texts(asked.select(F.col("expanded").alias("query")), index, limit).withColumnRenamed("query", "expanded")
+    found = found.withColumn("tie", sort_ratios("expanded", F.trim(F.split("text", SUFFIX, 2)[0])))
+    scored = asked.join(found, "expanded").join(index, "text").withColumn("score", adjusted(F.col("set_ratio")))
+    each = Window.partitionBy("query", *hints, "codigo").orderBy(F.col("score").desc(), F.col("tie").desc(), "text")
+    best = Window.partitionBy("query", *hints).orderBy(F.col("score").desc(), F.col("tie").desc(), F.when(F.col("tipo") == "S", 0).otherwise(1), "codigo")
     ranked = scored.withColumn("e", F.row_number().over(each)).filter("e = 1").withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
-    lists = ranked.groupBy("query", *hints).agg(F.min_by("codigo", "rank").alias("codigo"), F.min_by("score", "rank").alias("score"), F.round(F.min_by((F.col("set_ratio") + F.col("sort_ratio")) / 200, "rank"), 2).alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "codigo"))), lambda x: x["codigo"]).alias("c"))
-    ok = F.col("score") >= accept
-    out = lists.select("query", *hints, "codigo", "score", "confidence", ok.alias("accepted"), F.lit("match").alias("source"), F.when(ok, F.slice("c", 1, 5)).otherwise(F.col("c")).alias("candidates"))
+    none = F.lit(None)
+    fuzzy = ranked.select("query", *hints, F.struct("rank", "codigo", "score", "descricao", "lado").alias("f"), none.cast("struct<low:double,kind:int,codigo:string,descricao:string,score:double>").alias("k"))
+    more = keyword_scores(asked, index, hints, keywords, 11).select("query", *hints, none.cast(fuzzy.schema["f"].dataType).alias("f"), F.struct((-F.col("score")).alias("low"), F.lit(1).alias("kind"), "codigo", "descricao", (F.col("score") * 100).alias("score")).alias("k"))
+    lists = fuzzy.unionByName(more).groupBy("query", *hints).agg(F.array_sort(F.collect_list("f")).alias("f"), F.collect_set("k").alias("k")).filter("size(f) > 0")
+    lists = lists.withColumn("h", with_heuristics(F.col("f")[0], F.col("k"), "q_saldo" in hints))
+    matched, ok = F.col("f")[0]["score"] >= accept, -F.col("h")[0]["low"] >= accept / 100
+    codigos = lambda c: F.transform(c, lambda x: x["codigo"])
+    chosen = F.when(matched, F.struct(*(F.col("f")[0][x].alias(x) for x in ("codigo", "score", "descricao")))).otherwise(F.struct(*(F.col("h")[0][x].alias(x) for x in ("codigo", "score", "descricao"))))
+    lists = lists.select("query", *hints, chosen.alias("d"), (matched | ok).alias("accepted"), F.when(~matched & ok, "heuristic").otherwise("match").alias("source"), F.when(matched, codigos("f")).otherwise(F.array_distinct(F.concat(codigos("h"), codigos("f")))).alias("c"))
+    out = lists.select("query", *hints, "d.codigo", "d.score", confidences("query", text.normalized(F.col("d.descricao"))).alias("confidence"), "accepted", "source", F.when(F.col("accepted"), F.slice("c", 1, 5)).otherwise(F.slice("c", 1, 10)).alias("candidates"))
     return out if cached is None else out.unionByName(cached)
 
 
@@ -162,13 +193,40 @@ def search(index: DataFrame, queries: DataFrame, threshold: float = 60.0, limit:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("sort_ratio").desc(), "text"))).select("query", "text", "sort_ratio", "rank")
 
 
-def with_heuristics(best: DataFrame, keyword: DataFrame) -> DataFrame:
-    """query, codigo, score, rank: fuzzy candidates (query, codigo, score 0 to 1, classe, q_classe) and, where new, keyword ones at 0.70 + 0.10 (type) + 0.05 (nature); only new ones are halved for a class clash."""
-    base = F.lit(0.70) + F.when(F.col("tipo") == F.col("q_tipo"), 0.10).otherwise(0.0) + F.when(F.col("natureza") == F.col("q_natureza"), 0.05).otherwise(0.0)
-    new = keyword.join(best.select("query", "codigo"), ["query", "codigo"], "left_anti")
-    new = new.withColumn("score", F.when(F.col("classe") != F.col("q_classe"), base * 0.5).otherwise(base)).select("query", "codigo", "score")
-    both = best.select("query", "codigo", "score").unionByName(new)
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "codigo")))
+def balanced(score: Column, lado: Column, saldo: bool) -> Column:
+    """Score, 0 to 1, with +0.05 where the balance has the sign of the account's side or the account has none; only for queries with a side and a balance."""
+    if not saldo:
+        return score
+    fits = lado.isNull() | (lado == "") | ((F.col("q_saldo") > 0) & (lado == "Devedora")) | ((F.col("q_saldo") < 0) & (lado == "Credora"))
+    return F.when(F.col("q_saldo").isNotNull() & F.col("q_hint").isNotNull() & fits, F.least(score + 0.05, F.lit(1.0))).otherwise(score)
+
+
+def keyword_scores(asked: DataFrame, index: DataFrame, hints: list[str], keywords: list[str], limit: int) -> DataFrame:
+    """query, its hints, codigo, descricao, score (0 to 1): for each keyword of the expanded query the limit best accounts whose own text holds it.
+
+    0.70 + 0.10 (type) + 0.05 (side), x0.5 class, x0.3 nature, x0.3 term, +0.05
+    balance. The score hangs on keyword and hints alone, so it is taken once
+    for each of their combinations.
+    """
+    words = asked.withColumn("keyword", F.explode(F.array_intersect(F.split("expanded", " "), F.array(*map(F.lit, keywords)))))
+    words = words.withColumn("hints", F.struct(*(F.signum("q_saldo").alias(h) if h == "q_saldo" else F.col(h) for h in hints)))
+    chart = index.filter("not learned")
+    have = keyword_candidates(words.select(F.col("keyword").alias("query")), chart, keywords).select("codigo", "keyword").distinct()
+    have = have.join(chart, "codigo").filter(F.contains("text", "keyword")).groupBy("keyword", "codigo").agg(F.min_by(F.struct("descricao", "tipo", "classe", "natureza", "prazo", "lado"), "text").alias("a")).select("keyword", "codigo", "a.*")
+    pairs = words.select("keyword", "hints").distinct().join(have, "keyword").select("*", "hints.*")
+    score = F.lit(0.70) + F.when(F.col("tipo") == F.col("q_tipo"), 0.10).otherwise(0.0) + F.when(F.col("lado") == F.col("q_hint"), 0.05).otherwise(0.0)
+    for mine, theirs, times in (("q_classe", "classe", 0.5), ("q_natureza", "natureza", 0.3), ("q_prazo", "prazo", 0.3)):
+        score = F.when(F.col(mine) != F.col(theirs), score * times).otherwise(score)
+    top = Window.partitionBy("keyword", "hints").orderBy(F.col("score").desc(), "codigo")
+    pairs = pairs.withColumn("score", balanced(score, F.col("lado"), "q_saldo" in hints)).withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= limit).select("keyword", "hints", "codigo", "descricao", "score")
+    return words.select("query", *hints, "keyword", "hints").join(pairs, ["keyword", "hints"]).select("query", *hints, "codigo", "descricao", "score")
+
+
+def with_heuristics(best: Column, more: Column, saldo: bool) -> Column:
+    """Array of (low, kind, codigo, descricao, score), best first: the best match, and the keyword candidates but for its own account. Only these have been cut for clashes; the match is from adjusted()."""
+    one = balanced(best["score"] / 100, best["lado"], saldo)
+    first = F.struct((-one).alias("low"), F.lit(0).alias("kind"), best["codigo"].alias("codigo"), best["descricao"].alias("descricao"), F.when(one == best["score"] / 100, best["score"]).otherwise(one * 100).alias("score"))
+    return F.array_sort(F.concat(F.array(first), F.filter(more, lambda x: x["codigo"] != best["codigo"])))
 
 
 def resolved_chains(pairs: DataFrame, hops: int = 5) -> DataFrame:
