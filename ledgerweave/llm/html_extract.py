@@ -4,15 +4,18 @@ A page becomes its sequence of leaf blocks: runs of text between the borders
 of block elements, each with its path of tags, classes and ids. A
 bidirectional LSTM in numpy reads a hashed vector of path and words for every
 block and labels it with the whole page as context. It is trained here, on a
-bounded sample of the pages, whose containers give the labels, and on copies
-into which boxes of other kinds have been put.
+bounded sample of the pages, whose containers give the labels, on copies into
+which boxes of other kinds have been put, and on copies whose containers have
+lost their telling names, so that links, words, lengths and order have to do.
 """
 
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from ledgerweave.llm.base import slices
 
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea svg iframe object select math canvas video audio".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template title textarea iframe select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var wbr img".split())
 MAIN = frozenset("article main".split())
 OTHER = frozenset(
     "nav menu header footer aside form button ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent notice alert popup modal newsletter subscribe signup login sidebar widget related recommended share social breadcrumb breadcrumbs pagination comments comment replies respond disqus copyright legal skip toolbar navbar topbar".split()
@@ -41,33 +44,43 @@ Path = tuple[str, ...]
 
 
 def blocks_of(page: str) -> list[tuple[Path, str, int]]:
-    """(path, text, characters inside links) of the leaf blocks that have text; references decoded, white space single."""
+    """(path, text, characters inside links) of the leaf blocks that have text; references decoded, white space single.
+
+    A path has the names around a block, each once, outermost first, then its
+    own tag; so it does not grow with containers that bring no new name.
+    """
     out: list[tuple[Path, str, int]] = []
     stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()
     path: Path = ()
+    leaf = ""
     parts: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((path, text, linked))
+            out.append(((*path, leaf) if leaf and path[-1:] != (leaf,) else path, text, linked))
         parts.clear()
         linked = 0
 
+    def place() -> None:
+        nonlocal path, leaf
+        path = stack[-1][1] if stack else ()
+        leaf = next(("<" + t for t, _ in reversed(stack) if t not in INLINE), "")
+
     def pop(to: int) -> None:
-        nonlocal path, links
+        opened.subtract(t for t, _ in stack[to:])
         del stack[to:]
-        path = stack[-1][1] if stack else ()
-        links = sum(t == "a" for t, _ in stack)
+        place()
 
     while True:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
             parts.append(text)
-            linked += len(text) if links else 0
+            linked += len(text) if opened["a"] > 0 else 0
         if not m:
             break
         at = m.end()
@@ -77,36 +90,36 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end or tag in ("script", "style"):
+                    at = end.end() if end else len(page)
             continue
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
-        if tag not in INLINE:  # a block ends an open paragraph, and an item the item before it
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
         if tag in INLINE:
-            if len(stack) < 200:
-                stack.append((tag, path))
-                links += tag == "a"
+            stack.append((tag, path))
+            opened[tag] += 1
             continue
+        for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, and an item the item before it
+            if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+                pop(i)
+                break
+            if stack[i][0] not in INLINE:
+                break
         names = re.findall(r"[a-z]+", " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3])).lower()) if m[3] else []
-        if len(stack) < 200:
-            stack.append((tag, (*path, "<" + tag, *names)))
-            path = stack[-1][1]
+        new = [x for x in dict.fromkeys(("<" + tag, *names)) if x not in path]
+        stack.append((tag, (*path, *new) if new else path))
+        opened[tag] += 1
+        place()
     flush()
     return out
 
@@ -250,7 +263,7 @@ def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_boxes(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) -> list[tuple[Path, str, int]]:
-    """A copy with boxes of other kinds put between and around the blocks, filled with the page's own words."""
+    """A copy with boxes of other kinds put between and around the blocks, filled with the page's own words; some are lists of links."""
     words = " ".join(t for _, t, _ in blocks).split(" ")
     kinds = sorted(OTHER)
     some = lambda n: " ".join(rng.choice(words, n))
@@ -263,29 +276,68 @@ def with_boxes(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) ->
         tag = "<" + kind if kind in ("nav", "menu", "header", "footer", "aside", "form", "button") else ["<div", "<section", "<ul"][int(rng.integers(3))]
         box = (*inside, tag, *([] if tag[1:] == kind else [kind]))
         leaf = ["<p", "<li", "<div"][int(rng.integers(3))]
-        out[at:at] = [((*box, leaf), some(int(rng.integers(1, 40))), 0) for _ in range(int(rng.integers(1, 4)))]
+        links = rng.random() < 0.5
+        texts = [some(int(rng.integers(1, 6 if links else 40))) for _ in range(int(rng.integers(2, 8) if links else rng.integers(1, 4)))]
+        out[at:at] = [((*box, leaf), t, len(t) if links else 0) for t in texts]
     if rng.random() < 0.3:  # other names for the main container
         to = ["<main", "<div"][int(rng.integers(2))]
         out = [(tuple(to if x == "<article" else x for x in p), t, n) for p, t, n in out] if to == "<main" else out
     return out
 
 
-def train(pages: DataFrame, sample: int = 120, longest: int = 1 << 16, id_col: str = "page_id", html_col: str = "html") -> Labeller:
-    """A labeller from at most sample pages of at most longest bytes, in the order of a hash of the id."""
-    small = pages.filter(F.octet_length(html_col) <= longest).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    rows = small.orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(sample).collect()
+def renamed(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) -> list[tuple[Path, str, int]]:
+    """A copy in which most telling names of tags and classes are gone or others, the same way all over the page."""
+    new: dict[str, str] = {}
+    for x in sorted({x for p, _, _ in blocks for x in p}):
+        name = x.lstrip("<")
+        if (name in OTHER or name in MAIN or not x.startswith("<")) and rng.random() < 0.7:
+            new[x] = ["<div", "<section"][int(rng.integers(2))] if x.startswith("<") else "c" + str(rng.integers(1 << 30))
+    leaves = ["<p", "<p", "<div", "<blockquote", "<section", "<td", "<li", "<pre"]
+    out = []
+    for p, t, n in blocks:
+        leaf = leaves[int(rng.integers(len(leaves)))] if p and p[-1] in leaves and rng.random() < 0.2 else None
+        q = tuple(new.get(x, x) for x in p)
+        out.append(((*q[:-1], leaf) if leaf else q, t, n))
+    return out
+
+
+def fit(pages: list[str]) -> Labeller:
     rng = np.random.default_rng(7)
     features, data = Features(), []
-    for r in rows:
-        blocks = blocks_of(r["html"])
-        for version in (blocks, with_boxes(blocks, rng), with_boxes(blocks, rng)) if blocks else ():
-            data.append((features.matrix(version), weak_labels(version)))
+    for page in pages:
+        blocks = blocks_of(page)
+        if blocks:
+            boxed = [with_boxes(blocks, rng) for _ in range(2)]
+            for version, labels in ((blocks, blocks), *((b, b) for b in boxed), *((renamed(b, rng), b) for b in (blocks, *boxed))):
+                data.append((features.matrix(version), weak_labels(labels)))
     model = Labeller()
     if data:
         model.train(data)
     return model
 
 
+def train(pages: DataFrame, sample: int = 120, longest: int = 1 << 16, id_col: str = "page_id", html_col: str = "html") -> Labeller:
+    """A labeller from at most sample pages of at most longest bytes, in the order of a hash of the id.
+
+    Ids and hashes are put in order; then the chosen pages go to one task,
+    which fits the model. The driver gets its weights only.
+    """
+    small = pages.filter(F.octet_length(html_col) <= longest).select(F.col(id_col).cast("string").alias("id"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+    chosen = small.select("id", "h").orderBy(F.xxhash64("id"), "id", "h").limit(sample).distinct()
+    chosen = F.broadcast(chosen.withColumnsRenamed({"id": "__id", "h": "__h"}))  # bounded by the parameter
+    rows = small.join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("id", "h", "html").dropDuplicates(["id", "h"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(r["id"] or "", r["h"], r["html"]) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"weights": [pickle.dumps([w.tolist() for w in fit([x for _, _, x in sorted(found)]).w])]})
+
+    model = Labeller()
+    learnt = rows.repartition(1).mapInArrow(learn, "weights binary").first()
+    if learnt:
+        model.w = [np.array(w, np.float32) for w in pickle.loads(learnt["weights"])]
+    return model
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **bounds: int) -> DataFrame:
     """A row per page: id, url, text, n_chars (code points of text).
 

