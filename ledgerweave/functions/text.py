@@ -19,6 +19,12 @@ GRAND_TOTAL = r"^total\s+(d[oae]s?\s+)?(ativo|passivo(\s*[e+]\s*patrimonio\s+liq
 NON_CURRENT = r"(?i)n[ãa]o[\s-]*circulante|longo\s*prazo|permanente|imobilizado|intang[íi]vel"
 CURRENT = r"(?i)circulante|curto\s*prazo"
 
+#: Terms of companies, and of accounts, in descriptions.
+COMPANY_TERMS = ["SOLUCA", "SOLUÇÃO", "SOLUÇÕES", "SOFTWARE", "SISTEMA", "SISTEMAS", "TECNOLOGIA", "SERVICOS", "SERVIÇOS", "DIGITAL", "PLATFORM", "PLATAFORMA"]
+ACCOUNT_TERMS = ["CAIXA", "BANCOS", "BANCO", "IMPOSTO", "IMPOSTOS", "RECEITA", "RECEITAS", "DESPESA", "DESPESAS", "ATIVO", "PASSIVO", "CLIENTES", "FORNECEDORES", "PATRIMONIO", "PATRIMÔNIO", "ESTOQUES", "SALARIOS", "SALÁRIOS"]
+#: Patterns of analytical detail: tax ids, company forms, branch, current account, bank number.
+DETAIL = [r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}", r"LTDA\.?|S/A|S\.A\.|EIRELI|ME\b|EPP\b", r"AG[ÊE]NCIA\s*\d+", r"C/C\s*\d+|CONTA\s*CORRENTE\s*\d+", r"CPF\s*\d{3}\.\d{3}\.\d{3}-\d{2}", r"BANCO\s+\d{3}"]
+
 
 def unaccented(text: Column) -> Column:
     """Lower case without accents and outer space."""
@@ -32,7 +38,7 @@ def normalized(text: Column) -> Column:
 
 
 def is_garbage(text: Column) -> Column:
-    """Missing, numeric or with fewer than two letters."""
+    """Missing, numeric or with fewer than two letters. The class of characters is a fixed value."""
     text = F.coalesce(F.trim(text), F.lit(""))
     return text.rlike(r"^[\s\d.,\-()rR$%/]*$") | (F.char_length(F.regexp_replace(text, r"\P{L}", "")) < 2)
 
@@ -74,15 +80,17 @@ def expanded(text: Column, abbreviations: Column, phrases: Column, tokens: Colum
 
 
 def is_noise(text: Column) -> Column:
-    """Looks like a company or person: a company form, or three words in capitals of which none is a number."""
-    forms = r"(?i)\b(ltda|s[./]?a|eireli|epp|me|cia|inc|llc)\b\.?"
-    capitals = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: (w == F.upper(w)) & w.rlike(r"^\p{L}{2,}$")))
-    return text.rlike(forms) & (capitals >= 3)
+    """Looks like a company rather than an account: a company term, no account term, and three words in capitals or more than 18 characters."""
+    plain = F.trim(text)
+    company = plain.rlike("(?i)" + "|".join(COMPANY_TERMS))
+    account = F.upper(plain).rlike("|".join(ACCOUNT_TERMS))
+    capitals = F.size(F.filter(F.split(plain, r"\s+"), lambda w: (w == F.upper(w)) & (w != F.lower(w))))
+    return F.coalesce(company & ~account & ((capitals >= 3) | (F.char_length(plain) > 18)), F.lit(False))
 
 
 def is_analytical_detail(text: Column) -> Column:
     """A tax id, company form, branch or bank account in the description."""
-    return F.upper(text).rlike(r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}|\bLTDA\b|\bS/A\b|\bEIRELI\b|\bAG(ENCIA)?[.: ]*\d+|\bC/?C[.: ]*\d+|\bCONTA[.: ]*\d+")
+    return F.coalesce(F.upper(text).rlike("|".join(DETAIL)), F.lit(False))
 
 
 def clean_name(text: Column) -> Column:

@@ -38,29 +38,33 @@ def longest_rule(accounts: DataFrame, rules: DataFrame) -> DataFrame:
 def project(accounts: DataFrame, prefixes: DataFrame, mapping: DataFrame, blocked: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
     """codigo, alvo, metodo: where each code is booked.
 
-    In this order: blocked, mapped (codigo, alvo), renamed by prefix and then
-    mapped or kept, captured by a line, or the deepest ancestor that a line
-    captures and no blocked one is deeper than.
+    In this order: blocked; mapped (codigo, alvo); for a code renamed by
+    prefix, mapped under its new name; captured by a line, under the new name
+    if there is one; the deepest ancestor of that name that a line captures,
+    if none that is blocked lies between.
     """
     renames = {"3.11.": "3.01."} if renames is None else renames
-    own = accounts.select("codigo").distinct()
     renamed = F.lit(None).cast("string")
     for old, new in renames.items():
         renamed = F.coalesce(renamed, F.when(F.col("codigo").startswith(old), F.concat(F.lit(new), F.substring("codigo", len(old) + 1, 1 << 20))))
-    stop = blocked.select("codigo").distinct()
-    path = own.withColumn("ancestor", F.explode(codes.prefixes(F.col("codigo"))))
-    up = path.select(F.col("ancestor").alias("codigo")).distinct()
-    hit = captured(up, prefixes).select(F.col("codigo").alias("ancestor")).distinct().withColumn("hit", F.lit(True))
-    walked = path.join(hit, "ancestor", "left").join(stop.select(F.col("codigo").alias("ancestor"), F.lit(True).alias("stop")), "ancestor", "left")
-    d = codes.level(F.col("ancestor"))
-    climb = walked.groupBy("codigo").agg(F.max_by("ancestor", F.when(F.col("hit"), d)).alias("up"), F.max(F.when(F.col("hit"), d)).alias("up_d"), F.max(F.when(F.col("stop"), d)).alias("stop_d"), F.max(F.when(F.col("ancestor") == F.col("codigo"), F.coalesce("hit", F.lit(False)))).alias("direct"), F.max(F.when(F.col("ancestor") == F.col("codigo"), F.coalesce("stop", F.lit(False)))).alias("is_blocked"))
+    own = accounts.select("codigo").distinct().withColumn("renamed", renamed).withColumn("base", F.coalesce("renamed", "codigo"))
+    stop = blocked.select(F.col("codigo").alias("ancestor")).distinct().withColumn("stop", F.lit(True))
+    path = own.select("base").distinct().withColumn("ancestor", F.explode(codes.prefixes(F.col("base"))))
+    hit = captured(path.select(F.col("ancestor").alias("codigo")), prefixes).select(F.col("codigo").alias("ancestor")).distinct().withColumn("hit", F.lit(True))
+    walked = path.join(hit, "ancestor", "left").join(stop, "ancestor", "left")
+    d, above = codes.level(F.col("ancestor")), F.col("ancestor") != F.col("base")
+    climb = walked.groupBy("base").agg(
+        F.max_by("ancestor", F.when(F.col("hit") & above, d)).alias("up"), F.max(F.when(F.col("hit") & above, d)).alias("up_d"),
+        F.max(F.when(F.col("stop") & above, d)).alias("stop_d"), F.max(F.col("hit").isNotNull() & ~above).alias("direct"),
+    )
     one, two = mapping.select("codigo", F.col("alvo").alias("m1")), mapping.select(F.col("codigo").alias("renamed"), F.col("alvo").alias("m2"))
-    joined = climb.withColumn("renamed", renamed).join(one, "codigo", "left").join(two, "renamed", "left")
+    joined = own.join(climb, "base").join(one, "codigo", "left").join(two, "renamed", "left").join(stop.select(F.col("ancestor").alias("codigo"), F.col("stop").alias("is_blocked")), "codigo", "left")
     climbs = F.col("up").isNotNull() & (F.col("up_d") > F.coalesce("stop_d", F.lit(0)))
-    steps = [(F.col("is_blocked"), F.lit(None), "blocked"), (F.col("m1").isNotNull(), F.col("m1"), "map"), (F.col("renamed").isNotNull(), F.coalesce("m2", "renamed"), "rename"), (F.col("direct"), F.col("codigo"), "captured"), (climbs, F.col("up"), "climb")]
+    new = F.col("renamed").isNotNull()
+    steps = [(F.col("is_blocked").isNotNull(), F.lit(None), F.lit("blocked")), (F.col("m1").isNotNull(), F.col("m1"), F.lit("map")), (F.col("m2").isNotNull(), F.col("m2"), F.lit("rename map")), (F.col("direct"), F.col("base"), F.when(new, "rename").otherwise("captured")), (climbs, F.col("up"), F.when(new, "rename climb").otherwise("climb"))]
     target, method = F.lit(None).cast("string"), F.lit("failed")
     for cond, value, name in reversed(steps):
-        target, method = F.when(cond, value).otherwise(target), F.when(cond, F.lit(name)).otherwise(method)
+        target, method = F.when(cond, value).otherwise(target), F.when(cond, name).otherwise(method)
     return joined.select("codigo", target.alias("alvo"), method.alias("metodo"))
 
 
@@ -125,8 +129,8 @@ def result_to_equity(totals: DataFrame) -> DataFrame:
 def statement(facts: DataFrame, prefixes: DataFrame, line_terms: DataFrame | None = None) -> DataFrame:
     """KEY, stmt, line_no, valor: sums of the facts that each line captures, and totals over lines.
 
-    line_terms (total_line, term_line, coef) may be nested to any depth; its
-    closure is taken over that small table alone.
+    line_terms (stmt, total_line, term_line, coef) may be nested to any depth;
+    its closure is taken over that small table alone.
     """
     by_code = facts.groupBy(*KEY, "codigo").agg(money(F.sum("valor")).alias("valor"))
     plain = by_code.join(captured(facts, prefixes).select("codigo", "stmt", "line_no").distinct(), "codigo").groupBy(*KEY, "stmt", "line_no").agg(money(F.sum("valor")).alias("valor"))
@@ -134,11 +138,11 @@ def statement(facts: DataFrame, prefixes: DataFrame, line_terms: DataFrame | Non
         return plain
     spark = facts.sparkSession
     closure = spark.sql(
-        """WITH RECURSIVE r(total_line, term_line, coef) AS (SELECT total_line, term_line, coef FROM {terms}
-        UNION ALL SELECT r.total_line, t.term_line, r.coef * t.coef FROM r JOIN {terms} t ON r.term_line = t.total_line)
-        SELECT r.* FROM r LEFT ANTI JOIN {terms} t ON r.term_line = t.total_line""", terms=line_terms,
+        """WITH RECURSIVE r(stmt, total_line, term_line, coef) AS (SELECT stmt, total_line, term_line, coef FROM {terms}
+        UNION ALL SELECT r.stmt, r.total_line, t.term_line, r.coef * t.coef FROM r JOIN {terms} t ON r.stmt = t.stmt AND r.term_line = t.total_line)
+        SELECT r.* FROM r LEFT ANTI JOIN {terms} t ON r.stmt = t.stmt AND r.term_line = t.total_line""", terms=line_terms,
     )
-    totals = plain.join(closure, F.col("line_no") == F.col("term_line")).groupBy(*KEY, F.lit("TOTAL").alias("stmt"), F.col("total_line").alias("line_no")).agg(money(F.sum(F.col("valor") * F.col("coef"))).alias("valor"))
+    totals = plain.join(closure.withColumnRenamed("term_line", "line_no"), ["stmt", "line_no"]).groupBy(*KEY, "stmt", F.col("total_line").alias("line_no")).agg(money(F.sum(F.col("valor") * F.col("coef"))).alias("valor"))
     return plain.unionByName(totals)
 
 
@@ -167,13 +171,30 @@ def coverage(emitted: DataFrame, nodes: DataFrame, uncovered: DataFrame) -> Data
     return one.join(two, KEY, "full_outer").select(*KEY, F.coalesce(F.try_divide(kept, kept + lost), F.lit(0.0)).alias("coverage"))
 
 
-def verdict(empty: Column, sound: Column, complete: Column, closes: Column) -> Column:
-    """empty, draft (not sound or not complete), caveat (does not close) or ok."""
-    return F.when(empty, "empty").when(~sound | ~complete, "draft").when(~closes, "caveat").otherwise("ok")
+def value_coverage(source: DataFrame, uncovered: DataFrame) -> DataFrame:
+    """KEY, coverage: 1 less the uncovered value over the source's absolute class totals (KEY, class, total); 1 where these are 0."""
+    lost = uncovered.filter("class is null").select(*KEY, F.col("total").alias("lost"))
+    whole = source.groupBy(*KEY).agg(F.sum(F.abs("total")).cast("double").alias("whole")).join(lost, KEY, "left")
+    share = 1 - F.try_divide(F.abs(F.coalesce("lost", F.lit(0))).cast("double"), F.col("whole"))
+    return whole.select(*KEY, F.coalesce(share, F.lit(1.0)).alias("coverage"))
+
+
+def completeness(source: DataFrame, emitted: DataFrame, uncovered: DataFrame) -> DataFrame:
+    """KEY, class, source, rebuilt, complete: emitted plus uncovered totals (KEY, class, total each) make the source's, class by class."""
+    one = lambda df, c: df.filter("class is not null").groupBy(*KEY, "class").agg(F.sum("total").alias(c))
+    joined = one(source, "source").join(one(emitted, "e"), [*KEY, "class"], "left").join(one(uncovered, "u"), [*KEY, "class"], "left")
+    rebuilt = money(F.coalesce("e", F.lit(0)) + F.coalesce("u", F.lit(0)))
+    gap = F.abs(rebuilt - F.col("source")).cast("double")
+    return joined.select(*KEY, "class", money(F.col("source")).alias("source"), rebuilt.alias("rebuilt"), (gap <= F.greatest(F.lit(0.01), F.abs("source").cast("double") * 1e-6)).alias("complete"))
+
+
+def verdict(treated: Column, closes: Column, checkable: Column) -> Column:
+    """empty (nothing treated), ok (the delivery closes), draft (nothing to check it by) or caveat."""
+    return F.when(treated == 0, "empty").when(closes, "ok").when(~checkable, "draft").otherwise("caveat")
 
 
-def by_period(facts: DataFrame, periods: list[int]) -> DataFrame:
-    """One column per period."""
+def by_period(facts: DataFrame, periods: list[int] | None = None) -> DataFrame:
+    """One column per period: those given, or all that occur."""
     return facts.groupBy("ledger_id", "codigo").pivot("period", periods).agg(money(F.sum("valor")))
 
 
@@ -198,12 +219,12 @@ def net_by_rule(values: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def validate_rows(rows: DataFrame) -> DataFrame:
-    """KEY, n, no_description, no_balance, no_code, bad_code, blocking, and the first five rows without a balance."""
+    """KEY, n, no_description, no_balance, no_code, bad_code, blocking, and the first row without a balance."""
     blank = F.coalesce(F.trim("descricao"), F.lit("")) == ""
     return rows.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("no_description"), F.count_if(F.col("saldo").isNull()).alias("no_balance"), F.count_if(F.col("codigo").isNull()).alias("no_code"),
         F.count_if(~codes.is_hierarchical(F.col("codigo"))).alias("bad_code"), F.max(blank | F.col("saldo").isNull()).alias("blocking"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("saldo").isNull(), F.col("row_no")))), 1, 5).alias("first_rows"),
+        F.min(F.when(F.col("saldo").isNull(), F.col("row_no"))).alias("first_row"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes, text
 from ledgerweave.functions.numbers import MONEY
+from ledgerweave.sources.stage import saved
 
 KEY = ["ledger_id", "period"]
 TOLERANCE = 0.01
@@ -32,16 +33,20 @@ def nodes(rows: DataFrame) -> DataFrame:
 
 
 def node_values(rows: DataFrame) -> DataFrame:
-    """KEY, codigo, valor: of repeated codes, the entry that equals the sum of the others is the subtotal; else their sum."""
-    values = rows.groupBy(*KEY, "codigo").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "saldo"))), lambda x: x["saldo"]).alias("v"), money(F.sum("saldo")).alias("total"))
-    subtotal = F.try_element_at(F.filter("v", lambda s: F.abs(2 * s - F.col("total")) <= TOLERANCE), F.lit(1))
-    return values.select(*KEY, "codigo", money(F.when(F.size("v") > 1, F.coalesce(subtotal, F.col("total"))).otherwise(F.col("total"))).alias("valor"))
+    """KEY, codigo, valor: of repeated codes, the first entry that equals the sum of the others is the subtotal; else their sum.
+
+    Two aggregations, so that no group of rows has to be held in one place.
+    """
+    totals = rows.groupBy(*KEY, "codigo").agg(money(F.sum("saldo")).alias("total"), F.count(F.lit(1)).alias("n"))
+    repeated = rows.join(totals.filter("n > 1"), [*KEY, "codigo"]).filter(F.abs(2 * F.col("saldo") - F.col("total")) <= TOLERANCE)
+    subtotal = repeated.groupBy(*KEY, "codigo").agg(F.min_by("saldo", "row_no").alias("subtotal"))
+    return totals.join(subtotal, [*KEY, "codigo"], "left").select(*KEY, "codigo", money(F.coalesce("subtotal", "total")).alias("valor"))
 
 
 def ancestors(tree: DataFrame, itself: bool = False) -> DataFrame:
-    """KEY, codigo, ancestor: pairs of a node and a node of the same ledger on its path."""
-    have = tree.select(*KEY, F.col("codigo").alias("ancestor")).distinct()
-    return tree.select(*KEY, "codigo").distinct().withColumn("ancestor", F.explode(codes.prefixes(F.col("codigo"), itself))).join(have, [*KEY, "ancestor"])
+    """KEY, codigo, ancestor: pairs of a node and a node of the same ledger on its path; tree has each node once."""
+    have = tree.select(*KEY, F.col("codigo").alias("ancestor"))
+    return tree.select(*KEY, "codigo", F.explode(codes.prefixes(F.col("codigo"), itself)).alias("ancestor")).join(have, [*KEY, "ancestor"])
 
 
 def edges(tree: DataFrame) -> DataFrame:
@@ -50,7 +55,13 @@ def edges(tree: DataFrame) -> DataFrame:
 
 
 def roots(tree: DataFrame) -> DataFrame:
-    return tree.join(edges(tree).select(*KEY, F.col("child").alias("codigo")), [*KEY, "codigo"], "left_anti")
+    """Nodes of which no node of the same ledger is above."""
+    return tree.join(ancestors(tree).select(*KEY, "codigo").distinct(), [*KEY, "codigo"], "left_anti")
+
+
+def leaves(tree: DataFrame) -> DataFrame:
+    """Nodes of which no node of the same ledger is below."""
+    return tree.join(ancestors(tree).select(*KEY, F.col("ancestor").alias("codigo")).distinct(), [*KEY, "codigo"], "left_anti")
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -152,20 +163,20 @@ def tree_cut(tree: DataFrame, mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
     A mapped node that is no class root stops the cut when it is a leaf, or no
     leaf below it has a mapped node deeper than it on every path; per leaf the
     deepest candidate, per candidate the least of those, per leaf the
-    shallowest stop. Two groupings and a join, no recursion.
+    shallowest stop. Paths are made once and written; three groupings over
+    them, no recursion.
     """
-    path = ancestors(tree, itself=True)
-    leaves = tree.select(*KEY, "codigo").join(edges(tree).select(*KEY, F.col("parent").alias("codigo")).distinct(), [*KEY, "codigo"], "left_anti")
-    candidates = mapped.select(*KEY, F.col("codigo").alias("ancestor")).distinct().filter(~codes.is_class_root(F.col("ancestor")))
-    own = path.join(leaves, [*KEY, "codigo"])
-    depth = codes.level(F.col("ancestor"))
-    hits = own.join(candidates, [*KEY, "ancestor"]).withColumn("d", depth)
-    deepest = leaves.join(hits.groupBy(*KEY, "codigo").agg(F.max("d").alias("dm")), [*KEY, "codigo"], "left").withColumn("dm", F.coalesce("dm", F.lit(0)))
-    least = own.join(deepest, [*KEY, "codigo"]).groupBy(*KEY, "ancestor").agg(F.min("dm").alias("least"))
-    stops = hits.join(least, [*KEY, "ancestor"]).filter("least <= d")
-    emitted = stops.groupBy(*KEY, "codigo").agg(F.min_by("ancestor", "d").alias("stop"))
-    uncovered = leaves.join(emitted, [*KEY, "codigo"], "left_anti")
-    return emitted.select(*KEY, F.col("stop").alias("codigo")).distinct(), uncovered
+    candidates = mapped.select(*KEY, F.col("codigo").alias("ancestor"), (~codes.is_class_root(F.col("codigo"))).alias("candidate")).distinct()
+    path = ancestors(tree, itself=True).join(candidates, [*KEY, "ancestor"], "left").withColumn("d", codes.level(F.col("ancestor")))
+    path = saved(path.withColumn("candidate", F.coalesce("candidate", F.lit(False))), "paths")
+    inner = path.filter("codigo <> ancestor").select(*KEY, F.col("ancestor").alias("codigo")).distinct()
+    own = path.join(inner, [*KEY, "codigo"], "left_anti")
+    deepest = own.groupBy(*KEY, "codigo").agg(F.coalesce(F.max(F.when(F.col("candidate"), F.col("d"))), F.lit(0)).alias("dm"))
+    own = saved(own.join(deepest, [*KEY, "codigo"]), "leaf-paths")
+    least = own.groupBy(*KEY, "ancestor").agg(F.min("dm").alias("least"))
+    stop = F.min_by("ancestor", F.when(F.col("candidate") & (F.col("least") <= F.col("d")), F.col("d")))
+    stops = saved(own.join(least, [*KEY, "ancestor"]).groupBy(*KEY, "codigo").agg(stop.alias("stop")), "stops")
+    return stops.filter("stop is not null").select(*KEY, F.col("stop").alias("codigo")).distinct(), stops.filter("stop is null").select(*KEY, "codigo")
 
 
 def absorbed(tree: DataFrame, emitted: DataFrame) -> DataFrame:
@@ -205,6 +216,16 @@ def inferred_parent(code: Column) -> Column:
     return F.when(code.contains("."), F.regexp_replace(code, r"\.[^.]+$", "")).otherwise(flat)
 
 
+def existing_parents(tree: DataFrame) -> DataFrame:
+    """KEY, codigo, parent: the nearest code above that exists, by segments, and for flat codes by two digits, then one."""
+    up = F.when(F.col("codigo").contains("."), F.reverse(codes.prefixes(F.col("codigo"), itself=False))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.char_length("codigo") / 2).cast("int") + 1)), lambda n: F.col("codigo").substr(F.lit(1), F.when(F.char_length("codigo") > 2 * n, F.char_length("codigo") - 2 * n).when(F.char_length("codigo") == 2 * n, F.lit(1)).otherwise(F.lit(0))))
+    )
+    tried = tree.select(*KEY, "codigo", F.posexplode(up).alias("step", "parent")).filter("parent <> '' and parent <> codigo")
+    found = tried.join(tree.select(*KEY, F.col("codigo").alias("parent")), [*KEY, "parent"])
+    return found.groupBy(*KEY, "codigo").agg(F.min_by("parent", "step").alias("parent"))
+
+
 def synthetic(rows: DataFrame) -> DataFrame:
     """rows with synthetic: the account has children; without, detail in the description, a level over 5 or six dots make it analytical."""
     parents = edges(nodes(in_tree(rows))).select(*KEY, F.col("parent").alias("codigo")).distinct().withColumn("is_parent", F.lit(True))

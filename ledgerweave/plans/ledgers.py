@@ -4,34 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Customers under nations under regions, as class 1; five ledgers of two periods; nations divisible by 7 declare 1.00 too much.
+#: Customers under nations under regions, as class 1, by grouping sets over one scan; five ledgers of two periods; nations divisible by 7 declare 1.00 too much.
 GEO = """
 WITH c AS (SELECT 'L' || CAST(c_custkey % 5 AS STRING) AS ledger_id, CAST(2020 + c_custkey % 2 AS INT) AS period, n_regionkey AS r, n_nationkey AS n, c_custkey AS k, c_name, n_name, r_name, CAST(c_acctbal AS DECIMAL(20,4)) AS v
-  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey)
-SELECT ledger_id, period, CAST(4000000000 + k AS BIGINT) AS row_no, '1.' || CAST(r + 1 AS STRING) || '.' || CAST(n + 1 AS STRING) || '.' || CAST(k + 1 AS STRING) AS codigo, c_name AS descricao, v AS saldo FROM c
-UNION ALL SELECT ledger_id, period, CAST(3000000000 + n AS BIGINT), '1.' || CAST(r + 1 AS STRING) || '.' || CAST(n + 1 AS STRING), n_name, CAST(sum(v) + max(CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END) AS DECIMAL(20,4)) FROM c GROUP BY ledger_id, period, r, n, n_name
-UNION ALL SELECT ledger_id, period, CAST(2000000000 + r AS BIGINT), '1.' || CAST(r + 1 AS STRING), CASE WHEN r % 2 = 0 THEN 'Ativo Circulante ' ELSE 'Ativo não circulante ' END || r_name, CAST(sum(v) AS DECIMAL(20,4)) FROM c GROUP BY ledger_id, period, r, r_name
-UNION ALL SELECT ledger_id, period, CAST(1000000000 AS BIGINT), '1', 'ATIVO', CAST(sum(v) AS DECIMAL(20,4)) FROM c GROUP BY ledger_id, period
+  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey),
+g AS (SELECT ledger_id, period, r, n, k, max(c_name) AS c_name, max(n_name) AS n_name, max(r_name) AS r_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn, grouping(r) AS gr FROM c GROUP BY GROUPING SETS ((ledger_id, period, r, n, k), (ledger_id, period, r, n), (ledger_id, period, r), (ledger_id, period)))
+SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 4000000000 + k WHEN gn = 0 THEN 3000000000 + n WHEN gr = 0 THEN 2000000000 + r ELSE 1000000000 END AS BIGINT) AS row_no,
+  '1' || CASE WHEN gr = 0 THEN '.' || CAST(r + 1 AS STRING) ELSE '' END || CASE WHEN gn = 0 THEN '.' || CAST(n + 1 AS STRING) ELSE '' END || CASE WHEN gk = 0 THEN '.' || CAST(k + 1 AS STRING) ELSE '' END AS codigo,
+  CASE WHEN gk = 0 THEN c_name WHEN gn = 0 THEN n_name WHEN gr = 0 THEN CASE WHEN r % 2 = 0 THEN 'Ativo Circulante ' ELSE 'Ativo não circulante ' END || r_name ELSE 'ATIVO' END AS descricao,
+  CAST(v + CASE WHEN gk = 1 AND gn = 0 AND n % 7 = 0 THEN 1 ELSE 0 END AS DECIMAL(20,4)) AS saldo FROM g
 """
 
 #: Suppliers under nations, as class 2, with the sign of a liability.
 EQUITY = """
-WITH s AS (SELECT 'L' || CAST(s_suppkey % 5 AS STRING) AS ledger_id, CAST(2020 + s_suppkey % 2 AS INT) AS period, s_nationkey AS n, s_suppkey AS k, s_name, n_name, CAST(-s_acctbal AS DECIMAL(20,4)) AS v FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey)
-SELECT ledger_id, period, CAST(7000000000 + k AS BIGINT) AS row_no, '2.' || CAST(n + 1 AS STRING) || '.' || CAST(k + 1 AS STRING) AS codigo, s_name AS descricao, v AS saldo FROM s
-UNION ALL SELECT ledger_id, period, CAST(6000000000 + n AS BIGINT), '2.' || CAST(n + 1 AS STRING), n_name, CAST(sum(v) AS DECIMAL(20,4)) FROM s GROUP BY ledger_id, period, n, n_name
-UNION ALL SELECT ledger_id, period, CAST(5000000000 AS BIGINT), '2', 'PASSIVO', CAST(sum(v) AS DECIMAL(20,4)) FROM s GROUP BY ledger_id, period
+WITH s AS (SELECT 'L' || CAST(s_suppkey % 5 AS STRING) AS ledger_id, CAST(2020 + s_suppkey % 2 AS INT) AS period, s_nationkey AS n, s_suppkey AS k, s_name, n_name, CAST(-s_acctbal AS DECIMAL(20,4)) AS v FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey),
+h AS (SELECT ledger_id, period, n, k, max(s_name) AS s_name, max(n_name) AS n_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn FROM s GROUP BY GROUPING SETS ((ledger_id, period, n, k), (ledger_id, period, n), (ledger_id, period)))
+SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 7000000000 + k WHEN gn = 0 THEN 6000000000 + n ELSE 5000000000 END AS BIGINT) AS row_no,
+  '2' || CASE WHEN gn = 0 THEN '.' || CAST(n + 1 AS STRING) ELSE '' END || CASE WHEN gk = 0 THEN '.' || CAST(k + 1 AS STRING) ELSE '' END AS codigo,
+  CASE WHEN gk = 0 THEN s_name WHEN gn = 0 THEN n_name ELSE 'PASSIVO' END AS descricao, CAST(v AS DECIMAL(20,4)) AS saldo FROM h
 """
 
 #: Line items as costs (class 3) and revenues (class 4), by flag and status.
 RESULT = """
 WITH l AS (SELECT 'L' || CAST(l_suppkey % 5 AS STRING) AS ledger_id, CAST(2020 + l_suppkey % 2 AS INT) AS period, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS f, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS s, CAST(l_extendedprice AS DECIMAL(20,4)) AS v, CAST(round(l_tax * 100) AS INT) AS t FROM {lineitem}),
-g AS (SELECT ledger_id, period, f, s, CAST(sum(v) AS DECIMAL(20,4)) AS revenue, CAST(sum(v * t) / 100 AS DECIMAL(20,4)) AS cost FROM l GROUP BY ledger_id, period, f, s)
-SELECT ledger_id, period, CAST(9500000000 + f * 10 + s AS BIGINT) AS row_no, '4.' || CAST(f AS STRING) || '.' || CAST(s AS STRING) AS codigo, 'Linha ' || CAST(f AS STRING) || CASE s WHEN 1 THEN ' mercado interno' ELSE ' mercado externo' END AS descricao, revenue AS saldo FROM g
-UNION ALL SELECT ledger_id, period, CAST(8500000000 + f * 10 + s AS BIGINT), '3.' || CAST(f AS STRING) || '.' || CAST(s AS STRING), 'Linha ' || CAST(f AS STRING) || CASE s WHEN 1 THEN ' pessoal' ELSE ' (-) perdas' END, cost FROM g
-UNION ALL SELECT ledger_id, period, CAST(9400000000 + f AS BIGINT), '4.' || CAST(f AS STRING), CASE f WHEN 1 THEN 'Vendas' WHEN 2 THEN '(-) Deduções da receita' ELSE 'Outras' END, CAST(sum(revenue) AS DECIMAL(20,4)) FROM g GROUP BY ledger_id, period, f
-UNION ALL SELECT ledger_id, period, CAST(8400000000 + f AS BIGINT), '3.' || CAST(f AS STRING), 'Grupo ' || CAST(f AS STRING), CAST(sum(cost) AS DECIMAL(20,4)) FROM g GROUP BY ledger_id, period, f
-UNION ALL SELECT ledger_id, period, CAST(9300000000 AS BIGINT), '4', 'RECEITAS', CAST(sum(revenue) AS DECIMAL(20,4)) FROM g GROUP BY ledger_id, period
-UNION ALL SELECT ledger_id, period, CAST(8300000000 AS BIGINT), '3', 'CUSTOS E DESPESAS', CAST(sum(cost) AS DECIMAL(20,4)) FROM g GROUP BY ledger_id, period
+q AS (SELECT ledger_id, period, f, s, CAST(sum(v) AS DECIMAL(20,4)) AS revenue, CAST(sum(v * t) / 100 AS DECIMAL(20,4)) AS cost, grouping(f) AS gf, grouping(s) AS gs FROM l GROUP BY GROUPING SETS ((ledger_id, period, f, s), (ledger_id, period, f), (ledger_id, period))),
+b AS (SELECT *, 4 AS class, revenue AS saldo FROM q UNION ALL SELECT *, 3 AS class, cost AS saldo FROM q)
+SELECT ledger_id, period, CAST(CASE class WHEN 4 THEN 9000000000 ELSE 8000000000 END + CASE WHEN gs = 0 THEN 500000000 + f * 10 + s WHEN gf = 0 THEN 400000000 + f ELSE 300000000 END AS BIGINT) AS row_no,
+  CAST(class AS STRING) || CASE WHEN gf = 0 THEN '.' || CAST(f AS STRING) ELSE '' END || CASE WHEN gs = 0 THEN '.' || CAST(s AS STRING) ELSE '' END AS codigo,
+  CASE WHEN gs = 0 THEN 'Linha ' || CAST(f AS STRING) || CASE WHEN class = 4 THEN CASE s WHEN 1 THEN ' mercado interno' ELSE ' mercado externo' END ELSE CASE s WHEN 1 THEN ' pessoal' ELSE ' (-) perdas' END END
+    WHEN gf = 0 THEN CASE WHEN class = 4 THEN CASE f WHEN 1 THEN 'Vendas' WHEN 2 THEN '(-) Deduções da receita' ELSE 'Outras' END ELSE 'Grupo ' || CAST(f AS STRING) END
+    ELSE CASE class WHEN 4 THEN 'RECEITAS' ELSE 'CUSTOS E DESPESAS' END END AS descricao, saldo FROM b
 """
 
 #: The first without its nation rows: levels are missing.
@@ -46,11 +48,20 @@ UNION ALL SELECT ledger_id, period, CAST(0 AS BIGINT), codigo, 'Soma ' || descri
 
 FULL = "SELECT * FROM ({geo}) g UNION ALL SELECT * FROM ({equity}) e UNION ALL SELECT * FROM ({result}) r"
 
+#: Assets by nation, some wrongly summed, against one account of the same total.
+BALANCED = """
+WITH c AS (SELECT 'L' || CAST(c_custkey % 5 AS STRING) AS ledger_id, CAST(2020 + c_custkey % 2 AS INT) AS period, c_nationkey AS n, CAST(c_acctbal AS DECIMAL(20,4)) AS v FROM {customer}),
+g AS (SELECT ledger_id, period, n, sum(v) AS v, grouping(n) AS gn FROM c GROUP BY GROUPING SETS ((ledger_id, period, n), (ledger_id, period)))
+SELECT ledger_id, period, CAST(CASE WHEN gn = 0 THEN n + 1 ELSE 0 END AS BIGINT) AS row_no, '1' || CASE WHEN gn = 0 THEN '.' || CAST(n + 1 AS STRING) ELSE '' END AS codigo, CASE WHEN gn = 0 THEN 'Conta da nação ' || CAST(n AS STRING) ELSE 'ATIVO' END AS descricao,
+  CAST(v + CASE WHEN gn = 0 AND n = 7 AND ledger_id = 'L0' THEN 5 ELSE 0 END AS DECIMAL(20,4)) AS saldo FROM g
+UNION ALL SELECT ledger_id, period, CAST(100 AS BIGINT), '2', 'PASSIVO', CAST(-v + CASE WHEN ledger_id IN ('L1', 'L3') THEN 70 ELSE 0 END AS DECIMAL(20,4)) FROM g WHERE gn = 1
+"""
+
 TABLES = ("customer", "nation", "region", "supplier", "lineitem", "orders", "part", "events", "documents", "pages")
 
 
 def _filled(name: str) -> str:
-    text = {"geo": GEO, "equity": EQUITY, "result": RESULT, "sparse": SPARSE, "repeated": REPEATED, "full": FULL}[name]
+    text = {"geo": GEO, "equity": EQUITY, "result": RESULT, "sparse": SPARSE, "repeated": REPEATED, "full": FULL, "balanced": BALANCED}[name]
     for part, sql in (("geo", GEO), ("equity", EQUITY), ("result", RESULT)):
         text = text.replace("{" + part + "}", sql)
     return text

@@ -8,7 +8,8 @@ from ledgerweave.functions import codes
 from ledgerweave.operators import projection as p
 from ledgerweave.operators import tree
 from ledgerweave.plans.ledgers import ledger, ledger_sql
-from ledgerweave.plans.tree_queries import CUT, NODES, D, K, cut, double, rows
+from ledgerweave.plans.tree_queries import CUT, NODES, D, K, cut, double, nodes, rows, whole
+from ledgerweave.sources.stage import saved
 
 QUERIES, SQL = {}, {}
 
@@ -16,7 +17,7 @@ QUERIES, SQL = {}, {}
 LINES = "SELECT * FROM (VALUES ('BP', 1, 'Caixa', '1.1'), ('BP', 2, 'Estoques', '1.2|1.3'), ('BP', 3, 'Clientes', '1.4.1'), ('BP', 4, 'Caixa do grupo', '1.1.1'), ('BP', 5, 'Fornecedores', '2.1|2.2'), ('DRE', 6, 'Receita', '4'), ('DRE', 7, '(-) Custo', '3.1'), ('DRE', 8, '(-) Perdas', '3.2.2|3.3')) v(stmt, line_no, label, codes)"
 MAPPING = "SELECT * FROM (VALUES ('2.3', '2.1.9'), ('2.4', '2.2.1'), ('3.1.1', '3.2.2.1')) v(codigo, alvo)"
 BLOCKED = "SELECT * FROM (VALUES ('2.5'), ('1.1.2'), ('4.2')) v(codigo)"
-TERMS = "SELECT * FROM (VALUES (100, 1, 1), (100, 2, 1), (101, 100, 1), (101, 3, 1), (102, 101, 1), (102, 5, -1)) v(total_line, term_line, coef)"
+TERMS = "SELECT * FROM (VALUES ('BP', 100, 1, 1), ('BP', 100, 2, 1), ('BP', 101, 100, 1), ('BP', 101, 3, 1), ('BP', 102, 101, 1), ('BP', 102, 5, -1), ('DRE', 100, 6, 1), ('DRE', 100, 7, -1), ('DRE', 101, 100, 1), ('DRE', 101, 8, -1)) v(stmt, total_line, term_line, coef)"
 RULES = "SELECT * FROM (VALUES ('1', '1.01'), ('1.1', '1.02'), ('1.2', '1.03'), ('2', '2.01'), ('3', '3.01'), ('3.1', '3.02'), ('4', '4.01')) v(rule, alvo)"
 WITH = f"""lines AS ({LINES}), mapping AS ({MAPPING}), blocked AS ({BLOCKED}), terms AS ({TERMS}), rules AS ({RULES}),
 pf AS (SELECT stmt, line_no, CASE WHEN label LIKE '(-)%' THEN -1 ELSE 1 END AS sign, unnest(string_split(codes, '|')) AS prefix FROM lines),
@@ -37,14 +38,9 @@ def prefixes(spark):
     return p.line_prefixes(spark.sql(LINES))
 
 
-def nodes(spark, d):
-    return tree.nodes(rows(spark, d))
-
-
-def facts(spark, d):
-    """Leaves of the tree as facts."""
-    n = nodes(spark, d)
-    return n.join(tree.edges(n).select(*tree.KEY, F.col("parent").alias("codigo")).distinct(), [*tree.KEY, "codigo"], "left_anti").select(*tree.KEY, "codigo", F.col("saldo").alias("valor"))
+def facts(spark, d, n=None):
+    """Leaves of the tree as facts, made once."""
+    return saved(tree.leaves(n or nodes(spark, d)).select(*tree.KEY, "codigo", F.col("saldo").alias("valor")), "facts")
 
 
 FACTS = ", fa AS (SELECT ledger_id, period, codigo, saldo AS valor FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.ledger_id = n.ledger_id AND e.period = n.period AND e.parent = n.codigo))"
@@ -60,21 +56,38 @@ def j4(spark, d):
     return p.longest_rule(nodes(spark, d), spark.sql(RULES))
 
 
-PROJECT = """, pr AS (SELECT codigo, CASE WHEN codigo IN (FROM blocked) THEN NULL WHEN m.alvo IS NOT NULL THEN m.alvo WHEN EXISTS (SELECT 1 FROM cp WHERE cp.codigo = cd.codigo) THEN codigo WHEN u.up IS NOT NULL AND u.d > coalesce(s.d, 0) THEN u.up END AS alvo,
-CASE WHEN codigo IN (FROM blocked) THEN 'blocked' WHEN m.alvo IS NOT NULL THEN 'map' WHEN EXISTS (SELECT 1 FROM cp WHERE cp.codigo = cd.codigo) THEN 'captured' WHEN u.up IS NOT NULL AND u.d > coalesce(s.d, 0) THEN 'climb' ELSE 'failed' END AS metodo
-FROM cd LEFT JOIN mapping m USING (codigo)
-LEFT JOIN (SELECT x.codigo, arg_max(x.ancestor, x.d) AS up, max(x.d) AS d FROM (SELECT DISTINCT codigo, ancestor, d FROM x) x JOIN pf ON starts_with(x.ancestor, prefix) GROUP BY ALL) u USING (codigo)
-LEFT JOIN (SELECT x.codigo, max(x.d) AS d FROM (SELECT DISTINCT codigo, ancestor, d FROM x) x JOIN blocked b ON x.ancestor = b.codigo GROUP BY ALL) s USING (codigo))"""
+#: Codes as they are, and as they would be in the parallel block 3.11., one of them mapped under its new name.
+BLOCK_CODES = "SELECT codigo FROM cd UNION SELECT '3.11.' || substr(codigo, 3) FROM cd WHERE codigo LIKE '3.%'"
+BLOCK_LINES = LINES.replace(") v(", ", ('DRE', 9, 'Paralela', '3.01.2|3.01.3.1'), ('DRE', 10, 'Paralela, custo', '3.01')) v(")
+BLOCK_MAPPING = MAPPING.replace(") v(", ", ('3.01.1.2', '3.2.1'), ('3.11.1', '3.9')) v(")
+BLOCK_BLOCKED = BLOCKED.replace(") v(", ", ('3.11.3'), ('3.01.3')) v(")
+
 
+def projection_sql(codes_, mapping="mapping", blocked="blocked", prefixes_="pf"):
+    """From the rule: each code's name after renaming, its captured forms, and the walk up that a blocked one ends."""
+    return f""", bc AS (SELECT codigo, CASE WHEN codigo LIKE '3.11.%' THEN '3.01.' || substr(codigo, 6) ELSE codigo END AS base FROM ({codes_})),
+wk AS (SELECT codigo, base, array_to_string(string_split(base, '.')[1:i], '.') AS up, i AS d FROM bc, unnest(generate_series(1, len(string_split(base, '.')) - 1)) g(i)),
+wh AS (SELECT wk.*, EXISTS (SELECT 1 FROM {prefixes_} f WHERE starts_with(wk.up, f.prefix)) AS hit, up IN (SELECT codigo FROM {blocked}) AS stop FROM wk),
+wu AS (SELECT h.codigo, arg_max(h.up, h.d) AS up FROM wh h WHERE h.hit AND NOT EXISTS (SELECT 1 FROM wh s WHERE s.codigo = h.codigo AND s.stop AND s.d >= h.d) GROUP BY h.codigo),
+pr AS (SELECT bc.codigo, CASE WHEN bc.codigo IN (SELECT codigo FROM {blocked}) THEN NULL WHEN m1.alvo IS NOT NULL THEN m1.alvo WHEN m2.alvo IS NOT NULL THEN m2.alvo WHEN k.base IS NOT NULL THEN bc.base ELSE wu.up END AS alvo,
+CASE WHEN bc.codigo IN (SELECT codigo FROM {blocked}) THEN 'blocked' WHEN m1.alvo IS NOT NULL THEN 'map' WHEN m2.alvo IS NOT NULL THEN 'rename map' WHEN k.base IS NOT NULL THEN CASE WHEN bc.base <> bc.codigo THEN 'rename' ELSE 'captured' END WHEN wu.up IS NOT NULL THEN CASE WHEN bc.base <> bc.codigo THEN 'rename climb' ELSE 'climb' END ELSE 'failed' END AS metodo
+FROM bc LEFT JOIN {mapping} m1 ON m1.codigo = bc.codigo LEFT JOIN {mapping} m2 ON bc.base <> bc.codigo AND m2.codigo = bc.base LEFT JOIN wu ON wu.codigo = bc.codigo
+LEFT JOIN (SELECT DISTINCT base FROM bc JOIN {prefixes_} f ON starts_with(bc.base, f.prefix)) k ON k.base = bc.base)"""
 
-@query("p2_project", PROJECT + " SELECT * FROM pr")
+
+PROJECT = projection_sql("SELECT codigo FROM cd")
+
+
+@query("p2_project", f", bl AS ({BLOCK_LINES}), bm AS ({BLOCK_MAPPING}), bb AS ({BLOCK_BLOCKED}), bf AS (SELECT unnest(string_split(codes, '|')) AS prefix FROM bl)" + projection_sql(BLOCK_CODES, "bm", "bb", "bf") + " SELECT * FROM pr")
 def p2(spark, d):
-    return p.project(nodes(spark, d), prefixes(spark), spark.sql(MAPPING), spark.sql(BLOCKED))
+    codes_ = nodes(spark, d).select("codigo").distinct()
+    both = codes_.unionByName(codes_.filter("codigo LIKE '3.%'").select(F.concat(F.lit("3.11."), F.substring("codigo", 3, 1 << 20)).alias("codigo")))
+    return p.project(both, p.line_prefixes(spark.sql(BLOCK_LINES)), spark.sql(BLOCK_MAPPING), spark.sql(BLOCK_BLOCKED))
 
 
 @query("p3_methods", PROJECT + " SELECT metodo, count(*) AS n FROM pr GROUP BY ALL")
 def p3(spark, d):
-    return p.method_counts(p2(spark, d))
+    return p.method_counts(p.project(nodes(spark, d), prefixes(spark), spark.sql(MAPPING), spark.sql(BLOCKED)))
 
 
 @query("p4_signs", "SELECT codigo, coalesce(arg_max(sign, len(prefix) * 1000 - line_no), 1) AS sign FROM cd LEFT JOIN cp USING (codigo) GROUP BY codigo")
@@ -107,12 +120,12 @@ def p7(spark, d):
 SELECT fa.ledger_id, fa.period, codigo, round(CAST(CASE WHEN class = 'RESULTADO' THEN abs(valor) * sign ELSE valor * turn END AS DOUBLE), 2) AS valor FROM fa JOIN sg USING (codigo) JOIN tu ON tu.ledger_id = fa.ledger_id AND tu.period = fa.period AND class = {CLS}""")
 def p8(spark, d):
     n = nodes(spark, d)
-    return double(p.oriented(facts(spark, d), p.orientation(tree.root_totals(n)), p.signs(n, prefixes(spark))), "valor")
+    return double(p.oriented(facts(spark, d, n), p.orientation(tree.root_totals(n)), p.signs(n, prefixes(spark))), "valor")
 
 
 def emitted(spark, d):
     n, e, u = cut(spark, d)
-    return n, p.emit(e, n, p2(spark, d)), u
+    return n, p.emit(e, n, p.project(n, prefixes(spark), spark.sql(MAPPING), spark.sql(BLOCKED))), u
 
 
 EMIT = PROJECT + f", {CUT}, em AS (SELECT DISTINCT n.ledger_id, n.period, n.codigo, pr.alvo, n.saldo AS valor FROM z JOIN n ON z.ledger_id = n.ledger_id AND z.period = n.period AND z.stop = n.codigo JOIN pr ON pr.codigo = n.codigo WHERE pr.alvo IS NOT NULL), un AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.ledger_id = f.ledger_id AND z.period = f.period AND z.codigo = f.codigo))"
@@ -145,7 +158,7 @@ def p13(spark, d):
 
 @query("p14_bank_plan", f" SELECT DISTINCT {K}, FALSE AS is_bank FROM t")
 def p14(spark, d):
-    return p.bank_plan(ledger(spark, d, "full"))
+    return p.bank_plan(whole(spark, d))
 
 
 @query("p15_roles", f" SELECT {K}, CASE substr(codigo, 1, 1) WHEN '3' THEN 'COMPENSACAO' WHEN '4' THEN 'PASSIVO' ELSE 'ATIVO' END AS role, round(CAST(sum(saldo) AS DOUBLE), 2) AS total FROM r GROUP BY ALL")
@@ -156,8 +169,8 @@ def p15(spark, d):
 STATEMENT = FACTS + f""", s0 AS (SELECT {K}, stmt, line_no, sum(valor) AS valor FROM fa JOIN (SELECT DISTINCT codigo, stmt, line_no FROM cp) q USING (codigo) GROUP BY ALL)"""
 
 
-@query("p16_statement", STATEMENT + f""", rc(total_line, term_line, coef) AS (SELECT * FROM terms UNION ALL SELECT rc.total_line, t.term_line, rc.coef * t.coef FROM rc JOIN terms t ON rc.term_line = t.total_line)
-SELECT {K}, stmt, line_no, {D('valor')} FROM s0 UNION ALL SELECT {K}, 'TOTAL', total_line, round(CAST(sum(valor * coef) AS DOUBLE), 2) FROM s0 JOIN rc ON line_no = term_line GROUP BY {K}, total_line""")
+@query("p16_statement", STATEMENT + f""", rc(stmt, total_line, term_line, coef) AS (SELECT * FROM terms UNION ALL SELECT rc.stmt, rc.total_line, t.term_line, rc.coef * t.coef FROM rc JOIN terms t ON rc.stmt = t.stmt AND rc.term_line = t.total_line)
+SELECT {K}, stmt, line_no, {D('valor')} FROM s0 UNION ALL SELECT {K}, s0.stmt, total_line, round(CAST(sum(valor * coef) AS DOUBLE), 2) FROM s0 JOIN rc ON rc.stmt = s0.stmt AND line_no = term_line GROUP BY {K}, s0.stmt, total_line""")
 def p16(spark, d):
     return double(p.statement(facts(spark, d), prefixes(spark), spark.sql(TERMS)), "valor")
 
@@ -185,18 +198,46 @@ def p20(spark, d):
     return p.coverage(e, n, u).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("p21_verdict", f", q AS (SELECT {K}, count(*) FILTER (NOT ok) AS bad FROM c GROUP BY ALL) SELECT {K}, CASE WHEN bad > 0 THEN 'draft' ELSE 'ok' END AS verdict FROM q", "equity")
+CLASSES = EMIT + f""", so AS (SELECT {K}, {CLS} AS class, sum(saldo) AS source FROM r GROUP BY ALL), ec AS (SELECT DISTINCT n.ledger_id, n.period, n.codigo, n.saldo FROM z JOIN n ON z.ledger_id = n.ledger_id AND z.period = n.period AND z.stop = n.codigo),
+eb AS (SELECT {K}, {CLS} AS class, sum(saldo) AS e FROM ec GROUP BY ALL), ub AS (SELECT {K}, {CLS} AS class, sum(saldo) AS u FROM un GROUP BY ALL),
+cc AS (SELECT {K}, class, source, coalesce(e, 0) + coalesce(u, 0) AS rebuilt FROM so LEFT JOIN eb USING ({K}, class) LEFT JOIN ub USING ({K}, class))"""
+
+
+def class_totals(spark, d):
+    """(source, emitted, uncovered) class totals of the cut."""
+    n, e, u = cut(spark, d)
+    kept = e.join(n, [*tree.KEY, "codigo"]).groupBy(*tree.KEY, codes.account_class(F.col("codigo")).alias("class")).agg(F.sum("saldo").alias("total"))
+    return tree.root_totals(n), kept, p.uncovered_totals(u, n)
+
+
+@query("p20_completeness", CLASSES + f" SELECT {K}, class, {D('source')}, {D('rebuilt')}, abs(rebuilt - source) <= greatest(0.01, abs(CAST(source AS DOUBLE)) * 1e-6) AS complete FROM cc")
+def p20c(spark, d):
+    return double(p.completeness(*class_totals(spark, d)), "source", "rebuilt")
+
+
+@query("p20_value_coverage", CLASSES + f" SELECT {K}, round(CASE WHEN w = 0 THEN 1 ELSE 1 - abs(coalesce(x, 0)) / w END, 6) AS coverage FROM (SELECT {K}, CAST(sum(abs(source)) AS DOUBLE) AS w FROM so GROUP BY ALL) LEFT JOIN (SELECT {K}, CAST(sum(saldo) AS DOUBLE) AS x FROM un GROUP BY ALL) USING ({K})")
+def p20v(spark, d):
+    source, _, uncovered = class_totals(spark, d)
+    return p.value_coverage(source, uncovered).withColumn("coverage", F.round("coverage", 6))
+
+
+#: Ledgers of the balance alone, which close where the nation rows agree, with what they treated; one period has nothing to check by, one ledger nothing treated.
+@query("p21_verdict", f", q AS (SELECT {K}, count(*) FILTER (NOT ok) AS bad FROM c GROUP BY ALL), m AS (SELECT {K}, count(*) AS treated FROM n WHERE ledger_id <> 'L4' AND codigo LIKE '%.%' GROUP BY ALL) SELECT q.ledger_id, q.period, CASE WHEN coalesce(treated, 0) = 0 THEN 'empty' WHEN bad = 0 AND abs(s) <= 0.01 THEN 'ok' WHEN q.period = 2021 AND q.ledger_id IN ('L1', 'L2') THEN 'draft' ELSE 'caveat' END AS verdict FROM q LEFT JOIN m USING ({K}) JOIN (SELECT {K}, sum(saldo) AS s FROM r GROUP BY ALL) USING ({K})", "balanced")
 def p21(spark, d):
-    found = tree.report(ledger(spark, d, "equity")).join(tree.equation(tree.nodes(rows(spark, d, "equity"))), tree.KEY)
-    return found.select(*tree.KEY, p.verdict(F.col("in_tree") == 0, F.col("sound"), F.col("checked") > 0, F.col("sound")).alias("verdict"))
+    n = nodes(spark, d, "balanced")
+    treated = n.filter("ledger_id <> 'L4' and codigo like '%.%'").groupBy(*tree.KEY).agg(F.count(F.lit(1)).alias("treated"))
+    sound = tree.rollup_check(n).groupBy(*tree.KEY).agg(F.min("ok").alias("ok"))
+    found = sound.join(treated, tree.KEY, "left").join(tree.equation(n), tree.KEY)
+    checkable = ~((F.col("period") == 2021) & F.col("ledger_id").isin("L1", "L2"))
+    return found.select(*tree.KEY, p.verdict(F.coalesce("treated", F.lit(0)), F.col("ok") & F.col("closes"), checkable).alias("verdict"))
 
 
 @query("p22_series", FACTS + " SELECT ledger_id, codigo, round(CAST(sum(valor) FILTER (period = 2020) AS DOUBLE), 2) AS y2020, round(CAST(sum(valor) FILTER (period = 2021) AS DOUBLE), 2) AS y2021 FROM fa GROUP BY ALL")
 def p22(spark, d):
-    wide = p.by_period(facts(spark, d), [2020, 2021]).withColumnsRenamed({"2020": "y2020", "2021": "y2021"})
-    return double(wide, "y2020", "y2021")
+    wide = p.by_period(facts(spark, d))  # the ledgers have these two periods
+    return double(wide.withColumnsRenamed({"2020": "y2020", "2021": "y2021"}), "y2020", "y2021")
 
 
 @query("p23_validation", f" SELECT {K}, count(*) AS n, count(*) FILTER (trim(coalesce(descricao, '')) = '') AS no_description, count(*) FILTER (saldo IS NULL) AS no_balance, count(*) FILTER (codigo IS NULL) AS no_code, count(*) FILTER (NOT regexp_full_match(codigo, '\\d+(\\.\\d+)*')) AS bad_code, FALSE AS blocking FROM t GROUP BY ALL")
 def p23(spark, d):
-    return p.validate_rows(ledger(spark, d, "full")).drop("first_rows")
+    return p.validate_rows(whole(spark, d)).drop("first_row")

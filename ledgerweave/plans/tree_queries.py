@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerweave.functions import codes
 from ledgerweave.operators import tree
 from ledgerweave.plans.ledgers import ledger, ledger_sql
+from ledgerweave.sources.stage import saved
 
 K = "ledger_id, period"
 #: SQL for the same nodes and paths: n(K, codigo, saldo, n), a(K, codigo, ancestor, d).
@@ -29,6 +30,16 @@ def rows(spark, sf_dir, name="full"):
     return tree.in_tree(ledger(spark, sf_dir, name))
 
 
+def whole(spark, sf_dir, name="full"):
+    """The ledger, made once."""
+    return saved(ledger(spark, sf_dir, name), "ledger")
+
+
+def nodes(spark, sf_dir, name="full"):
+    """The ledger's tree, made once."""
+    return saved(tree.nodes(rows(spark, sf_dir, name)), "nodes")
+
+
 def query(name, sql, on="full"):
     def add(f):
         QUERIES[name] = f
@@ -54,33 +65,33 @@ def h2(spark, d):
 
 @query("h3_edges", f"SELECT {K}, child, parent FROM e", "sparse")
 def h3(spark, d):
-    return tree.edges(tree.nodes(rows(spark, d, "sparse")))
+    return tree.edges(nodes(spark, d, "sparse"))
 
 
 @query("h4_roots", f"SELECT {K}, codigo, {D('saldo')} FROM r")
 def h4(spark, d):
-    return double(tree.roots(tree.nodes(rows(spark, d))).select(*tree.KEY, "codigo", "saldo"), "saldo")
+    return double(tree.roots(nodes(spark, d)).select(*tree.KEY, "codigo", "saldo"), "saldo")
 
 
 @query("h5_descendants", f"SELECT {K}, ancestor AS codigo, count(*) AS n, min(codigo) AS low, max(codigo) AS high FROM a WHERE ancestor <> codigo GROUP BY ALL")
 def h5(spark, d):
-    return tree.descendants(tree.nodes(rows(spark, d))).select(*tree.KEY, "codigo", F.size("descendants").cast("long").alias("n"), F.array_min("descendants").alias("low"), F.array_max("descendants").alias("high"))
+    return tree.descendants(nodes(spark, d)).select(*tree.KEY, "codigo", F.size("descendants").cast("long").alias("n"), F.array_min("descendants").alias("low"), F.array_max("descendants").alias("high"))
 
 
 @query("h6_rollup", f"SELECT {K}, codigo, {D('declared')}, {D('children')}, n_children, {D('diff')}, ok FROM c")
 def h6(spark, d):
-    return double(tree.rollup_check(tree.nodes(rows(spark, d))), "declared", "children", "diff")
+    return double(tree.rollup_check(nodes(spark, d)), "declared", "children", "diff")
 
 
 @query("h6_divergences", f"SELECT {K}, codigo, {D('diff')}, CAST(row_number() OVER (PARTITION BY {K} ORDER BY abs(diff) DESC, codigo) AS INT) AS rank FROM c WHERE NOT ok")
 def h6d(spark, d):
-    return double(tree.divergences(tree.nodes(rows(spark, d))).select(*tree.KEY, "codigo", "diff", "rank"), "diff")
+    return double(tree.divergences(nodes(spark, d)).select(*tree.KEY, "codigo", "diff", "rank"), "diff")
 
 
 @query("h7_report", f"""SELECT {K}, m AS rows, CAST(i AS BIGINT) AS in_tree, CAST(ch AS BIGINT) AS checked, CAST(dv AS BIGINT) AS divergent, CAST(du AS BIGINT) AS duplicates, CAST(su AS BIGINT) AS surplus, TRUE AS readable, ch > 0 AS has_tree, ch > 0 AND dv = 0 AS sound
 FROM (SELECT {K}, count(*) AS m FROM t GROUP BY ALL) JOIN (SELECT {K}, sum(n) AS i, count_if(n > 1) AS du, sum(n - 1) AS su FROM n GROUP BY ALL) USING ({K}) JOIN (SELECT {K}, count(*) AS ch, count_if(NOT ok) AS dv FROM c GROUP BY ALL) USING ({K})""")
 def h7(spark, d):
-    return tree.report(ledger(spark, d, "full"))
+    return tree.report(whole(spark, d))
 
 
 @query("h8_duplicates", f"SELECT {K}, codigo, n, n - 1 AS surplus FROM n WHERE n > 1", "repeated")
@@ -93,13 +104,13 @@ CLASS = "CASE WHEN substr(codigo, 1, 1) = '1' THEN 'ATIVO' WHEN substr(codigo, 1
 
 @query("h9_root_totals", f"SELECT {K}, substr(codigo, 1, 1) AS root, {CLASS} AS class, round(CAST(sum(saldo) AS DOUBLE), 2) AS total FROM r GROUP BY ALL")
 def h9(spark, d):
-    return double(tree.root_totals(tree.nodes(rows(spark, d))), "total")
+    return double(tree.root_totals(nodes(spark, d)), "total")
 
 
 @query("h10_equation", f"""SELECT {K}, round(CAST(min(abs(t1 + s2 * t2 + s3 * t3 + s4 * t4)) AS DOUBLE), 2) AS residue, min(abs(t1 + s2 * t2 + s3 * t3 + s4 * t4)) <= greatest(0.01, 1e-6 * max(greatest(abs(t1), abs(t2), abs(t3), abs(t4)))) AS closes
 FROM (SELECT {K}, {", ".join(f"coalesce(sum(CASE WHEN substr(codigo, 1, 1) = '{i}' THEN saldo END), 0) AS t{i}" for i in range(1, 5))} FROM r GROUP BY ALL), (VALUES (1), (-1)) a(s2), (VALUES (1), (-1)) b(s3), (VALUES (1), (-1)) z(s4) GROUP BY {K}""")
 def h10(spark, d):
-    return double(tree.equation(tree.nodes(rows(spark, d))), "residue")
+    return double(tree.equation(nodes(spark, d)), "residue")
 
 
 NATURE = """CASE WHEN regexp_matches(descricao, '^\\s*\\(\\s*-\\s*\\)') THEN 'DESPESA' WHEN regexp_matches(lower(strip_accents(descricao)), 'custo|despesa|deducao|abatimento|perda') THEN 'DESPESA' WHEN regexp_matches(lower(strip_accents(descricao)), 'receita|faturamento|venda|rendimento|ganho') THEN 'RECEITA' END"""
@@ -108,7 +119,7 @@ NATURES = f"""w AS (SELECT {K}, codigo AS ancestor, {NATURE} AS natureza FROM t
 
 @query("h12_natures", f", {NATURES} SELECT * FROM h")
 def h12(spark, d):
-    return tree.natures(ledger(spark, d, "full"))
+    return tree.natures(whole(spark, d))
 
 
 TERM = "CASE WHEN regexp_matches(lower(descricao), 'n[ãa]o[ -]*circulante|longo *prazo|permanente|imobilizado|intang[íi]vel') THEN 'NAO_CIRCULANTE' WHEN regexp_matches(lower(descricao), 'circulante|curto *prazo') THEN 'CIRCULANTE' END"
@@ -116,7 +127,7 @@ TERM = "CASE WHEN regexp_matches(lower(descricao), 'n[ãa]o[ -]*circulante|longo
 
 @query("h13_terms", f", w AS (SELECT {K}, codigo AS ancestor, {TERM} AS prazo FROM t WHERE codigo < '3') SELECT a.ledger_id, a.period, a.codigo, arg_max(prazo, d) AS prazo FROM a JOIN w USING (ledger_id, period, ancestor) WHERE prazo IS NOT NULL GROUP BY ALL")
 def h13(spark, d):
-    return tree.terms(ledger(spark, d, "full"))
+    return tree.terms(whole(spark, d))
 
 
 TOTALS = f"{NATURES}, q AS (SELECT ledger_id, period, natureza, sum(saldo) AS total FROM h JOIN n USING (ledger_id, period, codigo) WHERE NOT EXISTS (SELECT 1 FROM a JOIN h g ON a.ledger_id = g.ledger_id AND a.period = g.period AND a.ancestor = g.codigo WHERE a.ledger_id = h.ledger_id AND a.period = h.period AND a.codigo = h.codigo AND a.ancestor <> h.codigo) GROUP BY ALL)"
@@ -124,13 +135,13 @@ TOTALS = f"{NATURES}, q AS (SELECT ledger_id, period, natureza, sum(saldo) AS to
 
 @query("h14_nature_totals", f", {TOTALS} SELECT {K}, natureza, {D('total')} FROM q")
 def h14(spark, d):
-    full = ledger(spark, d, "full")
+    full = whole(spark, d)
     return double(tree.nature_totals(tree.nodes(tree.in_tree(full)), tree.natures(full)), "total")
 
 
 @query("h15_period_result", f", {TOTALS} SELECT {K}, round(CAST(abs(coalesce(sum(CASE natureza WHEN 'RECEITA' THEN total END), 0)) - abs(coalesce(sum(CASE natureza WHEN 'DESPESA' THEN total END), 0)) AS DOUBLE), 2) AS resultado FROM q GROUP BY {K}")
 def h15(spark, d):
-    full = ledger(spark, d, "full")
+    full = whole(spark, d)
     return double(tree.period_result(tree.nature_totals(tree.nodes(tree.in_tree(full)), tree.natures(full))), "resultado")
 
 
@@ -143,9 +154,9 @@ z AS (SELECT a.ledger_id, a.period, a.codigo, arg_min(a.ancestor, a.d) AS stop F
 
 
 def cut(spark, d):
-    nodes = tree.nodes(rows(spark, d))
-    mapped = nodes.filter(F.replace("codigo", F.lit("."), F.lit("")).cast("long") % 3 != 0)
-    return nodes, *tree.tree_cut(nodes, mapped)
+    n = nodes(spark, d)
+    mapped = n.filter(F.replace("codigo", F.lit("."), F.lit("")).cast("long") % 3 != 0)
+    return n, *tree.tree_cut(n, mapped)
 
 
 @query("h16_tree_cut", f", {CUT} SELECT DISTINCT {K}, stop AS codigo, 'emitted' AS part FROM z UNION ALL SELECT {K}, codigo, 'uncovered' FROM f WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.ledger_id = f.ledger_id AND z.period = f.period AND z.codigo = f.codigo)")
@@ -156,18 +167,18 @@ def h16(spark, d):
 
 @query("h17_absorbed", f", {CUT} SELECT a.ledger_id, a.period, a.ancestor AS codigo, count(*) AS n FROM a JOIN (SELECT DISTINCT {K}, stop AS ancestor FROM z) USING (ledger_id, period, ancestor) WHERE a.codigo <> a.ancestor GROUP BY ALL")
 def h17(spark, d):
-    nodes, emitted, _ = cut(spark, d)
-    return tree.absorbed(nodes, emitted).select(*tree.KEY, "codigo", F.size("absorbed").cast("long").alias("n"))
+    n, emitted, _ = cut(spark, d)
+    return tree.absorbed(n, emitted).select(*tree.KEY, "codigo", F.size("absorbed").cast("long").alias("n"))
 
 
 @query("h18_export_rollup", f"SELECT {K}, codigo, {D('saldo')}, round(CAST(coalesce(children, saldo) AS DOUBLE), 2) AS saldo_calculado, round(CAST(coalesce(diff, 0) AS DOUBLE), 2) AS diff, coalesce(ok OR abs(diff) <= abs(saldo) * 0.0005, TRUE) AS ok FROM n LEFT JOIN c USING (ledger_id, period, codigo)")
 def h18(spark, d):
-    return double(tree.export_rollup(tree.nodes(rows(spark, d))), "saldo", "saldo_calculado", "diff")
+    return double(tree.export_rollup(nodes(spark, d)), "saldo", "saldo_calculado", "diff")
 
 
 @query("h19_relative_difference", f"SELECT {K}, codigo, {D('diff')}, round(CASE WHEN declared <> 0 THEN abs(CAST(diff AS DOUBLE) / CAST(declared AS DOUBLE)) ELSE 0 END, 6) AS relative FROM c")
 def h19(spark, d):
-    c = tree.rollup_check(tree.nodes(rows(spark, d)))
+    c = tree.rollup_check(nodes(spark, d))
     share = F.coalesce(F.abs(F.try_divide(F.col("diff").cast("double"), F.col("declared").cast("double"))), F.lit(0.0))
     return double(c.select(*tree.KEY, "codigo", "diff", F.round(share, 6).alias("relative")), "diff")
 
@@ -175,29 +186,29 @@ def h19(spark, d):
 @query("h20_diagnosis", f"""SELECT {K}, roots, roots > 5 AS exploded, wd AS without_dots, wd > 3 AS mixed, CAST(surplus AS BIGINT) AS surplus, CAST(deepest AS INT) AS deepest FROM (SELECT {K}, count(*) AS roots FROM r GROUP BY ALL)
 JOIN (SELECT {K}, CAST(count(*) FILTER (codigo NOT LIKE '%.%') AS BIGINT) AS wd, sum(n - 1) AS surplus, max(len(string_split(codigo, '.'))) AS deepest FROM n GROUP BY ALL) USING ({K})""")
 def h20(spark, d):
-    return tree.diagnosis(ledger(spark, d, "full"))
+    return tree.diagnosis(whole(spark, d))
 
 
 @query("h20_levels", f"SELECT {K}, CAST(len(string_split(codigo, '.')) AS INT) AS nivel, count(*) AS n FROM n GROUP BY ALL")
 def h20l(spark, d):
-    return tree.level_histogram(tree.nodes(rows(spark, d)))
+    return tree.level_histogram(nodes(spark, d))
 
 
 @query("h20_top_roots", f"SELECT * FROM (SELECT {K}, codigo, {D('saldo')}, CAST(row_number() OVER (PARTITION BY {K} ORDER BY abs(saldo) DESC, codigo) AS INT) AS rank FROM r) WHERE rank <= 15", "repeated")
 def h20t(spark, d):
-    return double(tree.top_roots(tree.nodes(rows(spark, d, "repeated"))), "saldo")
+    return double(tree.top_roots(nodes(spark, d, "repeated")), "saldo")
 
 
 @query("h21_paths", f"SELECT {K}, codigo, string_agg(ancestor, '>' ORDER BY d) AS path FROM a GROUP BY ALL")
 def h21(spark, d):
-    pairs = tree.ancestors(tree.nodes(rows(spark, d)), itself=True)
+    pairs = tree.ancestors(nodes(spark, d), itself=True)
     return pairs.groupBy(*tree.KEY, "codigo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(codes.level(F.col("ancestor")).alias("d"), "ancestor"))), lambda x: x["ancestor"]), ">").alias("path"))
 
 
 @query("h23_inferred_parents", f"SELECT DISTINCT {K}, codigo, CASE WHEN codigo LIKE '%.%' THEN regexp_replace(codigo, '\\.[^.]+$', '') END AS dotted, CASE WHEN len(replace(codigo, '.', '')) > 2 THEN left(replace(codigo, '.', ''), len(replace(codigo, '.', '')) - 2) WHEN len(replace(codigo, '.', '')) = 2 THEN left(codigo, 1) END AS flat FROM n")
 def h23(spark, d):
     flat = F.replace("codigo", F.lit("."), F.lit(""))
-    return tree.nodes(rows(spark, d)).select(*tree.KEY, "codigo", F.when(F.col("codigo").contains("."), tree.inferred_parent(F.col("codigo"))).alias("dotted"), tree.inferred_parent(flat).alias("flat"))
+    return nodes(spark, d).select(*tree.KEY, "codigo", F.when(F.col("codigo").contains("."), tree.inferred_parent(F.col("codigo"))).alias("dotted"), tree.inferred_parent(flat).alias("flat"))
 
 
 @query("h24_parent_codes", f"SELECT DISTINCT {K}, array_to_string(string_split(codigo, '.')[1:i], '.') AS codigo FROM n, unnest(generate_series(1, len(string_split(codigo, '.')) - 1)) AS g(i)", "sparse")
@@ -207,13 +218,13 @@ def h24(spark, d):
 
 @query("j3_has_children", f"SELECT {K}, codigo, EXISTS (SELECT 1 FROM e WHERE e.ledger_id = n.ledger_id AND e.period = n.period AND e.parent = n.codigo) AS synthetic FROM n")
 def j3(spark, d):
-    nodes = tree.nodes(rows(spark, d))
-    parents = tree.edges(nodes).select(*tree.KEY, F.col("parent").alias("codigo")).distinct().withColumn("synthetic", F.lit(True))
-    return nodes.join(parents, [*tree.KEY, "codigo"], "left").select(*tree.KEY, "codigo", F.coalesce("synthetic", F.lit(False)).alias("synthetic"))
+    n = nodes(spark, d)
+    parents = tree.edges(n).select(*tree.KEY, F.col("parent").alias("codigo")).distinct().withColumn("synthetic", F.lit(True))
+    return n.join(parents, [*tree.KEY, "codigo"], "left").select(*tree.KEY, "codigo", F.coalesce("synthetic", F.lit(False)).alias("synthetic"))
 
 
 @query("x22_code_order", f"SELECT {K}, codigo, CAST(row_number() OVER (PARTITION BY {K} ORDER BY list_transform(string_split(codigo, '.'), lambda s: CAST(s AS INT))) AS INT) AS place FROM n")
 def x22(spark, d):
     from pyspark.sql import Window
 
-    return tree.nodes(rows(spark, d)).select(*tree.KEY, "codigo", F.row_number().over(Window.partitionBy(*tree.KEY).orderBy(codes.sort_key(F.col("codigo")))).alias("place"))
+    return nodes(spark, d).select(*tree.KEY, "codigo", F.row_number().over(Window.partitionBy(*tree.KEY).orderBy(codes.sort_key(F.col("codigo")))).alias("place"))

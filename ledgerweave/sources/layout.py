@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes
@@ -101,18 +103,23 @@ def indented(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("codigo", F.when(hangs, F.concat_ws(".", before, F.trim("codigo"))).otherwise(F.trim("codigo")))
 
 
-def outline(rows: DataFrame, key: list[str], deepest: int = 8) -> DataFrame:
-    """rows (with depth from 0) and codigo, their outline number: segment k counts rows of depth k since the last shallower one."""
-    parts = []
-    out = rows
-    for k in range(deepest):
+def outline(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows (with depth from 0) and codigo, their outline number: segment k counts rows of depth k since the last shallower one.
+
+    Each segment that a ledger uses takes one pass over it, so that any depth
+    gets its number; a level that is left out counts as 1 below the row
+    before, or 0 if nothing opened it.
+    """
+    deepest = rows.agg(F.max("depth")).first()[0]
+    parts, out = [], rows
+    for k in range((deepest if deepest is not None else -1) + 1):
         shallower = F.sum((F.col("depth") < k).cast("int")).over(Window.partitionBy(*key).orderBy("row_no"))
         out = out.withColumn(f"__g{k}", shallower)
         w = Window.partitionBy(*key, f"__g{k}").orderBy("row_no")
         level = F.when(F.col("depth") >= k, F.col("depth"))
         opens = F.coalesce((F.first(level, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > k).cast("int"), F.lit(0))
         parts.append(F.when(F.col("depth") >= k, (F.sum((F.col("depth") == k).cast("int")).over(w) + opens).cast("string")))
-    return out.withColumn("codigo", F.concat_ws(".", *parts)).drop(*[f"__g{k}" for k in range(deepest)])
+    return out.withColumn("codigo", F.concat_ws(".", *parts)).drop(*[f"__g{k}" for k in range(len(parts))])
 
 
 def find_column(header: DataFrame, patterns: list[str]) -> DataFrame:
@@ -162,9 +169,10 @@ def contract(rows: DataFrame) -> DataFrame:
 
 
 def ledger_type(rows: DataFrame, key: list[str]) -> DataFrame:
-    """key, type: movement if there are debits or credits, comparative if there is a previous balance, else single."""
-    some = lambda c: F.max(F.col(c).isNotNull()) if c in rows.columns else F.lit(False)
-    return rows.groupBy(*key).agg(F.when(some("debito") | some("credito"), "movement").when(some("saldo_anterior"), "comparative").otherwise("single").alias("type"))
+    """key, type by the columns that a ledger fills: parent, subsidiary, movement (debits or credits), else single."""
+    some = lambda *names: reduce(Column.__or__, [F.max(F.col(c).isNotNull()) for c in names if c in rows.columns], F.lit(False))
+    kind = F.when(some("saldo_anterior_ctrl", "saldo_atual_ctrl"), "parent").when(some("saldo_anterior_controlada", "saldo_atual_controlada"), "subsidiary").when(some("credito", "debito"), "movement").otherwise("single")
+    return rows.groupBy(*key).agg(kind.alias("type"))
 
 
 def series(sources: DataFrame) -> DataFrame:
@@ -177,3 +185,26 @@ def source_problems(sources: DataFrame, most: int = 5) -> DataFrame:
     n = sources.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count("period").alias("known"), F.count_distinct("period").alias("kinds"))
     found = F.array_compact(F.array(F.when(F.col("kinds") < F.col("known"), "repeated period"), F.when(F.col("known") < F.col("n"), "missing period"), F.when(F.col("kinds") > most, "too many periods")))
     return n.select("file_id", F.explode(found).alias("problem"))
+
+
+def fixed_widths(rows: DataFrame, key: list[str], least: float = 0.15, codes_: int = 10, segments: int = 5) -> DataFrame:
+    """key, width: segments of a plan of fixed width with zero padding; null where there are few codes, few inner zeros or few segments."""
+    c = F.col("codigo")
+    found = rows.filter(codes.is_hierarchical(c)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(codes.has_inner_zero(c).cast("int")).alias("share"), F.max(codes.level(c)).alias("width"))
+    return found.select(*key, F.when((F.col("n") >= codes_) & (F.col("share") >= least) & (F.col("width") >= segments), F.col("width")).alias("width"))
+
+
+def canonical(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with codigo as the canonical key of their ledger's plan, and the code as it was in codigo_original."""
+    joined = rows.join(fixed_widths(rows, key), key, "left")
+    return joined.withColumn("codigo_original", F.col("codigo")).withColumn("codigo", codes.fixed_width_key(F.col("codigo"), F.col("width"))).drop("width")
+
+
+def header_slices(cells: DataFrame, last: int = 15) -> DataFrame:
+    """TABLE, header, row_no, col_no, value, label: for each of the first rows as header, the cells below it under its labels.
+
+    Rows are numbered from 0; a header has at least two rows below it.
+    """
+    height = cells.groupBy(*TABLE).agg((F.max("row_no") + 1).alias("rows"))
+    heads = cells.filter(F.col("row_no") <= last).select(*TABLE, F.col("row_no").alias("header"), "col_no", F.trim("value").alias("label"))
+    return cells.join(heads.join(height, TABLE).filter("header < rows - 1").drop("rows"), [*TABLE, "col_no"]).filter("row_no > header")
