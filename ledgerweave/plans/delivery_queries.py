@@ -100,7 +100,7 @@ NAMES = """SELECT s_suppkey AS id, CAST(s_suppkey % 7 AS INT) AS grp, CASE s_sup
 y AS (SELECT id, CAST(u.y AS INT) AS y, u.i FROM s, (SELECT unnest(regexp_extract_all(st, '(?:19|20)\\d{{2}}')) AS y, generate_subscripts(regexp_extract_all(st, '(?:19|20)\\d{{2}}'), 1) AS i) u),
 b AS (SELECT id, arg_max(y, n * 100 - first) AS year FROM (SELECT id, y, count(*) AS n, min(i) AS first FROM y WHERE y BETWEEN 1990 AND 2030 GROUP BY ALL) GROUP BY id)
 SELECT s.id, coalesce(b.year, CASE WHEN regexp_matches(st, '(?i)\\bdez[a-z]*[ ._-]?\\d{{2}}\\b') THEN 2000 + CAST(regexp_extract(st, '(?i)\\bdez[a-z]*[ ._-]?(\\d{{2}})\\b', 1) AS INT) WHEN regexp_matches(st, '(?i)\\b[1-4]T\\d{{2}}\\b') THEN 2000 + CAST(regexp_extract(st, '(?i)\\b[1-4]T(\\d{{2}})\\b', 1) AS INT) ELSE 0 END) AS year,
-CAST(CASE WHEN regexp_matches(lower(name), '\\bmar') THEN 3 WHEN regexp_matches(lower(name), '\\bdez') THEN 12 ELSE 0 END AS INT) AS month,
+CAST(CASE WHEN regexp_matches(lower(replace(name, '_', ' ')), '\\bmar') THEN 3 WHEN regexp_matches(lower(replace(name, '_', ' ')), '\\bdez') THEN 12 ELSE 0 END AS INT) AS month,
 trim(regexp_replace(regexp_replace(regexp_replace(st, '(?i)\\b(balancete|bp|dez\\d\\d|consolidado|parecer|final|[1-4]T\\d\\d)\\b', '', 'g'), '\\b\\d+\\b|[-_]|(?i)bp_dez\\d\\d', '', 'g'), ' +', ' ', 'g')) AS customer FROM s LEFT JOIN b USING (id)""")
 def l26(spark, d):
     q = spark.sql(NAMES, supplier=read(spark, d, "supplier"))

@@ -1,0 +1,249 @@
+"""Queries of file, layout, page and learning operators, with SQL beside each."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ledgerweave.functions import numbers
+from ledgerweave.operators import matching, projection, tree
+from ledgerweave.operators import pages as pg
+from ledgerweave.operators import statement_tables as st
+from ledgerweave.plans.ledgers import ledger, ledger_sql
+from ledgerweave.plans.tree_queries import K, double, nodes
+from ledgerweave.sources import files, layout, sinks
+from ledgerweave.streaming import learning
+
+QUERIES, SQL = {}, {}
+
+
+def query(name, sql):
+    def add(f):
+        QUERIES[name], SQL[name] = f, "WITH RECURSIVE " + sql
+        return f
+
+    return add
+
+
+def read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+#: Tables of four rows a nation: a title, a header, a rule, then suppliers.
+GRID = """SELECT CAST(s_nationkey AS STRING) AS file_id, '' AS sheet, CAST(3 + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS row_no, s_suppkey, s_name, s_acctbal FROM {supplier}"""
+
+
+def grid(spark, d):
+    body = spark.sql(GRID, supplier=read(spark, d, "supplier"))
+    rows = body.select("file_id", "sheet", "row_no", F.array(F.concat(F.lit("1."), "s_suppkey"), "s_name", F.col("s_acctbal").cast("decimal(20,2)").cast("string")).alias("v"))
+    heads = body.select("file_id", "sheet").distinct()
+    at = lambda n, *cells: heads.withColumn("row_no", F.lit(n)).withColumn("v", F.array(*map(F.lit, cells)))
+    whole = at(0, "Empresa", "", "31/12/2020").unionByName(at(1, "Código da conta", "Descrição", "Saldo atual")).unionByName(at(2, "====", "____", "")).unionByName(rows)
+    return whole.select("file_id", "sheet", "row_no", F.posexplode("v").alias("col_no", "value"))
+
+
+NATIONS = "s AS (SELECT CAST(s_nationkey AS VARCHAR) AS file_id, count(*) AS n FROM supplier GROUP BY ALL)"
+
+
+@query("s6_header_candidates", NATIONS + " SELECT file_id, '' AS sheet, CAST(1 AS INT) AS header FROM s")
+def s6(spark, d):
+    return layout.header_candidates(grid(spark, d), ["código", "descri", "saldo"])
+
+
+@query("s7_densest_rows", NATIONS + " SELECT file_id, '' AS sheet, CAST(1 AS INT) AS header FROM s")
+def s7(spark, d):
+    return layout.densest_rows(grid(spark, d))
+
+
+@query("l14_without_rules", NATIONS + " SELECT file_id, (n + 2) * 3 AS cells FROM s")
+def l14(spark, d):
+    return layout.without_rules(grid(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("l3_find_column", NATIONS + " SELECT file_id, '' AS sheet, CAST(2 AS INT) AS col_no FROM s")
+def l3(spark, d):
+    return layout.find_column(grid(spark, d).filter("row_no = 1").withColumnRenamed("value", "label"), ["valor", "saldo", "conta"])
+
+
+@query("l1_keyword_hits", NATIONS + " SELECT file_id, CAST(4 AS INT) AS hits FROM s")
+def l1(spark, d):
+    rows = grid(spark, d).filter("row_no = 1").groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("line"))
+    return rows.select("file_id", (files.keyword_hits(F.col("line")) - 1).alias("hits"))
+
+
+@query("t18_header_accounts", "s AS (SELECT CAST(s_nationkey AS VARCHAR) AS file_id, '1.' || CAST(s_suppkey AS VARCHAR) AS codigo, s_name AS descricao, round(CAST(s_acctbal AS DOUBLE), 2) AS saldo FROM supplier) SELECT * FROM s")
+def t18(spark, d):
+    table = grid(spark, d).filter("row_no = 1 or row_no > 2").withColumn("row_no", F.when(F.col("row_no") == 1, 0).otherwise(F.col("row_no")))
+    return double(st.header_accounts(table).select("file_id", "codigo", "descricao", "saldo"), "saldo")
+
+
+#: Headers of statement tables: entity, period and window by nation.
+HEADS = """SELECT CAST(n_nationkey AS STRING) AS file_id, '' AS sheet, CAST(0 AS INT) AS row_no, array('Descrição', CASE n_nationkey % 3 WHEN 0 THEN 'Controladora' WHEN 1 THEN 'Consolidado' ELSE '' END, CASE n_nationkey % 2 WHEN 0 THEN '31/12/2020' ELSE '30/09/2021' END, CASE n_nationkey % 4 WHEN 0 THEN '31/12/2019 nove meses' WHEN 1 THEN '30/09/2022 três meses' WHEN 2 THEN 'Anterior' ELSE '' END) AS v FROM {nation}"""
+
+
+def heads(spark, d):
+    return spark.sql(HEADS, nation=read(spark, d, "nation")).select("file_id", "sheet", "row_no", F.posexplode("v").alias("col_no", "value"))
+
+
+@query("t19_table_headers", "n AS (SELECT n_nationkey AS k FROM nation) SELECT CAST(k AS VARCHAR) AS file_id, CASE k % 3 WHEN 0 THEN 'controladora' WHEN 1 THEN 'consolidado' ELSE '' END AS entities, CASE k % 4 WHEN 0 THEN '31/12/2019,31/12/2020' WHEN 1 THEN '30/09/2021,30/09/2022' WHEN 2 THEN '31/12/2020' ELSE '30/09/2021' END AS periods, CASE k % 4 WHEN 0 THEN '9M' WHEN 1 THEN '3M' ELSE '' END AS windows FROM n")
+def t19(spark, d):
+    return st.table_headers(heads(spark, d)).select("file_id", *[F.array_join(c, ",").alias(c) for c in ("entities", "periods", "windows")])
+
+
+@query("t11_value_columns", "n AS (SELECT n_nationkey AS k FROM nation) SELECT CAST(k AS VARCHAR) AS file_id, CAST(CASE k % 4 WHEN 1 THEN 3 ELSE 2 END AS INT) AS current_col, CAST(CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE -1 END AS INT) AS previous_col FROM n")
+def t11(spark, d):
+    return st.value_columns(heads(spark, d).withColumnRenamed("value", "label")).select("file_id", "current_col", F.coalesce("previous_col", F.lit(-1)).alias("previous_col"))
+
+
+#: Pages of conversations as statements: the class by turn, with entities and windows put in.
+PAGES = "SELECT conv_id AS doc_id, turn AS page_no, concat(CASE turn % 3 WHEN 0 THEN 'Controladora nove meses ' WHEN 1 THEN 'Consolidado 31/12/2020 ' ELSE '30/09/2021 controladora ' END, coalesce(text, '')) AS text, CASE turn % 3 WHEN 0 THEN 'dre' WHEN 1 THEN 'bp' ELSE 'other' END AS type FROM {conversations}"
+
+
+@query("t21_page_headers", "p AS (SELECT conv_id AS doc_id, turn % 3 AS t FROM conversations WHERE turn IS NOT NULL) SELECT doc_id, coalesce(string_agg(DISTINCT CASE t WHEN 0 THEN 'controladora' WHEN 1 THEN 'consolidado' END, ',' ORDER BY CASE t WHEN 0 THEN 'controladora' WHEN 1 THEN 'consolidado' END), '') AS entities, CASE WHEN bool_or(t = 0) THEN '9M' ELSE '' END AS windows FROM p GROUP BY doc_id")
+def t21(spark, d):
+    pages = spark.sql(PAGES, conversations=read(spark, d, "conversations")).filter("page_no is not null").withColumn("text", F.substring("text", 1, 1 << 20))
+    plain = pages.withColumn("text", F.regexp_replace("text", r"(?i)\b(3|tr[eê]s|9|nove) meses\b(?!.*nove meses)", "nove meses"))
+    out = st.page_headers(plain, pages, ["bp"], ["dre"])
+    return out.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("entities", "windows")])
+
+
+@query("t15_quality", "o AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'bp' ELSE 'dre' END AS statement, o_orderkey % 3 <> 0 AS v FROM orders) SELECT doc_id, statement, count(*) AS accounts, count(*) FILTER (v) AS valued FROM o GROUP BY ALL")
+def t15(spark, d):
+    o = read(spark, d, "orders")
+    value = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    return st.quality(o.select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "bp").otherwise("dre").alias("statement"), value.alias("current"), F.lit(None).cast("double").alias("previous")))
+
+
+LINES = "SELECT conv_id AS doc_id, turn AS page_no, text FROM {conversations} WHERE turn IS NOT NULL AND text IS NOT NULL"
+LINES_SQL = "p AS (SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations WHERE turn IS NOT NULL AND text IS NOT NULL), z AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS a FROM p), l AS (SELECT doc_id, page_no, i - 1 AS line_no, trim(a[i]) AS line FROM z, unnest(generate_series(1, len(a))) g(i) WHERE trim(a[i]) <> '')"
+
+
+def page_lines(spark, d):
+    return pg.lines(spark.sql(LINES, conversations=read(spark, d, "conversations")))
+
+
+@query("t8_sections", LINES_SQL + ", s AS (SELECT *, arg_max(CASE WHEN regexp_matches(lower(line), 'th') THEN 1 WHEN regexp_matches(lower(line), 'de') THEN 0 END, line_no) FILTER (regexp_matches(lower(line), 'th|de')) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS o FROM l) SELECT doc_id, page_no, count(*) AS n FROM s WHERE o = 1 GROUP BY ALL")
+def t8(spark, d):
+    return pg.sections(page_lines(spark, d), "th", "de").groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t2_pages_of_type", "p AS (SELECT conv_id AS doc_id, turn AS page_no, (turn % 5) / 10.0 AS score, CASE turn % 4 WHEN 0 THEN 'bp' WHEN 1 THEN 'dre' WHEN 2 THEN 'other' ELSE 'unknown' END AS type FROM conversations WHERE turn IS NOT NULL) SELECT doc_id, type, count(DISTINCT page_no) AS pages, CAST(min(page_no) AS BIGINT) AS first FROM p WHERE score >= 0.2 AND type IN ('bp', 'dre') GROUP BY ALL")
+def t2(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("bp", "dre", "other", "unknown"))), (F.col("turn") % 4 + 1).cast("int"))
+    classes = read(spark, d, "conversations").filter("turn is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), (F.col("turn") % 5 / 10).alias("score"), kind.alias("type"))
+    return pg.pages_of_type(classes).select("doc_id", "type", F.size("pages").cast("long").alias("pages"), F.array_min("pages").cast("long").alias("first"))
+
+
+@query("t17_word_lines", "s AS (SELECT s_nationkey AS doc_id, s_suppkey // 2 AS line_no, count(*) AS words FROM supplier GROUP BY ALL), b AS (SELECT doc_id, count(*) FILTER (words = 2) >= 3 AS two FROM s GROUP BY doc_id) SELECT s.doc_id, CAST(line_no AS INT) AS line_no, words, two AS two_columns FROM s JOIN b USING (doc_id)")
+def t17(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.lit(1).alias("page_no"), F.concat(F.lit("w"), "s_suppkey").alias("text"), F.when(F.col("s_suppkey") % 2 == 0, 10).otherwise(400).alias("x0"), (F.floor(F.col("s_suppkey") / 2) * 3).alias("top"), F.lit(600).alias("width"))
+    return pg.word_lines(s).select("doc_id", "line_no", F.size(F.split("line", " ")).cast("long").alias("words"), "two_columns")
+
+
+@query("t14_balance_sections", "s AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, CASE o_orderpriority WHEN '1-URGENT' THEN 'assets' WHEN '2-HIGH' THEN 'liabilities' END AS hit FROM orders), f AS (SELECT doc_id, line_no, arg_max(hit, line_no) FILTER (hit IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM s) SELECT doc_id, coalesce(section, '-') AS section, count(*) AS n FROM f GROUP BY ALL")
+def t14(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page_no"), F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("description"))
+    return pg.balance_sections(rows, {"urgent": "assets", "high": "liabilities"}).groupBy("doc_id", F.coalesce("section", F.lit("-")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t22_document_report", "o AS (SELECT o_custkey AS doc_id, o_orderkey, o_orderpriority AS p FROM orders) SELECT doc_id, count(*) AS pages, count(*) FILTER (o_orderkey % 3 = 0) AS statement_pages, count(*) AS rows, count(*) FILTER (p = '1-URGENT') AS totals FROM o GROUP BY doc_id")
+def t22(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 3 == 0, "bp").otherwise("other").alias("type"), F.when(F.col("o_orderpriority") == "1-URGENT", "Total do ativo").otherwise("Caixa").alias("description"))
+    return pg.document_report(o, o)
+
+
+@query("g6_ignored", "e AS (SELECT DISTINCT event_type || CAST(user_id % 20 AS VARCHAR) AS text FROM events) SELECT text FROM e")
+def g6(spark, d):
+    text = read(spark, d, "events").select(F.concat("event_type", F.col("user_id") % 20).alias("text"), "event_id")
+    return learning.ignored(text.filter("event_id % 2 = 0").select("text"), text.filter("event_id % 2 = 1").select("text"))
+
+
+@query("g8_manual_decisions", "e AS (SELECT event_type AS codigo, CAST(user_id % 20 AS VARCHAR) AS text FROM events) SELECT codigo, count(DISTINCT text) AS texts, count(*) AS frequency FROM e GROUP BY codigo")
+def g8(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("key"), (F.col("user_id") % 20).cast("string").alias("text"), F.col("event_type").alias("codigo"), "ts")
+    return learning.manual_decisions(rows)[1].select("codigo", F.size("variations").cast("long").alias("texts"), "frequency")
+
+
+@query("s25_training_report", "e AS (SELECT p_brand AS codigo, count(*) AS frequency, count(DISTINCT p_type) AS variations FROM part GROUP BY ALL) SELECT codigo, frequency, CAST(variations AS INT) AS variations FROM e ORDER BY frequency DESC, codigo LIMIT 20")
+def s25(spark, d):
+    learned = learning.variations(read(spark, d, "part").select(F.col("p_brand").alias("codigo"), F.col("p_type").alias("text")))
+    return sinks.training_report(learned)
+
+
+@query("s23_parse_report", "c AS (SELECT CAST(n_nationkey AS VARCHAR) AS file_id FROM nation), r AS (SELECT CAST(s_nationkey AS VARCHAR) AS file_id, count(*) FILTER (s_suppkey % 5 <> 0) AS rows, count(*) FILTER (s_suppkey % 5 = 0) AS errors FROM supplier GROUP BY ALL) SELECT file_id, md5(file_id) AS sha256, coalesce(rows, 0) AS rows, coalesce(errors, 0) AS errors, coalesce(rows, 0) > 0 AS success FROM c LEFT JOIN r USING (file_id)")
+def s23(spark, d):
+    rows = read(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("file_id"), "s_suppkey")
+    have = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("file_id")).withColumn("sha256", F.md5("file_id"))
+    return sinks.parse_report(rows.filter("s_suppkey % 5 <> 0"), rows.filter("s_suppkey % 5 = 0"), have)
+
+
+@query("s21_accounts", f"t AS ({ledger_sql('geo')}), g AS (SELECT {K}, codigo, row_no, saldo FROM t) SELECT {K}, row_no, codigo, round(CAST(saldo * 2 AS DOUBLE), 2) AS saldo_calculado, row_no % 2 = 0 AS ok FROM g")
+def s21(spark, d):
+    rows = ledger(spark, d, "geo")
+    roll = rows.select(*tree.KEY, "codigo", (F.col("saldo") * 2).alias("saldo_calculado"), F.lit(0).alias("diff"), (F.col("row_no") % 2 == 0).alias("ok"))
+    return double(sinks.accounts_table(rows, roll).select(*tree.KEY, "row_no", "codigo", "saldo_calculado", "ok"), "saldo_calculado")
+
+
+@query("s22_verbatim", "o AS (SELECT o_custkey AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no FROM orders) SELECT file_id, count(*) AS rows, FALSE AS truncated FROM o GROUP BY file_id")
+def s22(spark, d):
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    table = read(spark, d, "orders").select(F.col("o_custkey").alias("file_id"), at.alias("row_no"))
+    return files.verbatim(table).groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.max("truncated").alias("truncated"))
+
+
+@query("l11_unique_labels", "o AS (SELECT o_custkey AS k, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS c, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS nth FROM orders) SELECT CAST(k AS VARCHAR) AS file_id, c AS col_no, CASE WHEN nth = 0 THEN p ELSE p || '.' || CAST(nth AS VARCHAR) END AS label FROM o")
+def l11(spark, d):
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    header = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file_id"), F.lit("").alias("sheet"), at.alias("col_no"), F.col("o_orderpriority").alias("label"))
+    return layout.unique_labels(header).select("file_id", "col_no", "label")
+
+
+@query("l15_filled_down", "e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS v FROM events) SELECT event_id, coalesce(arg_max(v, event_id) FILTER (v IS NOT NULL) OVER (PARTITION BY user_id ORDER BY event_id), '-') AS value FROM e")
+def l15(spark, d):
+    cells = read(spark, d, "events").select(F.col("user_id").alias("file_id"), F.lit("").alias("sheet"), F.col("event_id").alias("row_no"), F.lit(0).alias("col_no"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("value"))
+    return layout.filled_down(cells).select(F.col("row_no").alias("event_id"), F.coalesce("value", F.lit("-")).alias("value"))
+
+
+@query("l17_indented", "o AS (SELECT o_custkey AS k, o_orderkey AS n, CASE WHEN o_orderkey % 3 = 0 THEN '1.' || CAST(o_orderkey AS VARCHAR) END AS dotted FROM orders), a AS (SELECT *, arg_max(dotted, n) FILTER (dotted IS NOT NULL) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM o) SELECT k, n AS row_no, coalesce(dotted, CASE WHEN up IS NULL THEN CAST(n AS VARCHAR) ELSE up || '.' || CAST(n AS VARCHAR) END) AS codigo FROM a")
+def l17(spark, d):
+    n = F.col("o_orderkey").cast("string")
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("row_no"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("1."), n)).otherwise(F.concat(F.lit("  "), n)).alias("codigo"))
+    return layout.indented(rows, ["k"])
+
+
+@query("x9_scaled", "o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 10 AS v FROM orders) SELECT o_orderkey, round(CAST(v AS DOUBLE) / 1000, 2) AS v FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 0 FROM o WHERE o_orderkey % 2 <> 0")
+def x9(spark, d):
+    value = F.when(F.col("o_orderkey") % 2 == 0, (F.floor("o_totalprice") * 10).cast("decimal(20,2)"))
+    return double(read(spark, d, "orders").select("o_orderkey", numbers.scaled(value).alias("v")), "v")
+
+
+@query("x24_humanized", "p AS (SELECT p_partkey AS id, lower(p_type) AS w FROM part), r AS (SELECT id, CASE WHEN contains(w, 'steel') THEN 'metal' WHEN contains(w, 'an') THEN 'other' END AS phrase FROM p) SELECT id, phrase AS phrases FROM r WHERE phrase IS NOT NULL")
+def x24(spark, d):
+    rules = spark.createDataFrame([(1, "steel", "metal"), (2, "an", "other")], "rule_no int, pattern string, phrase string")
+    found = matching.humanized(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("warning")), rules)
+    return found.select("id", F.array_join("phrases", ",").alias("phrases"))
+
+
+@query("p18_income_check", f"t AS ({ledger_sql('geo')}), s AS (SELECT {K}, sum(saldo) AS s FROM t GROUP BY ALL) SELECT {K}, round(CAST(CASE WHEN ledger_id = 'L1' THEN 3 WHEN ledger_id = 'L2' THEN -s ELSE 0 END AS DOUBLE), 2) AS diff, ledger_id NOT IN ('L1', 'L2') AS ok FROM s")
+def p18(spark, d):
+    source = ledger(spark, d, "geo").groupBy(*tree.KEY).agg(tree.money(F.sum("saldo")).alias("total"))
+    delivered = source.filter("ledger_id <> 'L2'").withColumn("total", tree.money(F.col("total") - 10 + F.when(F.col("ledger_id") == "L1", 3).otherwise(0)))
+    uncovered = source.filter("ledger_id <> 'L2'").withColumn("total", tree.money(F.lit(10)))
+    return double(projection.income_check(delivered, uncovered, source), "diff")
+
+
+@query("p24_validate_matches", f"t AS ({ledger_sql('geo')}), m AS (SELECT {K}, row_no % 120 AS score, CASE WHEN row_no % 3 = 0 THEN NULL ELSE 'x' END AS alvo, CASE WHEN row_no % 6 = 0 THEN 'd' WHEN row_no % 3 = 0 THEN NULL ELSE 'y' END AS ad, row_no % 4 <> 0 AS syn FROM t) SELECT {K}, count(*) FILTER (score > 100) AS bad_score, count(*) FILTER ((alvo IS NULL) <> (ad IS NULL)) AS half_pairs, count(*) FILTER (alvo IS NOT NULL AND NOT syn) AS analytical, round(count(*) FILTER (alvo IS NOT NULL AND syn) / count(*) FILTER (syn), 6) AS rate FROM m GROUP BY ALL")
+def p24(spark, d):
+    no = F.col("row_no")
+    rows = ledger(spark, d, "geo").select(*tree.KEY, (no % 120).alias("score"), F.when(no % 3 != 0, "x").alias("alvo"), F.when(no % 6 == 0, "d").when(no % 3 != 0, "y").alias("alvo_descricao"), (no % 4 != 0).alias("synthetic"))
+    return projection.validate_matches(rows)
+
+
+@query("h22_nested_tree", f"t AS ({ledger_sql('full')}), n AS (SELECT DISTINCT {K}, codigo FROM t), e AS (SELECT {K}, codigo AS child, regexp_replace(codigo, '\\.[^.]+$', '') AS parent FROM n WHERE codigo LIKE '%.%') SELECT {K}, parent, string_agg(child, ',' ORDER BY child) AS children FROM e GROUP BY ALL")
+def h22(spark, d):
+    return sinks.nested_tree(tree.edges(nodes(spark, d))).select(*tree.KEY, "parent", F.array_join("children", ",").alias("children"))
+
+
+@query("s8_first_rejected", "o AS (SELECT o_custkey AS file_id, CAST(o_orderkey AS VARCHAR) AS _bad FROM orders), r AS (SELECT file_id, _bad, CAST(row_number() OVER (PARTITION BY file_id ORDER BY _bad) AS INT) AS nth FROM o) SELECT * FROM r WHERE nth <= 10")
+def s8(spark, d):
+    return files.first_rejected(read(spark, d, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").cast("string").alias("_bad")))

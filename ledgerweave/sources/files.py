@@ -80,7 +80,9 @@ def has_columns(header: Column, required: list[str]) -> Column:
     return F.forall(F.array(*map(F.lit, required)), lambda c: F.exists(header, lambda h: (h == c) | F.contains(h, c)))
 
 
-def verbatim(table: DataFrame, most: int = 50_000) -> DataFrame:
-    """table's first rows per file, with truncated where more follow."""
+def verbatim(table: DataFrame, most: int | None = None) -> DataFrame:
+    """table with truncated; all rows, or with most only the first of each file, marked where more follow."""
+    if most is None:
+        return table.withColumn("truncated", F.lit(False))
     longest = F.max("row_no").over(Window.partitionBy("file_id"))
     return table.withColumn("truncated", longest >= most).filter(F.col("row_no") < most)
