@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their bases, in the same order.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüýÿçñ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyycn"
+
+
+def _bases() -> dict[str, str]:
+    """Lower-case letters of the Latin blocks that come apart into ASCII letters and marks, and these letters."""
+    out = {}
+    for c in map(chr, [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.lower() and base != c and base.isascii():
+            out[c] = base
+    return out
+
+
+BASES = _bases()
+ACCENTED = "".join(c for c, b in BASES.items() if len(b) == 1)
+PLAIN = "".join(BASES[c] for c in ACCENTED)
+LIGATURES = {c: b for c, b in BASES.items() if len(b) > 1}
 #: Words that declare a result account's nature; those of expense win.
 EXPENSE_WORDS = ["custo", "despesa", "deducao", "abatimento", "perda", "provisao para perda"]
 REVENUE_WORDS = ["receita", "faturamento", "venda", "rendimento", "ganho"]
@@ -29,6 +43,8 @@ DETAIL = [r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}", r"LTDA\.?|S/A|S\.A\.|EIRELI|ME\b|E
 def unaccented(text: Column) -> Column:
     """Lower case without accents and outer space."""
     plain = F.translate(F.lower(F.trim(text)), ACCENTED, PLAIN)
+    for c, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(c), F.lit(letters))
     return F.regexp_replace(plain, r"\p{Mn}", "")
 
 

@@ -68,3 +68,19 @@ def test_similarity():
         assert common_length(a, b) == slow(a, b)
     assert ratio("abc", "abd") == pytest.approx(200 / 3) and token_sort_ratio("b a", "a b") == 100
     assert token_set_ratio("caixa geral", "caixa") == 100 and token_set_ratio("", "x") == 0 and token_set_ratio("caixa x", "banco y") < 60
+
+
+def test_accents_of_all_latin_letters(spark):
+    from ledgerweave.functions import text
+
+    words = ["Škoda", "Őrség", "ﬁnança", "Żółć", "Ação à vista", "e\u0301tat", "Ångström"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(text.unaccented(F.col("w"))).collect()] == ["skoda", "orseg", "financa", "zołc", "acao a vista", "etat", "angstrom"]
+
+
+def test_noise_and_detail_of_descriptions(spark):
+    from ledgerweave.functions import text
+
+    words = ["TFS SOLUCOES EM SOFTWARE", "CAIXA DO SISTEMA GERAL", "ACME EPP", "BANCO 341", "CONTA 12", "Conta corrente 77", "Digital"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(text.is_noise(F.col("w")), text.is_analytical_detail(F.col("w"))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, True), (False, True), (False, False), (False, True), (False, False)]
