@@ -243,3 +243,19 @@ def humanized(warnings: DataFrame, rules: DataFrame) -> DataFrame:
     """id, phrases: for each warning (id, warning) the phrase of the first rule (rule_no, pattern, phrase) that it holds, each once."""
     met = warnings.join(rules, F.contains(F.lower("warning"), F.col("pattern"))).groupBy("id", "warning").agg(F.min_by("phrase", "rule_no").alias("phrase"))
     return met.groupBy("id").agg(F.array_sort(F.collect_set("phrase")).alias("phrases"))
+
+
+def without_decisions(decisions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Decisions but for those of the given keys."""
+    return decisions.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def decision_statistics(decisions: DataFrame) -> DataFrame:
+    """One row: decisions, manual ones, and codes that they name."""
+    return decisions.agg(F.count(F.lit(1)).alias("decisions"), F.count_if("manual").alias("manual"), F.count_distinct("codigo").alias("codes"))
+
+
+def low_confidence(matched: DataFrame, by: list[str], accept: float = 85.0) -> DataFrame:
+    """by, low, matched: how many of the matched rows (score, codigo) have a score below accept."""
+    hit = F.col("codigo").isNotNull()
+    return matched.groupBy(*by).agg(F.count_if(hit & (F.col("score") < accept)).alias("low"), F.count_if(hit).alias("matched"))

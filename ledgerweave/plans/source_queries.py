@@ -247,3 +247,47 @@ def h22(spark, d):
 @query("s8_first_rejected", "o AS (SELECT o_custkey AS file_id, CAST(o_orderkey AS VARCHAR) AS _bad FROM orders), r AS (SELECT file_id, _bad, CAST(row_number() OVER (PARTITION BY file_id ORDER BY _bad) AS INT) AS nth FROM o) SELECT * FROM r WHERE nth <= 10")
 def s8(spark, d):
     return files.first_rejected(read(spark, d, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").cast("string").alias("_bad")))
+
+
+DECIDED = "e AS (SELECT event_type || '|' || CAST(user_id % 50 AS VARCHAR) AS key, max(event_id) AS m FROM events GROUP BY ALL), x AS (SELECT key, 'C' || CAST(m % 7 AS VARCHAR) AS codigo, m % 3 = 0 AS manual FROM e)"
+
+
+def decided(spark, d):
+    e = read(spark, d, "events").groupBy(F.concat_ws("|", "event_type", F.col("user_id") % 50).alias("key")).agg(F.max("event_id").alias("m"))
+    return e.select("key", F.concat(F.lit("C"), F.col("m") % 7).alias("codigo"), (F.col("m") % 3 == 0).alias("manual"))
+
+
+@query("m17_kept_decisions", DECIDED + " SELECT key, codigo FROM x WHERE NOT manual")
+def m17k(spark, d):
+    every = decided(spark, d)
+    return matching.without_decisions(every, every.filter("manual")).select("key", "codigo")
+
+
+@query("m17_decision_statistics", DECIDED + " SELECT count(*) AS decisions, count(*) FILTER (manual) AS manual, count(DISTINCT codigo) AS codes FROM x")
+def m17s(spark, d):
+    return matching.decision_statistics(decided(spark, d))
+
+
+@query("s24_decision_lines", DECIDED + " SELECT key, '| ' || key || ' | ' || codigo || ' | ' || CASE WHEN manual THEN 'manual' ELSE 'auto' END || ' |' AS line FROM x")
+def s24(spark, d):
+    return sinks.decision_lines(decided(spark, d))
+
+
+@query("f7_low_confidence", "p AS (SELECT p_brand AS b, p_partkey % 101 AS score, CASE WHEN p_partkey % 5 <> 0 THEN 'x' END AS codigo FROM part) SELECT b, count(*) FILTER (codigo IS NOT NULL AND score < 85) AS low, count(codigo) AS matched FROM p GROUP BY b")
+def f7(spark, d):
+    rows = read(spark, d, "part").select(F.col("p_brand").alias("b"), (F.col("p_partkey") % 101).alias("score"), F.when(F.col("p_partkey") % 5 != 0, "x").alias("codigo"))
+    return matching.low_confidence(rows, ["b"])
+
+
+@query("g10_top_codes", "e AS (SELECT p_type AS codigo, count(*) AS frequency FROM part GROUP BY ALL) SELECT codigo, frequency FROM e ORDER BY frequency DESC, codigo LIMIT 15")
+def g10(spark, d):
+    return learning.top_codes(learning.variations(read(spark, d, "part").select(F.col("p_type").alias("codigo"), F.col("p_name").alias("text"))))
+
+
+@query("g7_applied_mappings", "c AS (SELECT DISTINCT p_brand AS codigo, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS classe, p_type AS text FROM part), k AS (SELECT p_brand AS codigo, min(CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END) AS cc FROM part GROUP BY ALL) SELECT DISTINCT text || '|' || classe AS key, c.codigo FROM c JOIN k ON k.codigo = c.codigo AND cc = classe")
+def g7(spark, d):
+    kind = F.when(F.col("p_size") % 2 == 0, "A").otherwise("B")
+    part = read(spark, d, "part")
+    curated = part.select(F.col("p_type").alias("text"), kind.alias("classe"), F.col("p_brand").alias("codigo")).distinct()
+    chart = part.groupBy(F.col("p_brand").alias("codigo")).agg(F.min(kind).alias("classe"))
+    return learning.applied_mappings(learning.checked_mappings(curated, chart)).select("key", "codigo")

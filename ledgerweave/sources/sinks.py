@@ -34,3 +34,13 @@ def nested_tree(edges: DataFrame) -> DataFrame:
 def training_report(variations: DataFrame, n: int = 20) -> DataFrame:
     """The n codes with most accepted matches."""
     return variations.orderBy(F.col("frequency").desc(), "codigo").limit(n).select("codigo", "frequency", F.size("variations").alias("variations"))
+
+
+def decision_lines(decisions: DataFrame) -> DataFrame:
+    """key, line: decisions (key, codigo, manual) as rows of a Markdown table."""
+    return decisions.select("key", F.concat(F.lit("| "), F.concat_ws(" | ", "key", "codigo", F.when(F.col("manual"), "manual").otherwise("auto")), F.lit(" |")).alias("line"))
+
+
+def export_decisions(decisions: DataFrame, path: str) -> None:
+    """Decisions for review, as JSON lines in the order of their keys."""
+    decisions.orderBy("key").write.mode("overwrite").json(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -73,14 +73,31 @@ def dictionary_summary(learned: DataFrame) -> DataFrame:
 
 
 def sessions(metrics: DataFrame) -> DataFrame:
-    """metrics (session, ts, attempted, matched) with running totals and rate."""
-    from pyspark.sql import Window
-
-    run = Window.partitionBy(F.lit(1)).orderBy("ts", "session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = metrics.withColumns({"all_attempted": F.sum("attempted").over(run), "all_matched": F.sum("matched").over(run)})
+    """metrics (session, ts, attempted, matched) with running totals and rate.
+
+    Totals of whole days run over a row per day, then over the sessions of a
+    day, so that no task orders all sessions.
+    """
+    both = ["attempted", "matched"]
+    days = metrics.withColumn("__day", F.to_date("ts"))
+    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    base = days.groupBy("__day").agg(*[F.sum(c).alias(f"__{c}") for c in both]).select("__day", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in both])
+    run = Window.partitionBy("__day").orderBy("ts", "session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = base.withColumnRenamed("__day", "__of")
+    out = days.join(base, F.col("__day").eqNullSafe(F.col("__of"))).withColumns({f"all_{c}": F.sum(c).over(run) + F.col(f"__{c}") for c in both}).drop("__day", "__of", *[f"__{c}" for c in both])
     return out.withColumn("rate", F.round(F.coalesce(F.try_divide("all_matched", "all_attempted"), F.lit(0.0)), 6))
 
 
+def top_codes(learned: DataFrame, n: int = 15) -> DataFrame:
+    """The n codes with the highest frequency, for a summary."""
+    return learned.orderBy(F.col("frequency").desc(), "codigo").limit(n).select("codigo", "frequency")
+
+
+def applied_mappings(checked: DataFrame) -> DataFrame:
+    """key, codigo of checked mappings (text, classe, codigo, reason) that may be used, as decisions by hand."""
+    return checked.filter("reason is null").select(F.concat_ws("|", "text", "classe").alias("key"), "codigo", F.lit(True).alias("manual")).distinct()
+
+
 def reset(state: DataFrame, path: str) -> None:
     """Overwrite a state table by an empty one."""
     state.limit(0).write.mode("overwrite").parquet(path)
