@@ -195,7 +195,7 @@ def t16(spark, d):
 @query("g5_sessions", "m AS (SELECT CAST(event_id % 20 AS BIGINT) AS session, count(*) AS attempted, count(*) FILTER (event_type = 'click') AS matched FROM events GROUP BY ALL) SELECT session, attempted, matched, CAST(sum(attempted) OVER w AS BIGINT) AS all_attempted, CAST(sum(matched) OVER w AS BIGINT) AS all_matched, round((sum(matched) OVER w) / (sum(attempted) OVER w), 6) AS rate FROM m WINDOW w AS (ORDER BY session)")
 def g5(spark, d):
     m = spark.read.parquet(f"{d}/events.parquet").groupBy((F.col("event_id") % 20).alias("session")).agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("event_type") == "click").alias("matched"))
-    return learning.sessions(m.withColumn("ts", F.col("session"))).drop("ts")
+    return learning.sessions(m.withColumn("ts", F.col("session")), F.floor(F.col("ts") / 4)).drop("ts")
 
 
 @query("g10_dictionary_summary", "e AS (SELECT event_type AS codigo, count(DISTINCT user_id) AS v, count(*) AS f FROM events GROUP BY ALL) SELECT count(*) AS codes, CAST(sum(v) AS BIGINT) AS variations, CAST(sum(f) AS BIGINT) AS frequency FROM e")

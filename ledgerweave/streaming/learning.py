@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,14 +72,16 @@ def dictionary_summary(learned: DataFrame) -> DataFrame:
     return learned.agg(F.count(F.lit(1)).alias("codes"), F.sum(F.size("variations")).alias("variations"), F.sum("frequency").alias("frequency"))
 
 
-def sessions(metrics: DataFrame) -> DataFrame:
+def sessions(metrics: DataFrame, part: Column | None = None) -> DataFrame:
     """metrics (session, ts, attempted, matched) with running totals and rate.
 
-    Totals of whole days run over a row per day, then over the sessions of a
-    day, so that no task orders all sessions.
+    part, the day of ts if not given, grows with ts. Totals of whole parts run
+    over a row each, then over the sessions of a part, so that no task orders
+    all sessions.
     """
+    part = F.to_date("ts") if part is None else part
     both = ["attempted", "matched"]
-    days = metrics.withColumn("__day", F.to_date("ts"))
+    days = metrics.withColumn("__day", part)
     before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     base = days.groupBy("__day").agg(*[F.sum(c).alias(f"__{c}") for c in both]).select("__day", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in both])
     run = Window.partitionBy("__day").orderBy("ts", "session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
