@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Customers under nations under regions, as class 1, by grouping sets over one scan; five ledgers of two periods; nations divisible by 7 declare 1.00 too much.
+#: Customers under nations under regions, as class 1, by grouping sets over one scan; five ledgers of two periods for each 5000 customers; nations divisible by 7 declare 1.00 too much.
 GEO = """
-WITH c AS (SELECT 'L' || CAST(c_custkey % 5 AS STRING) AS ledger_id, CAST(2020 + c_custkey % 2 AS INT) AS period, n_regionkey AS r, n_nationkey AS n, c_custkey AS k, c_name, n_name, r_name, CAST(c_acctbal AS DECIMAL(20,4)) AS v
+WITH c AS (SELECT 'L' || CAST(c_custkey % 5 AS STRING) || CASE WHEN c_custkey >= 5000 THEN 'x' || CAST(CAST(floor(c_custkey / 5000) AS INT) AS STRING) ELSE '' END AS ledger_id, CAST(2020 + c_custkey % 2 AS INT) AS period, n_regionkey AS r, n_nationkey AS n, c_custkey AS k, c_name, n_name, r_name, CAST(c_acctbal AS DECIMAL(20,4)) AS v
   FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey),
 g AS (SELECT ledger_id, period, r, n, k, max(c_name) AS c_name, max(n_name) AS n_name, max(r_name) AS r_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn, grouping(r) AS gr FROM c GROUP BY GROUPING SETS ((ledger_id, period, r, n, k), (ledger_id, period, r, n), (ledger_id, period, r), (ledger_id, period)))
 SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 4000000000 + k WHEN gn = 0 THEN 3000000000 + n WHEN gr = 0 THEN 2000000000 + r ELSE 1000000000 END AS BIGINT) AS row_no,

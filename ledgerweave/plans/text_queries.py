@@ -9,6 +9,7 @@ from ledgerweave.operators import pages as pg
 from ledgerweave.plans.ledgers import ledger, ledger_sql
 from ledgerweave.plans.tree_queries import K, double
 from ledgerweave.sources import files, layout
+from ledgerweave.sources.stage import saved
 from ledgerweave.streaming import learning
 
 QUERIES, SQL = {}, {}
@@ -103,20 +104,23 @@ def t9(spark, d):
     return pg.mentions(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("page_no"), "text")).select("doc_id", F.array_join("years", ",").alias("years"))
 
 
-def cells(spark, d):
-    """The ledger as a cell table: a counter, the code, the description, a constant and the balance."""
-    t = ledger(spark, d, "full").select("ledger_id", "period", F.col("row_no"), F.array(F.col("row_no").cast("string"), F.col("codigo"), F.concat(F.lit("Conta "), F.col("descricao")), F.lit("x"), F.col("saldo").cast("string")).alias("v"))
-    return t.select(F.col("ledger_id").alias("file_id"), F.col("period").cast("string").alias("sheet"), "row_no", F.posexplode("v").alias("col_no", "value"))
+def cells(spark, d, varied=False):
+    """The ledger as a cell table: a counter, the code, the description, a constant and the balance; varied: without codes in L4, without amounts in L3."""
+    no, code, balance = F.col("row_no").cast("string"), F.col("codigo"), F.col("saldo").cast("string")
+    if varied:
+        no, code, balance = F.when(F.col("ledger_id") == "L4", F.concat(F.lit("linha "), no)).otherwise(no), F.when(F.col("ledger_id") == "L4", "Conta").otherwise(code), F.when(F.col("ledger_id") == "L3", "sem valor").otherwise(F.replace(F.col("saldo").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(",")))
+    t = ledger(spark, d, "full").select("ledger_id", "period", F.col("row_no"), F.array(no, code, F.concat(F.lit("Conta "), F.col("descricao")), F.lit("x"), balance).alias("v"))
+    return saved(t.select(F.col("ledger_id").alias("file_id"), F.col("period").cast("string").alias("sheet"), "row_no", F.posexplode("v").alias("col_no", "value")), "cells")
 
 
-@query("l10_column_roles", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, 4 AS balance_col, 2 AS description_col FROM t")
+@query("l10_column_roles", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, CASE WHEN ledger_id = 'L3' THEN -1 ELSE 4 END AS balance_col, CASE WHEN ledger_id = 'L4' THEN 0 ELSE 2 END AS description_col FROM t")
 def l10(spark, d):
-    return layout.roles(cells(spark, d)).select("file_id", "sheet", "balance_col", "description_col")
+    return layout.roles(cells(spark, d, True)).select("file_id", "sheet", F.coalesce("balance_col", F.lit(-1)).alias("balance_col"), "description_col")
 
 
-@query("l2_looks_like_ledger", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, TRUE AS ledger FROM t")
+@query("l2_looks_like_ledger", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, ledger_id <> 'L4' AS ledger FROM t")
 def l2(spark, d):
-    return layout.looks_like_ledger(cells(spark, d))
+    return layout.looks_like_ledger(cells(spark, d, True))
 
 
 @query("l12_records", f"t AS ({ledger_sql('full')}) SELECT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, row_no, 'Conta ' || descricao AS descricao, round(CAST(saldo AS DOUBLE), 2) AS saldo FROM t")
@@ -181,10 +185,11 @@ def l28(spark, d):
     return layout.source_problems(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("file_id"), F.year("o_orderdate").alias("period")))
 
 
-@query("s15_table_catalogue", f"t AS ({ledger_sql('full')}), c AS (SELECT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, count(*) AS rows FROM t GROUP BY ALL) SELECT file_id, sheet, rows, TRUE AS has_tree, 'ledger' AS kind, row_number() OVER (PARTITION BY file_id ORDER BY rows DESC, sheet) = 1 AS chosen FROM c")
+@query("s15_table_catalogue", f"t AS (SELECT ledger_id, period, codigo FROM ({ledger_sql('full')}) q UNION ALL SELECT 'F0', 2020, CAST(s_suppkey AS STRING) FROM supplier), c AS (SELECT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, count(*) AS rows, bool_or(codigo LIKE '%.%') AS has_tree FROM t GROUP BY ALL) SELECT file_id, sheet, rows, has_tree, CASE WHEN has_tree THEN 'ledger' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY file_id ORDER BY has_tree DESC, rows DESC, sheet) = 1 AS chosen FROM c")
 def s15(spark, d):
+    flat = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("F0").alias("file_id"), F.lit("2020").alias("sheet"), F.col("s_suppkey").cast("string").alias("codigo"))
     t = ledger(spark, d, "full").select(F.col("ledger_id").alias("file_id"), F.col("period").cast("string").alias("sheet"), "codigo")
-    return layout.table_catalogue(t)
+    return layout.table_catalogue(t.unionByName(flat))
 
 
 @query("t16_account_lines", STATEMENT + " SELECT doc_id, line_no, 'Order ' || substr(o_orderpriority, 3) AS description, round(CAST(v AS DOUBLE), 2) AS value FROM o")
