@@ -3,9 +3,12 @@
 A line within edit distance t of another holds one of the other's t + 1
 segments unchanged, and close to its place. Each distinct line is indexed
 under its segments, and probes, for each length that a shorter partner may
-have, the substrings that such a partner's segments can be. What meets is
-verified by banded bit-parallel edit distance: a bit for each diagonal of the
-band, and a word for each number of edits. DataFrame functions only.
+have, the substrings that such a partner's segments can be. An edit flips at
+most two of the parities in which a line has each character, and four of those
+of its pairs of characters; pairs of lines whose parities are further apart
+never come out of the join. What is left is verified by banded bit-parallel
+edit distance: a bit for each diagonal of the band, and a word for each number
+of edits. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,13 +21,8 @@ from pyspark.sql import functions as F
 from ledgerweave.llm.base import Scratch
 from ledgerweave.llm.components import components
 
-
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of part i (from 1) of parts; the last parts are longer by one where needed."""
-    size = F.floor(length / parts)
-    longer = length - size * parts
-    begin = size * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - parts) + longer) + 1
-    return begin, size + F.when(longer >= parts + 1 - i, 1).otherwise(0)
+#: Line numbers (16 bytes each) are broadcast up to this many; beyond, the join is by sort-merge.
+BROADCAST_ROWS = 250_000
 
 
 def probes(t: int) -> Iterator[tuple[int, int, int]]:
@@ -35,14 +33,32 @@ def probes(t: int) -> Iterator[tuple[int, int, int]]:
                 yield d, i, shift
 
 
-def keys(line: str, length: str, t: int, probe: bool) -> Column:
-    """The keys under which a line is looked up, or indexed."""
-    out = []
-    for d, i, shift in probes(t) if probe else ((0, i, 0) for i in range(1, t + 2)):
-        partner = F.col(length) - d
-        begin, size = segment(partner, i, t + 1)
-        out.append(F.xxhash64(F.lit(i), partner.cast("int"), F.substring(F.col(line), (begin + shift).cast("int"), size.cast("int"))))
-    return F.array(*out)
+def keys(lines: DataFrame, t: int, probe: bool) -> DataFrame:
+    """lid, key, own for each key under which a line is looked up, or indexed; own marks those under which it is indexed.
+
+    Of t + 1 segments the last are longer by one where needed. The line is put
+    into UTF-32, where a substring is found at once. The keys' places are
+    rows of a generator rather than an array of expressions, so that the code
+    for one key is small, and compiled.
+    """
+    places = [(d, i, shift) for d, i, shift in probes(t) if probe or d == shift == 0]
+    rows = F.inline(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in places]))
+    df = lines.select("lid", "length", F.encode("line", "UTF-32").alias("u")).select("lid", "length", "u", rows)
+    df = df.withColumn("size", F.expr(f"CAST((length - d) DIV {t + 1} AS INT)")).withColumn("longer", F.expr(f"length - d - size * {t + 1}"))
+    begin, size = f"(size * (i - 1) + greatest(0, i - {t + 2} + longer) + shift)", f"(size + CAST(longer >= {t + 2} - i AS INT))"
+    return df.select("lid", F.expr(f"xxhash64(i, length - d, substring(u, 4 * {begin} + 1, 4 * {size}))").alias("key"), F.expr("d = 0 AND shift = 0").alias("own"))
+
+
+def parities(lines: DataFrame) -> DataFrame:
+    """lid, ones, twos: whether characters, and pairs of neighbours, that hash to each of 64 bits are odd in number."""
+    places = lines.select("lid", F.encode("line", "UTF-32").alias("u")).select("lid", "u", F.explode(F.sequence(F.lit(0), F.expr("octet_length(u) DIV 4").cast("int"))).alias("i"))
+    bit = lambda n: F.bit_xor(F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(substring(u, 4 * i + 1, {4 * n})), 64) AS INT))"))
+    return places.groupBy("lid").agg(bit(1).alias("ones"), bit(2).alias("twos"))
+
+
+def can_be_near(a: str, b: str, t: int) -> Column:
+    """Whether the parities of sides a and b allow for t edits."""
+    return F.expr(f"bit_count(ones_{a} ^ ones_{b}) <= {2 * t} AND bit_count(twos_{a} ^ twos_{b}) <= {4 * t}")
 
 
 def edit_distance(a: str, b: str, t: int, block: int = 32) -> Column:
@@ -68,16 +84,11 @@ def edit_distance(a: str, b: str, t: int, block: int = 32) -> Column:
     return F.expr(f"CASE WHEN abs(size({a}) - size({b})) <= {t} THEN transform(array({state}), z -> CASE {cases} END)[0] END")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, t: int, scratch: Scratch, label: str) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, t: int, scratch: Scratch, label: str) -> DataFrame:
     """The pairs (a, b) of lines that are within t edits, with their distance."""
-    pairs = scratch.save(pairs, f"{label}-pairs")
-    wanted = pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
-    texts = scratch.save(lines.select("lid", "line").join(wanted.hint("merge"), "lid"), f"{label}-texts", free=True)
     left, right = (texts.select(F.col("lid").alias(x), F.split("line", "").alias(f"c{x}")) for x in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    links = scratch.save(both.withColumn("distance", edit_distance("ca", "cb", t)).filter("distance is not null").select("a", "b", "distance"), f"{label}-links", free=True)
-    scratch.drop(f"{label}-texts")
-    return links
+    return scratch.save(both.withColumn("distance", edit_distance("ca", "cb", t)).filter("distance is not null").select("a", "b", "distance"), f"{label}-links")
 
 
 def similar_lines(lines: DataFrame, t: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -88,28 +99,31 @@ def similar_lines(lines: DataFrame, t: int, scratch: Scratch) -> tuple[DataFrame
     held against each other, so a large group of similar lines is not paired
     up, and no link between components is lost.
     """
-    index = lines.select("lid", F.explode(keys("line", "length", t, False)).alias("key"))
-    probe = lines.select(F.col("lid").alias("other"), F.explode(keys("line", "length", t, True)).alias("key"))
+    index, probe = keys(lines, t, False), keys(lines, t, True).withColumnRenamed("lid", "other")
     first = index.groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last"))
-    shared = scratch.save(probe.join(first.hint("merge"), "key").filter("other <> lead or other <> last").select("key", "other", "lead"), "shared", free=True)
+    # A line looks up the keys that it is indexed under, too, so these rows have all members of a key but for a lone one, its lead.
+    shared = scratch.save(probe.join(first.hint("merge"), "key").filter("other <> lead or other <> last").select("key", "other", "lead", "own"), "shared")
+    wanted = scratch.save(shared.select(F.col("other").alias("lid")).unionByName(shared.select(F.col("lead").alias("lid"))).distinct(), "wanted")
+    texts = scratch.save(lines.select("lid", "line").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge"), "lid"), "texts")
+    marks = scratch.save(parities(texts), "marks")
+    side = lambda x: marks.select(F.col("lid").alias(x), F.col("ones").alias(f"ones_{x}"), F.col("twos").alias(f"twos_{x}")).hint("merge")
+
     pair = [F.least("other", "lead").alias("a"), F.greatest("other", "lead").alias("b")]
-    stars = shared.filter("other <> lead").select(*pair).distinct()
-    links = verified(stars, lines, t, scratch, "stars")
+    stars = scratch.save(shared.filter("other <> lead").select(*pair).distinct().join(side("a"), "a").join(side("b"), "b").filter(can_be_near("a", "b", t)).select("a", "b"), "stars")
+    links = verified(stars, texts, t, scratch, "stars")
     parts = scratch.save(components(links, scratch, "first"), "first")
 
-    members = index.join(shared.select("key").distinct().hint("merge"), "key").withColumnRenamed("lid", "lead")
-    rooted = lambda df, c: df.join(parts.hint("merge"), F.col(c) == F.col("node"), "left").select("key", c, F.coalesce("root", c).alias(f"root_{c}"))
+    members = shared.filter("own").select("key", F.col("other").alias("lead")).unionByName(shared.select("key", "lead")).distinct()
+    rooted = lambda df, c: df.join(side(c), c).join(parts.hint("merge"), F.col(c) == F.col("node"), "left").select("key", c, f"ones_{c}", f"twos_{c}", F.coalesce("root", c).alias(f"root_{c}"))
     looked, members = scratch.save(rooted(shared.select("key", "other"), "other"), "looked"), scratch.save(rooted(members, "lead"), "members")
     roots = looked.select("key", F.col("root_other").alias("r")).unionByName(members.select("key", F.col("root_lead").alias("r")))
     open_ = roots.groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low < high").select("key")
-    cross = looked.join(open_.hint("merge"), "key").join(members.hint("merge"), "key").filter("root_other <> root_lead").select(*pair).distinct()
-    tried = scratch.spark.read.parquet(f"{scratch.at}/stars-pairs")
-    more = verified(cross.join(tried.hint("merge"), ["a", "b"], "left_anti"), lines, t, scratch, "cross")
+    cross = looked.join(open_.hint("merge"), "key").join(members.hint("merge"), "key").filter("root_other <> root_lead").filter(can_be_near("other", "lead", t)).select(*pair).distinct()
+    more = verified(cross.join(stars.hint("merge"), ["a", "b"], "left_anti"), texts, t, scratch, "cross")
     links = links.unionByName(more)
     if not more.isEmpty():
         parts = scratch.save(components(links, scratch, "second"), "second")
-    for name in ("shared", "looked", "members"):
-        scratch.drop(name)
+    scratch.drop("shared", "wanted", "texts", "marks", "looked", "members")
     return parts, links
 
 
@@ -117,10 +131,13 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least: int = 20, id_col: str
     """docs with two more columns: __removed, the numbers (from 0) of the lines to remove, and __near, how many of them have no exact twin before them.
 
     Lines part at newlines. Lines of at least least characters within
-    threshold edits are linked, shorter ones only when equal; of all lines
-    that links join, directly or over others, the first stays, by id and
-    line number. Blank lines stay. Null ids come last; rows with the same id
-    and text are one document; null and empty texts have no lines to remove.
+    threshold edits are linked (with least 0, all), shorter ones only when
+    equal; of all lines that links join, directly or over others, the first
+    stays, by id and line number. Blank lines stay. Null ids come last; rows
+    with the same id and text are one document; null and empty texts have no
+    lines to remove. Whole texts and lines of any length are read; an empty
+    table gives no rows; other columns are kept, but none may be named
+    __removed, __near, __id or __q.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     last = F.lit((1 << 63) - 1)
@@ -130,7 +147,7 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least: int = 20, id_col: str
     # A place is one number, so that a hash aggregate can find the first.
     place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")
     lines = rows.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.char_length("line").alias("length"), *name, "first", "n"), "lines", free=True)
+    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.char_length("line").alias("length"), *name, "first", "n"), "lines")
     parts, _ = similar_lines(lines.filter(F.col("length") >= least), threshold, scratch)
     placed = lines.select("lid", "h", "g", "first", "n").join(parts.hint("merge"), F.col("lid") == F.col("node"), "left")
     placed = placed.filter("node is not null or n > 1").withColumn("root", F.coalesce("root", "lid"))
@@ -138,7 +155,7 @@ def line_dedup(docs: DataFrame, threshold: int = 2, least: int = 20, id_col: str
     known = scratch.save(placed.join(firsts.hint("merge"), "root").select("h", "g", "earliest", (F.col("first") == F.col("earliest")).alias("twin")), "known")
     gone = rows.select("id", "q", "no", *name).join(known.hint("merge"), ["h", "g"]).filter(place != F.col("earliest"))
     gone = scratch.save(gone.groupBy("id", "q").agg(F.collect_set("no").alias("__removed"), F.count_distinct(F.when(~F.col("twin"), F.col("no"))).alias("__near")), "gone")
-    scratch.drop("lines")
+    scratch.drop("lines", "known")
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), last), "__q": F.coalesce(F.xxhash64(text_col), F.lit(0))})
     joined = keyed.join(gone.withColumnsRenamed({"id": "__id", "q": "__q"}).hint("merge"), ["__id", "__q"], "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__removed", F.array().cast("array<int>")).alias("__removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("__near"))

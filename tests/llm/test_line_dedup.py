@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.line_dedup import edit_distance, line_report, probes
+from ledgerweave.llm.base import Scratch
+from ledgerweave.llm.line_dedup import edit_distance, line_report, probes, similar_lines
 
 
 def distance(a, b):
@@ -77,3 +78,25 @@ def test_against_brute_force(spark):
     got = line_report(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 2, 20)
     assert line_report(docs.limit(0)).count() == 0
+
+
+def test_all_lines_alike(spark):
+    """With least 0, short lines are linked within the threshold, too."""
+    rows = [(1, "a\nab\nxyz\nq"), (2, "abcdefgh\nabcdxxgh\nabcdxxyh"), (3, "\nabcdefghi\nabcdefgh"), (4, "hello there\nhxllo thxre\nhelo ther\nanother one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_report(docs, least=0).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 2, 0)
+
+
+def test_large_groups_make_few_pairs(spark, tmp_path):
+    """Of many lines that share a segment and are not near, no pairs come out of the joins; all links of those that are near are found."""
+    rng = random.Random(9)
+    head = "the same beginning of all these lines, so that they share a segment of it "
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    tails = [" ".join(word() for _ in range(9)) for _ in range(150)]
+    rows = [(i, head + x) for i, x in enumerate(tails)] + [(200 + i, head + x[:40] + "#" + x[41:]) for i, x in enumerate(tails[:30])]
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in rows], "lid long, line string, length int")
+    scratch = Scratch(spark, "pairs")
+    _, links = similar_lines(lines, 2, scratch)
+    assert sorted((r.a, r.b) for r in links.collect()) == [(i, 200 + i) for i in range(30)]
+    assert spark.read.parquet(f"{scratch.at}/stars").count() < 200
