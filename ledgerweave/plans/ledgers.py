@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 GEO = """
 WITH c AS (SELECT 'L' || CAST(c_custkey % 5 AS STRING) || CASE WHEN c_custkey >= 5000 THEN 'x' || CAST(CAST(floor(c_custkey / 5000) AS INT) AS STRING) ELSE '' END AS ledger_id, CAST(2020 + c_custkey % 2 AS INT) AS period, n_regionkey AS r, n_nationkey AS n, c_custkey AS k, c_name, n_name, r_name, CAST(c_acctbal AS DECIMAL(20,4)) AS v
   FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey),
-g AS (SELECT ledger_id, period, r, n, k, max(c_name) AS c_name, max(n_name) AS n_name, max(r_name) AS r_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn, grouping(r) AS gr FROM c GROUP BY GROUPING SETS ((ledger_id, period, r, n, k), (ledger_id, period, r, n), (ledger_id, period, r), (ledger_id, period)))
+g AS (SELECT ledger_id, period, r, n, k, c_name, n_name, r_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn, grouping(r) AS gr FROM c GROUP BY GROUPING SETS ((ledger_id, period, r, r_name, n, n_name, k, c_name), (ledger_id, period, r, r_name, n, n_name), (ledger_id, period, r, r_name), (ledger_id, period)))
 SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 4000000000 + k WHEN gn = 0 THEN 3000000000 + n WHEN gr = 0 THEN 2000000000 + r ELSE 1000000000 END AS BIGINT) AS row_no,
   '1' || CASE WHEN gr = 0 THEN '.' || CAST(r + 1 AS STRING) ELSE '' END || CASE WHEN gn = 0 THEN '.' || CAST(n + 1 AS STRING) ELSE '' END || CASE WHEN gk = 0 THEN '.' || CAST(k + 1 AS STRING) ELSE '' END AS codigo,
   CASE WHEN gk = 0 THEN c_name WHEN gn = 0 THEN n_name WHEN gr = 0 THEN CASE WHEN r % 2 = 0 THEN 'Ativo Circulante ' ELSE 'Ativo não circulante ' END || r_name ELSE 'ATIVO' END AS descricao,
@@ -18,7 +18,7 @@ SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 4000000000 + k WHEN gn = 0
 #: Suppliers under nations, as class 2, with the sign of a liability.
 EQUITY = """
 WITH s AS (SELECT 'L' || CAST(s_suppkey % 5 AS STRING) AS ledger_id, CAST(2020 + s_suppkey % 2 AS INT) AS period, s_nationkey AS n, s_suppkey AS k, s_name, n_name, CAST(-s_acctbal AS DECIMAL(20,4)) AS v FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey),
-h AS (SELECT ledger_id, period, n, k, max(s_name) AS s_name, max(n_name) AS n_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn FROM s GROUP BY GROUPING SETS ((ledger_id, period, n, k), (ledger_id, period, n), (ledger_id, period)))
+h AS (SELECT ledger_id, period, n, k, s_name, n_name, sum(v) AS v, grouping(k) AS gk, grouping(n) AS gn FROM s GROUP BY GROUPING SETS ((ledger_id, period, n, n_name, k, s_name), (ledger_id, period, n, n_name), (ledger_id, period)))
 SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 7000000000 + k WHEN gn = 0 THEN 6000000000 + n ELSE 5000000000 END AS BIGINT) AS row_no,
   '2' || CASE WHEN gn = 0 THEN '.' || CAST(n + 1 AS STRING) ELSE '' END || CASE WHEN gk = 0 THEN '.' || CAST(k + 1 AS STRING) ELSE '' END AS codigo,
   CASE WHEN gk = 0 THEN s_name WHEN gn = 0 THEN n_name ELSE 'PASSIVO' END AS descricao, CAST(v AS DECIMAL(20,4)) AS saldo FROM h
@@ -26,8 +26,9 @@ SELECT ledger_id, period, CAST(CASE WHEN gk = 0 THEN 7000000000 + k WHEN gn = 0
 
 #: Line items as costs (class 3) and revenues (class 4), by flag and status.
 RESULT = """
-WITH l AS (SELECT 'L' || CAST(l_suppkey % 5 AS STRING) AS ledger_id, CAST(2020 + l_suppkey % 2 AS INT) AS period, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS f, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS s, CAST(l_extendedprice AS DECIMAL(20,4)) AS v, CAST(round(l_tax * 100) AS INT) AS t FROM {lineitem}),
-q AS (SELECT ledger_id, period, f, s, CAST(sum(v) AS DECIMAL(20,4)) AS revenue, CAST(sum(v * t) / 100 AS DECIMAL(20,4)) AS cost, grouping(f) AS gf, grouping(s) AS gs FROM l GROUP BY GROUPING SETS ((ledger_id, period, f, s), (ledger_id, period, f), (ledger_id, period))),
+WITH i AS (SELECT l_suppkey % 5 AS a, l_suppkey % 2 AS y, l_returnflag, l_linestatus, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT)) AS taxed FROM {lineitem} GROUP BY l_suppkey % 5, l_suppkey % 2, l_returnflag, l_linestatus),
+l AS (SELECT 'L' || CAST(a AS STRING) AS ledger_id, CAST(2020 + y AS INT) AS period, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS f, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS s, CAST(CAST(cents AS DECIMAL(20,0)) * 0.01 AS DECIMAL(20,4)) AS v, CAST(CAST(taxed AS DECIMAL(22,0)) * 0.0001 AS DECIMAL(20,4)) AS t FROM i),
+q AS (SELECT ledger_id, period, f, s, CAST(sum(v) AS DECIMAL(20,4)) AS revenue, CAST(sum(t) AS DECIMAL(20,4)) AS cost, grouping(f) AS gf, grouping(s) AS gs FROM l GROUP BY GROUPING SETS ((ledger_id, period, f, s), (ledger_id, period, f), (ledger_id, period))),
 b AS (SELECT *, 4 AS class, revenue AS saldo FROM q UNION ALL SELECT *, 3 AS class, cost AS saldo FROM q)
 SELECT ledger_id, period, CAST(CASE class WHEN 4 THEN 9000000000 ELSE 8000000000 END + CASE WHEN gs = 0 THEN 500000000 + f * 10 + s WHEN gf = 0 THEN 400000000 + f ELSE 300000000 END AS BIGINT) AS row_no,
   CAST(class AS STRING) || CASE WHEN gf = 0 THEN '.' || CAST(f AS STRING) ELSE '' END || CASE WHEN gs = 0 THEN '.' || CAST(s AS STRING) ELSE '' END AS codigo,
