@@ -86,3 +86,9 @@ def bank_facts(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]
 def by_entity(results: dict[str, DataFrame]) -> DataFrame:
     """One table of the results of several entities, with entity."""
     return reduce(DataFrame.unionByName, [df.withColumn("entity", F.lit(name)) for name, df in results.items()])
+
+
+def set_aside(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(balance, aside): a bank's rows without those of compensation, and these."""
+    off = F.coalesce(codes.bank_role(F.substring("codigo", 1, 1)) == "COMPENSACAO", F.lit(False))
+    return rows.filter(~off), rows.filter(off)

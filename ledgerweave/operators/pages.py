@@ -141,3 +141,9 @@ def document_report(classes: DataFrame, rows: DataFrame) -> DataFrame:
     c = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.col("type").isin("other", "unknown")).alias("statement_pages"))
     r = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_total_line(F.col("description"))).alias("totals"))
     return c.join(r, "doc_id", "left").fillna(0, ["rows", "totals"])
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """rows (PAGE, line_no, description, value) of which each description, in lower case, and value stays once in a document: the first."""
+    first = F.min(F.struct("page_no", "line_no", "description")).alias("f")
+    return rows.groupBy("doc_id", F.lower("description").alias("__d"), "value").agg(first).select("doc_id", "f.page_no", "f.line_no", "f.description", "value")

@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import numbers
-from ledgerweave.operators import matching, projection, tree
+from ledgerweave.operators import delivery, matching, projection, tree
 from ledgerweave.operators import pages as pg
 from ledgerweave.operators import statement_tables as st
 from ledgerweave.plans.ledgers import ledger, ledger_sql
 from ledgerweave.plans.tree_queries import K, double, nodes
-from ledgerweave.sources import files, layout, sinks
+from ledgerweave.sources import files, layout, names, sinks
+from ledgerweave.sources.stage import saved
 from ledgerweave.streaming import learning
 
 QUERIES, SQL = {}, {}
@@ -291,3 +292,47 @@ def g7(spark, d):
     curated = part.select(F.col("p_type").alias("text"), kind.alias("classe"), F.col("p_brand").alias("codigo")).distinct()
     chart = part.groupBy(F.col("p_brand").alias("codigo")).agg(F.min(kind).alias("classe"))
     return learning.applied_mappings(learning.checked_mappings(curated, chart)).select("key", "codigo")
+
+
+@query("l4_l7_named_roles", NATIONS + " SELECT file_id, '' AS sheet, CAST(1 AS INT) AS description_col, CAST(2 AS INT) AS balance_col FROM s WHERE n >= 3")
+def l4(spark, d):
+    g = grid(spark, d)
+    body, header = g.filter("row_no > 2"), g.filter("row_no = 1").withColumnRenamed("value", "label")
+    many = read(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("file_id")).count().filter("count >= 3").select("file_id")
+    return layout.named_roles(body.join(many, "file_id", "left_semi"), header).select("file_id", "sheet", "description_col", "balance_col")
+
+
+@query("s13_named_table", "t AS (SELECT CAST(s_nationkey % 3 AS VARCHAR) AS file_id, CASE s_nationkey % 4 WHEN 0 THEN 'Resumo' WHEN 1 THEN 'Balancete' ELSE 'Outra' || CAST(s_nationkey % 4 AS VARCHAR) END AS sheet FROM supplier), c AS (SELECT file_id, sheet, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY sheet = 'Resumo' DESC, sheet = 'Balancete' DESC, n DESC, sheet) AS k FROM c) SELECT file_id, sheet FROM r WHERE k = 1")
+def s13(spark, d):
+    kind = F.col("s_nationkey") % 4
+    rows = read(spark, d, "supplier").select((F.col("s_nationkey") % 3).cast("string").alias("file_id"), F.when(kind == 0, "Resumo").when(kind == 1, "Balancete").otherwise(F.concat(F.lit("Outra"), kind)).alias("sheet"), F.col("s_suppkey").cast("string").alias("codigo"))
+    return layout.table_catalogue(rows, "resumo").filter("chosen").select("file_id", "sheet")
+
+
+PADDED = "SELECT c_custkey % 5 AS k, c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '1.' || CAST(c_custkey AS STRING) || '.00.000' WHEN c_custkey % 5 = 1 THEN '1.' || CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 2 = 0 THEN '.00' ELSE '' END WHEN c_custkey % 5 = 2 THEN '2.' || CAST(floor(c_custkey / 10) AS INT) || CASE WHEN c_custkey % 10 = 2 THEN '.00.00' ELSE '.00.000' END ELSE '3.1.' || CAST(c_custkey AS STRING) END AS codigo FROM {customer}"
+
+
+@query("l22_trimmed", f"q AS ({PADDED.format(customer='customer')}) SELECT k, id, CASE WHEN k = 0 THEN regexp_replace(codigo, '(\\.0+)+$', '') ELSE codigo END AS codigo FROM q")
+def l22(spark, d):
+    return layout.trimmed(spark.sql(PADDED, customer=read(spark, d, "customer")), ["k"]).select("k", "id", "codigo")
+
+
+@query("f2_set_aside", f"t AS ({ledger_sql('full')}) SELECT {K}, CASE WHEN codigo LIKE '3%' THEN 'aside' ELSE 'balance' END AS part, count(*) AS n FROM t GROUP BY ALL")
+def f2(spark, d):
+    balance, aside = delivery.set_aside(saved(ledger(spark, d, "full"), "ledger"))
+    count = lambda df, part: df.groupBy(*tree.KEY, F.lit(part).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return count(balance, "balance").unionByName(count(aside, "aside"))
+
+
+@query("c6_distinct_lines", "o AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS description, o_orderkey % 3 AS value FROM orders) SELECT doc_id, min(line_no) AS line_no, arg_min(description, line_no) AS description, value FROM o GROUP BY doc_id, lower(description), value")
+def c6(spark, d):
+    o = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page_no"), o.alias("line_no"), F.when(o % 2 == 0, F.upper("o_orderpriority")).otherwise(F.lower("o_orderpriority")).alias("description"), (o % 3).alias("value"))
+    return pg.distinct_lines(rows).select("doc_id", "line_no", "description", "value")
+
+
+@query("x23_output_names", "s AS (SELECT s_suppkey AS id, s_suppkey % 4 AS m FROM supplier) SELECT id, CASE m WHEN 0 THEN 'Casa A B' WHEN 1 THEN 'Cliente' WHEN 2 THEN 'RBM' ELSE 'a.b' END || '_' || CASE WHEN id % 3 = 0 THEN '2020' ELSE '2020-' || CAST(2020 + id % 3 AS VARCHAR) END AS name FROM s")
+def x23(spark, d):
+    m = F.col("s_suppkey") % 4
+    customer = F.when(m == 0, 'Casa:  A/ "B"').when(m == 1, " .. ").when(m == 2, "RBM.").otherwise("a.b")
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), names.output_name(customer, F.lit(2020), 2020 + F.col("s_suppkey") % 3).alias("name"))

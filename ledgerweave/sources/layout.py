@@ -150,9 +150,9 @@ def densest_rows(cells: DataFrame, first: int = 30) -> DataFrame:
     return full.groupBy(*TABLE).agg(F.max_by("row_no", F.struct("n", -F.col("row_no"))).alias("header"))
 
 
-def table_catalogue(rows: DataFrame) -> DataFrame:
-    """TABLE, rows, has_tree, kind, chosen of records: a table named balancete first, then one with a tree, then the longest."""
-    named = F.lower("sheet").contains("balancete")
+def table_catalogue(rows: DataFrame, name: str | None = None) -> DataFrame:
+    """TABLE, rows, has_tree, kind, chosen of records: the table of that name first, then one named balancete, one with a tree, and the longest."""
+    named = F.when(F.lower("sheet") == (name or "").lower(), 2).when(F.lower("sheet").contains("balancete"), 1).otherwise(0)
     tree = F.max(F.col("codigo").rlike(r"^\d+(\.\d+)+$"))
     out = rows.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(tree, F.lit(False)).alias("has_tree"))
     kind = F.when(F.col("has_tree"), "ledger").when(F.lower("sheet").rlike("dre|balan[cç]o|demonstra"), "statement").otherwise("other")
@@ -208,3 +208,34 @@ def header_slices(cells: DataFrame, last: int = 15) -> DataFrame:
     height = cells.groupBy(*TABLE).agg((F.max("row_no") + 1).alias("rows"))
     heads = cells.filter(F.col("row_no") <= last).select(*TABLE, F.col("row_no").alias("header"), "col_no", F.trim("value").alias("label"))
     return cells.join(heads.join(height, TABLE).filter("header < rows - 1").drop("rows"), [*TABLE, "col_no"]).filter("row_no > header")
+
+
+#: Words of the labels of description and balance columns.
+DESCRIPTION_WORDS = ["descri", "nome", "conta", "histor"]
+BALANCE_WORDS = ["saldo atual", "saldo final", "saldo", "valor"]
+
+
+def named_roles(cells: DataFrame, header: DataFrame) -> DataFrame:
+    """TABLE, description_col, balance_col: those that the header (TABLE, col_no, label) names, if their content agrees; else by content alone.
+
+    A named description column must not be codes for the most part, a named
+    balance column has to read as amounts and not as codes.
+    """
+    label = F.lower(F.trim("label"))
+    first = lambda words: F.coalesce(*[F.when(label.contains(w), i) for i, w in enumerate(words)])
+    s = column_stats(cells).join(header.select(*TABLE, "col_no", first(DESCRIPTION_WORDS).alias("d"), first(BALANCE_WORDS).alias("b")), [*TABLE, "col_no"], "left")
+    told = s.groupBy(*TABLE).agg(
+        F.min_by("col_no", F.when(F.col("d").isNotNull() & (F.col("codes") <= 0.5), F.struct("d", "col_no"))).alias("named_description"),
+        F.min_by("col_no", F.when(F.col("b").isNotNull() & (F.col("amounts") >= 0.5) & (F.col("codes") <= 0.5) & (F.col("deep") <= 0.3), F.struct("b", "col_no"))).alias("named_balance"),
+    )
+    return roles(cells).join(told, TABLE, "left").select(*TABLE, F.coalesce("named_description", "description_col").alias("description_col"), F.coalesce("named_balance", "balance_col").alias("balance_col"))
+
+
+def trimmed(rows: DataFrame, key: list[str], least: int = 5, share: float = 0.8) -> DataFrame:
+    """rows without zero segments at the end of their codes, in ledgers of which most codes have one number of segments and no two codes become one."""
+    c = F.col("codigo")
+    widths = rows.filter(codes.is_hierarchical(c)).select(*key, "codigo").distinct().groupBy(*key, codes.level(c).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    padded = widths.groupBy(*key).agg(F.sum("n").alias("all"), F.max("n").alias("most")).filter((F.col("all") >= least) & (F.col("most") >= share * F.col("all"))).select(*key)
+    new = rows.join(padded.withColumn("__padded", F.lit(True)), key, "left").withColumn("__new", F.when(F.col("__padded"), codes.unpadded(c)).otherwise(c))
+    safe = new.groupBy(*key).agg((F.count_distinct("codigo") == F.count_distinct("__new")).alias("__safe"))
+    return new.join(safe, key).withColumn("codigo", F.when(F.col("__safe"), F.col("__new")).otherwise(c)).drop("__padded", "__new", "__safe")

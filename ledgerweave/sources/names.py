@@ -55,3 +55,10 @@ def customers(names: DataFrame, key: list[str]) -> DataFrame:
     guessed = names.withColumn("customer", customer_of(F.col("name"))).filter("customer <> ''").groupBy(*key, "customer").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"))
     best = guessed.groupBy(*key).agg(F.max_by("customer", F.struct("n", -F.col("first"))).alias("customer"))
     return names.select(*key).distinct().join(best, key, "left").withColumn("customer", F.coalesce("customer", F.lit("")))
+
+
+def output_name(customer: Column, first: Column, last: Column) -> Column:
+    """customer_year or customer_first-last, without what file systems refuse; Cliente where no name is left."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(customer, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', ""), r"\s+", " "))
+    clean = F.regexp_replace(clean, r"^[ .]+|[ .]+$", "")
+    return F.concat(F.when(clean == "", "Cliente").otherwise(clean), F.lit("_"), F.when(first == last, first.cast("string")).otherwise(F.concat_ws("-", first.cast("string"), last.cast("string"))))
