@@ -15,10 +15,11 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-def check(spark, rows, k=5):
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
-    got = top_k(df, df.filter("vec_id % 50 = 0"), k, block=16, shard=3, slice_=4)
-    assert sorted(map(tuple, got.collect())) == brute(rows, {i for i, _ in rows if i is not None and i % 50 == 0}, k)
+def check(spark, rows, chosen="vec_id % 50 = 0", k=5, kind="float"):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, score int")
+    queries = df.filter(chosen)
+    got = top_k(df, queries, k, block=16, shard=3, slice_=4)
+    assert sorted(map(tuple, got.collect())) == brute(rows, {r.vec_id for r in queries.collect()}, k)
 
 
 def test_against_brute_force(spark):
@@ -33,3 +34,17 @@ def test_few_and_no_rows(spark):
     check(spark, [(0, [1.0, 2.0]), (1, [3.0, -1.0])])
     check(spark, [(0, [1.0])])
     check(spark, [])
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [300000.0, -1e6]), (1, [2.0, 0.0]), (2, [2e6, 0.5]), (3, [-5.0, 0.0])]
+    check(spark, rows, "true", 2, "double")
+    best = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).collect()}
+    assert best == {(0, 1): (1, 39321600000)}
+
+
+def test_groups_of_similar_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 16)) * 4
+    rows = [(i, (centres[i % 8] + rng.normal(size=16) * 0.1).tolist()) for i in range(640)]
+    check(spark, rows)
