@@ -9,6 +9,7 @@ once a batch.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -92,13 +93,19 @@ def pieces_of(text: str, limit: int = 1 << 20) -> Iterator[str]:
     yield text
 
 
+@functools.lru_cache(1)
+def pair_table(path: str) -> PairTable:
+    """The table of a file, read once by each Python worker."""
+    return PairTable(path)
+
+
 class Counter:
     """Counts the tokens of texts; keeps the counts of chunks it has seen."""
 
     def __init__(self, path: str, kept: int = 500_000):
         import regex
 
-        self.table, self.kept, self.seen = PairTable(path), kept, {}
+        self.table, self.kept, self.seen = pair_table(path), kept, {}
         self.pretoken = regex.compile(PRETOKEN)
         # White space and the word after it: no pre-token crosses the end of such a chunk.
         self.chunk = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")

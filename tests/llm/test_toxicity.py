@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from ledgerweave.llm.toxicity import fit, grams, toxicity, windows
+import pytest
+
+from ledgerweave.llm.toxicity import WINDOWS, fit, grams, toxicity, windows
 
 
 def make(n, seed):
@@ -44,3 +46,19 @@ def test_nothing_to_learn_from(spark):
     assert [r.score for r in toxicity(docs, labels).collect()] == [0.0]
     assert toxicity(docs.limit(0), labels.limit(0)).count() == 0
     assert fit([]) is None
+
+
+def test_columns_to_keep(spark):
+    rows = make(60, 2)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in rows], "doc_id long, text string, score string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert toxicity(docs, labels, keep=["text", "lang"]).columns == ["doc_id", "held_out", "score", "predicted", "text", "lang"]
+    with pytest.raises(ValueError, match="score"):
+        toxicity(docs, labels, keep=["score"])
+
+
+def test_marks_come_from_trained_dictionaries():
+    """The toxic dictionary holds the words that mark toxic texts, the ordinary one does not."""
+    model = fit([(t.encode(), y) for _, t, y in make(900, 3)])
+    assert all(w in model.toxic for w in (b"zqyxv", b"wkjgub", b"hhqpfdz")) and not any(w in model.ordinary for w in (b"zqyxv", b"wkjgub", b"hhqpfdz"))
+    assert len(model.marks) == len(WINDOWS) and all(m >= 1 for m in model.marks)
