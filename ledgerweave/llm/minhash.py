@@ -1,10 +1,11 @@
 """Near-duplicates by b-bit MinHash.
 
 Documents with equal shingle sets form a class. A class has the minima of its
-set under many hash functions: bands of full minima give candidate pairs, and
-the low bits of minima, packed in bit planes, estimate each candidate's
-similarity from bit counts, corrected for chance agreement. What is left is
-confirmed on the full sets.
+set under many hash functions: bands of full minima give candidate pairs. The
+low bits of the minima of another hash, one for each of BINS ranges of it, are
+packed in bit planes; bit counts estimate each candidate's similarity from
+them, corrected for chance agreement. What is left is confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.base import Scratch, slices
+from ledgerweave.llm.base import WORD, Scratch, slices
 from ledgerweave.llm.components import components
 from ledgerweave.llm.words import U, mix, shingle_hashes, word_hashes
 
 #: 32 bands of 5 minima find a pair of similarity 0.8 but for 3 in a million.
 BANDS, ROWS = 32, 5
-#: Bits kept of a minimum, and minima that take part in the estimate.
-BITS, KEPT = 4, 128
-#: How far below the threshold an estimate may lie: six standard deviations.
-MARGIN = 0.22
+#: Minima that take part in the estimate, one for each range of the hash, and bits kept of each.
+BINS, BITS = 512, 4
+#: An estimate may lie so many standard deviations below the threshold.
+DEVIATIONS = 6
 
 SIGNED = "n_shingles long, h1 long, h2 long, planes array<long>, bands array<long>"
 
@@ -54,10 +55,17 @@ def minima(shingles: np.ndarray, at: np.ndarray, step: int = 1 << 18) -> np.ndar
     return out
 
 
-def bit_planes(m: np.ndarray) -> np.ndarray:
-    """Low bits of the first minima: for each bit, KEPT bits in 64-bit numbers."""
-    bits = (m[:, None, :KEPT] >> np.arange(BITS, dtype=np.uint32)[:, None]) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8), axis=2).view(">u8").astype(np.int64).reshape(len(m), -1)
+def bit_planes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each sorted set: low bits of the least hash in each range, a plane per bit, then a plane of the ranges that have one."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = (flat >> U(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])][: len(flat)]
+    bits = np.zeros((len(sets), BITS + 1, BINS), np.uint8)
+    for k in range(BITS):
+        bits[row[first], k, place[first]] = flat[first] >> U(k) & U(1)
+    bits[row[first], BITS, place[first]] = 1
+    return np.packbits(bits, axis=2).view(">u8").astype(np.int64).reshape(len(sets), -1)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
@@ -68,116 +76,149 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """id, n_shingles, name of the set (h1, h2), planes and bands of each document (id, text)."""
+    """id, q, n_shingles, name of the set (h1, h2), planes and bands of each document (id, q, text)."""
     kind = docs.schema["id"].dataType.simpleString()
+    width = (BITS + 1) * BINS // 64
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).to_numpy()
-            for a, b in slices(sizes, 4 << 20):
-                words, at = word_hashes(batch.column(1).slice(a, b - a), lower=True)
-                sets = [np.unique(shingle_hashes(words[s:e], size)) for s, e in zip(at, at[1:], strict=False)]
+            for s, e in slices(pc.binary_length(batch.column(2)).to_numpy(), 4 << 20):
+                part = batch.slice(s, e - s)
+                words, at = word_hashes(part.column(2), lower=True)
+                sets = [np.unique(shingle_hashes(words[i:j], size)) for i, j in zip(at, at[1:], strict=False)]
                 n = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(n)
                 names = np.array([set_name(x) if len(x) else (0, 0) for x in sets], np.int64).reshape(-1, 2)
-                planes, bands = np.zeros((len(n), BITS * KEPT // 64), np.int64), np.zeros((len(n), BANDS), np.int64)
+                planes, bands = np.zeros((len(n), width), np.int64), np.zeros((len(n), BANDS), np.int64)
                 if len(full):
-                    m = minima(np.concatenate(sets), np.r_[0, np.cumsum(n[full])])
-                    planes[full], bands[full] = bit_planes(m), band_keys(m)
+                    planes[full], bands[full] = bit_planes([sets[i] for i in full]), band_keys(minima(np.concatenate(sets), np.r_[0, np.cumsum(n[full])]))
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (planes, bands)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), *lists], names=["id", "n_shingles", "h1", "h2", "planes", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), *lists], names=["id", "q", "n_shingles", "h1", "h2", "planes", "bands"])
+
+    return docs.mapInArrow(sign, f"id {kind}, q long, {SIGNED}")
 
-    return docs.mapInArrow(sign, f"id {kind}, {SIGNED}")
 
+def flat(classes: DataFrame, side: str, *others: str) -> DataFrame:
+    """classes as one side of a join of pairs: class as side, size as n side, and planes as columns, which are quicker than arrays."""
+    words = (BITS + 1) * BINS // 64
+    return classes.select(F.col("class").alias(side), F.col("n_shingles").alias(f"n{side}"), *[F.col(c).alias(f"{c}_{side}") for c in others], *[F.coalesce(F.get("planes", F.lit(i)), F.lit(0).cast("long")).alias(f"{side}{i}") for i in range(words)])
 
-def estimate(left: str, right: str):
-    """Similarity from the agreement of packed low bits, less what agrees by chance."""
-    half = KEPT // 64
-    differ = " + ".join("bit_count(" + " | ".join(f"({left}[{p * half + i}] ^ {right}[{p * half + i}])" for p in range(BITS)) + ")" for i in range(half))
-    return (1 - F.expr(differ) / KEPT - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+def alike(percent: int):
+    """Whether flat sides a and b can have percent of their union in common: by size, and by the estimate from their low bits.
+
+    Its variance has a part for each hash that shares a range with another,
+    and one for bits that agree by chance, which is subtracted on average.
+    """
+    each, known, chance, p = BINS // 64, BITS * BINS // 64, 2.0**-BITS, percent / 100
+    filled = " + ".join(f"bit_count(a{known + i} | b{known + i})" for i in range(each))
+    differ = " + ".join("bit_count(" + " | ".join(f"(a{k * each + i} ^ b{k * each + i})" for k in range(BITS + 1)) + ")" for i in range(each))
+    chance_part = (1 - p) * chance / (1 - chance)
+    margin = f"{DEVIATIONS} * sqrt(({p * (1 - p)} * least(1.0D, greatest(na, nb) / {BINS}.0D) + {chance_part}) / ({filled}))"
+    estimate = f"1 - ({differ}) / CAST(({filled}) AS DOUBLE) / {1 - chance}"
+    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {estimate} >= {p} - {margin}")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have at least percent in common.
 
-    Texts of the classes in question are fetched once by document id, and
-    recognised by the name of their set, as ids may repeat.
+    Texts of the classes in question are fetched by document id and hash of
+    the text, one for each class.
     """
-    a, b = (classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("planes").alias(f"p{x}")) for x in "ab")
-    known = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    likely = known.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").filter(estimate("pa", "pb") >= percent / 100 - MARGIN)
-    pairs = scratch.save(likely.select("a", "b"), f"{label}-pairs")
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(classes.select("class", "id", "h1", "h2").hint("merge"), "class")
-    fetched = docs.join(wanted.withColumnRenamed("id", "id_").hint("merge"), F.col("id").eqNullSafe(F.col("id_"))).select("class", "h1", "h2", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, e in slices(pc.binary_length(batch.column(3)).to_numpy(), 4 << 20):
-                part = batch.slice(s, e - s)
-                words, at = word_hashes(part.column(3), lower=True)
-                names = [set_name(np.unique(shingle_hashes(words[i:j], size))) for i, j in zip(at, at[1:], strict=False)]
-                fits = [x == y for x, y in zip(names, zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True)]
-                yield part.filter(pa.array(fits)).select(["class", "text"])
-
-    texts = scratch.save(fetched.mapInArrow(own, "class long, text string"), f"{label}-texts", free=True)
+    pairs = scratch.save(pairs, f"{label}-pairs")
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(classes.select("class", F.col("id").alias("id_"), F.col("q").alias("q_")).hint("merge"), "class")
+    fetched = docs.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("q") == F.col("q_"))).groupBy("class").agg(F.first("text").alias("text"))
+    texts = scratch.save(fetched, f"{label}-texts")
     left, right = (texts.select(F.col("class").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}  # of the classes met lately: the first of a group meets many
         for batch in batches:
-            for s, e in slices(pc.binary_length(batch.column(2)).to_numpy(), 2 << 20):
+            for s, e in slices(pc.binary_length(batch.column(2)).to_numpy() + pc.binary_length(batch.column(3)).to_numpy(), 2 << 20):
                 part = batch.slice(s, e - s)
-                both = [word_hashes(part.column(i), lower=True) for i in (2, 3)]
-                keep, last, right_set = [], None, None
-                for i in range(part.num_rows):
-                    x, y = (np.unique(shingle_hashes(w[at[i] : at[i + 1]], size)) for w, at in both)
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * n >= percent * (len(x) + len(y) - n))
+                if sum(map(len, sets.values())) > 1 << 20:
+                    sets.clear()
+                number = [part.column(i).to_pylist() for i in (0, 1)]
+                for ids, column in zip(number, (2, 3), strict=True):
+                    new = {c: i for i, c in enumerate(ids) if c not in sets}
+                    if new:
+                        words, at = word_hashes(part.column(column).take(pa.array(list(new.values()))), lower=True)
+                        sets |= {c: np.unique(shingle_hashes(words[i:j], size)) for c, i, j in zip(new, at, at[1:], strict=False)}
+                keep = []
+                for a, b in zip(*number, strict=True):
+                    n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    keep.append(100 * n >= percent * (len(sets[a]) + len(sets[b]) - n))
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
     return scratch.save(joined.mapInArrow(common, "a long, b long"), f"{label}-links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_shingles, component_id, kept.
-
-    A set holds the distinct runs of size words, with A-Z in lower case; of a
-    shorter text, the whole sequence. Links join sets that have at least
-    percent of their union in common. component_id is the smallest id that
-    can be reached by links, a document's own included. Null and wordless
-    texts have an empty set and stay alone. Null ids are smaller than none;
-    repeated rows each get a row; other columns are not read.
-    """
+def grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, q (hash of the text), n_shingles, root (number of the group; null for an empty set), component_id."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("q"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = scratch.save(signatures(docs, size), "signed")
     name = ["n_shingles", "h1", "h2"]
-    classes = signed.filter("n_shingles > 0").groupBy(*name, "planes", "bands").agg(F.min("id").alias("id"))
+    classes = signed.filter("n_shingles > 0").groupBy(*name, "planes", "bands").agg(F.min("id").alias("id"), F.coalesce(F.min_by("q", "id"), F.min("q")).alias("q"))
     classes = scratch.save(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     # Every member of a bucket is held against the bucket's first member.
     banded = classes.select("class", F.explode("bands").alias("key"))
     first = banded.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = scratch.save(banded.join(first.hint("merge"), "key"), "buckets")
-    stars = shared.filter("class <> a").select("a", F.col("class").alias("b")).distinct()
-    links = confirmed(stars, classes, docs, size, percent, scratch, "stars")
+    stars = scratch.save(shared.filter("class <> a").select("a", F.col("class").alias("b")).distinct(), "stars")
+    likely = stars.join(flat(classes, "a").hint("merge"), "a").join(flat(classes, "b").hint("merge"), "b").filter(alike(percent)).select("a", "b")
+    links = confirmed(likely, classes, docs, size, percent, scratch, "stars")
     parts = scratch.save(components(links, scratch, "first"), "parts")
 
-    # Members that the first member does not tie together are held against each other; within a component no pair is needed.
+    # Members that the first member does not tie together are held against each other, in the first bucket that they share;
+    # within a component no pair is needed.
     placed = shared.select("key", "class").join(parts.hint("merge"), F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = scratch.save(placed.join(open_.hint("merge"), "key").join(classes.select("class", "n_shingles").hint("merge"), "class"), "open")
-    a = rest.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-    b = rest.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-    cross = a.join(b.hint("merge"), "key").filter(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    rest = placed.join(open_.hint("merge"), "key").join(classes.select("class", "n_shingles", "planes", "bands").hint("merge"), "class")
+    a, b = (flat(rest, x, "key", "root", "bands") for x in "ab")
+    once = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key_a")
+    cross = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike(percent) & once).select("a", "b")
     more = confirmed(cross.join(stars.hint("merge"), ["a", "b"], "left_anti"), classes, docs, size, percent, scratch, "cross")
+    scratch.drop("buckets", "stars", "stars-texts", "stars-pairs", "cross-texts", "cross-pairs")
     if not more.isEmpty():
         parts = scratch.save(components(links.unionByName(more), scratch, "second"), "all-parts")
 
     rooted = classes.select(*name, "id", "class").join(parts.hint("merge"), F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least.hint("merge"), "root").select(*name, "component_id")
-    found = signed.filter("n_shingles > 0").select("id", *name).join(named.hint("merge"), name)
-    empty = signed.filter("n_shingles = 0").withColumn("component_id", F.col("id"))
-    out = ["id", "n_shingles", "component_id"]
-    return found.select(*out).unionByName(empty.select(*out)).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = rooted.join(least.hint("merge"), "root").select(*name, "root", "component_id")
+    found = signed.filter("n_shingles > 0").select("id", "q", *name).join(named.hint("merge"), name)
+    empty = signed.filter("n_shingles = 0").select("id", "q", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
+    return found.select(*empty.columns).unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, n_shingles, component_id, kept.
+
+    A set holds the distinct runs of size words, with A-Z in lower case; of a
+    shorter text, the whole sequence. Links join sets that have at least
+    percent of their union in common. component_id is the smallest id that
+    can be reached by links, a document's own included; null ids count only
+    where a group has no other. Null and wordless texts have an empty set and
+    stay alone. Very long texts are read whole. Repeated rows each get a row,
+    and all with the smallest id are kept; an empty table gives no rows;
+    other columns are not read.
+    """
+    out = grouped(docs, size, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest id (a null one only if there is no other), then hash of the text.
+
+    Of rows with this id and text, the least in its other columns stays.
+    Rows without a word are in no group, and all stay. An empty table gives
+    no rows; all columns are kept.
+    """
+    out = grouped(docs.select(id_col, text_col), size, percent, id_col, text_col)
+    chosen = out.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "q")).alias("least")).select(F.col("least.id").alias("__id"), F.col("least.q").alias("__q"))
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    rows = docs.filter(worded).withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__row", F.col(id_col).alias("__own"), F.xxhash64(text_col).alias("__key"))
+    kept = rows.join(chosen.distinct().hint("merge"), F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__q")))
+    return kept.groupBy("__own", "__key").agg(F.min("__row").alias("r")).select("r.*").unionByName(docs.filter(~worded))

@@ -5,7 +5,7 @@ import numpy as np
 
 from ledgerweave.llm.components import components
 from ledgerweave.llm.base import Scratch
-from ledgerweave.llm.minhash import BANDS, ROWS, minima, near_duplicates
+from ledgerweave.llm.minhash import BANDS, ROWS, minima, near_duplicates, one_of_each
 from ledgerweave.llm.words import U, mix
 
 
@@ -77,3 +77,20 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "c")
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in linked)
+
+
+def test_one_row_of_each_group(spark):
+    a, b = "one two three four five six seven", "quite another text of eight words or so"
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, a, "z"), (None, a, "z"), (None, b, "n"), (None, b + " ", "m"), (3, None, "e"), (3, None, "e"), (4, "", "f"), (5, b + " too", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    got = sorted(map(str, map(tuple, one_of_each(docs, size=5, percent=60).collect())))
+    assert got == sorted(map(str, [(1, a, "x"), (5, b + " too", "k"), (3, None, "e"), (3, None, "e"), (4, "", "f")]))
+    assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_null_ids(spark):
+    a, b = "one two three four five six seven", "quite another text of eight words or so"
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, b + " x"), (None, "only here with no other id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, 2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, 1, False), (None, None, True)]))
