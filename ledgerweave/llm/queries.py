@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerweave.llm.base import table, tokenizer_path
 from ledgerweave.llm.exact_dedup import exact_dedup
@@ -57,7 +58,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("first_slot", F.coalesce("first_slot", F.lit(-1).cast("long")))  # documents that the mix doesn't take
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +117,20 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((r - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 v AS (SELECT arg_min(lv, cap / w) AS level FROM l WHERE lv <= cap / w),
-t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM l, v),
-p AS (SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id) AS BIGINT) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+t AS (SELECT source, r, source_size, least(cap, coalesce(level * w, cap)) AS target FROM l, v),
+p AS (SELECT d.*, r, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id) AS BIGINT) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT r, source_size, target, CAST(round(target) AS BIGINT) AS goal, CAST(ceil(source_size / 1024.0) AS BIGINT) AS nb, sum(target) OVER () AS total, max(r) OVER () AS last FROM t WHERE target > 0),
+g AS (SELECT *, (goal // source_size) * nb + CAST(ceil((goal % source_size) / 1024.0) AS BIGINT) AS need, CAST(ceil(total / 1024.0) AS BIGINT) AS slots, CASE WHEN r = last THEN 1.0::DOUBLE ELSE sum(target) OVER (ORDER BY r) / total END AS high FROM q),
+e AS (SELECT *, coalesce(lag(high) OVER (ORDER BY r), 0.0::DOUBLE) AS low FROM g),
+k AS (SELECT slot, slot::DOUBLE * '0.6180339887498949'::DOUBLE - floor(slot::DOUBLE * '0.6180339887498949'::DOUBLE) AS u FROM (SELECT unnest(range(0, (SELECT max(slots) FROM e))) AS slot)),
+m AS (SELECT slot, r, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS nth FROM k JOIN e ON u >= low AND u < high),
+h AS (SELECT r, count(*) AS n FROM m GROUP BY r),
+a AS (SELECT slot, r, nth FROM m JOIN e USING (r) WHERE nth < need UNION ALL SELECT slots + row_number() OVER (ORDER BY nth, r) - 1, r, nth FROM (SELECT r, slots, unnest(generate_series(least(coalesce(n, 0), need), need - 1)) AS nth FROM e LEFT JOIN h USING (r))),
+u AS (SELECT slot, r, nth % nb AS block, least(1024, source_size - (nth % nb) * 1024, goal - (nth // nb) * source_size - (nth % nb) * 1024) AS words FROM a JOIN e USING (r)),
+x AS (SELECT doc_id, r, start, size, unnest(generate_series(start // 1024, (start + size - 1) // 1024)) AS block FROM p WHERE size > 0),
+f AS (SELECT doc_id, min(slot) AS first_slot FROM x JOIN u USING (r, block) WHERE least(start + size - block * 1024, words) > greatest(start - block * 1024, 0) GROUP BY doc_id)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  CAST(greatest(least(start + size, round(target)) - start, 0) + greatest(least(start + size, round(target) - source_size) - start, 0) AS BIGINT) AS taken FROM p
+  CAST(greatest(least(start + size, round(target)) - start, 0) + greatest(least(start + size, round(target) - source_size) - start, 0) AS BIGINT) AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot FROM p LEFT JOIN f USING (doc_id)
 """
 
 
