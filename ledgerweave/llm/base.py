@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The setting by which Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,23 +39,23 @@ class Scratch:
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """The table, written and read again; free lets go of the shuffle files that it took, where these hold whole texts."""
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """The table, written and read again; the shuffle files behind it go once it is written."""
         path = f"{self.at}/{name}"
-        df.write.parquet(path)
-        if free:
-            # Shuffle files go when the driver collects its garbage; the first collection still finds the plan in use.
-            for _ in range(2):
-                gc.collect()
-                self.spark._jvm.System.gc()
-                time.sleep(0.25)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(col):

@@ -34,7 +34,7 @@ def radix_groups(rows: DataFrame, key: str, scratch: Scratch, first: int = 64, f
         # Sort-merge at every size: it spills, and splits the partitions of very large groups.
         joined = dealt.join(named.hint("merge"), ["__gid", "__digit"], "left")
         rest = F.when(F.col("__next").isNotNull() & (F.octet_length("__rest") > width), F.expr(f"substring(__rest, {width + 1})"))
-        table = scratch.save(joined.select(*others, rest.alias("__rest"), F.col("__next").alias("__gid")), f"state{n}", free=n == 0)
+        table = scratch.save(joined.select(*others, rest.alias("__rest"), F.col("__next").alias("__gid")), f"state{n}")
         tables.append(table.filter("__rest is null").select(*others, F.lit(n).alias("__round"), "__gid"))
         state = table.filter("__rest is not null")
         pos += width
@@ -49,7 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts as empty, so empty, blank and null texts form one group. Of a
     group the longest original text (code points) stays, then the smallest
     id; null ids come last. Rows that repeat the id that stays are all marked
-    kept. Other columns are not read.
+    kept. Very long texts are read whole, by their digits; an empty table
+    gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))

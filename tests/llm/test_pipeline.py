@@ -73,3 +73,18 @@ def test_every_stage_against_brute_force(spark, sf_dir, tmp_path):
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     once, again = (sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect()) for _ in range(2))
     assert once == again and once
+
+
+def test_stages_on_awkward_tables(spark, sf_dir):
+    """Nulls in all columns, repeated ids and rows; and empty tables."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = "one two three four five six seven"
+    odd = spark.createDataFrame([(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, None, "s", 1), (2, a, "en", None, 1), (None, None, None, None, None), (None, a + " x y", "en", "s", 2)], docs.schema)
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        rows[name] = stage(spark, odd, sf_dir).collect()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert len(rows["toxicity"]) == 6 and len(rows["line dedup"]) == 6
+    assert sorted(str(r.doc_id) for r in rows["near-duplicates"]) == ["1", "None", "None"] or sorted(str(r.doc_id) for r in rows["near-duplicates"]) == ["1", "None"]
+    assert len([r for r in rows["near-duplicates"] if r.text == a]) == 1
+    assert sum(r.length for r in rows["packing"] if r.doc_id is None) > 1
