@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerweave.llm.base import table, tokenizer_path
 from ledgerweave.llm.exact_dedup import exact_dedup
 from ledgerweave.llm.html_extract import extract_text
+from ledgerweave.llm.lexical_search import lexical_search
 from ledgerweave.llm.line_dedup import line_report
 from ledgerweave.llm.minhash import near_duplicates
 from ledgerweave.llm.mixing import mix_sources
@@ -62,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("first_slot", F.coalesce("first_slot", F.lit(-1).cast("long")))  # documents that the mix doesn't take
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, op13_lexical_search, pipeline)}
 
 
 OP3_SQL = r"""
@@ -133,6 +138,18 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   CAST(greatest(least(start + size, round(target)) - start, 0) + greatest(least(start + size, round(target) - source_size) - start, 0) AS BIGINT) AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot FROM p LEFT JOIN f USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s GROUP BY term, n_docs),
+p AS (SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY item_id, row, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL, "op13_lexical_search": OP13_SQL}
