@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.base import table, tokenizer_path
+from ledgerweave.llm.chat_format import chained, conversation_report, formatted_paths
 from ledgerweave.llm.exact_dedup import exact_dedup
 from ledgerweave.llm.html_extract import extract_text
 from ledgerweave.llm.lexical_search import lexical_search
@@ -63,6 +64,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("first_slot", F.coalesce("first_slot", F.lit(-1).cast("long")))  # documents that the mix doesn't take
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    given = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], rows.schema)
+    return conversation_report(formatted_paths(chained(rows.union(given)))).drop("leaf")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, op13_lexical_search, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, op12_chat_format, op13_lexical_search, pipeline)}
 
 
 OP3_SQL = r"""
@@ -138,6 +146,15 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   CAST(greatest(least(start + size, round(target)) - start, 0) + greatest(least(start + size, round(target) - source_size) - start, 0) AS BIGINT) AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot FROM p LEFT JOIN f USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS place, length(role) + len(regexp_extract_all(role, '<\\*\|')) AS role_chars, length(text) + len(regexp_extract_all(text, '<\\*\|')) AS text_chars FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY place)) AS loss_sha256,
+  CAST(sum(role_chars + text_chars + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
 i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
@@ -152,4 +169,4 @@ SELECT * FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL, "op12_chat_format": OP12_SQL, "op13_lexical_search": OP13_SQL}
