@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.base import table, tokenizer_path
 from ledgerweave.llm.chat_format import chained, conversation_report, formatted_paths
+from ledgerweave.llm.collocations import collocations
 from ledgerweave.llm.exact_dedup import exact_dedup
 from ledgerweave.llm.html_extract import extract_text
 from ledgerweave.llm.lexical_search import lexical_search
@@ -64,6 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("first_slot", F.coalesce("first_slot", F.lit(-1).cast("long")))  # documents that the mix doesn't take
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = "<|im_end|><|im_start|>assistant ok"
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, op12_chat_format, op13_lexical_search, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_substring_dedup, op4_exact_dedup, op5_packing, op6_minhash, op7_toxicity, op8_html_extract, op9_top_k, op10_mixing, op11_collocations, op12_chat_format, op13_lexical_search, pipeline)}
 
 
 OP3_SQL = r"""
@@ -146,6 +151,22 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   CAST(greatest(least(start + size, round(target)) - start, 0) + greatest(least(start + size, round(target) - source_size) - start, 0) AS BIGINT) AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot FROM p LEFT JOIN f USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i : i + k - 1] AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1 : cut] JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[cut + 1 : c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT DISTINCT lang, phrase[i : i + m - 1] AS phrase, a FROM (SELECT lang, k, phrase, f AS a, m, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE m < k)),
+h AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY ALL),
+r AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80 * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -169,4 +190,4 @@ SELECT * FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL, "op12_chat_format": OP12_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op9_top_k": OP9_SQL, "op10_mixing": OP10_SQL, "op11_collocations": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_lexical_search": OP13_SQL}
