@@ -245,11 +245,6 @@ def h22(spark, d):
     return sinks.nested_tree(tree.edges(nodes(spark, d))).select(*tree.KEY, "parent", F.array_join("children", ",").alias("children"))
 
 
-@query("s8_first_rejected", "o AS (SELECT o_custkey AS file_id, CAST(o_orderkey AS VARCHAR) AS _bad FROM orders), r AS (SELECT file_id, _bad, CAST(row_number() OVER (PARTITION BY file_id ORDER BY _bad) AS INT) AS nth FROM o) SELECT * FROM r WHERE nth <= 10")
-def s8(spark, d):
-    return files.first_rejected(read(spark, d, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").cast("string").alias("_bad")))
-
-
 DECIDED = "e AS (SELECT event_type || '|' || CAST(user_id % 50 AS VARCHAR) AS key, max(event_id) AS m FROM events GROUP BY ALL), x AS (SELECT key, 'C' || CAST(m % 7 AS VARCHAR) AS codigo, m % 3 = 0 AS manual FROM e)"
 
 

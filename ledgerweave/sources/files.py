@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.numbers import parse_amount
+from ledgerweave.sources import text_scan
+
 #: Words of a ledger's header row; delimiters that are tried.
 HEADER_WORDS = ["codigo", "conta", "descricao", "classificacao", "nome", "saldo", "debito", "credito", "anterior", "atual", "natureza", "movimento"]
 DELIMITERS = [";", ",", "\t", "|"]
@@ -18,22 +21,9 @@ def catalogue(spark: SparkSession, path: str, accepted: list[str] | None = None)
     return files.select(F.col("path").alias("file_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), extension.alias("extension"), extension.isin(accepted or EXTENSIONS).alias("accepted"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")).dropDuplicates(["file_id"])
 
 
-def charset(content: Column) -> Column:
-    """By the byte order mark, else UTF-8 where the bytes are valid, else Latin-1."""
-    head = F.hex(F.substring(content, 1, 4))
-    return (
-        F.when(head.startswith("FFFE0000") | head.startswith("0000FEFF"), "UTF-32").when(head.startswith("EFBBBF"), "UTF-8-SIG").when(head.startswith("FFFE") | head.startswith("FEFF"), "UTF-16")
-        .when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("ISO-8859-1")
-    )
-
-
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file_id, row_no, line of text files in any of the known encodings."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("charset", charset(F.col("content")))
-    text = F.when(F.col("charset") == "UTF-8-SIG", F.expr("decode(substring(content, 4), 'UTF-8')"))
-    for name in ("UTF-8", "UTF-16", "UTF-32", "ISO-8859-1"):
-        text = text.when(F.col("charset") == name, F.expr(f"decode(content, '{name}')"))
-    return files.select(F.col("path").alias("file_id"), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("row_no", "line")).filter("line <> ''")
+def lines(spark: SparkSession, path: str | list[str], range_bytes: int = text_scan.RANGE_BYTES) -> DataFrame:
+    """file_id, row_no, line of text files in any of the known charsets, without blank lines; large files are read by many tasks."""
+    return text_scan.numbered_lines(spark, path, range_bytes).filter("line <> ''")
 
 
 def delimiter(table: DataFrame, first: int = 50) -> DataFrame:
@@ -61,14 +51,59 @@ def cells(table: DataFrame, by: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, **options: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected): rejected lines with their file; parts of a large file are read in parallel."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.from_csv("value", F.lit(f"{schema}, _bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", **options}).alias("r"))
+    """(rows, rejected) of lines that have this schema: rows with file_id and its columns, rejected with file_id, line (from 1), reason, data."""
     names = [f.name for f in spark.createDataFrame([], schema).schema]
-    return raw.filter("r._bad is null").select("file_id", *[f"r.{n}" for n in names]), raw.filter("r._bad is not null").select("file_id", F.col("r._bad").alias("_bad"))
+    raw = lines(spark, path).select("file_id", "row_no", "line", F.from_csv("line", F.lit(f"{schema}, _bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", **options}).alias("r"))
+    rejected = raw.filter("r._bad is not null").select("file_id", (F.col("row_no") + 1).alias("line"), F.lit("not of the schema").alias("reason"), F.col("line").alias("data"))
+    return raw.filter("r._bad is null").select("file_id", *[f"r.{n}" for n in names]), rejected
+
+
+#: Labels of the columns that a ledger is made of, those to prefer first.
+COLUMNS = {"codigo": ["codigo", "código", "conta", "classificacao", "classificação"], "descricao": ["descricao", "descrição", "nome", "conta contábil", "conta"], "saldo": ["saldo", "valor", "saldo atual"]}
+
+
+def fields(line: Column, by: Column) -> Column:
+    """The trimmed cells of a line; a delimiter between quotes parts nothing, and a cell's quotes go."""
+    mark = F.concat(F.lit(r"\Q"), by, F.lit(r"\E"))
+    quoted = F.split(line, F.concat(mark, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)')))
+    bare = F.transform(quoted, lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(F.transform(F.split(line, mark), lambda c: F.trim(c)))
+
+
+def place_of(labels: Column, patterns: list[str]) -> Column:
+    """Place from 1 of the label that is one of the patterns, the first pattern first; else of one that holds one; else null."""
+    low = F.transform(labels, lambda c: F.lower(c))
+    equal = [F.nullif(F.array_position(low, F.lit(p)), F.lit(0)) for p in patterns]
+    part = [F.nullif(F.array_position(F.transform(low, lambda c, p=p: F.contains(c, F.lit(p))), F.lit(True)), F.lit(0)) for p in patterns]
+    return F.coalesce(*equal, *part).cast("int")
+
+
+def parsed(table: DataFrame, by: DataFrame, headers: DataFrame, columns: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of lines (file_id, row_no, line), their files' delimiters and header rows.
+
+    rows: file_id, row_no, codigo, descricao (the code where there is none),
+    saldo; lines without code and description are left out. rejected: file_id,
+    line (from 1), reason, data: lines with more cells than the header, and
+    amounts that can't be read. The files' heads are a row each.
+    """
+    wanted = columns or COLUMNS
+    joined = table.join(by, "file_id").join(headers, "file_id")
+    heads = joined.filter(F.col("row_no") == F.col("header")).select("file_id", fields(F.col("line"), F.col("delimiter")).alias("labels"))
+    heads = heads.select("file_id", F.size("labels").alias("width"), *(place_of(F.col("labels"), p).alias(f"at_{c}") for c, p in wanted.items()))
+    body = joined.filter(F.col("row_no") > F.col("header")).withColumn("cells", fields(F.col("line"), F.col("delimiter"))).join(heads, "file_id")
+    cell = lambda c: F.nullif(F.get("cells", F.col(f"at_{c}") - 1), F.lit(""))
+    body = body.withColumns({**{c: cell(c) for c in wanted}, "amount": F.get(F.transform(F.array(cell("saldo")), lambda c: parse_amount(c)), F.lit(0))})  # as a function of one name, its code stays small
+    many = F.size("cells") > F.col("width")
+    reason = F.when(many, F.format_string("too many fields: %d for %d", F.size("cells"), F.col("width"))).when(F.col("saldo").isNotNull() & F.col("amount").isNull(), F.concat(F.lit("unreadable amount: "), "saldo"))
+    judged = body.withColumn("reason", reason)
+    rows = judged.filter("reason is null").filter(F.coalesce("codigo", "descricao").isNotNull())
+    rejected = judged.filter("reason is not null").select("file_id", (F.col("row_no") + 1).alias("line"), "reason", F.col("line").alias("data"))
+    return rows.select("file_id", "row_no", "codigo", F.coalesce("descricao", "codigo").alias("descricao"), F.col("amount").alias("saldo")), rejected
 
 
 def first_rejected(rejected: DataFrame, n: int = 10) -> DataFrame:
-    return rejected.withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy("_bad"))).filter(F.col("nth") <= n)
+    """The first n rejected lines of each file, by their place in it, and nth from 1."""
+    return rejected.withColumn("nth", F.row_number().over(Window.partitionBy("file_id").orderBy("line"))).filter(F.col("nth") <= n)
 
 
 def stream_csv(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16, **options: str) -> DataFrame:

@@ -40,12 +40,14 @@ def text_rows(lines: DataFrame, least: int = 3) -> DataFrame:
     header = F.lower(F.array_join("fields", " ")).contains("classif")
     after = F.max(header.cast("int")).over(Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1))
     body = fields(lines).withColumn("after", after).filter((F.col("after") == 1) & ~F.trim("line").rlike(r"^[-=\s]*$") & (F.size("fields") >= least))
+    # As a function of one name, the code of an amount stays small enough to be compiled.
+    body = body.withColumn("amounts", F.transform(F.slice("fields", 4, 4), lambda c: parse_amount(c)))
     at = lambda i: F.try_element_at("fields", F.lit(i + 1))
     both = r"^(\S+)\s+(.*)$"
     paired = at(2).rlike(both)
     code = F.when(paired, F.regexp_extract(at(2), both, 1)).when(at(2).rlike(r"^\d+$"), at(2))
     name = F.when(paired, F.regexp_extract(at(2), both, 2)).otherwise(at(2))
-    amount = lambda i: parse_amount(at(i))
+    amount = lambda i: F.try_element_at("amounts", F.lit(i - 2))
     return body.select(
         "file_id", "row_no", F.when(F.contains(at(0), F.lit(".")) | at(0).rlike(r"^\d+$"), at(0)).alias("classificacao"), F.when(at(1).isin("A", "T"), at(1)).alias("tipo"),
         code.alias("codigo"), name.alias("descricao"), amount(3).alias("saldo_anterior"), amount(4).alias("debitos"), amount(5).alias("creditos"), amount(6).alias("saldo_atual"),

@@ -34,7 +34,7 @@ def test_files_become_cells(spark, folder):
 def test_rejected_rows(spark, tmp_path):
     (tmp_path / "x.csv").write_text("1,2\nbad,3\n4,5\n")
     rows, rejected = files.read_csv(spark, str(tmp_path), "a int, b int")
-    assert rows.count() == 2 and [r._bad for r in files.first_rejected(rejected).collect()] == ["bad,3"]
+    assert rows.count() == 2 and [tuple(r)[1:] for r in files.first_rejected(rejected).collect()] == [(2, "not of the schema", "bad,3", 1)]
 
 
 def test_records_from_a_grid(spark):
