@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def _bases() -> dict[str, str]:
     """Lower-case letters of the Latin blocks that come apart into ASCII letters and marks, and these letters."""
     out = {}
@@ -41,10 +40,11 @@ DETAIL = [r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}", r"LTDA\.?|S/A|S\.A\.|EIRELI|ME\b|E
 
 
 def unaccented(text: Column) -> Column:
-    """Lower case without accents and outer space."""
+    """Lower case without accents and outer space; letters that stand for several are spelt out where there are any."""
     plain = F.translate(F.lower(F.trim(text)), ACCENTED, PLAIN)
-    for c, letters in LIGATURES.items():
-        plain = F.replace(plain, F.lit(c), F.lit(letters))
+    spelt = F.expr("map(" + ", ".join(f"'{c}', '{letters}'" for c, letters in LIGATURES.items()) + ")")
+    each = lambda p: F.array_join(F.transform(F.split(p, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
+    plain = F.get(F.transform(F.array(plain), lambda p: F.when(p.rlike(f"[{''.join(LIGATURES)}]"), each(p)).otherwise(p)), F.lit(0))
     return F.regexp_replace(plain, r"\p{Mn}", "")
 
 

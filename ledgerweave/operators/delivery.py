@@ -69,15 +69,22 @@ def match_rates(matched: DataFrame) -> DataFrame:
     return matched.groupBy(*KEY).agg(F.round(F.avg(F.col("alvo").isNotNull().cast("int")), 6).alias("rate"))
 
 
-def bank_facts(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, uncovered) of a bank's ledgers by rules (rule, alvo, expense): values net of the rules below, expenses negative; groups of two levels that no rule meets.
+def bank_facts(rows: DataFrame, rules: DataFrame, equity: str = projection.EQUITY_CODE, least: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    """(facts, uncovered) of a bank's ledgers by rules (rule, alvo).
 
-    facts: KEY, alvo, valor; uncovered: KEY, codigo, valor.
+    facts: KEY, alvo, valor: values net of the rules below, those of expenses
+    with the other sign, and the period's result, revenues less expenses, on
+    the line of equity. uncovered: KEY, codigo, valor of groups of two levels
+    that no rule meets, without those of compensation and those of no value.
     """
     values = saved(tree.node_values(tree.in_tree(rows)), "values")
-    net = projection.net_by_rule(values, rules.select("rule", "alvo")).join(rules.select("rule", "expense"), "rule")
-    facts = net.groupBy(*KEY, "alvo").agg(money(F.sum(F.when(F.col("expense"), -F.abs("valor")).otherwise(F.col("valor")))).alias("valor"))
-    groups = values.filter(codes.level(F.col("codigo")) == 2)
+    role = codes.bank_role(F.col("rule"))
+    net = saved(projection.net_by_rule(values, rules.select("rule", "alvo")).withColumn("role", role), "net")
+    lines = net.groupBy(*KEY, "alvo").agg(money(F.sum(F.when(F.col("role") == "DESPESA", -F.col("valor")).otherwise(F.col("valor")))).alias("valor"))
+    part = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("valor"))), F.lit(0))
+    result = net.groupBy(*KEY).agg(money(part("RECEITA") - part("DESPESA")).alias("valor")).filter(F.abs("valor") > least)
+    facts = lines.unionByName(result.select(*KEY, F.lit(equity).alias("alvo"), "valor")).groupBy(*KEY, "alvo").agg(money(F.sum("valor")).alias("valor"))
+    groups = values.filter((codes.level(F.col("codigo")) == 2) & ~codes.is_off_balance(F.col("codigo")) & (F.abs("valor") > least))
     above = groups.withColumn("rule", F.explode(codes.prefixes(F.col("codigo")))).join(rules.select("rule"), "rule", "left_semi").select(*KEY, "codigo")
     parts = rules.select(F.array_join(F.slice(F.split("rule", "[.]"), 1, 2), ".").alias("codigo")).distinct()
     return facts, groups.join(above, [*KEY, "codigo"], "left_anti").join(parts, "codigo", "left_anti").select(*KEY, "codigo", "valor")

@@ -1,74 +1,45 @@
 """Matching of descriptions to a chart of accounts.
 
-Distinct queries are scored once, against an index of distinct texts: every
-pair, at every size. A task scores a block of queries against a block of texts
-and keeps each query's best; a window merges what the blocks have kept.
+Distinct queries meet distinct texts once, in blocks. A task puts its texts
+into an index whose bounds leave out what cannot be among a query's best, and
+scores the rest exactly; a window merges what the blocks have kept.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
-from ledgerweave.functions import codes, text
+from ledgerweave.functions import codes, similarity, text
+from ledgerweave.sources.stage import saved
 
-QUERY_BLOCK, TEXT_BLOCK = 32, 1024
+QUERY_BLOCK, TEXT_BLOCK = 256, 16384
 #: Words that make an account a candidate; texts have no accents, so three of them never match, as in the reference.
 KEYWORDS = ["caixa", "banco", "estoque", "cliente", "fornecedor", "capital", "lucro", "prejuízo", "receita", "despesa", "ativo", "passivo", "investimento", "imobilizado", "intangível", "empréstimo", "financiamento"]
 #: Fixed value: what parts the core of a description from its suffix.
 SUFFIX = r"\s[-–—]\s"
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by one addition per character of b."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """Indel similarity, 0 to 100."""
-    total = len(a) + len(b)
-    return 100.0 * 2 * common_length(a, b) / total if total else 100.0
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """100 if one set of words holds the other, else the best ratio among the common words with each rest."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not left or not right):
-        return 100.0
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    best = ratio(one, two)
-    return max(best, ratio(both, one), ratio(both, two)) if both else best
+@F.arrow_udf(DoubleType())
+def set_ratios(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(similarity.pair_ratios(a.to_pylist(), b.to_pylist(), "set_ratio"))
 
 
 @F.arrow_udf(DoubleType())
 def sort_ratios(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([token_sort_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return pa.array(similarity.pair_ratios(a.to_pylist(), b.to_pylist(), "sort_ratio"))
 
 
 @F.arrow_udf(DoubleType())
 def confidences(a: pa.Array, b: pa.Array) -> pa.Array:
     """Mean of both ratios of two normal texts, 0 to 1; 1 if one is empty."""
-    return pa.array([round((token_set_ratio(x, y) + token_sort_ratio(x, y)) / 200, 2) if x and y else 1.0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    a, b = a.to_pylist(), b.to_pylist()
+    both = similarity.pair_ratios(a, b, "set_ratio") + similarity.pair_ratios(a, b, "sort_ratio")
+    return pa.array([round(r / 200, 2) if x and y else 1.0 for x, y, r in zip(a, b, both.tolist(), strict=True)], pa.float64())
 
 
 def build_index(chart: DataFrame, variations: DataFrame | None = None) -> DataFrame:
@@ -87,8 +58,8 @@ def build_index(chart: DataFrame, variations: DataFrame | None = None) -> DataFr
 def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, scorer: str = "set_ratio", query_block: int = QUERY_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """query, text, set_ratio, sort_ratio: for each distinct query the limit most similar texts by the scorer (one of the two ratios), ties by text.
 
-    Exact at every size: each pair is scored, in blocks of about query_block
-    queries and text_block texts. Null queries and texts take no part.
+    Exact at every size; a task has about query_block queries and text_block
+    texts. Null queries and texts take no part.
     """
     asked, known = queries.select("query").filter("query is not null").distinct(), texts.select("text").filter("text is not null").distinct()
     # The numbers of blocks only set the sizes of tasks; a text's block is its hash.
@@ -97,17 +68,15 @@ def similar_texts(queries: DataFrame, texts: DataFrame, limit: int = 40, scorer:
     asked = asked.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across).cast("long"))).withColumn("down", blocks(down))
     known = known.withColumn("down", F.pmod(F.xxhash64("text"), F.lit(down).cast("long"))).withColumn("across", blocks(across))
 
-    rate = {"set_ratio": token_set_ratio, "sort_ratio": token_sort_ratio}[scorer]
-
     def score(asked: pa.Table, known: pa.Table) -> pa.Table:
-        rows, found = known["text"].to_pylist(), []
-        for q in asked["query"].to_pylist():
-            best = heapq.nsmallest(limit, ((-rate(q, t), t) for t in rows))
-            found += [(q, t, token_set_ratio(q, t), token_sort_ratio(q, t)) for _, t in best]
-        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 4, (pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["query", "text", "set_ratio", "sort_ratio"])
+        index = similarity.Index(known["text"].to_pylist(), scorer)
+        found = [(q, t, s) for q in asked["query"].to_pylist() for t, s in index.best(q, limit)]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query", "text", scorer])
 
-    found = asked.groupBy("across", "down").cogroup(known.groupBy("across", "down")).applyInArrow(score, "query string, text string, set_ratio double, sort_ratio double")
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col(scorer).desc(), "text"))).filter(F.col("nth") <= limit).drop("nth")
+    found = asked.groupBy("across", "down").cogroup(known.groupBy("across", "down")).applyInArrow(score, f"query string, text string, {scorer} double")
+    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col(scorer).desc(), "text"))).filter(F.col("nth") <= limit)
+    other, rate = ("sort_ratio", sort_ratios) if scorer == "set_ratio" else ("set_ratio", set_ratios)
+    return best.withColumn(other, rate("query", "text")).select("query", "text", "set_ratio", "sort_ratio")
 
 
 def adjusted(score: Column) -> Column:
@@ -143,6 +112,7 @@ def match(queries: DataFrame, index: DataFrame, decisions: DataFrame | None = No
         asked = met.filter("known is null").drop("known")
     empty = F.create_map().cast("map<string,string>")
     asked = asked.withColumn("expanded", text.expanded(F.col("query"), *(vocabulary or (empty, F.array().cast("array<struct<key:string,value:string>>"), empty))))
+    asked, index = saved(asked, "asked"), saved(index, "index")  # each is read by several joins
     found = similar_texts(asked.select(F.col("expanded").alias("query")), index, limit).withColumnRenamed("query", "expanded")
     found = found.withColumn("tie", sort_ratios("expanded", F.trim(F.split("text", SUFFIX, 2)[0])))
     scored = asked.join(found, "expanded").join(index, "text").withColumn("score", adjusted(F.col("set_ratio")))
@@ -162,10 +132,38 @@ def match(queries: DataFrame, index: DataFrame, decisions: DataFrame | None = No
     return out if cached is None else out.unionByName(cached)
 
 
-def tie_broken(matches: DataFrame, choose) -> DataFrame:
-    """matches with choose, a pandas UDF of (query, candidates), applied where nothing was accepted; its NULL changes nothing."""
-    chosen = F.when(~F.col("accepted"), choose(F.col("query"), F.col("candidates")))
-    return matches.withColumn("codigo", F.coalesce(chosen, F.col("codigo")))
+def tie_broken(matches: DataFrame, choose, failures=None) -> DataFrame:
+    """matches with choose applied where nothing was accepted; its None changes nothing, nor does its failure.
+
+    choose takes two lists, of queries and of their candidates, and gives a
+    list of codes. It is called with the open rows of a batch, and where that
+    fails with each of them alone; a row that fails then keeps what it had.
+    failures, an accumulator, counts such rows.
+    """
+
+    def one(query: str, candidates: list[str]) -> str | None:
+        try:
+            return choose([query], [candidates])[0]
+        except Exception:  # whatever the given function raises
+            if failures is not None:
+                failures.add(1)
+            return None
+
+    @F.arrow_udf(StringType())
+    def chosen(queries: pa.Array, candidates: pa.Array, accepted: pa.Array) -> pa.Array:
+        rows = [(i, q, c) for i, (q, c, done) in enumerate(zip(queries.to_pylist(), candidates.to_pylist(), accepted.to_pylist(), strict=True)) if not done]
+        out: list[str | None] = [None] * len(queries)
+        try:
+            found = choose([q for _, q, _ in rows], [c for _, _, c in rows]) if rows else []
+            if len(found) != len(rows):
+                raise ValueError("one code for each row")
+        except Exception:  # whatever the given function raises
+            found = [one(q, c) for _, q, c in rows]
+        for (i, _, _), code in zip(rows, found, strict=True):
+            out[i] = code
+        return pa.array(out, pa.string())
+
+    return matches.withColumn("codigo", F.coalesce(chosen("query", "candidates", "accepted"), F.col("codigo")))
 
 
 def statistics(matches: DataFrame, by: list[str]) -> DataFrame:
@@ -229,14 +227,34 @@ def with_heuristics(best: Column, more: Column, saldo: bool) -> Column:
     return F.array_sort(F.concat(F.array(first), F.filter(more, lambda x: x["codigo"] != best["codigo"])))
 
 
+def synonym_map(entries: DataFrame) -> DataFrame:
+    """kind, key, value of entries (kind, lang, place, key, value): one for each kind and normal key.
+
+    Entries without a language win, the last of them by place; of those with
+    one, the first. Phrases are resolved where values are keys themselves.
+    """
+    one = entries.withColumn("key", text.normalized(F.col("key"))).filter("key <> ''")
+    base = F.col("lang").isNull()
+    first = F.min_by("value", F.struct((~base).alias("other"), F.when(base, -F.col("place")).otherwise(F.col("place")).alias("place")))
+    found = one.groupBy("kind", "key").agg(first.alias("value"))
+    phrases = resolved_chains(found.filter("kind = 'phrase'").select("key", "value", F.lit(0).alias("priority")))
+    return found.filter("kind <> 'phrase'").unionByName(phrases.select(F.lit("phrase").alias("kind"), "key", "value"))
+
+
 def resolved_chains(pairs: DataFrame, hops: int = 5) -> DataFrame:
-    """key, value of synonyms (key, value, priority): the first by priority, followed up to five times without going round."""
-    one = pairs.groupBy("key").agg(F.min_by("value", "priority").alias("value"))
-    out = one
-    for _ in range(hops):
-        nxt = one.select(F.col("key").alias("value"), F.col("value").alias("further"))
-        out = out.join(nxt, "value", "left").select("key", F.when(F.col("further").isNotNull() & (F.col("further") != F.col("key")), F.col("further")).otherwise(F.col("value")).alias("value"))
-    return out
+    """key, value of synonyms (key, value, priority): the first by priority, followed hops times while the value is a key.
+
+    Where a chain comes back to what it has met, it ends there; so a key on a
+    circle stays itself. The way is found by doubling: a join appends to each
+    way that of its end, so that hops cost their binary digits in joins.
+    """
+    ways = pairs.groupBy("key").agg(F.min_by("value", "priority").alias("value")).select("key", F.array("value").alias("way"))
+    for _ in range(hops.bit_length()):
+        more = ways.select(F.col("key").alias("end"), F.col("way").alias("more"))
+        ways = ways.withColumn("end", F.element_at("way", -1)).join(more, "end", "left").select("key", F.concat("way", F.coalesce("more", F.array().cast("array<string>"))).alias("way"))
+    way = F.slice("way", 1, hops + 1)
+    met = F.filter(way, lambda x, i: (x == F.col("key")) | F.array_contains(F.slice(way, F.lit(1), i), x))
+    return ways.select("key", F.coalesce(F.get(met, F.lit(0)), F.element_at(way, -1)).alias("value"))
 
 
 def humanized(warnings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -121,9 +121,29 @@ def uncovered_totals(uncovered: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def result_to_equity(totals: DataFrame) -> DataFrame:
-    """KEY, transfer of totals (KEY, assets, liabilities, result): the result, where it is exactly the gap of the balance."""
-    gap = F.col("assets") - F.col("liabilities")
-    return totals.select(*KEY, money(F.when(F.abs(gap - F.col("result")) <= 0.01, F.col("result")).otherwise(0)).alias("transfer"))
+    """KEY, gap, result, transfer, warning of totals (KEY, assets, liabilities, revenues, expenses).
+
+    A ledger whose balance has a gap is open where the gap is its result,
+    revenues less expenses by size; then the gap is to be moved to equity.
+    Where the two differ by more than a cent and a millionth, an account is
+    missing or counted twice: nothing is moved, and warning says so.
+    """
+    size = lambda c: F.abs(F.coalesce(c, F.lit(0)))
+    gap, result = F.col("assets") - F.col("liabilities"), size("revenues") - size("expenses")
+    asked = (F.abs(gap) > 0.01) & ((size("revenues") > 0) | (size("expenses") > 0))
+    same = F.abs(gap - result) <= F.greatest(F.lit(0.01), F.abs(gap).cast("double") * 1e-6)
+    out = totals.select(*KEY, money(gap).alias("gap"), money(result).alias("result"), asked.alias("asked"), same.alias("same"))
+    warning = F.format_string("gap of %s, result of %s", F.col("gap").cast("decimal(20,2)").cast("string"), F.col("result").cast("decimal(20,2)").cast("string"))
+    return out.select(*KEY, "gap", "result", money(F.when(F.col("asked") & F.col("same"), F.col("gap")).otherwise(0)).alias("transfer"), F.when(F.col("asked") & ~F.col("same"), warning).alias("warning"))
+
+
+#: Fixed value: the line of the chart that takes a period's result.
+EQUITY_CODE = "2.03.04.01"
+
+
+def equity_facts(transfers: DataFrame, target: str = EQUITY_CODE) -> DataFrame:
+    """KEY, codigo (generated), alvo, valor: a fact for each ledger with a transfer."""
+    return transfers.filter("transfer <> 0").select(*KEY, F.lit("(generated)").alias("codigo"), F.lit(target).alias("alvo"), F.col("transfer").alias("valor"))
 
 
 def statement(facts: DataFrame, prefixes: DataFrame, line_terms: DataFrame | None = None) -> DataFrame:

@@ -64,9 +64,30 @@ def leaves(tree: DataFrame) -> DataFrame:
     return tree.join(ancestors(tree).select(*KEY, F.col("ancestor").alias("codigo")).distinct(), [*KEY, "codigo"], "left_anti")
 
 
+def intervals(tree: DataFrame) -> DataFrame:
+    """KEY, codigo, first, last: places in preorder; the codes below a node have the places first + 1 to last.
+
+    One sort of a ledger's codes: each node comes a second time, behind all
+    that is below it, where the nodes met so far are counted.
+    """
+    key = codes.sort_key(F.col("codigo"))
+    behind = F.array_append(key, F.struct(F.lit(True).alias("text"), F.lit(2**31 - 1).alias("n"), F.lit("").alias("s")))
+    events = tree.select(*KEY, "codigo", F.explode(F.array(F.struct(key.alias("key"), F.lit(1).alias("opens")), F.struct(behind.alias("key"), F.lit(0).alias("opens")))).alias("e"))
+    met = F.sum("e.opens").over(Window.partitionBy(*KEY).orderBy("e.key", "codigo").rowsBetween(Window.unboundedPreceding, 0))
+    placed = events.select(*KEY, "codigo", "e.opens", met.alias("met"))
+    place = lambda opens: F.max(F.when(F.col("opens") == opens, F.col("met")))
+    return placed.groupBy(*KEY, "codigo").agg(place(1).alias("first"), place(0).alias("last"))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """KEY, codigo, descendants: sorted codes below each node."""
-    return ancestors(tree).groupBy(*KEY, F.col("ancestor").alias("codigo")).agg(F.array_sort(F.collect_set("codigo")).alias("descendants"))
+    """KEY, codigo, first, last, n: nodes that have some below them, with the places in preorder and how many there are."""
+    return intervals(tree).filter("last > first").withColumn("n", F.col("last") - F.col("first"))
+
+
+def listed(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """KEY, codigo, descendants: the sorted codes below the asked nodes (KEY, codigo), as one array each."""
+    wanted = ancestors(tree).join(asked.select(*KEY, F.col("codigo").alias("ancestor")).distinct(), [*KEY, "ancestor"])
+    return wanted.groupBy(*KEY, F.col("ancestor").alias("codigo")).agg(F.array_sort(F.collect_set("codigo")).alias("descendants"))
 
 
 def rollup_check(tree: DataFrame) -> DataFrame:
@@ -180,8 +201,8 @@ def tree_cut(tree: DataFrame, mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def absorbed(tree: DataFrame, emitted: DataFrame) -> DataFrame:
-    """KEY, codigo, absorbed: codes below each emitted node that has some."""
-    return ancestors(tree).join(emitted.select(*KEY, F.col("codigo").alias("ancestor")), [*KEY, "ancestor"]).groupBy(*KEY, F.col("ancestor").alias("codigo")).agg(F.array_sort(F.collect_set("codigo")).alias("absorbed"))
+    """KEY, codigo, first, last, n: emitted nodes that have codes below them, whose places are first + 1 to last."""
+    return descendants(tree).join(emitted.select(*KEY, "codigo").distinct(), [*KEY, "codigo"])
 
 
 def export_rollup(tree: DataFrame) -> DataFrame:
@@ -210,12 +231,6 @@ def top_roots(tree: DataFrame, n: int = 15) -> DataFrame:
     return roots(tree).withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= n).select(*KEY, "codigo", "saldo", "rank")
 
 
-def inferred_parent(code: Column) -> Column:
-    """The code without its last segment; a flat one without its last two digits, or one if it has two or fewer."""
-    flat = F.when(F.char_length(code) > 2, code.substr(F.lit(1), F.char_length(code) - 2)).when(F.char_length(code) == 2, F.substring(code, 1, 1))
-    return F.when(code.contains("."), F.regexp_replace(code, r"\.[^.]+$", "")).otherwise(flat)
-
-
 def existing_parents(tree: DataFrame) -> DataFrame:
     """KEY, codigo, parent: the nearest code above that exists, by segments, and for flat codes by two digits, then one."""
     up = F.when(F.col("codigo").contains("."), F.reverse(codes.prefixes(F.col("codigo"), itself=False))).otherwise(

@@ -77,16 +77,22 @@ def p20m(spark, d):
     return dv.match_rates(ledger(spark, d, "geo").withColumn("alvo", F.when(F.col("row_no") % 3 != 0, F.col("codigo"))))
 
 
-BANK = "SELECT * FROM (VALUES ('1', 'A', FALSE), ('1.1', 'B', FALSE), ('2.3', 'C', FALSE), ('3', 'D', TRUE), ('3.1', 'E', TRUE), ('4', 'F', FALSE)) v(rule, alvo, expense)"
+BANK = "SELECT * FROM (VALUES ('1', 'A'), ('1.1', 'B'), ('4.3', 'C'), ('7', 'D'), ('7.2', 'E'), ('8', 'F'), ('8.1', 'G'), ('8.1.2', 'A')) v(rule, alvo)"
+#: The ledger under a bank's root digits: costs are negative in one period, the regions stand among compensation too, and group 6.1 has no value.
+BANKED = """SELECT ledger_id, period, row_no, concat(CASE substr(codigo, 1, 1) WHEN '2' THEN '4' WHEN '3' THEN '8' WHEN '4' THEN '7' ELSE '1' END, substr(codigo, 2)) AS codigo, descricao, CAST(CASE WHEN period = 2021 AND codigo LIKE '3%' THEN -saldo ELSE saldo END AS DECIMAL(20,4)) AS saldo FROM {t}
+UNION ALL SELECT ledger_id, period, row_no + 20000000000, concat('9', substr(codigo, 2)), descricao, saldo FROM {t} WHERE codigo LIKE '1%' AND codigo NOT LIKE '1.%.%'
+UNION ALL SELECT ledger_id, period, row_no + 30000000000, '6.1', 'Grupo vazio', CAST(0 AS DECIMAL(20,4)) FROM {t} WHERE codigo = '1'
+UNION ALL SELECT ledger_id, period, row_no + 40000000000, '6.2', 'Grupo sem regra', saldo FROM {t} WHERE codigo = '1'"""
 
 
-@query("p13_bank_facts", f"""t AS ({ledger_sql('full')}), {NODES}, rl AS ({BANK}), v AS (SELECT n.ledger_id, n.period, rule, alvo, expense, saldo FROM n JOIN rl ON n.codigo = rule),
+@query("p13_bank_facts", f"""t0 AS ({ledger_sql('full')}), t AS ({BANKED.format(t='t0')}), {NODES}, rl AS ({BANK}), v AS (SELECT n.ledger_id, n.period, rule, alvo, saldo FROM n JOIN rl ON n.codigo = rule),
 b AS (SELECT c.ledger_id, c.period, arg_max(p.rule, len(p.rule)) AS rule, any_value(c.saldo) AS s FROM v c JOIN v p ON c.ledger_id = p.ledger_id AND c.period = p.period AND starts_with(c.rule, p.rule || '.') GROUP BY c.ledger_id, c.period, c.rule),
-w AS (SELECT v.ledger_id, v.period, alvo, CASE WHEN expense THEN -abs(saldo - coalesce(s, 0)) ELSE saldo - coalesce(s, 0) END AS valor FROM v LEFT JOIN (SELECT {K}, rule, sum(s) AS s FROM b GROUP BY ALL) q USING (ledger_id, period, rule))
-SELECT {K}, alvo AS codigo, 'fact' AS part, round(CAST(sum(valor) AS DOUBLE), 2) AS valor FROM w GROUP BY {K}, alvo
-UNION ALL SELECT {K}, codigo, 'uncovered', round(CAST(saldo AS DOUBLE), 2) FROM n WHERE len(string_split(codigo, '.')) = 2 AND NOT EXISTS (SELECT 1 FROM rl WHERE codigo = rule OR starts_with(codigo, rule || '.') OR starts_with(rule, codigo || '.'))""")
+w AS (SELECT v.ledger_id, v.period, rule, alvo, saldo - coalesce(s, 0) AS net FROM v LEFT JOIN (SELECT {K}, rule, sum(s) AS s FROM b GROUP BY ALL) q USING (ledger_id, period, rule)),
+f AS (SELECT {K}, alvo, CASE WHEN rule LIKE '8%' THEN 0 - net ELSE net END AS valor FROM w UNION ALL SELECT {K}, '2.03.04.01', sum(CASE WHEN rule LIKE '7%' THEN net WHEN rule LIKE '8%' THEN 0 - net END) FROM w GROUP BY {K} HAVING abs(sum(CASE WHEN rule LIKE '7%' THEN net WHEN rule LIKE '8%' THEN 0 - net END)) > 0.005)
+SELECT {K}, alvo AS codigo, 'fact' AS part, round(CAST(sum(valor) AS DOUBLE), 2) AS valor FROM f GROUP BY {K}, alvo
+UNION ALL SELECT {K}, codigo, 'uncovered', round(CAST(saldo AS DOUBLE), 2) FROM n WHERE len(string_split(codigo, '.')) = 2 AND codigo NOT LIKE '9%' AND abs(saldo) > 0.005 AND NOT EXISTS (SELECT 1 FROM rl WHERE codigo = rule OR starts_with(codigo, rule || '.') OR starts_with(rule, codigo || '.'))""")
 def p13b(spark, d):
-    facts, uncovered = dv.bank_facts(whole(spark, d), spark.sql(BANK))
+    facts, uncovered = dv.bank_facts(spark.sql(BANKED, t=whole(spark, d)), spark.sql(BANK))
     both = facts.select(*tree.KEY, F.col("alvo").alias("codigo"), F.lit("fact").alias("part"), "valor").unionByName(uncovered.select(*tree.KEY, "codigo", F.lit("uncovered").alias("part"), "valor"))
     return double(both, "valor")
 

@@ -142,11 +142,20 @@ def p10(spark, d):
     return double(p.uncovered_totals(u, n), "total")
 
 
-@query("p12_result_to_equity", f""" SELECT {K}, round(CAST(CASE WHEN abs(a + l - (v - c)) <= 0.01 THEN v - c ELSE 0 END AS DOUBLE), 2) AS transfer FROM (SELECT {K}, {", ".join(f"coalesce(sum(CASE substr(codigo, 1, 1) WHEN '{i}' THEN saldo END), 0) AS {c}" for i, c in enumerate("alcv", 1))} FROM r GROUP BY ALL)""")
+#: Totals of ledgers: L0 closes, L1 and L2 are open by their result, the others have a gap that is none; L4 has no result.
+OPEN = """SELECT ledger_id, period, CAST(sum(CASE WHEN codigo = '1' THEN saldo END) AS DECIMAL(20,4)) AS assets, CAST(sum(CASE WHEN codigo = '1' THEN saldo END) AS DECIMAL(20,4))
+  - CASE ledger_id WHEN 'L0' THEN 0 WHEN 'L3' THEN CAST(123.45 AS DECIMAL(20,4)) WHEN 'L4' THEN 77 ELSE CAST(coalesce(sum(CASE WHEN codigo = '4' THEN saldo END), 0) - coalesce(sum(CASE WHEN codigo = '3' THEN saldo END), 0) AS DECIMAL(20,4)) END AS liabilities,
+  CAST(CASE WHEN ledger_id <> 'L4' THEN -sum(CASE WHEN codigo = '4' THEN saldo END) END AS DECIMAL(20,4)) AS revenues, CAST(CASE WHEN ledger_id <> 'L4' THEN sum(CASE WHEN codigo = '3' THEN saldo END) END AS DECIMAL(20,4)) AS expenses FROM {t} GROUP BY ledger_id, period"""
+
+
+@query("p12_result_to_equity", f""", o AS ({OPEN.format(t='n')}), g AS (SELECT {K}, assets - liabilities AS gap, abs(coalesce(revenues, 0)) - abs(coalesce(expenses, 0)) AS result, coalesce(revenues, 0) <> 0 OR coalesce(expenses, 0) <> 0 AS told FROM o),
+j AS (SELECT *, abs(gap) > 0.01 AND told AS asked, abs(gap - result) <= greatest(0.01, abs(CAST(gap AS DOUBLE)) * 1e-6) AS same FROM g)
+SELECT {K}, round(CAST(CASE WHEN asked AND same THEN gap ELSE 0 END AS DOUBLE), 2) AS transfer, CASE WHEN asked AND NOT same THEN 'gap of ' || CAST(CAST(gap AS DECIMAL(20,2)) AS VARCHAR) || ', result of ' || CAST(CAST(result AS DECIMAL(20,2)) AS VARCHAR) END AS warning,
+  CASE WHEN asked AND same AND gap <> 0 THEN '2.03.04.01' END AS alvo FROM j""")
 def p12(spark, d):
-    one = lambda r: F.coalesce(F.sum(F.when(F.col("root") == r, F.col("total"))), F.lit(0))
-    totals = tree.root_totals(nodes(spark, d)).groupBy(*tree.KEY).agg(one("1").alias("assets"), (-one("2")).alias("liabilities"), (one("4") - one("3")).alias("result"))
-    return double(p.result_to_equity(totals), "transfer")
+    moved = p.result_to_equity(spark.sql(OPEN, t=nodes(spark, d)))
+    facts = p.equity_facts(moved).select(*tree.KEY, "alvo", F.col("valor").alias("moved"))
+    return double(moved.join(facts, tree.KEY, "left").select(*tree.KEY, F.coalesce("moved", F.lit(0)).alias("transfer"), "warning", "alvo"), "transfer")
 
 
 @query("p13_net_by_rule", f""", v AS (SELECT n.ledger_id, n.period, rule, alvo, saldo FROM n JOIN rules ON n.codigo = rule),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import numbers
+from ledgerweave.functions import codes, numbers
 from ledgerweave.operators import delivery, matching, projection, tree
 from ledgerweave.operators import pages as pg
 from ledgerweave.operators import statement_tables as st
@@ -240,9 +240,20 @@ def p24(spark, d):
     return projection.validate_matches(rows)
 
 
-@query("h22_nested_tree", f"t AS ({ledger_sql('full')}), n AS (SELECT DISTINCT {K}, codigo FROM t), e AS (SELECT {K}, codigo AS child, regexp_replace(codigo, '\\.[^.]+$', '') AS parent FROM n WHERE codigo LIKE '%.%') SELECT {K}, parent, string_agg(child, ',' ORDER BY child) AS children FROM e GROUP BY ALL")
+#: Nodes of four levels as JSON, each level's texts joined into the one above.
+NESTED = f"""t AS ({ledger_sql('geo')}), n AS (SELECT {K}, codigo, any_value(descricao) AS descricao, len(string_split(codigo, '.')) AS d, list_transform(string_split(codigo, '.'), lambda s: CAST(s AS INT)) AS o FROM t GROUP BY ALL),
+m AS (SELECT *, regexp_replace(codigo, '\\.[^.]+$', '') AS parent, '{{"codigo":"' || codigo || '","descricao":"' || descricao || '","nivel":' || d || ',"children":[' AS own FROM n),
+l4 AS (SELECT {K}, parent AS codigo, string_agg(own || ']}}', ',' ORDER BY o) AS c FROM m WHERE d = 4 GROUP BY ALL),
+l3 AS (SELECT {K}, parent AS codigo, string_agg(own || coalesce(c, '') || ']}}', ',' ORDER BY o) AS c FROM (SELECT m.*, c FROM m LEFT JOIN l4 USING (ledger_id, period, codigo)) WHERE d = 3 GROUP BY ALL),
+l2 AS (SELECT {K}, parent AS codigo, string_agg(own || coalesce(c, '') || ']}}', ',' ORDER BY o) AS c FROM (SELECT m.*, c FROM m LEFT JOIN l3 USING (ledger_id, period, codigo)) WHERE d = 2 GROUP BY ALL)"""
+
+
+@query("h22_nested_tree", NESTED + f" SELECT {K}, '[' || own || coalesce(c, '') || ']}}]' AS tree FROM (SELECT m.*, c FROM m LEFT JOIN l2 USING (ledger_id, period, codigo)) WHERE d = 1")
 def h22(spark, d):
-    return sinks.nested_tree(tree.edges(nodes(spark, d))).select(*tree.KEY, "parent", F.array_join("children", ",").alias("children"))
+    rows = ledger(spark, d, "geo").groupBy(*tree.KEY, "codigo").agg(F.first("descricao").alias("descricao"))
+    parents = tree.edges(rows).withColumnRenamed("child", "codigo")
+    whole = rows.join(parents, [*tree.KEY, "codigo"], "left").withColumn("nivel", codes.level(F.col("codigo")))
+    return sinks.nested_tree(whole, tree.KEY, ["descricao", "nivel"])
 
 
 DECIDED = "e AS (SELECT event_type || '|' || CAST(user_id % 50 AS VARCHAR) AS key, max(event_id) AS m FROM events GROUP BY ALL), x AS (SELECT key, 'C' || CAST(m % 7 AS VARCHAR) AS codigo, m % 3 = 0 AS manual FROM e)"

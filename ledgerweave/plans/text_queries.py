@@ -134,10 +134,11 @@ def l16(spark, d):
     return layout.compacted(e).select("row_no", "col_no", "value")
 
 
-@query("l21_pointed_codes", f"t AS ({ledger_sql('geo')}) SELECT DISTINCT {K}, string_split(codigo, '.')[1] || CASE WHEN codigo LIKE '%.%' THEN lpad(string_split(codigo, '.')[2], 2, '0') ELSE '' END || CASE WHEN codigo LIKE '%.%.%' THEN lpad(string_split(codigo, '.')[3], 2, '0') ELSE '' END || CASE WHEN codigo LIKE '%.%.%.%' THEN lpad(string_split(codigo, '.')[4], 8, '0') ELSE '' END AS original, CAST(len(string_split(codigo, '.')) AS INT) AS nivel FROM t")
+@query("l21_pointed_codes", f"t AS (WITH g AS ({ledger_sql('geo')}) SELECT ledger_id, period, codigo FROM g UNION ALL SELECT ledger_id, period, '2' || substr(codigo, 2) FROM g) SELECT DISTINCT {K}, string_split(codigo, '.')[1] || CASE WHEN codigo LIKE '%.%' THEN lpad(string_split(codigo, '.')[2], 2, '0') ELSE '' END || CASE WHEN codigo LIKE '%.%.%' THEN lpad(string_split(codigo, '.')[3], 2, '0') ELSE '' END || CASE WHEN codigo LIKE '%.%.%.%' THEN lpad(string_split(codigo, '.')[4], 8, '0') ELSE '' END AS original, CAST(len(string_split(codigo, '.')) AS INT) AS nivel FROM t")
 def l21(spark, d):
     part = lambda i, n: F.coalesce(F.lpad(F.try_element_at(F.split("codigo", "[.]"), F.lit(i)), n, "0"), F.lit(""))
     flat = ledger(spark, d, "geo").withColumn("codigo", F.concat(F.substring("codigo", 1, 1), part(2, 2), part(3, 2), part(4, 8)))
+    flat = flat.unionByName(flat.withColumn("codigo", F.concat(F.lit("2"), F.expr("substring(codigo, 2)"))))  # a length that one code has is no level
     return layout.pointed(flat, ["ledger_id", "period"]).select("ledger_id", "period", F.col("codigo_original").alias("original"), codes.level(F.col("codigo")).alias("nivel")).distinct()
 
 
@@ -216,9 +217,22 @@ def g9(spark, d):
     return learning.review_items(rows, e.select(F.col("user_id").alias("text")).filter("text % 5 = 0").distinct())
 
 
-@query("x19_chains", "p AS (SELECT DISTINCT p_size AS k FROM part) SELECT CAST(k AS VARCHAR) AS key, CAST(least(51, k + 6) AS VARCHAR) AS value FROM p")
+#: Chains of sizes, circles of three brands, a brand's way into a circle; in other languages, and some in capitals.
+SYNONYMS = """SELECT 'phrase' AS kind, CAST(NULL AS STRING) AS lang, CAST(p_size AS INT) AS place, concat('Tamanho ', CAST(p_size AS STRING)) AS key, concat('tamanho ', CAST(least(p_size + 1, 51) AS STRING)) AS value FROM {part}
+UNION ALL SELECT 'phrase', 'en', CAST(p_size AS INT), concat('size  ', CAST(p_size AS STRING)), concat('tamanho ', CAST(p_size AS STRING)) FROM {part}
+UNION ALL SELECT 'phrase', 'es', CAST(100 + p_size AS INT), concat('TAMANHO ', CAST(p_size AS STRING)), 'nunca' FROM {part}
+UNION ALL SELECT 'phrase', CAST(NULL AS STRING), 0, concat('roda ', CAST(p_size % 30 AS STRING)), concat('roda ', CAST(CASE WHEN p_size % 3 = 2 THEN p_size % 30 - 2 ELSE p_size % 30 + 1 END AS STRING)) FROM {part}
+UNION ALL SELECT 'phrase', 'en', 0, concat('entra ', CAST(p_size % 30 AS STRING)), concat('roda ', CAST(p_size % 30 AS STRING)) FROM {part}
+UNION ALL SELECT 'token', CAST(NULL AS STRING), CAST(p_partkey AS INT), p_brand, p_type FROM {part}"""
+
+
+@query("x19_chains", f"""RECURSIVE e AS (SELECT DISTINCT * FROM ({SYNONYMS.replace('STRING', 'VARCHAR').format(part='part')})),
+m AS (SELECT kind, trim(regexp_replace(lower(key), '\\s+', ' ', 'g')) AS key, arg_min(value, (lang IS NOT NULL, CASE WHEN lang IS NULL THEN -place ELSE place END)) AS value FROM e GROUP BY ALL),
+w(key, way) AS (SELECT key, [value] FROM m WHERE kind = 'phrase' UNION ALL SELECT w.key, list_append(way, m.value) FROM w JOIN m ON m.kind = 'phrase' AND m.key = way[-1] WHERE len(way) < 6 AND way[-1] <> w.key AND NOT list_contains(way[:-2], way[-1]))
+SELECT kind, key, value FROM m WHERE kind = 'token' UNION ALL SELECT 'phrase', key, arg_max(way[-1], len(way)) FROM w GROUP BY key""")
 def x19(spark, d):
-    from ledgerweave.operators.matching import resolved_chains
+    from ledgerweave.operators.matching import synonym_map
+
+    return synonym_map(spark.sql(SYNONYMS, part=spark.read.parquet(f"{d}/part.parquet")))
+
 
-    k = spark.read.parquet(f"{d}/part.parquet").select("p_size").distinct()
-    return resolved_chains(k.select(F.col("p_size").cast("string").alias("key"), F.least(F.col("p_size") + 1, F.lit(51)).cast("string").alias("value"), F.lit(1).alias("priority")))

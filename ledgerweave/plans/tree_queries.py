@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes
-from ledgerweave.operators import tree
+from ledgerweave.operators import chart, tree
 from ledgerweave.plans.ledgers import ledger, ledger_sql
 from ledgerweave.sources.stage import saved
 
@@ -73,9 +73,12 @@ def h4(spark, d):
     return double(tree.roots(nodes(spark, d)).select(*tree.KEY, "codigo", "saldo"), "saldo")
 
 
-@query("h5_descendants", f"SELECT {K}, ancestor AS codigo, count(*) AS n, min(codigo) AS low, max(codigo) AS high FROM a WHERE ancestor <> codigo GROUP BY ALL")
+PLACED = f"pl AS (SELECT {K}, codigo, row_number() OVER (PARTITION BY {K} ORDER BY list_transform(string_split(codigo, '.'), lambda s: CAST(s AS INT))) AS first FROM n)"
+
+
+@query("h5_descendants", f", {PLACED}, b AS (SELECT {K}, ancestor AS codigo, count(*) AS n FROM a WHERE ancestor <> codigo GROUP BY ALL) SELECT {K}, codigo, first, first + n AS last, n FROM pl JOIN b USING (ledger_id, period, codigo)")
 def h5(spark, d):
-    return tree.descendants(nodes(spark, d)).select(*tree.KEY, "codigo", F.size("descendants").cast("long").alias("n"), F.array_min("descendants").alias("low"), F.array_max("descendants").alias("high"))
+    return tree.descendants(nodes(spark, d))
 
 
 @query("h6_rollup", f"SELECT {K}, codigo, {D('declared')}, {D('children')}, n_children, {D('diff')}, ok FROM c")
@@ -165,10 +168,10 @@ def h16(spark, d):
     return emitted.withColumn("part", F.lit("emitted")).unionByName(uncovered.withColumn("part", F.lit("uncovered")))
 
 
-@query("h17_absorbed", f", {CUT} SELECT a.ledger_id, a.period, a.ancestor AS codigo, count(*) AS n FROM a JOIN (SELECT DISTINCT {K}, stop AS ancestor FROM z) USING (ledger_id, period, ancestor) WHERE a.codigo <> a.ancestor GROUP BY ALL")
+@query("h17_absorbed", f", {CUT}, {PLACED}, b AS (SELECT a.ledger_id, a.period, a.ancestor AS codigo, count(*) AS n FROM a JOIN (SELECT DISTINCT {K}, stop AS ancestor FROM z) USING (ledger_id, period, ancestor) WHERE a.codigo <> a.ancestor GROUP BY ALL) SELECT {K}, codigo, first, first + n AS last, n FROM pl JOIN b USING (ledger_id, period, codigo)")
 def h17(spark, d):
     n, emitted, _ = cut(spark, d)
-    return tree.absorbed(n, emitted).select(*tree.KEY, "codigo", F.size("absorbed").cast("long").alias("n"))
+    return tree.absorbed(n, emitted)
 
 
 @query("h18_export_rollup", f"SELECT {K}, codigo, {D('saldo')}, round(CAST(coalesce(children, saldo) AS DOUBLE), 2) AS saldo_calculado, round(CAST(coalesce(diff, 0) AS DOUBLE), 2) AS diff, coalesce(ok OR abs(diff) <= abs(saldo) * 0.0005, TRUE) AS ok FROM n LEFT JOIN c USING (ledger_id, period, codigo)")
@@ -208,7 +211,7 @@ def h21(spark, d):
 @query("h23_inferred_parents", f"SELECT DISTINCT {K}, codigo, CASE WHEN codigo LIKE '%.%' THEN regexp_replace(codigo, '\\.[^.]+$', '') END AS dotted, CASE WHEN len(replace(codigo, '.', '')) > 2 THEN left(replace(codigo, '.', ''), len(replace(codigo, '.', '')) - 2) WHEN len(replace(codigo, '.', '')) = 2 THEN left(codigo, 1) END AS flat FROM n")
 def h23(spark, d):
     flat = F.replace("codigo", F.lit("."), F.lit(""))
-    return nodes(spark, d).select(*tree.KEY, "codigo", F.when(F.col("codigo").contains("."), tree.inferred_parent(F.col("codigo"))).alias("dotted"), tree.inferred_parent(flat).alias("flat"))
+    return nodes(spark, d).select(*tree.KEY, "codigo", F.when(F.col("codigo").contains("."), chart.parent_of(F.col("codigo"))).alias("dotted"), chart.parent_of(flat).alias("flat"))
 
 
 @query("h24_parent_codes", f"SELECT DISTINCT {K}, array_to_string(string_split(codigo, '.')[1:i], '.') AS codigo FROM n, unnest(generate_series(1, len(string_split(codigo, '.')) - 1)) AS g(i)", "sparse")

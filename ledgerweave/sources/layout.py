@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +73,25 @@ def records(cells: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("d", F.lit("")) != "").select(*TABLE, "row_no", code.alias("codigo"), F.when(glued, F.regexp_extract("d", split, 2)).otherwise(F.col("d")).alias("descricao"), parse_amount(F.col("s")).alias("saldo"))
 
 
-def flat_levels(rows: DataFrame, key: list[str], least_codes: int = 10, least_levels: int = 3, share: float = 0.9) -> DataFrame:
-    """key, levels: cumulative lengths of flat codes where 90 % of the longer ones find their beginning among the shorter, and the codes are no counter."""
-    flat = rows.filter(F.col("codigo").rlike(r"^\d+$")).select(*key, "codigo", F.char_length("codigo").alias("len")).distinct()
+def flat_levels(rows: DataFrame, key: list[str], least_codes: int = 10, least_levels: int = 3, share: float = 0.9, least_each: int = 2) -> DataFrame:
+    """key, levels: cumulative lengths of flat codes where 90 % of the longer ones find their beginning among the shorter, and the codes are no counter.
+
+    A length that only one row has is no level.
+    """
+    flat = rows.filter(F.col("codigo").rlike(r"^\d+$")).groupBy(*key, "codigo").agg(F.count(F.lit(1)).alias("times")).withColumn("len", F.char_length("codigo"))
     number = F.col("codigo").cast("decimal(38,0)")
-    spread = flat.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / (F.max(number) - F.min(number) + 1).cast("double")).alias("density"), F.array_sort(F.collect_set("len")).alias("lengths")).filter((F.col("n") >= least_codes) & (F.size("lengths") >= least_levels) & ~((F.col("n") >= 10) & (F.col("density") > 0.5)))
-    child = flat.join(spread.select(*key, "lengths"), key).withColumn("shorter", F.explode(F.filter("lengths", lambda x: x < F.col("len"))))
+    lengths = flat.groupBy(*key, "len").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min(number).alias("low"), F.max(number).alias("high"))
+    spread = lengths.groupBy(*key).agg(F.sum("n").alias("n"), (F.sum("kinds") / (F.max("high") - F.min("low") + 1).cast("double")).alias("density"), F.array_sort(F.collect_list(F.when(F.col("n") >= least_each, F.col("len")))).alias("lengths"))
+    spread = spread.filter((F.col("n") >= least_codes) & (F.size("lengths") >= least_levels) & ~(F.col("density") > 0.5))
+    child = flat.join(spread.select(*key, "lengths"), key).filter(F.array_contains("lengths", F.col("len"))).withColumn("shorter", F.explode(F.filter("lengths", lambda x: x < F.col("len"))))
     parent = flat.select(*key, F.col("codigo").alias("begin"), F.col("len").alias("shorter")).withColumn("have", F.lit(1))
     met = child.withColumn("begin", F.col("codigo").substr(F.lit(1), F.col("shorter"))).join(parent, [*key, "begin", "shorter"], "left")
-    good = met.groupBy(*key, "len", "shorter").agg(F.avg(F.coalesce("have", F.lit(0))).alias("s")).filter(F.col("s") >= share)
+    good = met.groupBy(*key, "len", "shorter").agg((F.sum(F.coalesce("have", F.lit(0)) * F.col("times")) / F.sum("times")).alias("s")).filter(F.col("s") >= share)
     nearest = good.groupBy(*key, "len").agg(F.max("shorter").alias("up"))
-    # From the longest length upwards; the table has a row per length.
-    chain = nearest.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("len", "up"))).alias("up"), F.max("len").alias("top"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.array("top"), lambda acc, _: F.when(F.try_element_at("up", F.element_at(acc, 1)).isNotNull(), F.concat(F.array(F.try_element_at("up", F.element_at(acc, 1))), acc)).otherwise(acc))
+    # From the longest length upwards, in as many steps as there are lengths; the table has a row per length.
+    chain = nearest.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("len", "up"))).alias("up")).join(spread.select(*key, "lengths"), key)
+    further = lambda acc: F.try_element_at("up", F.element_at(acc, 1))
+    walked = F.aggregate("lengths", F.slice("lengths", -1, 1), lambda acc, _: F.when(further(acc).isNotNull(), F.concat(F.array(further(acc)), acc)).otherwise(acc))
     return chain.select(*key, walked.alias("levels")).filter(F.size("levels") >= least_levels)
 
 
@@ -103,23 +110,63 @@ def indented(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("codigo", F.when(hangs, F.concat_ws(".", before, F.trim("codigo"))).otherwise(F.trim("codigo")))
 
 
-def outline(rows: DataFrame, key: list[str]) -> DataFrame:
+def numbered(depths: list[int], state: list[int]) -> tuple[list[str], list[int]]:
+    """Outline numbers of rows of these depths after rows that left this stack of counts, and the stack that they leave."""
+    out, stack = [], list(state)
+    for d in depths:
+        if len(stack) > d:
+            del stack[d + 1 :]
+            stack[d] += 1
+        else:
+            stack += [1] * (d + 1 - len(stack))  # a level that is left out counts as 1
+        out.append(".".join(map(str, stack)))
+    return out, stack
+
+
+def after(state: list[int], part: dict) -> list[int]:
+    """The stack that a part of a ledger leaves: it keeps what is above the part's least depth and adds up at it."""
+    least, count, first, below = part["least"], part["count"], part["first"], part["below"]
+    at = state[least] if len(state) > least else int(first > least)
+    return state[:least] + [1] * (least - len(state)) + [at + count] + below
+
+
+def outline(rows: DataFrame, key: list[str], part_rows: int = 100_000) -> DataFrame:
     """rows (with depth from 0) and codigo, their outline number: segment k counts rows of depth k since the last shallower one.
 
-    Each segment that a ledger uses takes one pass over it, so that any depth
-    gets its number; a level that is left out counts as 1 below the row
-    before, or 0 if nothing opened it.
+    A level that is left out counts as 1 below the row before. Parts of
+    part_rows row numbers are summed up first: what a part does to the stack of
+    counts is its least depth, the rows of that depth and the counts below the
+    last of them, and these combine in order. So a ledger may span tasks, and
+    the depth makes no difference to the plan.
     """
-    deepest = rows.agg(F.max("depth")).first()[0]
-    parts, out = [], rows
-    for k in range((deepest if deepest is not None else -1) + 1):
-        shallower = F.sum((F.col("depth") < k).cast("int")).over(Window.partitionBy(*key).orderBy("row_no"))
-        out = out.withColumn(f"__g{k}", shallower)
-        w = Window.partitionBy(*key, f"__g{k}").orderBy("row_no")
-        level = F.when(F.col("depth") >= k, F.col("depth"))
-        opens = F.coalesce((F.first(level, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > k).cast("int"), F.lit(0))
-        parts.append(F.when(F.col("depth") >= k, (F.sum((F.col("depth") == k).cast("int")).over(w) + opens).cast("string")))
-    return out.withColumn("codigo", F.concat_ws(".", *parts)).drop(*[f"__g{k}" for k in range(len(parts))])
+    cut = rows.withColumn("__part", F.floor(F.col("row_no") / part_rows))
+    small = cut.select(*key, "__part", "row_no", "depth")
+
+    def survey(part: pa.Table) -> pa.Table:
+        depths = part.sort_by("row_no")["depth"].to_pylist()
+        least = min(depths)
+        last = len(depths) - 1 - depths[::-1].index(least)
+        below = numbered([d - least - 1 for d in depths[last + 1 :]], [])[1]
+        told = {"least": [least], "count": [depths.count(least)], "first": [depths[0]], "below": [below]}
+        return pa.table({**{k: part[k].slice(0, 1) for k in (*key, "__part")}, **{k: pa.array(v, pa.list_(pa.int32()) if k == "below" else pa.int32()) for k, v in told.items()}})
+
+    def states(parts: pa.Table) -> pa.Table:
+        state: list[int] = []
+        parts, before = parts.sort_by("__part"), []
+        for part in parts.select(["least", "count", "first", "below"]).to_pylist():
+            before.append(state)
+            state = after(state, part)
+        return parts.select([*key, "__part"]).append_column("__state", pa.array(before, pa.list_(pa.int32())))
+
+    def number(part: pa.Table) -> pa.Table:
+        part = part.sort_by("row_no")
+        return part.drop_columns(["__part", "__state"]).append_column("codigo", pa.array(numbered(part["depth"].to_pylist(), part["__state"][0].as_py())[0], pa.string()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema if f.name in (*key, "__part"))
+    surveyed = small.groupBy(*key, "__part").applyInArrow(survey, f"{kinds}, least int, count int, first int, below array<int>")
+    before = surveyed.groupBy(*key).applyInArrow(states, f"{kinds}, __state array<int>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return cut.join(before, [*key, "__part"]).select(*rows.columns, "__part", "__state").groupBy(*key, "__part").applyInArrow(number, f"{schema}, codigo string")
 
 
 def find_column(header: DataFrame, patterns: list[str]) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.functions import codes
+from ledgerweave.operators.chart import parent_of
 from ledgerweave.operators.tree import KEY
+from ledgerweave.sources.stage import saved
 
 
 def write_audit(tables: dict[str, DataFrame], path: str) -> None:
@@ -26,9 +29,72 @@ def accounts_table(matched: DataFrame, rollup: DataFrame) -> DataFrame:
     return matched.join(rollup.select(*KEY, "codigo", "saldo_calculado", "diff", "ok"), [*KEY, "codigo"], "left")
 
 
-def nested_tree(edges: DataFrame) -> DataFrame:
-    """KEY, parent, children: adjacency as sorted arrays, for export."""
-    return edges.groupBy(*KEY, "parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
+def nested_tree(nodes: DataFrame, key: list[str], fields: list[str], save_each: int = 8) -> DataFrame:
+    """key, tree: for each key the JSON array of its roots, nodes within nodes as children, sorted by code.
+
+    nodes: key, codigo, parent (null or a code that isn't there makes a root)
+    and the fields that a node shows. The fold goes up from the deepest level;
+    each round joins finished children to their parents only. A circle of
+    parents has no root and is left out. A key's tree is one value.
+    """
+    order = codes.sort_key(F.col("codigo"))
+    shown = F.to_json(F.struct("codigo", *fields), {"ignoreNullFields": "false"})
+    own = saved(nodes.select(*key, "codigo", "parent", order.alias("order"), shown.alias("own")), "nested")
+    there = own.select(*key, F.col("codigo").alias("parent"), F.lit(True).alias("has"))
+    level = own.join(there, [*key, "parent"], "left").filter("has IS NULL").select(*key, "codigo", F.lit(None).cast("string").alias("parent"), "order", "own")
+    levels = []
+    while True:
+        level = saved(level, "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        above = level.select(*key, F.col("codigo").alias("parent"))
+        level = own.join(above, [*key, "parent"]).select(*key, "codigo", "parent", "order", "own")
+    done = None
+    for i, level in enumerate(reversed(levels)):
+        if done is None:
+            children = level.select(*key, "codigo", F.lit("").alias("children"))
+        else:
+            sorted_ = F.array_sort(F.collect_list(F.struct("order", "codigo", "text")))
+            children = done.groupBy(*key, F.col("parent").alias("codigo")).agg(F.array_join(F.transform(sorted_, lambda x: x["text"]), ",").alias("children"))
+        text = F.concat(F.expr("substring(own, 1, length(own) - 1)"), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        done = level.join(children, [*key, "codigo"], "left").select(*key, "codigo", "parent", "order", text.alias("text"))
+        if i % save_each == save_each - 1:
+            done = saved(done, "folded")
+    if done is None:
+        return own.select(*key, F.lit("").alias("tree"))
+    roots = F.array_sort(F.collect_list(F.struct("order", "codigo", "text")))
+    return done.groupBy(*key).agg(F.concat(F.lit("["), F.array_join(F.transform(roots, lambda x: x["text"]), ","), F.lit("]")).alias("tree"))
+
+
+#: Fields of an account in an exported chart.
+CHART_FIELDS = ["descricao", "tipo", "natureza", "nivel", "parent_id", "forms"]
+
+
+def chart_export(chart: DataFrame) -> dict[str, DataFrame]:
+    """A chart (codigo, CHART_FIELDS) as its four tables: forms (form, codigos), contas_flat, contas_tree (one JSON value), contas_index (codigo, conta).
+
+    A parent that isn't there gives way to the nearest one above it that is.
+    """
+    ways = chart.select("codigo", F.col("parent_id").alias("at"), F.lit(0).alias("step")).filter("at is not null")
+    known = chart.select(F.col("codigo").alias("at"), F.lit(True).alias("has"))
+    found = None
+    while not (ways := saved(ways, "ways")).isEmpty():
+        met = ways.join(known, "at", "left")
+        here = met.filter("has").select("codigo", F.col("at").alias("parent"))
+        found = here if found is None else found.unionByName(here)
+        ways = met.filter("has IS NULL").select("codigo", parent_of(F.col("at")).alias("at"), (F.col("step") + 1).alias("step")).filter("at is not null and at <> ''")
+    tied = chart.withColumn("parent", F.lit(None).cast("string")) if found is None else chart.join(found, "codigo", "left")
+    tied = tied.withColumn("parent_id", F.coalesce("parent", "parent_id"))
+    account = F.struct("codigo", *CHART_FIELDS)
+    forms = chart.select(F.explode("forms").alias("form"), "codigo").groupBy("form").agg(F.array_sort(F.collect_set("codigo")).alias("codigos"))
+    return {"forms": forms, "contas_flat": tied.select("codigo", *CHART_FIELDS), "contas_tree": nested_tree(tied, [], CHART_FIELDS), "contas_index": tied.select("codigo", F.to_json(account, {"ignoreNullFields": "false"}).alias("conta"))}
+
+
+def write_chart(chart: DataFrame, path: str) -> None:
+    """The four tables of chart_export, as JSON lines."""
+    for name, df in chart_export(chart).items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def training_report(variations: DataFrame, n: int = 20) -> DataFrame:

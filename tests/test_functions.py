@@ -1,10 +1,7 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes, numbers, text
-from ledgerweave.operators.matching import common_length, ratio, token_set_ratio, token_sort_ratio
 
 
 def values(spark, rows, *columns, schema="s string"):
@@ -52,24 +49,6 @@ def test_codes(spark):
     assert values(spark, ["1.10", "1.9", "1.a", "1"], codes.prefixes(F.col("s")))[0] == (["1", "1.10"],)
 
 
-def test_similarity():
-    rng = random.Random(0)
-
-    def slow(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b):
-                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-        return row[-1]
-
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 20))) for _ in range(2))
-        assert common_length(a, b) == slow(a, b)
-    assert ratio("abc", "abd") == pytest.approx(200 / 3) and token_sort_ratio("b a", "a b") == 100
-    assert token_set_ratio("caixa geral", "caixa") == 100 and token_set_ratio("", "x") == 0 and token_set_ratio("caixa x", "banco y") < 60
-
-
 def test_accents_of_all_latin_letters(spark):
     from ledgerweave.functions import text
 

@@ -1,6 +1,7 @@
 import random
 
 from ledgerweave.operators import matching
+from tests.test_similarity import set_ratio, sort_ratio
 
 WORDS = ["caixa", "bancos", "conta", "movimento", "clientes", "estoque", "receita", "despesa", "outros", "creditos", "geral", "aplicacoes"]
 
@@ -18,8 +19,8 @@ def some_queries():
 def brute(queries, texts, limit):
     out = set()
     for q in queries:
-        ranked = sorted((-matching.token_set_ratio(q, t), t) for t in texts)[:limit]
-        out |= {(q, t, -s, matching.token_sort_ratio(q, t)) for s, t in ranked}
+        ranked = sorted((-set_ratio(q, t), t) for t in texts)[:limit]
+        out |= {(q, t, -s, sort_ratio(q, t)) for s, t in ranked}
     return out
 
 
@@ -49,7 +50,7 @@ def test_search_ranks_all_texts_by_sorted_words(spark):
     got = {(r.query, r["rank"]): (r.text, r.sort_ratio) for r in found}
     assert got["caixa", 1] == ("caixa", 100.0) and got["caixa", 2][0] == "caixas" and got["banco", 1] == ("banco", 100.0)
     for q in ("caixa", "banco"):
-        scored = sorted((-matching.token_sort_ratio(q, t), t) for t in texts)
+        scored = sorted((-sort_ratio(q, t), t) for t in texts)
         assert [got[k] for k in sorted(got) if k[0] == q] == [(t, -s) for s, t in scored[:10] if -s >= 60]
 
 
@@ -72,7 +73,7 @@ def by_hand(q, hints, saldo, chart):
     term = lambda c: {"1.01": "CIRCULANTE", "1.02": "NAO_CIRCULANTE", "2.01": "CIRCULANTE"}[c[:4]]
     fuzzy, words = [], []
     for code, name, kind, lado in chart:
-        s = matching.token_set_ratio(q, name.lower()) + 5 * (kind == tipo) + 3 * (lado is not None and lado == side)
+        s = set_ratio(q, name.lower()) + 5 * (kind == tipo) + 3 * (lado is not None and lado == side)
         s = s * 0.5 if classe and of(code) != classe else s
         s = s * 0.3 if prazo and term(code) != prazo else s + 5 if prazo else s
         fuzzy.append((min(s, 100.0) / 100, code, lado))
