@@ -28,32 +28,104 @@ from ledgerweave.llm.base import slices
 
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe select".split())
+RAW = frozenset("script style title textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var wbr img".split())
 MAIN = frozenset("article main".split())
 OTHER = frozenset(
     "nav menu header footer aside form button ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent notice alert popup modal newsletter subscribe signup login sidebar widget related recommended share social breadcrumb breadcrumbs pagination comments comment replies respond disqus copyright legal skip toolbar navbar topbar".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+#: Parts of a class name that say that its other parts name something of the article itself.
+CONTENT = frozenset("article post entry content story main text body free".split())
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+UNQUOTED = re.compile(r"""[^>"']*""")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PATHS, WORDS, EXTRA = 64, 32, 5
 WIDTH = PATHS + WORDS + EXTRA
 HIDDEN = 20
 
+#: Names of a path that are kept beside the telling ones.
+NEAREST = 32
+
 Path = tuple[str, ...]
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or nothing, name, attributes) of tags; comments, declarations and the like have no name.
+
+    One scan forward. A quote that is never closed is no quote: its tag ends
+    at its first >, and from there on every tag of the page does so. A < that
+    no > follows, or that begins no tag, is text.
+    """
+    at, last, quotes, unclosed = 0, page.rfind(">"), True, set()
+    while 0 <= (i := page.find("<", at)) < last:
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = j + 3 if j >= 0 else len(page)
+            yield i, at, "", "", ""
+        elif m := NAME.match(page, i):
+            first = page.find(">", m.end())
+            end = m.end() if quotes else first
+            while quotes:
+                end = UNQUOTED.match(page, end).end()
+                if end >= len(page):
+                    end, quotes = first, False
+                elif page[end] == ">":
+                    break
+                else:
+                    end = page.find(page[end], end + 1) + 1
+                    if not end:
+                        end, quotes = first, False
+            at, tag, attributes = end + 1, m[2].lower(), page[m.end() : end]
+            if tag in RAW and not m[1] and tag not in unclosed and not attributes.endswith("/"):
+                # The content is no text; a field or title that has no end has no content.
+                stop = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+            yield i, at, m[1], tag, attributes
+        elif page[i + 1 : i + 2] in ("!", "?", "/"):
+            at = page.find(">", i) + 1
+            yield i, at, "", "", ""
+        else:
+            at = i + 1
+
+
+def named(attributes: str) -> list[str]:
+    """The words of a tag's class, id and role; in names of parts of the article, without those of other boxes."""
+    out: list[str] = []
+    for value in ATTRIBUTE.findall(attributes):
+        for token in value.strip("\"'").lower().split():
+            parts = re.findall(r"[a-z]+", token)
+            out += [x for x in parts if x not in OTHER] if CONTENT.intersection(parts) else parts
+    return out
+
+
+def longer(path: Path, tag: str, names: list[str]) -> Path:
+    """The path with what is new; of names that tell nothing, the nearest ones stay."""
+    new = [x for x in dict.fromkeys(("<" + tag, *names)) if x not in path]
+    if not new:
+        return path
+    both = (*path, *new)
+    plain = [x for x in both if x.lstrip("<") not in MAIN and x.lstrip("<") not in OTHER]
+    gone = set(plain[:-NEAREST]) if len(plain) > NEAREST else ()
+    return tuple(x for x in both if x not in gone) if gone else both
+
+
 def blocks_of(page: str) -> list[tuple[Path, str, int]]:
     """(path, text, characters inside links) of the leaf blocks that have text; references decoded, white space single.
 
     A path has the names around a block, each once, outermost first, then its
-    own tag; so it does not grow with containers that bring no new name.
+    own tag; so it does not grow with containers that bring no new name. The
+    time is in proportion to the page, whatever its markup.
     """
     out: list[tuple[Path, str, int]] = []
-    stack: list[tuple[str, Path]] = []
+    stack: list[tuple[str, Path, str]] = []  # tag, path and leaf of what is open
     opened: Counter[str] = Counter()
-    path: Path = ()
-    leaf = ""
+    blocks: list[int] = []  # places of block elements in the stack
+    inline: list[Counter[str]] = [Counter()]  # inline elements open above each of them
     parts: list[str] = []
     linked = at = 0
 
@@ -61,65 +133,59 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
+            _, path, leaf = stack[-1] if stack else ("", (), "")
             out.append(((*path, leaf) if leaf and path[-1:] != (leaf,) else path, text, linked))
         parts.clear()
         linked = 0
 
-    def place() -> None:
-        nonlocal path, leaf
-        path = stack[-1][1] if stack else ()
-        leaf = next(("<" + t for t, _ in reversed(stack) if t not in INLINE), "")
-
-    def pop(to: int) -> None:
-        opened.subtract(t for t, _ in stack[to:])
-        del stack[to:]
-        place()
-
-    while True:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+    def write(text: str) -> None:
+        nonlocal linked
         if text:
             parts.append(text)
             linked += len(text) if opened["a"] > 0 else 0
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-                if end or tag in ("script", "style"):
-                    at = end.end() if end else len(page)
+
+    def push(tag: str, attributes: str) -> None:
+        _, path, leaf = stack[-1] if stack else ("", (), "")
+        if tag in INLINE:
+            inline[-1][tag] += 1
+        else:
+            path, leaf = longer(path, tag, named(attributes) if attributes else []), "<" + tag
+            blocks.append(len(stack))
+            inline.append(Counter())
+        stack.append((tag, path, leaf))
+        opened[tag] += 1
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            tag, _, _ = stack.pop()
+            opened[tag] -= 1
+            if tag in INLINE:
+                inline[-1][tag] -= 1
+            else:
+                blocks.pop()
+                inline.pop()
+
+    for start, end, closing, tag, attributes in tags(page):
+        write(page[at:start])
+        at = end
+        if not tag or tag in RAW:
             continue
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            continue
-        if tag in INLINE:
-            stack.append((tag, path))
-            opened[tag] += 1
+        if closing:
+            if inline[-1][tag] > 0 if tag in INLINE else opened[tag] > 0:
+                while stack[-1][0] != tag:
+                    pop(len(stack) - 1)
+                pop(len(stack) - 1)
             continue
-        for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, and an item the item before it
-            if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                pop(i)
-                break
-            if stack[i][0] not in INLINE:
-                break
-        names = re.findall(r"[a-z]+", " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3])).lower()) if m[3] else []
-        new = [x for x in dict.fromkeys(("<" + tag, *names)) if x not in path]
-        stack.append((tag, (*path, *new) if new else path))
-        opened[tag] += 1
-        place()
+        if tag not in INLINE and blocks:  # a block ends an open paragraph, and an item the item before it
+            around = stack[blocks[-1]][0]
+            if around == "p" or around == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+                pop(blocks[-1])
+        push(tag, attributes)
+    write(page[at:])
     flush()
     return out
 
@@ -220,7 +286,7 @@ class Labeller:
         both = np.concatenate([ahead, behind[::-1]], 2)
         return (both @ v + x @ skip + b)[..., 0], (both, t1, t2)
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 32, rate: float = 0.02) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 32, rate: float = 0.02) -> None:
         rng = np.random.default_rng(1)
         first, second, n = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
         for epoch in range(epochs):
@@ -240,7 +306,7 @@ class Labeller:
                     g = g + 1e-4 * self.w[k]
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.w[k] = (self.w[k] - rate * 0.75**epoch * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                    self.w[k] = (self.w[k] - rate * 0.8**epoch * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
 
     def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Which blocks of each page belong to its main text."""
@@ -262,8 +328,8 @@ def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def with_boxes(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) -> list[tuple[Path, str, int]]:
-    """A copy with boxes of other kinds put between and around the blocks, filled with the page's own words; some are lists of links."""
+def with_boxes(blocks: list[tuple[Path, str, int]], rng: np.random.Generator, most: int = 40) -> list[tuple[Path, str, int]]:
+    """A copy with boxes of other kinds put between and around the blocks, filled with up to so many of the page's own words; some are lists of links."""
     words = " ".join(t for _, t, _ in blocks).split(" ")
     kinds = sorted(OTHER)
     some = lambda n: " ".join(rng.choice(words, n))
@@ -277,7 +343,7 @@ def with_boxes(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) ->
         box = (*inside, tag, *([] if tag[1:] == kind else [kind]))
         leaf = ["<p", "<li", "<div"][int(rng.integers(3))]
         links = rng.random() < 0.5
-        texts = [some(int(rng.integers(1, 6 if links else 40))) for _ in range(int(rng.integers(2, 8) if links else rng.integers(1, 4)))]
+        texts = [some(int(rng.integers(1, 6 if links else most))) for _ in range(int(rng.integers(2, 8) if links else rng.integers(1, 4)))]
         out[at:at] = [((*box, leaf), t, len(t) if links else 0) for t in texts]
     if rng.random() < 0.3:  # other names for the main container
         to = ["<main", "<div"][int(rng.integers(2))]
@@ -286,31 +352,62 @@ def with_boxes(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) ->
 
 
 def renamed(blocks: list[tuple[Path, str, int]], rng: np.random.Generator) -> list[tuple[Path, str, int]]:
-    """A copy in which most telling names of tags and classes are gone or others, the same way all over the page."""
+    """A copy in which most telling names of tags and classes are gone or others, and names that tell nothing are there, the same way all over the page."""
     new: dict[str, str] = {}
+    more: dict[str, tuple[str, ...]] = {}
     for x in sorted({x for p, _, _ in blocks for x in p}):
         name = x.lstrip("<")
+        if rng.random() < 0.5:
+            more[x] = tuple("c" + str(rng.integers(1 << 30)) for _ in range(int(rng.integers(1, 3))))
         if (name in OTHER or name in MAIN or not x.startswith("<")) and rng.random() < 0.7:
             new[x] = ["<div", "<section"][int(rng.integers(2))] if x.startswith("<") else "c" + str(rng.integers(1 << 30))
     leaves = ["<p", "<p", "<div", "<blockquote", "<section", "<td", "<li", "<pre"]
     out = []
     for p, t, n in blocks:
         leaf = leaves[int(rng.integers(len(leaves)))] if p and p[-1] in leaves and rng.random() < 0.2 else None
-        q = tuple(new.get(x, x) for x in p)
+        q = tuple(y for x in p for y in (new.get(x, x), *(more.get(x, ()) if x != p[-1] else ())))
         out.append(((*q[:-1], leaf) if leaf else q, t, n))
     return out
 
 
-def fit(pages: list[str]) -> Labeller:
+def wrapped(blocks: list[tuple[Path, str, int]], main: np.ndarray, rng: np.random.Generator) -> list[tuple[Path, str, int]]:
+    """A copy in which runs of the main text's blocks stand in containers of their own, and headings and paragraphs are of other kinds."""
+    out, around = [], None
+    heading = "<h" + str(int(rng.integers(1, 5)))
+    for (p, t, n), y in zip(blocks, main, strict=True):
+        if rng.random() < 0.3:
+            around = None if rng.random() < 0.5 else (["<div", "<section", "<article", "<table", "<ul"][int(rng.integers(5))], *(["c" + str(rng.integers(1 << 30))] if rng.random() < 0.5 else []))
+        if p and y:
+            leaf = heading if p[-1] in ("<h1", "<h2", "<h3") else p[-1]
+            p = (*p[:-1], *[x for x in around or () if x not in p], leaf)
+        out.append((p, t, n))
+    return out
+
+
+def fit(pages: list[str], seed: int = 0) -> Labeller:
+    """A labeller from the pages and from copies of them.
+
+    Half of the copies show the path of a block in part or not at all, alike
+    for all blocks of a container; there, links, lengths, marks and the blocks
+    around have to tell what it is.
+    """
     rng = np.random.default_rng(7)
     features, data = Features(), []
     for page in pages:
         blocks = blocks_of(page)
-        if blocks:
-            boxed = [with_boxes(blocks, rng) for _ in range(2)]
-            for version, labels in ((blocks, blocks), *((b, b) for b in boxed), *((renamed(b, rng), b) for b in (blocks, *boxed))):
-                data.append((features.matrix(version), weak_labels(labels)))
-    model = Labeller()
+        if not blocks:
+            continue
+        boxed = [with_boxes(blocks, rng) for _ in range(2)]
+        data += [(features.matrix(b), weak_labels(b)) for b in (blocks, *boxed)]
+        for version in (blocks, *[with_boxes(blocks, rng, 12) for _ in range(4)]):  # without names, long boxes can't be told from the main text
+            labels = weak_labels(version)
+            x = features.matrix(renamed(wrapped(version, labels, rng), rng))
+            if rng.random() < 0.5:
+                x[:, :PATHS] *= rng.random(PATHS) < rng.choice([0.0, 0.3, 0.7])
+            if rng.random() < 0.5:
+                x[:, PATHS : PATHS + WORDS] *= rng.random(WORDS) < rng.choice([0.0, 0.5])
+            data.append((x, labels))
+    model = Labeller(seed)
     if data:
         model.train(data)
     return model
