@@ -128,12 +128,95 @@ def account_lines(table: DataFrame) -> DataFrame:
     return table.filter(value != "").select(*PAGE, "line_no", F.trim(F.regexp_replace(description, r"\s+\d{1,2}(\.\d)?$", "")).alias("description"), parse_token(value).alias("value")).filter("description <> ''")
 
 
-def word_lines(words: DataFrame) -> DataFrame:
-    """PAGE, line_no, line, two_columns of words (PAGE, text, x0, top, width): words by height, in the order of x0; three lines on both halves make two columns."""
-    at = words.withColumn("line_no", F.round(F.col("top") / 3).cast("int"))
-    left = F.col("x0") < F.col("width") / 2
-    lines_ = at.groupBy(*PAGE, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("line"), (F.max(left) & F.max(~left)).alias("both"))
-    return lines_.withColumn("two_columns", F.sum(F.col("both").cast("int")).over(Window.partitionBy(*PAGE)) >= 3).drop("both")
+def page_lines(words: DataFrame) -> DataFrame:
+    """PAGE, line_no, side, line, two_columns of words (PAGE, text, x0, top, width): words of one height, in the order of x0.
+
+    A page has two columns where three heights have words both left of 45 and
+    right of 55 percent of its width; then each half of it (side 0 and 1) has
+    lines of its own.
+    """
+    at = words.withColumn("line_no", F.bround(F.col("top") / 3).cast("int"))
+    spread = at.groupBy(*PAGE, "line_no").agg((F.max(F.col("x0") < F.col("width") * 0.45) & F.max(F.col("x0") > F.col("width") * 0.55)).alias("both"))
+    pages = spread.groupBy(*PAGE).agg((F.count_if("both") >= 3).alias("two_columns"))
+    side = F.when(F.col("two_columns") & (F.col("x0") >= F.col("width") / 2), 1).otherwise(0)
+    told = F.array_sort(F.collect_list(F.struct("x0", "text")))
+    return at.join(pages, PAGE).groupBy(*PAGE, "two_columns", "line_no", side.alias("side")).agg(F.array_join(F.transform(told, lambda x: x["text"]), " ").alias("line"))
+
+
+def word_columns(words: DataFrame, gap: float = 12.0) -> DataFrame:
+    """PAGE, column_no (from 0), low, high: a page's columns, parted where no word is for more than gap points.
+
+    words: PAGE, text, x0, x1, top. A sweep over the words by their left edges:
+    a column begins where the word's edge lies beyond all right edges so far.
+    """
+    sweep = Window.partitionBy(*PAGE).orderBy("x0", "x1")
+    reached = F.max("x1").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    new = (reached.isNull() | (F.col("x0") > reached + gap)).cast("int")
+    marked = words.select(*PAGE, "x0", "x1", new.alias("new"))
+    placed = marked.withColumn("column_no", F.sum("new").over(sweep.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return placed.groupBy(*PAGE, F.col("column_no").cast("int").alias("column_no")).agg(F.min("x0").alias("low"), F.max("x1").alias("high"))
+
+
+def word_cells(words: DataFrame, gap: float = 12.0) -> DataFrame:
+    """PAGE, line_no, column_no, value: the words of each height in each of the page's columns, joined by blanks."""
+    at = words.withColumn("line_no", F.bround(F.col("top") / 3).cast("int")).join(word_columns(words, gap), PAGE).filter((F.col("x0") >= F.col("low")) & (F.col("x1") <= F.col("high")))
+    told = F.array_sort(F.collect_list(F.struct("x0", "text")))
+    return at.groupBy(*PAGE, "line_no", "column_no").agg(F.array_join(F.transform(told, lambda x: x["text"]), " ").alias("value"))
+
+
+#: A number at the end of a line, and up to three more behind it.
+NUMBERS = r"^(.*?)(-?\(?[0-9.,]+\)?(?:\s+-?\(?[0-9.,]+\)?){0,3})\s*$"
+
+
+def row_tokens(line: Column) -> Column:
+    """The cells of a line: parted by tabs or blanks in a row; where there is one only, its description and the numbers at its end.
+
+    Blanks before a decimal or thousands mark go; of the numbers, those with a
+    mark or two digits stay, if there are any.
+    """
+    text = F.trim(line)
+    parts = F.filter(F.split(text, r"\s{2,}|\t+"), lambda x: x != "")
+    tail = F.regexp_replace(F.regexp_extract(text, NUMBERS, 2), r"\s+(?=[.,])", "")
+    tokens = F.filter(F.split(F.trim(tail), r"\s+"), lambda x: x.rlike("[0-9]"))
+    clear = F.filter(tokens, lambda x: x.rlike("[.,]") | (F.char_length(F.regexp_replace(x, "[^0-9]", "")) >= 2))
+    chosen = F.when(F.size(clear) > 0, clear).otherwise(tokens)
+    description = F.trim(F.regexp_extract(text, NUMBERS, 1))
+    cut = F.when(F.size(chosen) > 0, F.concat(F.when(description != "", F.array(description)).otherwise(F.array().cast("array<string>")), chosen)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(parts) > 1, parts).otherwise(cut)
+
+
+#: Words of the categories of an income statement, in the order in which they are tried.
+INCOME = {"receita": ["receita", "revenue", "vendas", "faturamento"], "custo": ["custo", "cost", "cpv", "cmv"], "despesa": ["despesa", "expense"], "resultado": ["lucro", "prejuízo", "resultado", "profit", "loss"]}
+
+
+def income_category(description: Column) -> Column:
+    """receita, custo, despesa or resultado by the first category of which the description holds a word; else null."""
+    low = F.lower(F.coalesce(description, F.lit("")))
+    return F.coalesce(*[F.when(F.contains(low, F.lit(w)), name) for name, words in INCOME.items() for w in words])
+
+
+#: What a line with a company's name looks like, where a period is told, what tells a currency, and beginnings of words that tell a scale; each in the order in which they are tried.
+COMPANY = [r"(?im)^([A-ZÀÂÃÁÉÊÍÓÔÕÚÇ\s\.]+(?:LTDA|S\.?A\.?|S/A)\.?)$", r"(?im)^([\p{L}\p{N}_\s\.]+(?:LTDA|S\.?A\.?|S/A))"]
+PERIODS = [r"(?i)em\s+(\d{2}/\d{2}/\d{4})", r"(\d{2}/\d{2}/\d{4})", r"(?i)em\s+(\d{2}\s+de\s+[\p{L}\p{N}_]+\s+de\s+\d{4})", r"(?i)exerc[íi]cio\s+de\s+(\d{4})", r"(?i)per[íi]odo\s+de\s+(\d{2}/\d{2}/\d{4})"]
+CURRENCIES = {"BRL": r"(?i)\br\$|reais?\b", "USD": r"(?i)\busd|\$|d[óo]lar", "EUR": r"(?i)\beur|euro"}
+SCALES = {"thousands": ["mil", "milhares"], "millions": ["milhões", "milhao"]}
+UNITS = {"thousands": 1000, "millions": 1000000}
+
+
+def first_that(tests: dict[str, Column]) -> Column:
+    """The name of the first test that holds, else null."""
+    return F.coalesce(*[F.when(test, name) for name, test in tests.items()])
+
+
+def page_metadata(pages: DataFrame, lines: int = 10) -> DataFrame:
+    """PAGE, company, period, currency, scale, unit: of the first lines the first one with a company's name; the first period by pattern; what the numbers are counted in."""
+    text = F.coalesce("text", F.lit(""))
+    told = lambda c, p: F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit(""))
+    names = F.array_compact(F.transform(F.slice(F.split(text, "\n"), 1, lines), lambda x: F.coalesce(*[told(F.trim(x), p) for p in COMPANY])))
+    scale = first_that({k: text.rlike(r"(?i)\b(" + "|".join(words) + ")") for k, words in SCALES.items()})
+    unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), scale)
+    currency = first_that({k: text.rlike(p) for k, p in CURRENCIES.items()})
+    return pages.select(*PAGE, F.get(names, F.lit(0)).alias("company"), F.coalesce(*[told(text, p) for p in PERIODS]).alias("period"), currency.alias("currency"), scale.alias("scale"), unit.alias("unit"))
 
 
 def document_report(classes: DataFrame, rows: DataFrame) -> DataFrame:

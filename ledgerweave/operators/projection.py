@@ -6,7 +6,7 @@ rows that meet a line does not grow with the number of facts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes, text
@@ -120,6 +120,49 @@ def uncovered_totals(uncovered: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost.groupingSets([[*map(F.col, KEY), F.col("class")], [*map(F.col, KEY)]], *KEY, "class").agg(money(F.sum("saldo")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+def uncovered_rows(uncovered: DataFrame, rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """KEY, codigo, descricao, valor, motivo: each code without a destination, all its rows summed, and why, by reasons (KEY, codigo, motivo)."""
+    first = rows.join(uncovered.select(*KEY, "codigo").distinct(), [*KEY, "codigo"]).groupBy(*KEY, "codigo").agg(F.min_by("descricao", "row_no").alias("descricao"), money(F.coalesce(F.sum("saldo"), F.lit(0))).alias("valor"))
+    why = reasons.groupBy(*KEY, "codigo").agg(F.min("motivo").alias("motivo"))
+    return first.join(why, [*KEY, "codigo"], "left").withColumn("motivo", F.coalesce("motivo", F.lit("no reliable match in the chart")))
+
+
+def lost_totals(lost: DataFrame, natures: DataFrame) -> DataFrame:
+    """KEY, kind (class or nature), name, total, n of uncovered rows, with natures (KEY, codigo, natureza)."""
+    told = lost.join(natures.select(*KEY, "codigo", "natureza"), [*KEY, "codigo"], "left")
+    parts = F.explode(F.array(F.struct(F.lit("class").alias("kind"), codes.account_class(F.col("codigo")).alias("name")), F.struct(F.lit("nature").alias("kind"), F.col("natureza").alias("name"))))
+    return told.select(*KEY, "valor", parts.alias("p")).filter("p.name is not null").groupBy(*KEY, "p.kind", "p.name").agg(money(F.sum("valor")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def by_size(lost: DataFrame) -> DataFrame:
+    """lost with rank by absolute value and total, what the accounts up to each sum to: how the gap of a ledger comes about."""
+    order = Window.partitionBy(*KEY).orderBy(F.abs("valor").desc(), "codigo")
+    return lost.withColumn("rank", F.row_number().over(order)).withColumn("total", money(F.sum("valor").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def period_counts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """ledger_id, period (null: all), rows, facts: what each period was read from and delivered."""
+    count = lambda df, name: df.groupBy("ledger_id", "period").agg(F.count(F.lit(1)).alias(name))
+    both = count(rows, "rows").join(count(facts, "facts"), ["ledger_id", "period"], "full_outer").fillna(0, ["rows", "facts"])
+    return both.groupingSets([[F.col("ledger_id"), F.col("period")], [F.col("ledger_id")]], "ledger_id", "period").agg(F.sum("rows").alias("rows"), F.sum("facts").alias("facts"))
+
+
+def too_many_periods(rows: DataFrame, most: int = 5) -> DataFrame:
+    """ledger_id, periods of ledgers that have more of them than a delivery takes."""
+    return rows.groupBy("ledger_id").agg(F.array_sort(F.collect_set("period")).alias("periods")).filter(F.size("periods") > most)
+
+
+def method_failures(projected: DataFrame) -> DataFrame:
+    """codigo, metodo of codes that no method has taken to a line."""
+    return projected.filter("alvo is null").select("codigo", "metodo").distinct()
+
+
+def emitted_counts(emitted: DataFrame, rows: DataFrame) -> DataFrame:
+    """KEY, facts, repeated (rows beyond the first of an emitted code), unreadable (rows of them without a balance)."""
+    of = rows.join(emitted.select(*KEY, "codigo").distinct(), [*KEY, "codigo"]).groupBy(*KEY, "codigo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("saldo").isNull()).alias("bad"))
+    return of.groupBy(*KEY).agg(F.count(F.lit(1)).alias("facts"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("bad").alias("unreadable"))
+
+
 def result_to_equity(totals: DataFrame) -> DataFrame:
     """KEY, gap, result, transfer, warning of totals (KEY, assets, liabilities, revenues, expenses).
 

@@ -254,3 +254,47 @@ def p22(spark, d):
 @query("p23_validation", f" SELECT {K}, count(*) AS n, count(*) FILTER (trim(coalesce(descricao, '')) = '') AS no_description, count(*) FILTER (saldo IS NULL) AS no_balance, count(*) FILTER (codigo IS NULL) AS no_code, count(*) FILTER (NOT regexp_full_match(codigo, '\\d+(\\.\\d+)*')) AS bad_code, FALSE AS blocking FROM t GROUP BY ALL")
 def p23(spark, d):
     return p.validate_rows(whole(spark, d)).drop("first_row")
+
+
+@query("p10_uncovered_rows", EMIT + f", lo AS (SELECT un.ledger_id, un.period, un.codigo, arg_min(t.descricao, t.row_no) AS descricao, sum(t.saldo) AS v FROM un JOIN t USING (ledger_id, period, codigo) GROUP BY ALL) SELECT {K}, codigo, descricao, round(CAST(v AS DOUBLE), 2) AS valor, CASE WHEN codigo IN (SELECT codigo FROM blocked) THEN 'blocked' ELSE 'no reliable match in the chart' END AS motivo, CAST(row_number() OVER (PARTITION BY {K} ORDER BY abs(v) DESC, codigo) AS INT) AS rank, round(CAST(sum(v) OVER (PARTITION BY {K} ORDER BY abs(v) DESC, codigo) AS DOUBLE), 2) AS total FROM lo")
+def p10r(spark, d):
+    t = whole(spark, d)
+    n, _, u = cut(spark, d)
+    reasons = n.select(*tree.KEY, "codigo").join(spark.sql(BLOCKED), "codigo").withColumn("motivo", F.lit("blocked"))
+    return double(p.by_size(p.uncovered_rows(u, t, reasons)), "valor", "total")
+
+
+@query("p10_lost_totals", EMIT + f""", lo AS (SELECT un.ledger_id, un.period, un.codigo, saldo AS v, {CLS} AS class, CASE WHEN codigo LIKE '4%' THEN 'RECEITA' WHEN codigo LIKE '3%' THEN 'DESPESA' END AS nature FROM un)
+SELECT {K}, 'class' AS kind, class AS name, round(CAST(sum(v) AS DOUBLE), 2) AS total, count(*) AS n FROM lo GROUP BY ALL UNION ALL SELECT {K}, 'nature', nature, round(CAST(sum(v) AS DOUBLE), 2), count(*) FROM lo WHERE nature IS NOT NULL GROUP BY ALL""")
+def p10t(spark, d):
+    t = whole(spark, d)
+    n, _, u = cut(spark, d)
+    natures = n.select(*tree.KEY, "codigo", F.when(F.col("codigo").startswith("4"), "RECEITA").when(F.col("codigo").startswith("3"), "DESPESA").alias("natureza"))
+    return double(p.lost_totals(p.uncovered_rows(u, t, n.select(*tree.KEY, "codigo", F.lit("x").alias("motivo"))), natures), "total")
+
+
+@query("p9_emitted_counts", EMIT + f", z1 AS (SELECT DISTINCT {K}, stop AS codigo FROM z), g AS (SELECT t.ledger_id, t.period, t.codigo, count(*) AS n FROM t JOIN z1 USING (ledger_id, period, codigo) GROUP BY ALL) SELECT {K}, count(*) AS facts, CAST(sum(2 * n - 1) AS BIGINT) AS repeated, CAST(sum(n) AS BIGINT) AS unreadable FROM g GROUP BY ALL")
+def p9c(spark, d):
+    _, e, _ = cut(spark, d)
+    t = whole(spark, d)
+    return p.emitted_counts(e, t.unionByName(t.withColumn("saldo", F.lit(None).cast(t.schema["saldo"].dataType))))
+
+
+@query("p3_failures", PROJECT + " SELECT DISTINCT codigo FROM pr WHERE alvo IS NULL")
+def p3f(spark, d):
+    return p.method_failures(p.project(nodes(spark, d), prefixes(spark), spark.sql(MAPPING), spark.sql(BLOCKED))).select("codigo").distinct()
+
+
+@query("p22_period_counts", FACTS + ", pc AS (SELECT ledger_id, period, count(*) AS rows FROM t GROUP BY ALL), pg AS (SELECT ledger_id, period, count(*) AS facts FROM fa GROUP BY ALL) SELECT ledger_id, period, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(coalesce(facts, 0)) AS BIGINT) AS facts FROM pc LEFT JOIN pg USING (ledger_id, period) GROUP BY GROUPING SETS ((ledger_id, period), (ledger_id))")
+def p22c(spark, d):
+    t = whole(spark, d)
+    return p.period_counts(t, facts(spark, d))
+
+
+@query("m18_resolved", PROJECT + """, q AS (SELECT DISTINCT codigo, CASE substr(codigo, 1, 1) WHEN '1' THEN 'ATIVO' WHEN '2' THEN 'PASSIVO' ELSE 'RESULTADO' END AS classe FROM n)
+SELECT codigo, CASE WHEN alvo IS NULL THEN metodo WHEN classe = 'PASSIVO' AND codigo LIKE '2.1%' THEN 'class' WHEN codigo LIKE '4%' THEN 'nature' END AS motivo, CASE WHEN alvo IS NULL OR codigo LIKE '2.1%' OR codigo LIKE '4%' THEN NULL ELSE alvo END AS codigo_template FROM q LEFT JOIN pr USING (codigo)""")
+def m18(spark, d):
+    n = nodes(spark, d).select("codigo").distinct()
+    none = F.lit(None).cast("string")
+    told = n.withColumns({"classe": codes.account_class(F.col("codigo")), "alvo_classe": F.when(F.col("codigo").startswith("2.1"), "ATIVO").otherwise(codes.account_class(F.col("codigo"))), "natureza": F.when(F.col("codigo").startswith("4"), "RECEITA"), "alvo_natureza": F.when(F.col("codigo").startswith("4"), "DESPESA"), "prazo": none, "alvo_prazo": none})
+    return p.resolved(told, p.project(nodes(spark, d), prefixes(spark), spark.sql(MAPPING), spark.sql(BLOCKED))).select("codigo", "motivo", "codigo_template")

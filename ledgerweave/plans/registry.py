@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerweave.plans import delivery_queries, file_queries, match_queries, projection_queries, source_queries, text_queries, tree_queries
+from ledgerweave.plans import delivery_queries, file_queries, match_queries, projection_queries, report_queries, source_queries, text_queries, tree_queries
 
-MODULES = (tree_queries, projection_queries, match_queries, text_queries, delivery_queries, source_queries, file_queries)
+MODULES = (tree_queries, projection_queries, match_queries, text_queries, delivery_queries, source_queries, file_queries, report_queries)
 
 
 def queries() -> dict:

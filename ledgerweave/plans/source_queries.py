@@ -135,12 +135,6 @@ def t2(spark, d):
     return pg.pages_of_type(classes).select("doc_id", "type", F.size("pages").cast("long").alias("pages"), F.array_min("pages").cast("long").alias("first"))
 
 
-@query("t17_word_lines", "s AS (SELECT s_nationkey AS doc_id, s_suppkey // 2 AS line_no, count(*) AS words FROM supplier GROUP BY ALL), b AS (SELECT doc_id, count(*) FILTER (words = 2) >= 3 AS two FROM s GROUP BY doc_id) SELECT s.doc_id, CAST(line_no AS INT) AS line_no, words, two AS two_columns FROM s JOIN b USING (doc_id)")
-def t17(spark, d):
-    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.lit(1).alias("page_no"), F.concat(F.lit("w"), "s_suppkey").alias("text"), F.when(F.col("s_suppkey") % 2 == 0, 10).otherwise(400).alias("x0"), (F.floor(F.col("s_suppkey") / 2) * 3).alias("top"), F.lit(600).alias("width"))
-    return pg.word_lines(s).select("doc_id", "line_no", F.size(F.split("line", " ")).cast("long").alias("words"), "two_columns")
-
-
 @query("t14_balance_sections", "s AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, CASE o_orderpriority WHEN '1-URGENT' THEN 'assets' WHEN '2-HIGH' THEN 'liabilities' END AS hit FROM orders), f AS (SELECT doc_id, line_no, arg_max(hit, line_no) FILTER (hit IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM s) SELECT doc_id, coalesce(section, '-') AS section, count(*) AS n FROM f GROUP BY ALL")
 def t14(spark, d):
     rows = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("page_no"), F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("description"))
@@ -171,13 +165,6 @@ def s25(spark, d):
     return sinks.training_report(learned)
 
 
-@query("s23_parse_report", "c AS (SELECT CAST(n_nationkey AS VARCHAR) AS file_id FROM nation), r AS (SELECT CAST(s_nationkey AS VARCHAR) AS file_id, count(*) FILTER (s_suppkey % 5 <> 0) AS rows, count(*) FILTER (s_suppkey % 5 = 0) AS errors FROM supplier GROUP BY ALL) SELECT file_id, md5(file_id) AS sha256, coalesce(rows, 0) AS rows, coalesce(errors, 0) AS errors, coalesce(rows, 0) > 0 AS success FROM c LEFT JOIN r USING (file_id)")
-def s23(spark, d):
-    rows = read(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("file_id"), "s_suppkey")
-    have = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("file_id")).withColumn("sha256", F.md5("file_id"))
-    return sinks.parse_report(rows.filter("s_suppkey % 5 <> 0"), rows.filter("s_suppkey % 5 = 0"), have)
-
-
 @query("s21_accounts", f"t AS ({ledger_sql('geo')}), g AS (SELECT {K}, codigo, row_no, saldo FROM t) SELECT {K}, row_no, codigo, round(CAST(saldo * 2 AS DOUBLE), 2) AS saldo_calculado, row_no % 2 = 0 AS ok FROM g")
 def s21(spark, d):
     rows = ledger(spark, d, "geo")

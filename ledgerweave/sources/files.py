@@ -78,6 +78,14 @@ def place_of(labels: Column, patterns: list[str]) -> Column:
     return F.coalesce(*equal, *part).cast("int")
 
 
+def densest_header(table: DataFrame, first: int = 50) -> DataFrame:
+    """file_id, header, delimiter: of the first rows and the delimiters, the row and the delimiter that give most cells that aren't blank; the earlier delimiter, then the earlier row of equals."""
+    tried = table.filter(F.col("row_no") < first).select("file_id", "row_no", "line", F.posexplode(F.array(*map(F.lit, DELIMITERS))).alias("place", "delimiter"))
+    full = F.size(F.filter(F.split("line", F.concat(F.lit(r"\Q"), F.col("delimiter"), F.lit(r"\E"))), lambda c: F.trim(c) != ""))
+    best = F.min_by(F.struct(F.col("row_no").alias("header"), "delimiter"), F.struct(-F.col("full"), "place", "row_no"))
+    return tried.withColumn("full", full).groupBy("file_id").agg(best.alias("b")).select("file_id", "b.header", "b.delimiter")
+
+
 def parsed(table: DataFrame, by: DataFrame, headers: DataFrame, columns: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected) of lines (file_id, row_no, line), their files' delimiters and header rows.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes
 from ledgerweave.operators.chart import parent_of
-from ledgerweave.operators.tree import KEY
+from ledgerweave.operators.tree import KEY, money
 from ledgerweave.sources.stage import saved
 
 
@@ -17,11 +19,52 @@ def write_audit(tables: dict[str, DataFrame], path: str) -> None:
         df.repartition(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").partitionBy(*KEY).parquet(f"{path}/{name}")
 
 
-def parse_report(rows: DataFrame, rejected: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """file_id, rows, errors, success, sha256 for every file of the catalogue."""
+def observed(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write df as Parquet; its rows, the metrics and the seconds it took, all from the one pass that writes."""
+    seen = Observation(path)
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in metrics.items()])
+    start = time.perf_counter()
+    watched.write.mode("overwrite").parquet(path)
+    return {**seen.get, "seconds": time.perf_counter() - start}
+
+
+def run_report(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write the tables below path; name, rows, seconds of each."""
+    spark = next(iter(tables.values())).sparkSession
+    told = [(name, *(observed(df, f"{path}/{name}")[k] for k in ("rows", "seconds"))) for name, df in tables.items()]
+    return spark.createDataFrame(told, "name string, rows long, seconds double")
+
+
+def parse_report(rows: DataFrame, rejected: DataFrame, catalogue: DataFrame, seconds: float | None = None) -> DataFrame:
+    """Every column of the catalogue (file_id, name, length, modified, sha256), rows, errors, success, seconds (of the run) for each of its files."""
     count = lambda df, c: df.groupBy("file_id").agg(F.count(F.lit(1)).alias(c))
-    out = catalogue.select("file_id", "sha256").join(count(rows, "rows"), "file_id", "left").join(count(rejected, "errors"), "file_id", "left").fillna(0, ["rows", "errors"])
-    return out.withColumn("success", F.col("rows") > 0)
+    out = catalogue.join(count(rows, "rows"), "file_id", "left").join(count(rejected, "errors"), "file_id", "left").fillna(0, ["rows", "errors"])
+    return out.withColumn("success", F.col("rows") > 0).withColumn("seconds", F.lit(seconds).cast("double"))
+
+
+def with_source(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """rows (file_id) with source, source_length and source_modified: the name, size and time of the file that they are from."""
+    return rows.join(catalogue.select("file_id", F.col("name").alias("source"), F.col("length").alias("source_length"), F.col("modified").alias("source_modified")), "file_id", "left")
+
+
+#: Parts of an audit, in the order in which a row is judged.
+AUDIT = ["compensation", "treated", "unidentified"]
+
+
+def audited(rows: DataFrame, bank: bool = False) -> DataFrame:
+    """rows (KEY, codigo, alvo, motivo) with part: compensation (of a bank's plan), treated (with a destination), else unidentified, where motivo says why."""
+    off = codes.is_off_balance(F.col("codigo")) if bank else F.lit(False)
+    part = F.when(off, AUDIT[0]).when(F.col("alvo").isNotNull(), AUDIT[1]).otherwise(AUDIT[2])
+    return rows.withColumn("part", part).withColumn("motivo", F.when(F.col("part") == AUDIT[2], F.coalesce("motivo", F.lit("no reliable match in the chart"))))
+
+
+def write_audit_parts(rows: DataFrame, path: str, bank: bool = False) -> DataFrame:
+    """Write the audited rows once, a folder each for part and KEY; the summary (KEY, part, n, total) is read from what was written."""
+    audited(rows, bank).repartition("part", *KEY).sortWithinPartitions("codigo").write.mode("overwrite").partitionBy("part", *KEY).parquet(f"{path}/rows")
+    written = rows.sparkSession.read.schema(audited(rows, bank).schema).parquet(f"{path}/rows")
+    summary = written.groupBy(*KEY, "part").agg(F.count(F.lit(1)).alias("n"), money(F.sum("valor")).alias("total"))
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+    return rows.sparkSession.read.schema(summary.schema).parquet(f"{path}/summary")
 
 
 def accounts_table(matched: DataFrame, rollup: DataFrame) -> DataFrame:
