@@ -49,18 +49,21 @@ DAMAGED = "SELECT ledger_id, period, row_no, codigo, CASE WHEN row_no % 11 = 0 T
 IGNORED = ["brazil", "canada", "bank of china"]
 
 
-@query("f5_skipped", f"t AS ({DAMAGED.format(t=ledger_sql('full'))}), j AS (SELECT {K}, CASE WHEN descricao = '' THEN 'empty' WHEN length(regexp_replace(descricao, '[^a-zA-ZÀ-ÿ]', '', 'g')) < 2 THEN 'garbage' WHEN trim(regexp_replace(lower(strip_accents(descricao)), '\\s+', ' ', 'g')) IN ('brazil', 'canada', 'bank of china') THEN 'ignored' END AS reason FROM t) SELECT {K}, reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY ALL")
+@query("f5_skipped", f"t AS ({DAMAGED.format(t=ledger_sql('full'))}), j AS (SELECT {K}, row_no, CASE WHEN descricao = '' THEN 'empty' WHEN length(regexp_replace(descricao, '[^a-zA-ZÀ-ÿ]', '', 'g')) < 2 THEN 'garbage' WHEN trim(regexp_replace(lower(strip_accents(descricao)), '\\s+', ' ', 'g')) IN ('brazil', 'canada', 'bank of china') THEN 'ignored' END AS reason FROM t) SELECT {K}, coalesce(reason, 'kept') AS reason, count(*) AS n, CASE WHEN reason IS NULL THEN CAST(sum(row_no) AS BIGINT) END AS rows FROM j GROUP BY {K}, reason")
 def f5(spark, d):
     rows = spark.sql(DAMAGED.format(t="{t}"), t=ledger(spark, d, "full"))
-    return dv.skipped(rows, spark.createDataFrame([(x,) for x in IGNORED], "texto string"))[1]
+    kept, counts = dv.skipped(rows, spark.createDataFrame([(x,) for x in IGNORED], "texto string"))
+    one = kept.groupBy(*tree.KEY).agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum("row_no").alias("rows"))
+    return one.unionByName(counts.withColumn("rows", F.lit(None).cast("long")))
 
 
-@query("f6_review", f"t AS ({ledger_sql('full')}), {NODES}, m AS (SELECT n.*, CAST(replace(codigo, '.', '') AS BIGINT) % 4 = 0 AS needs, EXISTS (SELECT 1 FROM e WHERE e.ledger_id = n.ledger_id AND e.period = n.period AND e.parent = n.codigo) AS syn FROM n) SELECT {K}, count(*) FILTER (needs AND syn) AS waiting, count(*) FILTER (needs AND NOT syn) AS detail FROM m GROUP BY ALL")
+@query("f6_review", f"t AS ({ledger_sql('full')}), {NODES}, m AS (SELECT n.*, CAST(replace(codigo, '.', '') AS BIGINT) % 4 = 0 AS needs, EXISTS (SELECT 1 FROM e WHERE e.ledger_id = n.ledger_id AND e.period = n.period AND e.parent = n.codigo) AS syn FROM n), cw AS (SELECT {K}, count(*) FILTER (needs AND syn) AS waiting, count(*) FILTER (needs AND NOT syn) AS detail FROM m GROUP BY ALL) SELECT {K}, codigo, waiting, detail FROM cw LEFT JOIN (SELECT {K}, codigo FROM m WHERE needs AND syn) USING ({K})")
 def f6(spark, d):
     n = nodes(spark, d)
     inner = tree.edges(n).select(*tree.KEY, F.col("parent").alias("codigo")).distinct().withColumn("synthetic", F.lit(True))
     matched = n.join(inner, [*tree.KEY, "codigo"], "left").withColumns({"synthetic": F.coalesce("synthetic", F.lit(False)), "needs_review": F.replace("codigo", F.lit("."), F.lit("")).cast("long") % 4 == 0})
-    return dv.review_queue(matched)[1]
+    queue, counts = dv.review_queue(matched)
+    return counts.join(queue.select(*tree.KEY, "codigo"), tree.KEY, "left").select(*tree.KEY, "codigo", "waiting", "detail")
 
 
 @query("f9_warnings", f"""t AS ({ledger_sql('geo')}), f AS (SELECT {K}, CASE WHEN row_no % 17 = 0 THEN 'x' || codigo WHEN row_no % 29 = 0 THEN NULL ELSE codigo END AS alvo, CASE WHEN row_no % 19 = 0 THEN NULL ELSE saldo END AS valor FROM t WHERE ledger_id <> 'L3'),

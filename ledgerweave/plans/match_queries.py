@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes, numbers, text
 from ledgerweave.operators import chart as ch
 from ledgerweave.operators import matching as m
+from ledgerweave.operators import projection
 from ledgerweave.plans.ledgers import ledger, ledger_sql
 from ledgerweave.plans.tree_queries import double
+from ledgerweave.sources import layout, names
 
 QUERIES, SQL = {}, {}
 
@@ -198,21 +199,22 @@ def m15(spark, d):
     return ch.by_form(rows).select("form", F.size("codigos").cast("long").alias("n"), F.array_min("codigos").alias("low"))
 
 
-@query("s19_facts_by_year", "o AS (SELECT o_orderpriority AS codigo, year(o_orderdate) AS y, CAST(o_totalprice AS DECIMAL(20,4)) AS v FROM orders) SELECT codigo, round(CAST(sum(v) FILTER (y = 1995) AS DOUBLE), 2) AS y1995, round(CAST(sum(v) FILTER (y = 1996) AS DOUBLE), 2) AS y1996 FROM o GROUP BY codigo")
+@query("s19_facts_by_year", "o AS (SELECT o_orderpriority AS codigo, CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(o_totalprice AS DECIMAL(20,4)) AS v FROM orders) SELECT codigo, year, round(CAST(sum(v) AS DOUBLE), 2) AS valor FROM o GROUP BY ALL")
 def s19(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("codigo"), F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast(numbers.MONEY).alias("v"))
-    return double(o.groupBy("codigo").pivot("y", [1995, 1996]).agg(F.sum("v")).withColumnsRenamed({"1995": "y1995", "1996": "y1996"}), "y1995", "y1996")
+    facts = spark.read.parquet(f"{d}/orders.parquet").select(F.lit("all").alias("ledger_id"), F.col("o_orderpriority").alias("codigo"), F.year("o_orderdate").alias("period"), F.col("o_totalprice").cast(numbers.MONEY).alias("valor"))
+    wide = projection.by_period(facts)  # a column a year, of all years that occur
+    years = [c for c in wide.columns if c not in ("ledger_id", "codigo")]
+    return double(wide.unpivot(["codigo"], years, "year", "valor").filter("valor is not null"), "valor")
 
 
 @query("l26_years", "e AS (SELECT event_type, CAST(year(ts) AS INT) AS y FROM events), n AS (SELECT event_type, y, count(*) AS n FROM e GROUP BY ALL) SELECT event_type, arg_max(y, n * 10000 - y) AS ano FROM n GROUP BY event_type")
 def l26(spark, d):
-    named = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.regexp_extract(F.concat(F.lit("balancete "), F.year("ts")), r"\b((19|20)\d\d)\b", 1).cast("int").alias("y"))
+    named = spark.read.parquet(f"{d}/events.parquet").select("event_type", names.year_of(F.concat(F.lit("dir/2001/Balancete "), F.year("ts"), F.lit(" x.csv")), 2100).alias("y"))
     votes = named.groupBy("event_type", "y").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("event_type").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("ano"))
 
 
 @query("l15_forward_fill", "e AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS v FROM events) SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM e")
 def l15(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    carried = F.last(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return e.select("event_id", carried.alias("v"))
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("file_id"), F.lit("").alias("sheet"), F.col("event_id").alias("row_no"), F.lit(0).alias("col_no"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(" ").alias("value"))
+    return layout.filled_down(e).select(F.col("row_no").alias("event_id"), F.col("value").alias("v"))

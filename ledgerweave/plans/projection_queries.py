@@ -251,9 +251,13 @@ def p22(spark, d):
     return double(wide.withColumnsRenamed({"2020": "y2020", "2021": "y2021"}), "y2020", "y2021")
 
 
-@query("p23_validation", f" SELECT {K}, count(*) AS n, count(*) FILTER (trim(coalesce(descricao, '')) = '') AS no_description, count(*) FILTER (saldo IS NULL) AS no_balance, count(*) FILTER (codigo IS NULL) AS no_code, count(*) FILTER (NOT regexp_full_match(codigo, '\\d+(\\.\\d+)*')) AS bad_code, FALSE AS blocking FROM t GROUP BY ALL")
+#: Rows with blank descriptions in L1, without balances in L2 and with codes of other kinds in L3.
+BROKEN = "SELECT ledger_id, period, row_no, CASE WHEN ledger_id = 'L3' AND row_no % 5 = 0 THEN NULL WHEN ledger_id = 'L3' AND row_no % 7 = 0 THEN 'x' ELSE codigo END AS codigo, CASE WHEN ledger_id = 'L1' AND row_no % 3 = 0 THEN '  ' WHEN ledger_id = 'L1' AND row_no % 3 = 1 THEN NULL ELSE descricao END AS descricao, CASE WHEN ledger_id = 'L2' AND row_no % 2 = 0 THEN NULL ELSE saldo END AS saldo FROM {t}"
+
+
+@query("p23_validation", f", w AS ({BROKEN.format(t='t')}) SELECT {K}, count(*) AS n, count(*) FILTER (trim(coalesce(descricao, '')) = '') AS no_description, count(*) FILTER (saldo IS NULL) AS no_balance, count(*) FILTER (codigo IS NULL) AS no_code, count(*) FILTER (codigo IS NULL OR codigo = 'x') AS bad_code, ledger_id IN ('L1', 'L2') AS blocking, min(row_no) FILTER (saldo IS NULL) AS first_row FROM w GROUP BY ALL")
 def p23(spark, d):
-    return p.validate_rows(whole(spark, d)).drop("first_row")
+    return p.validate_rows(spark.sql(BROKEN, t=whole(spark, d)))
 
 
 @query("p10_uncovered_rows", EMIT + f", lo AS (SELECT un.ledger_id, un.period, un.codigo, arg_min(t.descricao, t.row_no) AS descricao, sum(t.saldo) AS v FROM un JOIN t USING (ledger_id, period, codigo) GROUP BY ALL) SELECT {K}, codigo, descricao, round(CAST(v AS DOUBLE), 2) AS valor, CASE WHEN codigo IN (SELECT codigo FROM blocked) THEN 'blocked' ELSE 'no reliable match in the chart' END AS motivo, CAST(row_number() OVER (PARTITION BY {K} ORDER BY abs(v) DESC, codigo) AS INT) AS rank, round(CAST(sum(v) OVER (PARTITION BY {K} ORDER BY abs(v) DESC, codigo) AS DOUBLE), 2) AS total FROM lo")

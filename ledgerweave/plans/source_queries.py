@@ -61,15 +61,18 @@ def l14(spark, d):
     return layout.without_rules(grid(spark, d)).groupBy("file_id").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("l3_find_column", NATIONS + " SELECT file_id, '' AS sheet, CAST(2 AS INT) AS col_no FROM s")
+@query("l3_find_column", NATIONS + " SELECT file_id, '' AS sheet, CAST(CASE CAST(file_id AS INT) % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS INT) AS col_no FROM s")
 def l3(spark, d):
-    return layout.find_column(grid(spark, d).filter("row_no = 1").withColumnRenamed("value", "label"), ["valor", "saldo", "conta"])
+    other = F.when((F.col("file_id").cast("int") % 3 == 1) & (F.col("col_no") == 0), " CONTA ").when((F.col("file_id").cast("int") % 3 == 2) & (F.col("col_no") == 1), "Valor em reais").otherwise(F.col("value"))
+    return layout.find_column(grid(spark, d).filter("row_no = 1").withColumn("label", other), ["valor", "saldo", "conta"])
 
 
-@query("l1_keyword_hits", NATIONS + " SELECT file_id, CAST(4 AS INT) AS hits FROM s")
+@query("l1_keyword_hits", NATIONS + " SELECT file_id, CAST(CASE CAST(file_id AS INT) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END AS INT) AS hits, CAST(file_id AS INT) % 3 < 2 AS header FROM s")
 def l1(spark, d):
+    at = F.col("file_id").cast("int") % 3
     rows = grid(spark, d).filter("row_no = 1").groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("value")), " ").alias("line"))
-    return rows.select("file_id", (files.keyword_hits(F.col("line")) - 1).alias("hits"))
+    hits = files.keyword_hits(F.when(at == 0, F.col("line")).when(at == 1, "Débito do mês; CRÉDITO").otherwise("Relatório"))
+    return rows.select("file_id", hits.alias("hits"), (hits >= 2).alias("header"))
 
 
 @query("t18_header_accounts", "s AS (SELECT CAST(s_nationkey AS VARCHAR) AS file_id, '1.' || CAST(s_suppkey AS VARCHAR) AS codigo, s_name AS descricao, round(CAST(s_acctbal AS DOUBLE), 2) AS saldo FROM supplier) SELECT * FROM s")
@@ -100,12 +103,16 @@ def t11(spark, d):
 PAGES = "SELECT conv_id AS doc_id, turn AS page_no, concat(CASE turn % 3 WHEN 0 THEN 'Controladora nove meses ' WHEN 1 THEN 'Consolidado 31/12/2020 ' ELSE '30/09/2021 controladora ' END, coalesce(text, '')) AS text, CASE turn % 3 WHEN 0 THEN 'dre' WHEN 1 THEN 'bp' ELSE 'other' END AS type FROM {conversations}"
 
 
-@query("t21_page_headers", "p AS (SELECT conv_id AS doc_id, turn % 3 AS t FROM conversations WHERE turn IS NOT NULL) SELECT doc_id, coalesce(string_agg(DISTINCT CASE t WHEN 0 THEN 'controladora' WHEN 1 THEN 'consolidado' END, ',' ORDER BY CASE t WHEN 0 THEN 'controladora' WHEN 1 THEN 'consolidado' END), '') AS entities, CASE WHEN bool_or(t = 0) THEN '9M' ELSE '' END AS windows FROM p GROUP BY doc_id")
+@query("t21_page_headers", """p AS (SELECT conv_id AS doc_id, turn % 3 AS t, lower(CASE turn % 3 WHEN 0 THEN 'Controladora nove meses ' WHEN 1 THEN 'Consolidado 31/12/2020 ' ELSE '30/09/2021 controladora ' END || coalesce(text, '')) AS low FROM conversations WHERE turn IS NOT NULL),
+f AS (SELECT doc_id, 'e' AS kind, unnest(list_filter([CASE WHEN contains(low, 'controladora') THEN 'controladora' END, CASE WHEN contains(low, 'consolidad') THEN 'consolidado' END], lambda x: x IS NOT NULL)) AS v FROM p WHERE t < 2
+UNION ALL SELECT doc_id, 'w', unnest(list_filter([CASE WHEN regexp_matches(low, '(nove|9) meses') THEN '9M' END, CASE WHEN regexp_matches(low, '(tr[eê]s|3) meses') THEN '3M' END], lambda x: x IS NOT NULL)) FROM p WHERE t = 0
+UNION ALL SELECT doc_id, 'p', unnest(regexp_extract_all(low, '\\b\\d{2}/\\d{2}/\\d{4}\\b')) FROM p),
+g AS (SELECT doc_id, kind, string_agg(DISTINCT v, ',' ORDER BY v) AS v FROM f GROUP BY ALL), d AS (SELECT DISTINCT doc_id FROM p)
+SELECT doc_id, coalesce(max(v) FILTER (kind = 'e'), '') AS entities, coalesce(max(v) FILTER (kind = 'p'), '') AS periods, coalesce(max(v) FILTER (kind = 'w'), '') AS windows FROM d LEFT JOIN g USING (doc_id) GROUP BY doc_id""")
 def t21(spark, d):
-    pages = spark.sql(PAGES, conversations=read(spark, d, "conversations")).filter("page_no is not null").withColumn("text", F.substring("text", 1, 1 << 20))
-    plain = pages.withColumn("text", F.regexp_replace("text", r"(?i)\b(3|tr[eê]s|9|nove) meses\b(?!.*nove meses)", "nove meses"))
-    out = st.page_headers(plain, pages, ["bp"], ["dre"])
-    return out.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("entities", "windows")])
+    pages = spark.sql(PAGES, conversations=read(spark, d, "conversations")).filter("page_no is not null")
+    out = st.page_headers(pages, pages, ["bp"], ["dre"])
+    return out.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("entities", "periods", "windows")])
 
 
 @query("t15_quality", "o AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'bp' ELSE 'dre' END AS statement, o_orderkey % 3 <> 0 AS v FROM orders) SELECT doc_id, statement, count(*) AS accounts, count(*) FILTER (v) AS valued FROM o GROUP BY ALL")
@@ -172,11 +179,11 @@ def s21(spark, d):
     return double(sinks.accounts_table(rows, roll).select(*tree.KEY, "row_no", "codigo", "saldo_calculado", "ok"), "saldo_calculado")
 
 
-@query("s22_verbatim", "o AS (SELECT o_custkey AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no FROM orders) SELECT file_id, count(*) AS rows, FALSE AS truncated FROM o GROUP BY file_id")
+@query("s22_verbatim", "o AS (SELECT o_custkey AS file_id, count(*) AS n FROM orders GROUP BY ALL) SELECT file_id, least(n, 12) AS rows, n > 12 AS truncated FROM o")
 def s22(spark, d):
     at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     table = read(spark, d, "orders").select(F.col("o_custkey").alias("file_id"), at.alias("row_no"))
-    return files.verbatim(table).groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.max("truncated").alias("truncated"))
+    return files.verbatim(table, 12).groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.max("truncated").alias("truncated"))
 
 
 @query("l11_unique_labels", "o AS (SELECT o_custkey AS k, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS c, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS nth FROM orders) SELECT CAST(k AS VARCHAR) AS file_id, c AS col_no, CASE WHEN nth = 0 THEN p ELSE p || '.' || CAST(nth AS VARCHAR) END AS label FROM o")

@@ -44,9 +44,9 @@ def t3(spark, d):
     return doc_lines(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("line")).alias("chars"))
 
 
-@query("t4_unwrapped", DOCS + ", b AS (SELECT *, lag(line) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, count(*) FILTER (q IS NULL OR regexp_matches(line, '[0-9]') OR regexp_matches(q, '[0-9]') OR q LIKE '%:') AS n FROM b GROUP BY doc_id")
+@query("t4_unwrapped", DOCS + ", b AS (SELECT *, lag(line) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), s AS (SELECT *, count(*) FILTER (q IS NULL OR regexp_matches(line, '[0-9]') OR regexp_matches(q, '[0-9]') OR q LIKE '%:') OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM b) SELECT doc_id, min(line_no) AS line_no, md5(string_agg(line, ' ' ORDER BY line_no)) AS digest FROM s GROUP BY doc_id, g")
 def t4(spark, d):
-    return pg.unwrapped(doc_lines(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return pg.unwrapped(doc_lines(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("digest"))
 
 
 NOISE = "copyright|licen[sc]e|https?://"
@@ -92,10 +92,11 @@ def t12(spark, d):
     return double(pg.structured(statement_lines(spark, d)).select("doc_id", "line_no", "description", "current"), "current")
 
 
-@query("t13_block_totals", STATEMENT + " SELECT doc_id, round(CAST(sum(v) AS DOUBLE), 2) AS parts, round(CAST(sum(v) AS DOUBLE), 2) AS total, TRUE AS ok FROM o GROUP BY doc_id")
+@query("t13_block_totals", STATEMENT + " SELECT doc_id, round(CAST(sum(v) AS DOUBLE), 2) AS parts, round(CAST(sum(v) + CASE doc_id % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.02 WHEN 2 THEN -500 ELSE 0 END AS DOUBLE), 2) AS total, doc_id % 4 IN (0, 3) AS ok FROM o GROUP BY doc_id")
 def t13(spark, d):
     rows = pg.structured(statement_lines(spark, d))
-    total = rows.groupBy("doc_id", "page_no").agg(F.max("line_no").alias("m"), F.sum("current").alias("current")).select("doc_id", "page_no", (F.col("m") + 1).alias("line_no"), F.lit("Total").alias("description"), F.col("current").cast("decimal(20,4)").alias("current"), F.lit(None).cast("decimal(20,4)").alias("previous"))
+    off = F.element_at(F.array(*map(F.lit, (0.01, 0.02, -500.0, 0.0))), (F.col("doc_id") % 4 + 1).cast("int")).cast("decimal(20,2)")
+    total = rows.groupBy("doc_id", "page_no").agg(F.max("line_no").alias("m"), F.sum("current").alias("current")).select("doc_id", "page_no", (F.col("m") + 1).alias("line_no"), F.lit("Total").alias("description"), (F.col("current") + off).cast("decimal(20,4)").alias("current"), F.lit(None).cast("decimal(20,4)").alias("previous"))
     return double(pg.block_totals(rows.unionByName(total)).select("doc_id", "parts", "total", "ok"), "parts", "total")
 
 
@@ -113,9 +114,9 @@ def cells(spark, d, varied=False):
     return saved(t.select(F.col("ledger_id").alias("file_id"), F.col("period").cast("string").alias("sheet"), "row_no", F.posexplode("v").alias("col_no", "value")), "cells")
 
 
-@query("l10_column_roles", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, CASE WHEN ledger_id = 'L3' THEN -1 ELSE 4 END AS balance_col, CASE WHEN ledger_id = 'L4' THEN 0 ELSE 2 END AS description_col FROM t")
+@query("l10_column_roles", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, CASE WHEN ledger_id = 'L3' THEN -1 ELSE 4 END AS balance_col, CASE WHEN ledger_id = 'L4' THEN 0 ELSE 2 END AS description_col, CASE WHEN ledger_id = 'L4' THEN -1 ELSE 0 END AS code_col FROM t")
 def l10(spark, d):
-    return layout.roles(cells(spark, d, True)).select("file_id", "sheet", F.coalesce("balance_col", F.lit(-1)).alias("balance_col"), "description_col")
+    return layout.roles(cells(spark, d, True)).select("file_id", "sheet", F.coalesce("balance_col", F.lit(-1)).alias("balance_col"), "description_col", F.coalesce("code_col", F.lit(-1)).alias("code_col"))
 
 
 @query("l2_looks_like_ledger", f"t AS ({ledger_sql('full')}) SELECT DISTINCT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, ledger_id <> 'L4' AS ledger FROM t")
@@ -123,9 +124,9 @@ def l2(spark, d):
     return layout.looks_like_ledger(cells(spark, d, True))
 
 
-@query("l12_records", f"t AS ({ledger_sql('full')}) SELECT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, row_no, 'Conta ' || descricao AS descricao, round(CAST(saldo AS DOUBLE), 2) AS saldo FROM t")
+@query("l12_records", f"t AS ({ledger_sql('full')}) SELECT ledger_id AS file_id, CAST(period AS VARCHAR) AS sheet, row_no, CAST(row_no AS VARCHAR) AS codigo, 'Conta ' || descricao AS descricao, round(CAST(saldo AS DOUBLE), 2) AS saldo FROM t")
 def l12(spark, d):
-    return double(layout.records(cells(spark, d)).select("file_id", "sheet", "row_no", "descricao", "saldo"), "saldo")
+    return double(layout.records(cells(spark, d)).select("file_id", "sheet", "row_no", "codigo", "descricao", "saldo"), "saldo")
 
 
 @query("l16_compacted", "e AS (SELECT event_id, list_filter([event_type, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END, CAST(user_id AS VARCHAR)], lambda v: v <> '') AS v FROM events) SELECT CAST(event_id AS BIGINT) AS row_no, CAST(i - 1 AS INT) AS col_no, v[i] AS value FROM e, unnest(generate_series(1, len(v))) g(i)")
@@ -142,9 +143,10 @@ def l21(spark, d):
     return layout.pointed(flat, ["ledger_id", "period"]).select("ledger_id", "period", F.col("codigo_original").alias("original"), codes.level(F.col("codigo")).alias("nivel")).distinct()
 
 
-@query("s4_delimiter_vote", "d AS (SELECT DISTINCT event_type AS file_id FROM events) SELECT file_id, ';' AS delimiter FROM d")
+@query("s4_delimiter_vote", "d AS (SELECT event_type AS file_id, CASE length(event_type) % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter, min(event_id % 50) AS low FROM events GROUP BY ALL) SELECT file_id, delimiter FROM d WHERE low < 50")
 def s4(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("file_id"), (F.col("event_id") % 50).alias("row_no"), F.concat_ws(";", "event_id", "user_id", F.lit("a,b")).alias("line"))
+    mark = F.element_at(F.array(*map(F.lit, (";", ",", "\t", "|"))), F.char_length("event_type") % 4 + 1)
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("file_id"), (F.col("event_id") % 50).alias("row_no"), F.concat("event_id", mark, "user_id", mark, F.when(F.col("event_id") % 3 == 0, "a;b,c").otherwise("a"), mark, F.lit("z")).alias("line"))
     return files.delimiter(e)
 
 
@@ -234,5 +236,3 @@ def x19(spark, d):
     from ledgerweave.operators.matching import synonym_map
 
     return synonym_map(spark.sql(SYNONYMS, part=spark.read.parquet(f"{d}/part.parquet")))
-
-
