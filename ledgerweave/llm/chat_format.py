@@ -89,6 +89,7 @@ def paths(edges: DataFrame, scratch: Scratch) -> DataFrame:
     found = edges.join(parents.hint("merge"), ["key", "id"], "left_anti").select("key", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("off"))
     for k in range(len(steps) - 1, -1, -1):
         found = scratch.save(found, f"paths-{k}")
+        scratch.drop(f"paths-{k + 1}")
         above = found.join(steps[k].hint("merge"), ["key", "id"]).select("key", "leaf", F.col("up").alias("id"), (F.col("off") + (1 << k)).alias("off"))
         found = found.union(above)
     return found
@@ -125,6 +126,7 @@ def formatted_paths(messages: DataFrame, keep: int | None = 1, part_chars: int =
     there = rows.select("key", F.col("id").alias("parent"), F.col("id").alias("up"))
     edges = scratch.save(rows.select("key", "id", "parent", "score").join(there.hint("merge"), ["key", "parent"], "left").select("key", "id", "up", "score"), "edges")
     found = scratch.save(paths(edges, scratch).join(rows.select("key", "id", "score").hint("merge"), ["key", "id"]), "paths")
+    scratch.drop("edges", "cut", "paths-0", *[f"{name}-{k}" for name in ("jump", "again") for k in range(64)])  # a depth has no more binary digits
 
     roots = found.groupBy("key", "leaf").agg(F.max_by("id", "off").alias("root"), F.max("off").alias("depth"), F.sum("score").alias("path_score"))
     ranked = roots.withColumn("branch", F.row_number().over(Window.partitionBy("key", "root").orderBy(F.desc("path_score"), "leaf")))
