@@ -9,3 +9,8 @@ def test_verdict_is_to_the_cent_at_any_total(spark, tmp_path):
     found = {(r.ledger_id, r.period): r.verdict for r in registry.queries()["p21_verdict"](spark, str(tmp_path)).collect()}
     assert found[("L1", 2021)] == "draft" and found[("L1", 2020)] == found[("L3", 2020)] == found[("L3", 2021)] == "caveat"
     assert found[("L0", 2020)] == found[("L2", 2021)] == "ok" and found[("L4", 2020)] == "empty"
+
+
+def test_verbatim_keeps_every_row(spark, tmp_path):
+    spark.range(40).selectExpr("id as o_orderkey", "id % 2 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in registry.queries()["s22_verbatim"](spark, str(tmp_path)).orderBy("file_id").collect()] == [(0, 20, False), (1, 20, False)]
