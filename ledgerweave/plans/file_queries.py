@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ledgerweave.sources import files, text_scan
-from ledgerweave.sources.stage import shared_place
+from ledgerweave.sources.stage import saved, shared_place
 
 QUERIES, SQL = {}, {}
 
@@ -34,12 +36,21 @@ def written(spark, d) -> str:
     body = spark.sql(LINES, orders=spark.read.parquet(f"{d}/orders.parquet"))
     heads = spark.createDataFrame([(p, i, x) for p in range(4) for i, x in enumerate(["\ufeff" * (p == 3) + "Balancete da empresa", "====", "Código;Descrição;Saldo"])], "part int, place long, line string")
     at = shared_place(spark, "files")
-    for part, charset in enumerate(CHARSETS):
+
+    def write(part: int, charset: str) -> None:
         own = body.filter(F.col("part") == part).unionByName(heads.filter(F.col("part") == part)).repartition(1).sortWithinPartitions("place")
         own.select("line").write.option("encoding", charset).option("lineSep", "\n").option("emptyValue", "").option("nullValue", "").option("quote", "").option("delimiter", "\x01").csv(f"{at}/part={part}")
+
+    with ThreadPoolExecutor(len(CHARSETS)) as pool:  # a file is written by one task, the files beside each other
+        list(pool.map(write, range(len(CHARSETS)), CHARSETS))
     return at
 
 
+def lines(spark, at):
+    """The lines of the files, written once for all that read them."""
+    return saved(files.lines(spark, at, RANGE), "lines")
+
+
 def part_of(df):
     return df.withColumn("part", F.regexp_extract("file_id", r"part=(\d)", 1).cast("int")).drop("file_id")
 
@@ -63,7 +74,7 @@ REASONS = WROTE + """, m AS (SELECT *, CASE WHEN o_orderkey % 89 = 7 THEN 'too m
 
 
 def parsed(spark, d):
-    table = files.lines(spark, written(spark, d), RANGE)
+    table = lines(spark, written(spark, d))
     return files.parsed(table, files.delimiter(table), files.header_rows(table))
 
 

@@ -86,7 +86,7 @@ def s7(spark, d):
 
 @query("s9_required_columns", "p AS (SELECT unnest([0, 1, 2, 3]) AS part) SELECT part, TRUE AS found, FALSE AS more FROM p")
 def s9(spark, d):
-    table = files.lines(spark, fq.written(spark, d), fq.RANGE)
+    table = fq.lines(spark, fq.written(spark, d))
     heads = table.join(files.header_rows(table), "file_id").filter("row_no = header").withColumn("labels", F.transform(F.split("line", ";"), lambda x: F.lower(x)))
     return fq.part_of(heads.select("file_id", files.has_columns(F.col("labels"), ["código", "saldo"]).alias("found"), files.has_columns(F.col("labels"), ["código", "natureza"]).alias("more")))
 
@@ -94,7 +94,7 @@ def s9(spark, d):
 @query("s23_parse_report", fq.REASONS + ", c AS (SELECT part, count(*) FILTER (reason IS NULL) AS rows, count(*) FILTER (reason IS NOT NULL) AS errors, CAST(sum(CASE part WHEN 2 THEN length(line) + 1 WHEN 0 THEN strlen(line) + 1 WHEN 1 THEN 2 * length(line) + 2 ELSE 4 * length(line) + 4 END) AS BIGINT) AS size FROM m GROUP BY part), h AS (SELECT 'Balancete da empresa' || chr(10) || '====' || chr(10) || 'Código;Descrição;Saldo' || chr(10) AS head) SELECT part, rows, errors, rows > 0 AS success, CAST(size + CASE part WHEN 0 THEN strlen(head) WHEN 1 THEN 2 * length(head) + 2 WHEN 2 THEN length(head) ELSE 4 * length(head) + 4 END AS BIGINT) AS length, TRUE AS dated, TRUE AS timed, 64 AS digest FROM c, h")
 def s23(spark, d):
     at = fq.written(spark, d)
-    table = files.lines(spark, at, fq.RANGE)
+    table = fq.lines(spark, at)
     rows, rejected = files.parsed(table, files.delimiter(table), files.header_rows(table))
     to = shared_place(spark, "parsed")
     seconds = sum(sinks.observed(df, f"{to}/{name}")["seconds"] for name, df in (("rows", rows), ("rejected", rejected)))
@@ -106,7 +106,7 @@ def s23(spark, d):
 @query("s27_sources", fq.REASONS + " SELECT part, count(*) AS rows, 'csv' AS extension, TRUE AS sized FROM m WHERE reason IS NULL GROUP BY part")
 def s27(spark, d):
     at = fq.written(spark, d)
-    table = files.lines(spark, at, fq.RANGE)
+    table = fq.lines(spark, at)
     rows = sinks.with_source(files.parsed(table, files.delimiter(table), files.header_rows(table))[0], files.catalogue(spark, at))
     told = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.regexp_extract("source", r"\.(\w+)$", 1)).alias("extension"), F.min(F.col("source_length") > 0).alias("sized"))
     return fq.part_of(told)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerweave.functions.numbers import parse_amount
 from ledgerweave.sources import text_scan
+from ledgerweave.sources.stage import saved
 
 #: Words of a ledger's header row; delimiters that are tried.
 HEADER_WORDS = ["codigo", "conta", "descricao", "classificacao", "nome", "saldo", "debito", "credito", "anterior", "atual", "natureza", "movimento"]
@@ -14,11 +19,24 @@ DELIMITERS = [";", ",", "\t", "|"]
 EXTENSIONS = ["csv", "txt", "json", "parquet"]
 
 
+@F.arrow_udf(StringType())
+def digest(path: pa.Array) -> pa.Array:
+    """SHA-256 of the files, lowercase hex, read by pieces: a file may be larger than a value of a table."""
+    out = []
+    for p in path.to_pylist():
+        whole = hashlib.sha256()
+        with text_scan.opened(p) as file:
+            while piece := file.read(8 << 20):
+                whole.update(piece)
+        out.append(whole.hexdigest())
+    return pa.array(out, pa.string())
+
+
 def catalogue(spark: SparkSession, path: str, accepted: list[str] | None = None) -> DataFrame:
     """file_id, name, extension, accepted, length, modified, sha256 of every file below path, each once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
     extension = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
-    return files.select(F.col("path").alias("file_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), extension.alias("extension"), extension.isin(accepted or EXTENSIONS).alias("accepted"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")).dropDuplicates(["file_id"])
+    return files.select(F.col("path").alias("file_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), extension.alias("extension"), extension.isin(accepted or EXTENSIONS).alias("accepted"), "length", F.col("modificationTime").alias("modified"), digest("path").alias("sha256")).dropDuplicates(["file_id"])
 
 
 def lines(spark: SparkSession, path: str | list[str], range_bytes: int = text_scan.RANGE_BYTES) -> DataFrame:
@@ -92,13 +110,16 @@ def parsed(table: DataFrame, by: DataFrame, headers: DataFrame, columns: dict[st
     rows: file_id, row_no, codigo, descricao (the code where there is none),
     saldo; lines without code and description are left out. rejected: file_id,
     line (from 1), reason, data: lines with more cells than the header, and
-    amounts that can't be read. The files' heads are a row each.
+    amounts that can't be read. The files' heads are a row each, written once,
+    so that lines are joined to them where they are. The table is read twice
+    for these and once for each result: one that is costly to make is to be
+    saved before.
     """
     wanted = columns or COLUMNS
-    joined = table.join(by, "file_id").join(headers, "file_id")
-    heads = joined.filter(F.col("row_no") == F.col("header")).select("file_id", fields(F.col("line"), F.col("delimiter")).alias("labels"))
-    heads = heads.select("file_id", F.size("labels").alias("width"), *(place_of(F.col("labels"), p).alias(f"at_{c}") for c, p in wanted.items()))
-    body = joined.filter(F.col("row_no") > F.col("header")).withColumn("cells", fields(F.col("line"), F.col("delimiter"))).join(heads, "file_id")
+    known = saved(by.join(headers, "file_id"), "heads")
+    heads = table.withColumnRenamed("row_no", "header").join(known, ["file_id", "header"]).withColumn("labels", fields(F.col("line"), F.col("delimiter")))
+    heads = saved(heads.select("file_id", "header", "delimiter", F.size("labels").alias("width"), *(place_of(F.col("labels"), p).alias(f"at_{c}") for c, p in wanted.items())), "heads")
+    body = table.join(heads, "file_id").filter(F.col("row_no") > F.col("header")).withColumn("cells", fields(F.col("line"), F.col("delimiter")))
     cell = lambda c: F.nullif(F.get("cells", F.col(f"at_{c}") - 1), F.lit(""))
     body = body.withColumns({**{c: cell(c) for c in wanted}, "amount": F.get(F.transform(F.array(cell("saldo")), lambda c: parse_amount(c)), F.lit(0))})  # as a function of one name, its code stays small
     many = F.size("cells") > F.col("width")

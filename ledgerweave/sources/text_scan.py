@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.sources.stage import saved
+
 RANGE_BYTES = 32 << 20
+#: So many tasks, if there are as many ranges, whatever their size.
+LEAST_TASKS = 64
 #: Byte order marks (the longer ones first) with codec and bytes of a unit.
 MARKS = [(b"\xff\xfe\x00\x00", "utf-32-le", 4), (b"\x00\x00\xfe\xff", "utf-32-be", 4), (b"\xef\xbb\xbf", "utf-8", 1), (b"\xff\xfe", "utf-16-le", 2), (b"\xfe\xff", "utf-16-be", 2)]
 
@@ -29,7 +33,9 @@ def byte_ranges(spark: SparkSession, path: str | list[str], range_bytes: int = R
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_id"), "length")
     ranges = files.withColumn("at", F.explode(F.expr(f"transform(sequence(0L, greatest(cast(ceil(length / {range_bytes}) AS BIGINT) - 1, 0L)), i -> i * {range_bytes}L)")))
     found = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.least(F.col("length"), F.lit(range_bytes))), F.lit(0))).first()
-    return ranges.repartition(max(1, min(found[0], math.ceil(found[1] / range_bytes) * 4)))
+    # Small ranges share a task, as tasks go by bytes.
+    tasks = max(math.ceil(found[1] / RANGE_BYTES) * 4, LEAST_TASKS, spark.sparkContext.defaultParallelism)
+    return ranges.repartition(max(1, min(found[0], tasks)))
 
 
 def opened(path: str):
@@ -117,9 +123,36 @@ def raw_lines(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return ranges.select("file_id", "length", "at").mapInArrow(read, "file_id string, at long, nth long, charset string, raw binary")
 
 
-def surveyed(raw: DataFrame) -> DataFrame:
-    """file_id, at, base, n, charset of raw_lines: each range's first line number and number of lines, and its file's charset."""
-    counted = raw.groupBy("file_id", "at").agg(F.count(F.lit(1)).alias("n"), F.max("charset").alias("told"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("valid"))
+def is_utf8(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def counted_lines(ranges: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """file_id, at, n, told, valid: how many lines each range owns, the charset that a byte order mark tells, and whether they are UTF-8; ranges without lines are left out. No line leaves its task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                with opened(row["file_id"]) as file:
+                    data, codec = owned(file, row["length"], row["at"], row["at"] + range_bytes)
+                valid = codec not in (None, "utf-8") or is_utf8(data)
+                if codec not in (None, "utf-8"):
+                    data = data.decode(codec, "replace").encode("utf-8", "replace")
+                if data:
+                    rows.append((row["file_id"], row["at"], 1 + int(np.count_nonzero(line_starts(np.frombuffer(data, np.uint8)))), codec, valid))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["file_id", "at", "n", "told", "valid"])
+
+    return ranges.select("file_id", "length", "at").mapInArrow(count, "file_id string, at long, n long, told string, valid boolean")
+
+
+def surveyed(counted: DataFrame) -> DataFrame:
+    """file_id, at, base, n, charset of counted_lines: each range's first line number and number of lines, and its file's charset."""
     file = Window.partitionBy("file_id")
     before = F.coalesce(F.sum("n").over(file.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     charset = F.coalesce(F.max("told").over(file), F.when(F.bool_and("valid").over(file), "utf-8").otherwise("iso-8859-1"))
@@ -128,7 +161,7 @@ def surveyed(raw: DataFrame) -> DataFrame:
 
 def charsets(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """file_id, charset, lines: by the byte order mark, else UTF-8 where all of the file is valid, else Latin-1."""
-    found = surveyed(raw_lines(byte_ranges(spark, path, range_bytes), range_bytes))
+    found = surveyed(counted_lines(byte_ranges(spark, path, range_bytes), range_bytes))
     return found.groupBy("file_id").agg(F.max("charset").alias("charset"), F.sum("n").alias("lines"))
 
 
@@ -136,9 +169,12 @@ def numbered_lines(spark: SparkSession, path: str | list[str], range_bytes: int
     """file_id, row_no (from 0), line of every line, blank ones too, in the charset that charsets() tells.
 
     The files are read twice: for the counts, then for the lines. A file
-    without content gives no rows; a line may be of any length.
+    without content gives no rows; a line may be of any length. Counts are a
+    row a range; they are written once and sent to the lines, which stay where
+    they were read.
     """
-    raw = raw_lines(byte_ranges(spark, path, range_bytes), range_bytes)
-    found = surveyed(raw).select("file_id", "at", "base", (F.col("charset") == "iso-8859-1").alias("latin"))
+    ranges = byte_ranges(spark, path, range_bytes)
+    raw = raw_lines(ranges, range_bytes)
+    found = saved(surveyed(counted_lines(ranges, range_bytes)), "ranges").select("file_id", "at", "base", (F.col("charset") == "iso-8859-1").alias("latin"))
     line = F.when(F.col("latin"), F.expr("decode(raw, 'ISO-8859-1')")).otherwise(F.expr("decode(raw, 'UTF-8')"))
-    return raw.join(found, ["file_id", "at"]).select("file_id", (F.col("base") + F.col("nth")).alias("row_no"), line.alias("line"))
+    return raw.join(F.broadcast(found), ["file_id", "at"]).select("file_id", (F.col("base") + F.col("nth")).alias("row_no"), line.alias("line"))

@@ -1,9 +1,11 @@
+import hashlib
 import io
 import random
 import re
 
 import pytest
 
+from ledgerweave.plans import file_queries
 from ledgerweave.sources import files, stage, text_scan
 from ledgerweave.sources.text_scan import owned, split_lines
 
@@ -77,3 +79,27 @@ def test_clear_deletes_what_was_saved(spark):
     stage.clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(spark_dir)
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("linha\n" * 40_000, encoding="utf-8")
+    ranges = text_scan.byte_ranges(spark, str(tmp_path), 1 << 9)
+    assert ranges.count() == 469 and ranges.rdd.getNumPartitions() == 64
+    lines = text_scan.numbered_lines(spark, str(tmp_path), 1 << 9)
+    assert lines.agg({"row_no": "max"}).first()[0] == 39_999 and lines.select("row_no").distinct().count() == 40_000
+
+
+def test_written_files_are_scanned_once(spark, tmp_path):
+    spark.range(2000).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "id / 4d as o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    # What is parsed reads lines that have been written; before, each of its results scanned the files anew, several times.
+    rows, rejected = file_queries.parsed(spark, str(tmp_path))
+    for df in (rows, rejected):
+        assert "MapInArrow" not in df._jdf.queryExecution().toString()
+    assert rows.count() + rejected.count() == 2000
+
+
+def test_digests_are_read_by_pieces(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x" * (9 << 20))
+    listed = files.catalogue(spark, str(tmp_path))
+    assert listed.first().sha256 == hashlib.sha256(b"x" * (9 << 20)).hexdigest()
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()  # a file over 2 GB is no value of a table
