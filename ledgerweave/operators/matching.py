@@ -93,6 +93,16 @@ def cache_key(q: Column, classe: Column, natureza: Column, prazo: Column) -> Col
     return F.when(classe.isNull(), q).otherwise(F.concat_ws("|", q, classe, F.coalesce(natureza, prazo)))
 
 
+def foremost(index: DataFrame, n: int = 10) -> DataFrame:
+    """index without what can't be among any query's n best: of accounts that adjusted() can't tell apart under one text, the first n codes stay.
+
+    These have the same score and the same tie for every query, so the code
+    decides; whatever else an account is found by, n codes stand before it.
+    """
+    alike = Window.partitionBy("text", "tipo", "classe", "natureza", "prazo", "lado", "boost").orderBy("codigo")
+    return index.withColumn("nth", F.dense_rank().over(alike)).filter(F.col("nth") <= n).drop("nth")
+
+
 def match(queries: DataFrame, index: DataFrame, decisions: DataFrame | None = None, accept: float = 85.0, limit: int = 40, vocabulary: tuple[Column, Column, Column] | None = None, keywords: list[str] = KEYWORDS) -> DataFrame:
     """query, its hints, codigo, score, confidence, accepted, source, candidates (five when accepted, else ten).
 
@@ -115,7 +125,7 @@ def match(queries: DataFrame, index: DataFrame, decisions: DataFrame | None = No
     asked, index = saved(asked, "asked"), saved(index, "index")  # each is read by several joins
     found = similar_texts(asked.select(F.col("expanded").alias("query")), index, limit).withColumnRenamed("query", "expanded")
     found = found.withColumn("tie", sort_ratios("expanded", F.trim(F.split("text", SUFFIX, 2)[0])))
-    scored = asked.join(found, "expanded").join(index, "text").withColumn("score", adjusted(F.col("set_ratio")))
+    scored = asked.join(found, "expanded").join(foremost(index), "text").withColumn("score", adjusted(F.col("set_ratio")))
     each = Window.partitionBy("query", *hints, "codigo").orderBy(F.col("score").desc(), F.col("tie").desc(), "text")
     best = Window.partitionBy("query", *hints).orderBy(F.col("score").desc(), F.col("tie").desc(), F.when(F.col("tipo") == "S", 0).otherwise(1), "codigo")
     ranked = scored.withColumn("e", F.row_number().over(each)).filter("e = 1").withColumn("rank", F.row_number().over(best)).filter("rank <= 10")

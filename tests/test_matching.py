@@ -110,3 +110,15 @@ def test_match_expands_the_query_and_breaks_ties_on_the_core(spark):
     got = {k[0]: r for k, r in matched(spark, chart, [(q, None, None, None, None, None, None) for q in ("fregueses", "bancos")], vocabulary).items()}
     assert (got["fregueses"].codigo, got["fregueses"].accepted, got["fregueses"].source) == ("1.1", True, "match")
     assert got["bancos"].codigo == "1.2" and got["bancos"].score == 100.0
+
+
+def test_accounts_that_no_query_tells_apart(spark, monkeypatch):
+    rng = random.Random(11)
+    chart = [(f"{rng.choice('12')}.01.{i}", rng.choice(["Caixa", "Caixa geral", "Bancos conta", "Receita de vendas"]), rng.choice("AS"), rng.choice(["Devedora", None])) for i in range(600)]
+    index = matching.build_index(spark.createDataFrame(chart, "codigo string, descricao string, tipo string, natureza string"))
+    assert matching.foremost(index, 3).count() < 200  # the join with the queries meets no more, whatever the accounts under a text are
+    asked = spark.createDataFrame([("caixa", "ATIVO", None, "A", "Devedora"), ("caixa geral", None, "CIRCULANTE", None, None), ("bancs conta", "PASSIVO", None, "S", None), ("receita", None, None, None, "Credora")], "query string, q_classe string, q_prazo string, q_tipo string, q_hint string").selectExpr("*", "cast(null as string) as q_natureza")
+    found = [sorted(matching.match(asked, index).collect(), key=str)]
+    monkeypatch.setattr(matching, "foremost", lambda index: index)
+    found.append(sorted(matching.match(asked, index).collect(), key=str))
+    assert found[0] == found[1] and len(found[0]) == 4
