@@ -102,4 +102,5 @@ def dotted(code: Column, lengths: Column) -> Column:
     """A flat code cut at the cumulative lengths that fit into it."""
     own = F.filter(lengths, lambda n: n <= F.char_length(code))
     ends = F.when(F.array_contains(own, F.char_length(code)), own).otherwise(F.array_append(own, F.char_length(code)))
-    return F.array_join(F.transform(ends, lambda n, i: code.substr(F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, n - F.coalesce(F.get(ends, i - 1), F.lit(0)))), ".")
+    cut = lambda ends: F.array_join(F.transform(ends, lambda n, i: code.substr(F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, n - F.coalesce(F.get(ends, i - 1), F.lit(0)))), ".")
+    return F.get(F.transform(F.array(ends), cut), F.lit(0))  # as an argument the ends are found once, not for each of them

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import codes
 from ledgerweave.functions.numbers import parse_amount
+from ledgerweave.sources.stage import saved
 
 TABLE = ["file_id", "sheet"]
 
@@ -78,11 +79,12 @@ def flat_levels(rows: DataFrame, key: list[str], least_codes: int = 10, least_le
 
     A length that only one row has is no level.
     """
-    flat = rows.filter(F.col("codigo").rlike(r"^\d+$")).groupBy(*key, "codigo").agg(F.count(F.lit(1)).alias("times")).withColumn("len", F.char_length("codigo"))
+    flat = saved(rows.filter(F.col("codigo").rlike(r"^\d+$")).groupBy(*key, "codigo").agg(F.count(F.lit(1)).alias("times")).withColumn("len", F.char_length("codigo")), "flat")
     number = F.col("codigo").cast("decimal(38,0)")
     lengths = flat.groupBy(*key, "len").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min(number).alias("low"), F.max(number).alias("high"))
     spread = lengths.groupBy(*key).agg(F.sum("n").alias("n"), (F.sum("kinds") / (F.max("high") - F.min("low") + 1).cast("double")).alias("density"), F.array_sort(F.collect_list(F.when(F.col("n") >= least_each, F.col("len")))).alias("lengths"))
     spread = spread.filter((F.col("n") >= least_codes) & (F.size("lengths") >= least_levels) & ~(F.col("density") > 0.5))
+    spread = saved(spread, "spread")  # a row a ledger
     child = flat.join(spread.select(*key, "lengths"), key).filter(F.array_contains("lengths", F.col("len"))).withColumn("shorter", F.explode(F.filter("lengths", lambda x: x < F.col("len"))))
     parent = flat.select(*key, F.col("codigo").alias("begin"), F.col("len").alias("shorter")).withColumn("have", F.lit(1))
     met = child.withColumn("begin", F.col("codigo").substr(F.lit(1), F.col("shorter"))).join(parent, [*key, "begin", "shorter"], "left")
@@ -97,9 +99,13 @@ def flat_levels(rows: DataFrame, key: list[str], least_codes: int = 10, least_le
 
 def pointed(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows with flat codes dotted by their ledger's levels; a ledger in which two codes would become one keeps its own."""
-    new = rows.join(flat_levels(rows, key), key, "left").withColumn("dotted", F.when(F.col("levels").isNotNull() & F.col("codigo").rlike(r"^\d+$"), codes.dotted(F.col("codigo"), F.col("levels"))).otherwise(F.col("codigo")))
-    safe = new.groupBy(*key).agg((F.count_distinct("codigo") == F.count_distinct("dotted")).alias("safe"))
-    return new.join(safe, key).withColumn("codigo_original", F.col("codigo")).withColumn("codigo", F.when(F.col("safe"), F.col("dotted")).otherwise(F.col("codigo"))).drop("levels", "dotted", "safe")
+    rows = saved(rows, "coded")  # read for the levels, for what the new codes would be, and for the result
+    levels = saved(flat_levels(rows, key), "levels")  # a row a ledger
+    dotted = F.when(F.col("codigo").rlike(r"^\d+$"), codes.dotted(F.col("codigo"), F.col("levels"))).otherwise(F.col("codigo"))
+    kinds = rows.select(*key, "codigo").filter("codigo is not null").distinct().join(levels, key).groupBy(*key, dotted.alias("dotted")).agg(F.count(F.lit(1)).alias("n"))
+    safe = saved(kinds.groupBy(*key).agg(F.max("n").alias("n")).filter("n = 1").select(*key).join(levels, key), "levels")
+    new = F.when(F.col("levels").isNotNull(), dotted).otherwise(F.col("codigo"))
+    return rows.join(safe, key, "left").withColumn("codigo_original", F.col("codigo")).withColumn("codigo", new).drop("levels")
 
 
 def indented(rows: DataFrame, key: list[str]) -> DataFrame:
