@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from ledgerweave.llm.components import components
+from ledgerweave.llm import minhash
 from ledgerweave.llm.base import Scratch
 from ledgerweave.llm.minhash import BANDS, ROWS, minima, near_duplicates, one_of_each
 from ledgerweave.llm.words import U, mix
@@ -94,3 +95,46 @@ def test_repeated_ids_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, 2).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, 1, False), (None, None, True)]))
+
+
+def large_group(seed, n):
+    """Copies of one text: most are linked to it, a fifth lies just below, and some of these have copies of their own."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+
+    def edited(words, k):
+        words = list(words)
+        for _ in range(k):
+            at = rng.randrange(len(words))
+            how = rng.random()
+            words[at : at + 1] = [] if how < 0.2 else [words[at], rng.choice(vocabulary)] if how < 0.4 else [rng.choice(vocabulary)]
+        return words
+
+    texts = [base]
+    for i in range(n):
+        copy = edited(base, rng.randint(8, 14) if i % 5 == 0 else rng.randint(1, 5))
+        texts += [copy] + ([edited(copy, rng.randint(1, 6))] if i % 50 == 0 else [])
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_candidates_in_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    counts, confirmed = [], minhash.confirmed
+
+    def counted(pairs, *rest):
+        if rest[-1] == "cross":
+            counts.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    for n in (150, 450):
+        check(spark, large_group(n, n), 2)
+    assert counts[1] < 5 * max(counts[0], 300), counts
+
+
+def test_differences_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "DIRECT", 1)
+    test_groups_of_near_copies(spark)
+    rows = large_group(7, 100)
+    check(spark, rows, 2)
